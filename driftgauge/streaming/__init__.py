@@ -1,0 +1 @@
+"""Deliberately empty: none of the operators in the inventory is a streaming operator."""
