@@ -45,7 +45,7 @@ def _corr_struct(df: DataFrame, group_cols: Sequence[str], target: str, predicti
     return sums.select(
         *group_cols,
         "n",
-        F.when(reason.isNull(), cxy / F.sqrt(cxx * cyy)).alias("value"),
+        F.when(reason.isNull(), F.try_divide(cxy, F.sqrt(cxx * cyy))).alias("value"),
         reason.isNull().alias("defined"),
         reason.alias("reason"),
     )
@@ -64,7 +64,7 @@ def pearson(df: DataFrame, group_cols: Sequence[str], target: str, prediction: s
             F.count(F.lit(1)).alias("n"),
             F.min(target).alias("t0"), F.max(target).alias("t1"),
             F.min(prediction).alias("p0"), F.max(prediction).alias("p1"),
-            F.corr(prediction, target).alias("value"),
+            F.try_divide(F.covar_pop(prediction, target), F.stddev_pop(prediction) * F.stddev_pop(target)).alias("value"),
         )
         .select(*group_cols, "n", F.when(reason.isNull(), F.col("value")).alias("value"), reason.isNull().alias("defined"), reason.alias("reason"))
     )
@@ -128,7 +128,7 @@ def absolute_errors(df: DataFrame, target: str, predictions: Sequence[str]) -> D
 
 def skill(model_mae: Column, comparator_mae: Column) -> Column:
     """``1 - MAE(model) / MAE(comparator)``; null when the comparator has no error to beat."""
-    return F.when(comparator_mae > 0, 1.0 - model_mae / comparator_mae)
+    return F.when(comparator_mae > 0, 1.0 - F.try_divide(model_mae, comparator_mae))
 
 
 def risk_coverage(df: DataFrame, group_cols: Sequence[str], risk: str, signal: str, id_col: str, *, blocks: bool | None = None) -> DataFrame:

@@ -102,7 +102,7 @@ def affine_from_sums(n: Column, sx: Column, sy: Column, sxx: Column, sxy: Column
     cxx = sxx - sx * sx / n
     flat = cxx <= F.lit(1e-14) * sxx
     mean_x, mean_y = sx / n, sy / n
-    slope = (sxy - sx * sy / n) / cxx
+    slope = F.try_divide(sxy - sx * sy / n, cxx)
     norm = 1.0 + mean_x * mean_x
     return (
         F.when(flat, mean_y / norm).otherwise(mean_y - slope * mean_x),
@@ -228,7 +228,7 @@ def _l1_distributed(copies: DataFrame, keys: list[str], x: str, y: str, weight:
         )
         cxx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("sw")
         step = F.when(
-            cxx > F.lit(1e-14) * F.col("sxx"), (F.col("sxr") - F.col("sx") * F.col("sr") / F.col("sw")) / cxx
+            cxx > F.lit(1e-14) * F.col("sxx"), F.try_divide(F.col("sxr") - F.col("sx") * F.col("sr") / F.col("sw"), cxx)
         ).otherwise(F.lit(0.0))
         mean_x = F.col("center") + F.col("sx") / F.col("sw")
         current = cut_lineage(

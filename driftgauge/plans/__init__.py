@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("shift",)
+FAMILIES = ("shift", "predict", "grids")
 
 
 def _load() -> None:
