@@ -5,10 +5,13 @@ from collections.abc import Mapping, Sequence
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftgauge.functions import max_abs_diff, row_digest, set_digest, within_tolerance
 from driftgauge.operators.contracts import key_violations, violation
+from driftgauge.operators.ranks import medians
+from driftgauge.session import cut_lineage
 
 
 def expand_phases(df: DataFrame, phases: Mapping[str, str], key_col: str, *, case_col: str = "case_id") -> DataFrame:
@@ -401,3 +404,33 @@ def split_report(manifest: DataFrame, unit_col: str, split_col: str, group_col:
     content = content_hash(manifest).select(F.col("digest").alias("content_digest"))
     one_row = ids.join(F.broadcast(shared)).join(F.broadcast(content))
     return one_row.withColumn("report", F.to_json(F.struct(*one_row.columns)))
+
+
+def spacing_summary(df: DataFrame, spacing_col: str) -> DataFrame:
+    """One row: medians per axis, in-plane mean and anisotropy ratio with their ranges.
+
+    The spacing array is (x, y, z); in-plane is the mean of x and y, the ratio is z over in-plane.
+    """
+    s = F.col(spacing_col)
+    parts = df.select(
+        s[0].alias("x"), s[1].alias("y"), s[2].alias("z"), ((s[0] + s[1]) / 2.0).alias("in_plane")
+    ).withColumn("ratio", F.try_divide(F.col("z"), F.col("in_plane")))
+    ranges = parts.agg(
+        F.count(F.lit(1)).alias("n_cases"),
+        *[fn(c).alias(f"{tag}_{c}") for c in ("in_plane", "z", "ratio") for tag, fn in (("min", F.min), ("max", F.max))],
+    )
+    return ranges.join(F.broadcast(medians(parts, [], ["x", "y", "z", "in_plane", "ratio"])))
+
+
+def numbered(ordered: DataFrame, name: str) -> DataFrame:
+    """One-based place of every row of a globally sorted table.
+
+    The sorted table is pinned first; each place is the place in its partition plus
+    the rows of the partitions before it.
+    """
+    pinned = cut_lineage(ordered.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()))
+    counts = pinned.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy(F.lit(1)).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(W.partitionBy("__part").orderBy("__row"))
+    return pinned.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + inside).drop("__part", "__row", "__before")

@@ -216,3 +216,17 @@ def hash_positions(
         .withColumnRenamed("__total", size_col)
         .drop("__key", BLOCK, "__offset")
     )
+
+
+def medians(df: DataFrame, group_cols: Sequence[str], value_cols: Sequence[str], *, blocks: bool | None = None) -> DataFrame:
+    """Exact medians of several columns, ``median_<column>``."""
+    group_cols = list(group_cols)
+    if blocks is None:
+        blocks = needs_blocks(df, group_cols)
+    if not blocks:
+        return df.groupBy(*group_cols).agg(*[F.percentile(c, F.lit(0.5)).alias(f"median_{c}") for c in value_cols])
+    parts = [quantiles(df, group_cols, c, {f"median_{c}": 0.5}, blocks=True) for c in value_cols]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, group_cols) if group_cols else out.join(F.broadcast(part))
+    return out

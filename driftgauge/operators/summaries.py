@@ -33,9 +33,10 @@ def bias_vs_reference(summary: DataFrame, reference: DataFrame, key_cols: Sequen
 
 
 def decision_rates(df: DataFrame, group_cols: Sequence[str], low: str, high: str, reference: Column) -> DataFrame:
-    """Share of intervals below zero, covering the reference and covering zero, with binomial errors and mean width."""
+    """Share of intervals below zero, above zero, covering the reference and covering zero, with binomial errors and mean width."""
     flags = {
-        "decided": F.col(high) < 0,
+        "below_zero": F.col(high) < 0,
+        "above_zero": F.col(low) > 0,
         "covers_reference": reference.between(F.col(low), F.col(high)),
         "covers_zero": F.lit(0.0).between(F.col(low), F.col(high)),
     }

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("shift", "predict", "grids")
+FAMILIES = ("intake", "auditing", "shift", "predict", "grids", "replicates")
 
 
 def _load() -> None:
