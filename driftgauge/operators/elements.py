@@ -14,11 +14,12 @@ from driftgauge.functions import argmax_index, entropy, hash60
 from driftgauge.functions.arrays import probability_violation
 from driftgauge.operators.contracts import violation
 from driftgauge.operators.ranks import needs_blocks, quantiles
-from driftgauge.session import cut_lineage
+from driftgauge.session import compute_tasks, cut_lineage
 
 COORDS = ("x", "y", "z")
 # Edge length of the tiles that are labelled inside one task: at most 64 ** 3 elements.
 TILE = 64
+BUCKET_ROWS = 500_000
 
 
 def grid_violations(reference: DataFrame, prediction: DataFrame, case: str, coords: Sequence[str] = COORDS) -> DataFrame:
@@ -248,39 +249,42 @@ def _offsets(dims: int) -> list[tuple[int, ...]]:
     return [tuple(int(v) for v in o) for o in every if tuple(o) > (0,) * dims]
 
 
-def label_tile(points: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """For every point, the index of the first point (in coordinate order) of its component.
+def label_tiles(group: np.ndarray, points: np.ndarray, labels: np.ndarray, tile: int) -> np.ndarray:
+    """For every element, the index of the first element (in coordinate order) of its component inside its group.
 
-    Minimum labels spread along all neighbour directions at once; pointer jumping
-    then shortens the chains, so few rounds are needed.
+    Groups are tiles. Padded local coordinates and the group number form one key, so a
+    neighbour is a key at a fixed distance and is found by binary search, for all
+    tiles at once. Minimum labels spread along all neighbour directions; pointer
+    jumping shortens the chains, so few rounds are needed.
     """
-    low = points.min(axis=0)
-    shape = tuple(points.max(axis=0) - low + 1)
-    grid = np.full(shape, -1, dtype=np.int64)
-    order = np.lexsort(points.T[::-1])
-    rank = np.empty(len(points), dtype=np.int64)
-    rank[order] = np.arange(len(points))
-    grid[tuple((points - low).T)] = rank
-    by_rank = labels[order]
-    pairs = []
+    base = tile + 2
+    key = group.astype(np.int64)
+    for axis in range(points.shape[1]):
+        key = key * base + (points[:, axis] % tile + 1)
+    order = np.argsort(key, kind="stable")
+    key, by_rank = key[order], labels[order]
+    left, right = [], []
     for offset in _offsets(points.shape[1]):
-        a = grid[tuple(slice(max(0, -o), s - max(0, o)) for o, s in zip(offset, shape))].ravel()
-        b = grid[tuple(slice(max(0, o), s - max(0, -o)) for o, s in zip(offset, shape))].ravel()
-        ok = (a >= 0) & (b >= 0)
-        a, b = a[ok], b[ok]
-        same = by_rank[a] == by_rank[b]
-        pairs.append((a[same], b[same]))
-    left = np.concatenate([p[0] for p in pairs])
-    right = np.concatenate([p[1] for p in pairs])
-    root = np.arange(len(points))
+        jump = 0
+        for step in offset:
+            jump = jump * base + step
+        at = np.searchsorted(key, key + jump)
+        at[at == len(key)] = 0
+        hit = np.flatnonzero((key[at] == key + jump) & (by_rank[at] == by_rank))
+        left.append(hit)
+        right.append(at[hit])
+    left, right = np.concatenate(left), np.concatenate(right)
+    root = np.arange(len(key))
     while True:
         before = root.copy()
-        low_end = np.minimum(root[left], root[right])
-        np.minimum.at(root, root[left], low_end)
-        np.minimum.at(root, root[right], low_end)
+        low = np.minimum(root[left], root[right])
+        np.minimum.at(root, root[left], low)
+        np.minimum.at(root, root[right], low)
         root = root[root]
         if np.array_equal(root, before):
-            return order[root[rank]]
+            out = np.empty(len(key), dtype=np.int64)
+            out[order] = order[root]
+            return out
 
 
 def connected_components(elements: DataFrame, case: str, label: str, coords: Sequence[str] = COORDS, *, tile: int = TILE) -> DataFrame:
@@ -304,12 +308,17 @@ def connected_components(elements: DataFrame, case: str, label: str, coords: Seq
         code = np.zeros(len(points), dtype=np.int64)
         for i in range(points.shape[1]):
             code = code * (1 << 20) + points[:, i]
-        first = label_tile(points, pdf["label"].to_numpy())
+        group = pdf.groupby([case, *tiles], sort=False).ngroup().to_numpy()
+        first = label_tiles(group, points, pdf["label"].to_numpy(), tile)
         out = pdf[[case, "label", *coords]].copy()
         out["component"] = code[first]
         return out
 
-    labelled = cut_lineage(placed.groupBy(case, *tiles).applyInPandas(local, schema))
+    # Whole tiles go to buckets of about BUCKET_ROWS elements: few calls, bounded size.
+    spark = elements.sparkSession
+    buckets = max(compute_tasks(spark), elements.count() // BUCKET_ROWS + 1)
+    bucketed = placed.withColumn("__bucket", F.pmod(hash60(case, *tiles), F.lit(buckets)).cast("int"))
+    labelled = cut_lineage(bucketed.repartition(min(buckets, 10_000), "__bucket").groupBy("__bucket").applyInPandas(local, schema))
     roots = _contract(_face_edges(labelled, case, coords, tile), case)
     if roots is None:
         return labelled

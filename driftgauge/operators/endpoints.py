@@ -20,11 +20,11 @@ from driftgauge.operators.resample import (
     BOOTSTRAP_SEED,
     CROSSFIT_FOLDS,
     CROSSFIT_SEEDS,
-    bootstrap,
-    percentile_interval,
+    draw,
+    place_units,
     repeated_folds,
 )
-from driftgauge.session import task_rows
+from driftgauge.session import cut_lineage, task_rows
 
 
 class Samples:
@@ -47,11 +47,14 @@ class Samples:
         # About sqrt(n) blocks: the counting pass and the inspected block are then of similar size.
         n_blocks = max(16, min(65536, int(largest**0.5)))
         prepared = repeated_folds(slim, [domain], id_col, seeds, k, blocks=blocks)
-        self.units = with_order_block(prepared, [domain], target, n_blocks, blocks=blocks)
+        prepared = with_order_block(prepared, [domain], target, n_blocks, blocks=blocks)
+        # Folds, blocks and slots are sorted out once; every later pass starts from the pinned table.
+        placed = cut_lineage(place_units(prepared, [domain], id_col, bootstrap_seed, blocks=blocks))
+        self.units = placed.drop("__pos", "__n")
         self.keys = [domain, "replicate"]
         if resamples:
-            self.copies = bootstrap(
-                self.units, [domain], id_col, resamples=resamples, seed=bootstrap_seed, mode=mode, include_original=True, blocks=blocks
+            self.copies = draw(
+                placed, [domain], id_col, resamples=resamples, seed=bootstrap_seed, mode=mode, include_original=True
             )
         else:
             self.copies = self.units.withColumns({"replicate": F.lit(0), "multiplicity": F.lit(1).cast("bigint")})
@@ -119,7 +122,7 @@ class Samples:
     def isotonic_errors(self) -> DataFrame:
         args = (self.copies, self.keys)
         if self.bounded:
-            return isotonic_errors(*args, self.prediction, self.target, repeats=self.repeats, k=self.k)
+            return isotonic_errors(*args, self.prediction, self.target, k=self.k)
         predicted = self.predictions("isotonic")
         truth = self.copies.select(*self.keys, self.id_col, self.target, "multiplicity")
         error = F.sum(F.col("multiplicity") * F.abs(F.col("prediction") - F.col(self.target))) / F.sum("multiplicity")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from driftgauge.operators.contracts import assert_clean, contract_violations, population_violations
 from driftgauge.operators.resample import repeated_folds
+from driftgauge.session import cut_lineage
 
 # Penalty grid, cross-validation and tree settings.
 ALPHA_GRID = (
@@ -126,7 +127,8 @@ def ridge_search(
     features = list(features)
     columns = [*features, target]
     placed = repeated_folds(train.select(id_col, *columns).withColumn("__all", F.lit(0)), ["__all"], id_col, [seed], k)
-    data = placed.select(*columns, F.element_at("folds", 1).alias("fold"))
+    # Three passes follow, so the training matrix is pinned after its folds are known.
+    data = cut_lineage(placed.select(*columns, F.element_at("folds", 1).alias("fold")))
     center = [float(v) for v in data.agg(*[F.avg(c) for c in columns]).first()]
     moments = fold_moments(data, columns, "fold", k, center)
     total = moments.sum(axis=0)

@@ -6,18 +6,18 @@ Tables here are "copies": one row per (keys, unit) with a multiplicity, the unit
 """
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftgauge.session import broadcast_bytes, cut_lineage
+from driftgauge.session import broadcast_bytes, compute_tasks, cut_lineage
 
 # Least-absolute-deviation fit.
 IRLS_ITERATIONS = 80
@@ -193,22 +193,32 @@ def l1_coefficients(
     if not bounded:
         return _l1_distributed(copies, list(keys), x, y, weight, iterations, eps)
     keys = list(keys)
+    one = [*keys, "repeat"]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         xs, ys, ms = (pdf[c].to_numpy(np.float64) for c in (x, y, weight))
-        folds = np.stack(pdf["folds"].to_numpy())
+        folds = pdf["fold"].to_numpy()
+        head = [pdf[key].iloc[0] for key in one]
         rows = []
-        for r in range(repeats):
-            for f in range(k):
-                train = folds[:, r] != f
-                n = int(ms[train].sum())
-                if n >= 2:
-                    a, b = lad_line(xs[train], ys[train], ms[train], iterations, eps)
-                    rows.append((*[pdf[key].iloc[0] for key in keys], r, f, n, a, b))
-        return pd.DataFrame(rows, columns=[*keys, "repeat", "fold", "n_train", "intercept", "slope"])
+        for f in range(k):
+            train = folds != f
+            n = int(ms[train].sum())
+            if n >= 2:
+                rows.append((*head, f, n, *lad_line(xs[train], ys[train], ms[train], iterations, eps)))
+        return pd.DataFrame(rows, columns=[*one, "fold", "n_train", "intercept", "slope"])
+
+    return _by_repeat(copies, keys, [x, y, weight]).applyInPandas(fit, _coefficient_schema(copies, keys))
+
 
-    slim = copies.select(*keys, x, y, weight, "folds")
-    return slim.groupBy(*keys).applyInPandas(fit, _coefficient_schema(copies, keys))
+def _by_repeat(copies: DataFrame, keys: list[str], columns: list[str]) -> GroupedData:
+    """Copies grouped by (sample, repeat).
+
+    The fits are bound by computing, not by bytes, so the groups are spread over all
+    cores explicitly instead of being coalesced by size.
+    """
+    tasks = compute_tasks(copies.sparkSession)
+    long = copies.select(*keys, *columns, F.posexplode("folds").alias("repeat", "fold"))
+    return long.repartition(tasks, *keys, "repeat").groupBy(*keys, "repeat")
 
 
 def _l1_distributed(copies: DataFrame, keys: list[str], x: str, y: str, weight: str, iterations: int, eps: float) -> DataFrame:
@@ -274,44 +284,38 @@ def crossfit_predictions(
     )
 
     def predict(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r, folds, predicted in _isotonic_repeats(pdf, x, y, weight, repeats, k):
-            part = pdf[[*keys, id_col]].copy()
-            part["repeat"], part["fold"], part["prediction"] = r, folds, predicted
-            out.append(part)
-        return pd.concat(out)
+        out = pdf[[*keys, id_col, "repeat", "fold"]].copy()
+        out["prediction"] = _isotonic_out_of_fold(pdf, x, y, weight, k)
+        return out
 
-    return copies.select(*keys, id_col, x, y, weight, "folds").groupBy(*keys).applyInPandas(predict, schema)
+    return _by_repeat(copies, keys, [id_col, x, y, weight]).applyInPandas(predict, schema)
 
 
-def _isotonic_repeats(pdf: pd.DataFrame, x: str, y: str, weight: str, repeats: int, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _isotonic_out_of_fold(pdf: pd.DataFrame, x: str, y: str, weight: str, k: int) -> np.ndarray:
     xs, ys, ms = (pdf[c].to_numpy(np.float64) for c in (x, y, weight))
-    folds = np.stack(pdf["folds"].to_numpy())
-    for r in range(repeats):
-        predicted = np.full(len(xs), np.nan)
-        for f in range(k):
-            held = folds[:, r] == f
-            if held.any():
-                knots, fitted = pool_adjacent(xs[~held], ys[~held], ms[~held])
-                predicted[held] = np.interp(xs[held], knots, fitted)
-        yield r, folds[:, r], predicted
+    folds = pdf["fold"].to_numpy()
+    predicted = np.full(len(xs), np.nan)
+    for f in range(k):
+        held = folds == f
+        if held.any():
+            knots, fitted = pool_adjacent(xs[~held], ys[~held], ms[~held])
+            predicted[held] = np.interp(xs[held], knots, fitted)
+    return predicted
 
 
-def isotonic_errors(copies: DataFrame, keys: Sequence[str], x: str, y: str, *, repeats: int, k: int, weight: str = "multiplicity") -> DataFrame:
+def isotonic_errors(copies: DataFrame, keys: Sequence[str], x: str, y: str, *, k: int, weight: str = "multiplicity") -> DataFrame:
     """``(keys, repeat, model_mae)`` for samples measured to fit one task."""
     keys = list(keys)
+    one = [*keys, "repeat"]
     schema = T.StructType([*[copies.schema[key] for key in keys], T.StructField("repeat", T.IntegerType()), T.StructField("model_mae", T.DoubleType())])
 
     def errors(pdf: pd.DataFrame) -> pd.DataFrame:
         ys, ms = pdf[y].to_numpy(np.float64), pdf[weight].to_numpy(np.float64)
-        head = [pdf[key].iloc[0] for key in keys]
-        rows = [
-            (*head, r, float(ms @ np.abs(predicted - ys) / ms.sum()))
-            for r, _, predicted in _isotonic_repeats(pdf, x, y, weight, repeats, k)
-        ]
-        return pd.DataFrame(rows, columns=[*keys, "repeat", "model_mae"])
+        predicted = _isotonic_out_of_fold(pdf, x, y, weight, k)
+        mae = float(ms @ np.abs(predicted - ys) / ms.sum())
+        return pd.DataFrame([(*[pdf[key].iloc[0] for key in one], mae)], columns=[*one, "model_mae"])
 
-    return copies.select(*keys, x, y, weight, "folds").groupBy(*keys).applyInPandas(errors, schema)
+    return _by_repeat(copies, keys, [x, y, weight]).applyInPandas(errors, schema)
 
 
 def _isotonic_distributed(copies: DataFrame, keys: list[str], id_col: str, x: str, y: str, repeats: int, k: int, weight: str) -> DataFrame:

@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftgauge.functions import hash60, hash_uniform
+from driftgauge.functions import hash_uniform
 from driftgauge.operators.audit import key_reconcile
 from driftgauge.operators.contracts import value_violations, violation
 from driftgauge.operators.ranks import hash_positions, needs_blocks, quantiles
+from driftgauge.session import compute_tasks
 
 # Resampling protocol.
 BOOTSTRAP_RESAMPLES = 2000
@@ -161,6 +162,50 @@ def stratified_folds(units: DataFrame, stratum_col: str, id_col: str, k: int, se
     return placed.withColumn("fold", fold_of(F.col("position"), F.col("size"), k)).drop("position", "size")
 
 
+def place_units(
+    units: DataFrame, group_cols: Sequence[str], id_col: str, seed: int = BOOTSTRAP_SEED, *, blocks: bool | None = None
+) -> DataFrame:
+    """Give every unit its slot ``__pos`` in 0..n-1 and its group size ``__n``, spread evenly by slot."""
+    placed = hash_positions(units, group_cols, id_col, seed, position_col="__pos", size_col="__n", blocks=blocks)
+    # The order above was found group by group; drawing is per slot and must not stay on those few tasks.
+    return placed.repartition(compute_tasks(units.sparkSession), *group_cols, "__pos")
+
+
+def draw(
+    placed: DataFrame, group_cols: Sequence[str], id_col: str, *, resamples: int, seed: int, mode: str = "multinomial", include_original: bool = False
+) -> DataFrame:
+    """Replicates of placed units: their columns plus ``replicate`` (1..B) and ``multiplicity``."""
+    group_cols = list(group_cols)
+    units = placed.drop("__pos", "__n")
+    if mode == "poisson":
+        numbers = F.explode(F.sequence(F.lit(1), F.lit(int(resamples)))).alias("replicate")
+        u = hash_uniform(F.lit(seed), *group_cols, "replicate", id_col)
+        out = units.select("*", numbers).withColumn("multiplicity", _poisson_one(u)).where("multiplicity > 0")
+    elif mode == "multinomial":
+        # One md5 has room for two draws, so replicates 2j - 1 and 2j share the hash of j.
+        pairs = F.explode(F.sequence(F.lit(1), F.lit((int(resamples) + 1) // 2))).alias("__pair")
+        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in group_cols], F.col("__pair").cast("string"), F.col("__pos").cast("string")))
+        slots = placed.select(*group_cols, "__pos", "__n", pairs).withColumn("__digest", digest)
+        half = lambda start: F.pmod(F.conv(F.substring("__digest", start, 15), 16, 10).cast("bigint"), F.col("__n"))
+        both = F.array(
+            F.struct((F.col("__pair") * 2 - 1).alias("replicate"), half(1).alias("__pos")),
+            F.struct((F.col("__pair") * 2).alias("replicate"), half(16).alias("__pos")),
+        )
+        draws = (
+            slots.select(*group_cols, F.explode(both).alias("d")).select(*group_cols, "d.*").where(F.col("replicate") <= int(resamples))
+            .repartition(compute_tasks(placed.sparkSession), *group_cols, "__pos")
+            .groupBy(*group_cols, "__pos", "replicate")
+            .agg(F.count(F.lit(1)).alias("multiplicity"))
+        )
+        out = placed.drop("__n").join(draws, [*group_cols, "__pos"]).drop("__pos")
+    else:
+        raise ValueError(f"unknown bootstrap mode: {mode}")
+    if include_original:
+        original = units.withColumns({"replicate": F.lit(0), "multiplicity": F.lit(1).cast("bigint")})
+        out = out.unionByName(original)
+    return out
+
+
 def bootstrap(
     units: DataFrame,
     group_cols: Sequence[str],
@@ -172,7 +217,7 @@ def bootstrap(
     include_original: bool = False,
     blocks: bool | None = None,
 ) -> DataFrame:
-    """Unit bootstrap: the unit's columns plus ``replicate`` (1..B) and ``multiplicity``.
+    """Unit bootstrap per group.
 
     ``multinomial`` draws exactly n units with replacement per group and replicate:
     every unit's place is also a slot, each slot draws a place by hash, and draws are
@@ -181,28 +226,11 @@ def bootstrap(
     shuffle; group sizes then vary. Copies are never materialised.
     ``include_original`` adds replicate 0, the sample itself.
     """
-    group_cols = list(group_cols)
-    numbers = F.explode(F.sequence(F.lit(1), F.lit(int(resamples)))).alias("replicate")
     if mode == "poisson":
-        u = hash_uniform(F.lit(seed), *group_cols, "replicate", id_col)
-        out = units.select("*", numbers).withColumn("multiplicity", _poisson_one(u)).where("multiplicity > 0")
-    elif mode == "multinomial":
-        placed = hash_positions(units, group_cols, id_col, seed, position_col="__pos", size_col="__n", blocks=blocks)
-        slots = placed.select(*group_cols, "__pos", "__n", numbers)
-        draw = F.pmod(hash60(F.lit(seed), *group_cols, "replicate", "__pos"), F.col("__n")).cast("bigint")
-        draws = (
-            slots.select(*group_cols, "replicate", draw.alias("__pos"))
-            .repartition(*group_cols, "__pos")
-            .groupBy(*group_cols, "__pos", "replicate")
-            .agg(F.count(F.lit(1)).alias("multiplicity"))
-        )
-        out = placed.drop("__n").join(draws, [*group_cols, "__pos"]).drop("__pos")
+        placed = units.withColumns({"__pos": F.lit(0), "__n": F.lit(0)})
     else:
-        raise ValueError(f"unknown bootstrap mode: {mode}")
-    if include_original:
-        original = units.withColumns({"replicate": F.lit(0), "multiplicity": F.lit(1).cast("bigint")})
-        out = out.unionByName(original)
-    return out
+        placed = place_units(units, group_cols, id_col, seed, blocks=blocks)
+    return draw(placed, group_cols, id_col, resamples=resamples, seed=seed, mode=mode, include_original=include_original)
 
 
 def _poisson_one(u: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from driftgauge.functions import hash60
 from driftgauge.operators.contracts import assert_clean, count_reconcile, violation
 from driftgauge.operators.models import standardization, standardized
-from driftgauge.session import broadcast_bytes, cut_lineage
+from driftgauge.session import broadcast_bytes, compute_tasks, cut_lineage
 
 # Rows of either side that one task compares at a time.
 REFERENCE_ROWS = 20_000
@@ -62,16 +62,33 @@ def _distances(q: np.ndarray, r: np.ndarray) -> np.ndarray:
     return np.sqrt(out, out=out)
 
 
-def _nearest(q: np.ndarray, r: np.ndarray, k: int, cells: int = 2_000_000) -> np.ndarray:
-    """The min(k, |r|) smallest distances of every query in rising order, in bounded memory."""
+def _nearest(q: np.ndarray, r: np.ndarray, k: int, cells: int = 4_000_000) -> np.ndarray:
+    """The min(k, |r|) smallest distances of every query in rising order, in bounded memory.
+
+    A matrix product finds a few more candidates than needed; their distances are then
+    computed directly. A query whose candidates do not provably contain the k nearest
+    (product error included) is computed in full.
+    """
     k = min(k, len(r))
+    wide = min(len(r), k + 16)
     step = max(1, cells // max(len(r), 1))
     out = np.empty((len(q), k))
+    r2 = np.einsum("ij,ij->i", r, r)
     for start in range(0, len(q), step):
-        d = _distances(q[start : start + step], r)
-        if k < d.shape[1]:
-            d = np.partition(d, k - 1, axis=1)[:, :k]
-        out[start : start + step] = np.sort(d, axis=1)
+        part = q[start : start + step]
+        if wide == len(r):
+            out[start : start + step] = np.sort(_distances(part, r), axis=1)[:, :k]
+            continue
+        q2 = np.einsum("ij,ij->i", part, part)
+        rough = r2[None, :] - 2.0 * (part @ r.T)
+        near = np.argpartition(rough, wide - 1, axis=1)[:, :wide]
+        edge = np.take_along_axis(rough, near, axis=1).max(axis=1) + q2
+        exact = np.sort(np.sqrt(((part[:, None, :] - r[near]) ** 2).sum(axis=2)), axis=1)[:, :k]
+        slack = 1e-12 * (q2 + r2.max()) * (1 + r.shape[1])
+        unsure = exact[:, -1] ** 2 > edge - slack
+        if unsure.any():
+            exact[unsure] = np.sort(_distances(part[unsure], r), axis=1)[:, :k]
+        out[start : start + step] = exact
     return out
 
 
@@ -107,7 +124,8 @@ def _nearest_broadcast(queries: DataFrame, reference: DataFrame, id_col: str, k:
             if len(batch):
                 yield pd.DataFrame({id_col: batch[id_col], "distances": list(_nearest(_matrix(batch[vec]), shared.value, k))})
 
-    return queries.select(id_col, vec).mapInPandas(scan, _out_schema(queries, id_col))
+    spread = queries.select(id_col, vec).repartition(compute_tasks(queries.sparkSession), id_col)
+    return spread.mapInPandas(scan, _out_schema(queries, id_col))
 
 
 def _nearest_partitioned(queries: DataFrame, reference: DataFrame, id_col: str, k: int, vec: str, n: int) -> DataFrame:

@@ -120,9 +120,14 @@ slot AS (
     count(*) OVER (PARTITION BY domain) AS n
   FROM {source}
 ),
+hashed AS (
+  SELECT domain, n, pair, md5(concat_ws(':', '{seed}', domain, pair::VARCHAR, pos::VARCHAR)) AS h FROM slot, (SELECT unnest(range(1, {(resamples + 1) // 2 + 1})) AS pair)
+),
 draws AS (
-  SELECT domain, replicate, {sql_hash(f"concat_ws(':', '{seed}', domain, replicate::VARCHAR, pos::VARCHAR)")} % n AS pos, count(*) AS m
-  FROM slot, (SELECT unnest(range(1, {resamples + 1})) AS replicate) GROUP BY ALL
+  SELECT domain, replicate, pos, count(*) AS m FROM (
+    SELECT domain, 2 * pair - 1 AS replicate, ('0x' || substr(h, 1, 15))::BIGINT % n AS pos FROM hashed
+    UNION ALL SELECT domain, 2 * pair, ('0x' || substr(h, 16, 15))::BIGINT % n FROM hashed
+  ) WHERE replicate <= {resamples} GROUP BY ALL
 ),
 boot AS (
   SELECT d.domain, d.replicate, s.unit_id, d.m FROM draws d JOIN slot s ON s.domain = d.domain AND s.pos = d.pos

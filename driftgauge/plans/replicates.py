@@ -46,7 +46,7 @@ def replicate_summary(spark, sf_dir):
 
 def _renamed(sql: str, suffix: str) -> str:
     """The bootstrap CTEs under other names, for a second seed in one statement."""
-    for name in ("slot", "draws", "boot", "joined", "wide", "vals"):
+    for name in ("slot", "hashed", "draws", "boot", "joined", "wide", "vals"):
         for before, after in ((f"{name} AS (", f"{name}{suffix} AS ("), (f"FROM {name}", f"FROM {name}{suffix}"), (f"JOIN {name} ", f"JOIN {name}{suffix} ")):
             sql = sql.replace(before, after)
     return sql

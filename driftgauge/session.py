@@ -41,6 +41,14 @@ def broadcast_bytes(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_BYTES_KEY, str(BROADCAST_BYTES_DEFAULT)))
 
 
+def compute_tasks(spark: SparkSession) -> int:
+    """Partitions for work that is bound by computing rather than by bytes.
+
+    Adaptive execution coalesces by size, which would leave such work on few cores.
+    """
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a local one only where it is unset."""
     context = spark.sparkContext
