@@ -20,6 +20,7 @@ from driftgauge.operators.resample import (
     BOOTSTRAP_SEED,
     CROSSFIT_FOLDS,
     CROSSFIT_SEEDS,
+    PLACE_COLUMNS,
     draw,
     place_units,
     repeated_folds,
@@ -50,7 +51,7 @@ class Samples:
         prepared = with_order_block(prepared, [domain], target, n_blocks, blocks=blocks)
         # Folds, blocks and slots are sorted out once; every later pass starts from the pinned table.
         placed = cut_lineage(place_units(prepared, [domain], id_col, bootstrap_seed, blocks=blocks))
-        self.units = placed.drop("__pos", "__n")
+        self.units = placed.drop(*PLACE_COLUMNS)
         self.keys = [domain, "replicate"]
         if resamples:
             self.copies = draw(

@@ -25,6 +25,14 @@ def largest_group(df: DataFrame, group_cols: Sequence[str]) -> int:
     return int(counts.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"])
 
 
+def group_sizes(df: DataFrame, group_cols: Sequence[str], limit: int = 1000) -> dict[tuple, int] | None:
+    """Rows per group, or None when there are more groups than a literal lookup should hold."""
+    rows = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n")).limit(limit + 1).collect()
+    if len(rows) > limit:
+        return None
+    return {tuple(row[c] for c in group_cols): int(row["n"]) for row in rows}
+
+
 def needs_blocks(df: DataFrame, group_cols: Sequence[str]) -> bool:
     return largest_group(df, group_cols) > task_rows(df.sparkSession)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from driftgauge.functions import hash_uniform
 from driftgauge.operators.audit import key_reconcile
 from driftgauge.operators.contracts import value_violations, violation
-from driftgauge.operators.ranks import hash_positions, needs_blocks, quantiles
+from driftgauge.operators.ranks import group_sizes, hash_positions, needs_blocks, quantiles
 from driftgauge.session import compute_tasks
 
 # Resampling protocol.
@@ -45,24 +45,17 @@ def repeated_folds(
     folds_col: str = "folds",
     blocks: bool | None = None,
 ) -> DataFrame:
-    """Attach an array with one fold number per seed; each repeat is an independent balanced K-fold."""
+    """Attach an array with one fold number per seed; each repeat is an independent balanced K-fold.
+
+    Repeats are ordered in parallel; ids must be unique inside their group.
+    """
     group_cols = list(group_cols)
     if blocks is None:
         blocks = needs_blocks(units, group_cols)
-    if not blocks:
-        # One shuffle by group; each repeat is a further sort of the same partitions.
-        size = F.count(F.lit(1)).over(W.partitionBy(*group_cols))
-        out = units.withColumn("__n", size)
-        for i, seed in enumerate(seeds):
-            key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
-            ordered = W.partitionBy(*group_cols).orderBy(key, id_col)
-            out = out.withColumn(f"__f{i}", fold_of(F.row_number().over(ordered) - 1, F.col("__n"), k))
-        columns = [f"__f{i}" for i in range(len(seeds))]
-        return out.withColumn(folds_col, F.array(*columns)).drop("__n", *columns)
     tagged = units.select(
         *group_cols, id_col, F.posexplode(F.array(*[F.lit(int(s)) for s in seeds])).alias("repeat", "seed")
     )
-    placed = hash_positions(tagged, [*group_cols, "repeat"], id_col, F.col("seed"), blocks=True)
+    placed = hash_positions(tagged, [*group_cols, "repeat"], id_col, F.col("seed"), blocks=blocks)
     arrays = (
         placed.withColumn("fold", fold_of(F.col("position"), F.col("size"), k))
         .groupBy(*group_cols, id_col)
@@ -162,13 +155,37 @@ def stratified_folds(units: DataFrame, stratum_col: str, id_col: str, k: int, se
     return placed.withColumn("fold", fold_of(F.col("position"), F.col("size"), k)).drop("position", "size")
 
 
+PLACE_COLUMNS = ("__pos", "__base", "__n", "__slot")
+
+
 def place_units(
     units: DataFrame, group_cols: Sequence[str], id_col: str, seed: int = BOOTSTRAP_SEED, *, blocks: bool | None = None
 ) -> DataFrame:
-    """Give every unit its slot ``__pos`` in 0..n-1 and its group size ``__n``, spread evenly by slot."""
+    """Give every unit its place ``__pos`` in 0..n-1, its group size ``__n`` and a slot number.
+
+    ``__slot`` is unique over all groups (group offset plus place), so draws travel and
+    join by one BIGINT. The rows are spread evenly by slot: the order was found group
+    by group, but drawing must not stay on those few tasks.
+    """
+    group_cols = list(group_cols)
     placed = hash_positions(units, group_cols, id_col, seed, position_col="__pos", size_col="__n", blocks=blocks)
-    # The order above was found group by group; drawing is per slot and must not stay on those few tasks.
-    return placed.repartition(compute_tasks(units.sparkSession), *group_cols, "__pos")
+    sizes = group_sizes(units, group_cols)
+    if sizes is None:
+        counts = units.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__c"))
+        before = W.partitionBy(F.lit(1)).orderBy(*group_cols).rowsBetween(W.unboundedPreceding, -1)
+        bases = counts.select(*group_cols, F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__base"))
+        placed = placed.join(bases, group_cols)
+    else:
+        base, offset = None, 0
+        for key, n in sorted(sizes.items(), key=lambda item: tuple(map(str, item[0]))):
+            own = F.lit(True)
+            for column, value in zip(group_cols, key):
+                own = own & F.col(column).eqNullSafe(F.lit(value))
+            base = F.when(own, F.lit(offset)) if base is None else base.when(own, F.lit(offset))
+            offset += n
+        placed = placed.withColumn("__base", (F.lit(0) if base is None else base).cast("bigint"))
+    placed = placed.withColumn("__slot", F.col("__base") + F.col("__pos"))
+    return placed.repartition(compute_tasks(units.sparkSession), "__slot")
 
 
 def draw(
@@ -176,7 +193,7 @@ def draw(
 ) -> DataFrame:
     """Replicates of placed units: their columns plus ``replicate`` (1..B) and ``multiplicity``."""
     group_cols = list(group_cols)
-    units = placed.drop("__pos", "__n")
+    units = placed.drop(*PLACE_COLUMNS)
     if mode == "poisson":
         numbers = F.explode(F.sequence(F.lit(1), F.lit(int(resamples)))).alias("replicate")
         u = hash_uniform(F.lit(seed), *group_cols, "replicate", id_col)
@@ -185,19 +202,22 @@ def draw(
         # One md5 has room for two draws, so replicates 2j - 1 and 2j share the hash of j.
         pairs = F.explode(F.sequence(F.lit(1), F.lit((int(resamples) + 1) // 2))).alias("__pair")
         digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in group_cols], F.col("__pair").cast("string"), F.col("__pos").cast("string")))
-        slots = placed.select(*group_cols, "__pos", "__n", pairs).withColumn("__digest", digest)
-        half = lambda start: F.pmod(F.conv(F.substring("__digest", start, 15), 16, 10).cast("bigint"), F.col("__n"))
+        slots = placed.select(*group_cols, "__pos", "__base", "__n", pairs).select("__pair", "__base", "__n", digest.alias("__digest"))
+
+        def half(start: int) -> Column:
+            return F.col("__base") + F.pmod(F.conv(F.substring("__digest", start, 15), 16, 10).cast("bigint"), F.col("__n"))
+
         both = F.array(
-            F.struct((F.col("__pair") * 2 - 1).alias("replicate"), half(1).alias("__pos")),
-            F.struct((F.col("__pair") * 2).alias("replicate"), half(16).alias("__pos")),
+            F.struct((F.col("__pair") * 2 - 1).alias("replicate"), half(1).alias("__slot")),
+            F.struct((F.col("__pair") * 2).alias("replicate"), half(16).alias("__slot")),
         )
         draws = (
-            slots.select(*group_cols, F.explode(both).alias("d")).select(*group_cols, "d.*").where(F.col("replicate") <= int(resamples))
-            .repartition(compute_tasks(placed.sparkSession), *group_cols, "__pos")
-            .groupBy(*group_cols, "__pos", "replicate")
+            slots.select(F.explode(both).alias("d")).select("d.*").where(F.col("replicate") <= int(resamples))
+            .repartition(compute_tasks(placed.sparkSession), "__slot")
+            .groupBy("__slot", "replicate")
             .agg(F.count(F.lit(1)).alias("multiplicity"))
         )
-        out = placed.drop("__n").join(draws, [*group_cols, "__pos"]).drop("__pos")
+        out = placed.drop("__pos", "__base", "__n").join(draws, "__slot").drop("__slot")
     else:
         raise ValueError(f"unknown bootstrap mode: {mode}")
     if include_original:
@@ -227,7 +247,7 @@ def bootstrap(
     ``include_original`` adds replicate 0, the sample itself.
     """
     if mode == "poisson":
-        placed = units.withColumns({"__pos": F.lit(0), "__n": F.lit(0)})
+        placed = units
     else:
         placed = place_units(units, group_cols, id_col, seed, blocks=blocks)
     return draw(placed, group_cols, id_col, resamples=resamples, seed=seed, mode=mode, include_original=include_original)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftgauge.functions import hash60, hash_uniform
+from driftgauge.session import cut_lineage
 
 IN_DOMAIN, OUT_DOMAIN = "ID", "OOD"
 SEEDS_2 = (2026, 2027)
@@ -166,6 +167,11 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_order.join(keyed, "unit_id").select("unit_id", "domain", "split", *FEATURES, target.alias("target"))
 
 
+def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features written once, as a stored artifact would be: fits read them several times."""
+    return cut_lineage(features(spark, sf_dir))
+
+
 SQL_FEATURES = """
 lines AS (
   SELECT l_orderkey::VARCHAR AS unit_id, count(*)::DOUBLE AS n_lines, avg(l_quantity) AS qty_mean, max(l_quantity) AS qty_max,

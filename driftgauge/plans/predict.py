@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from driftgauge.operators import conformal, models, support
 from driftgauge.operators.contracts import population_violations
 from driftgauge.operators.resample import repeated_folds
-from driftgauge.plans.bindings import FEATURES, SQL_FEATURES, SQL_SCORED, features, scored, sql_folds, table
+from driftgauge.plans.bindings import FEATURES, SQL_FEATURES, SQL_SCORED, feature_table, features, scored, sql_folds, table
 from driftgauge.plans.registry import query
 
 ALPHAS = conformal.ALPHA_LEVELS
@@ -38,7 +38,7 @@ def standardize(spark, sf_dir):
 
 
 def training(spark, sf_dir):
-    return features(spark, sf_dir).where("split = 'QC_TRAIN'")
+    return feature_table(spark, sf_dir).where("split = 'QC_TRAIN'")
 
 
 @query("H3_ridge_search")
@@ -75,14 +75,14 @@ def ridge_cv_provenance(spark, sf_dir):
 
 @query("H5_boosted_trees")
 def boosted_trees(spark, sf_dir):
-    df = features(spark, sf_dir)
+    df = feature_table(spark, sf_dir)
     model = models.boosted_trees(df.where("split = 'QC_TRAIN'"), FEATURES, "target", trees=10)
     return rounded(models.predict_trees(df, model, FEATURES, "trees_pred").select("unit_id", "split", "trees_pred"), "trees_pred")
 
 
 @query("H6_fit_baselines")
 def fit_baselines(spark, sf_dir):
-    df = features(spark, sf_dir)
+    df = feature_table(spark, sf_dir)
     fitted = models.fit_baselines(df, "unit_id", "split", "QC_TRAIN", FEATURES, "target", trees=10)
     out = models.predict_baselines(df.select("unit_id", "split", *FEATURES, "target"), fitted, "target", ["split", "unit_id"])
     names = [f"{m}_{kind}" for m in ("mean", "ridge", "trees") for kind in ("pred", "abs_error")]
@@ -206,7 +206,7 @@ SQL_VEC = "[" + ", ".join(f"(f.{c} - m.m_{c}) / (CASE WHEN m.s_{c} = 0 THEN 1 EL
 
 
 def source_support(spark, sf_dir):
-    df = features(spark, sf_dir)
+    df = feature_table(spark, sf_dir)
     in_source = df.where("domain = 'ID' or split = 'EVAL'")
     return in_source, support.fit_source_support(in_source, "split", "domain", SOURCE_SPLITS, "ID", FEATURES)
 
