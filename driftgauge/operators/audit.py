@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from driftgauge.functions import max_abs_diff, row_digest, set_digest, within_tolerance
 from driftgauge.operators.contracts import key_violations, violation
 from driftgauge.operators.ranks import medians
-from driftgauge.session import cut_lineage
+from driftgauge.session import cut_lineage, measured_broadcast
 
 
 def expand_phases(df: DataFrame, phases: Mapping[str, str], key_col: str, *, case_col: str = "case_id") -> DataFrame:
@@ -349,7 +349,7 @@ def remap_labels(label: Column, mapping: Mapping[int, int]) -> Column:
 
 def linear_rescale(elements: DataFrame, params: DataFrame, case_col: str, value_col: str) -> DataFrame:
     """``value * slope + intercept`` with the parameters of each case; a zero or non-finite slope gives null."""
-    joined = elements.join(params, case_col)
+    joined = elements.join(measured_broadcast(params), case_col)
     ok = (F.col("slope") != 0) & ~F.isnan("slope") & (F.abs("slope") != float("inf")) & ~F.isnan("intercept")
     return joined.withColumn("rescaled", F.when(ok, F.col(value_col) * F.col("slope") + F.col("intercept")))
 

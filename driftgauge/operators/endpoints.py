@@ -10,7 +10,6 @@ from driftgauge.operators.metrics import skill
 from driftgauge.operators.ranks import largest_group, with_order_block
 from driftgauge.operators.recalibrate import (
     affine_coefficients,
-    bounded_broadcast,
     crossfit_predictions,
     isotonic_errors,
     leave_fold_out_medians,
@@ -25,7 +24,7 @@ from driftgauge.operators.resample import (
     place_units,
     repeated_folds,
 )
-from driftgauge.session import cut_lineage, task_rows
+from driftgauge.session import bounded_broadcast, cut_lineage, task_rows
 
 
 class Samples:

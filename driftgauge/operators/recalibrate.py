@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftgauge.session import broadcast_bytes, compute_tasks, cut_lineage
+from driftgauge.session import bounded_broadcast, compute_tasks, cut_lineage, measured_broadcast
 
 # Least-absolute-deviation fit.
 IRLS_ITERATIONS = 80
@@ -26,11 +26,6 @@ IRLS_EPSILON = 1e-9
 RECALIBRATORS = ("affine_L1", "affine_OLS", "isotonic")
 
 
-def bounded_broadcast(table: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """Broadcast hint only when a proven bound on the size is below the session's limit."""
-    return F.broadcast(table) if rows * row_bytes <= broadcast_bytes(table.sparkSession) else table
-
-
 # --- leave-one-fold-out medians -------------------------------------------------
 
 def leave_fold_out_medians(
@@ -226,9 +221,11 @@ def _l1_distributed(copies: DataFrame, keys: list[str], x: str, y: str, weight:
     one = [*keys, "repeat", "fold"]
     data = cut_lineage(copies.select(*keys, x, y, weight, "folds"))
     current = cut_lineage(ols_coefficients(data, keys, x, y, weight=weight).withColumn("center", F.lit(0.0)))
+    n_fits = current.count()
     for _ in range(iterations):
+        current_side = bounded_broadcast(current, n_fits, 128)
         # Residuals are regressed on x - center (the last weighted mean), so large weights do not cancel.
-        joined = data.join(current, keys).where(F.expr("folds[repeat]") != F.col("fold"))
+        joined = data.join(current_side, keys).where(F.expr("folds[repeat]") != F.col("fold"))
         residual = F.col(y) - F.col("intercept") - F.col("slope") * F.col(x)
         w = F.col(weight) / F.greatest(F.abs(residual), F.lit(eps))
         dx = F.col(x) - F.col("center")
@@ -270,6 +267,8 @@ def crossfit_predictions(
     keys = list(keys)
     if recalibrator in ("affine_L1", "affine_OLS"):
         coefficients = affine_coefficients(copies, keys, x, y, recalibrator, repeats=repeats, k=k, bounded=bounded, weight=weight)
+        # Few fits, many rows: the coefficients are pinned, counted and broadcast when small.
+        coefficients = measured_broadcast(cut_lineage(coefficients))
         long = copies.select(*keys, id_col, x, F.posexplode("folds").alias("repeat", "fold"))
         return long.join(coefficients, [*keys, "repeat", "fold"]).select(
             *keys, id_col, "repeat", "fold", (F.col("intercept") + F.col("slope") * F.col(x)).alias("prediction")

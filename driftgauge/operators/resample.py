@@ -15,7 +15,7 @@ from driftgauge.functions import hash_uniform
 from driftgauge.operators.audit import key_reconcile
 from driftgauge.operators.contracts import value_violations, violation
 from driftgauge.operators.ranks import group_sizes, hash_positions, needs_blocks, quantiles
-from driftgauge.session import compute_tasks
+from driftgauge.session import compute_tasks, measured_broadcast
 
 # Resampling protocol.
 BOOTSTRAP_RESAMPLES = 2000
@@ -92,7 +92,7 @@ def quota_split(
     """
     placed = hash_positions(units, [stratum_col], id_col, seed, blocks=blocks)
     return (
-        placed.join(_bands(quotas, stratum_col), stratum_col)
+        placed.join(measured_broadcast(_bands(quotas, stratum_col)), stratum_col)
         .where((F.col("position") >= F.col("__start")) & (F.col("position") < F.col("__stop")))
         .drop("position", "size", "__start", "__stop")
     )

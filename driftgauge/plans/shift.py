@@ -356,9 +356,35 @@ def affine_ols(spark, sf_dir):
     return rounded(samples(spark, sf_dir).coefficients("affine_OLS").drop("replicate"), "intercept", "slope")
 
 
-@query("F2_affine_l1")
+def sql_lad(rows: str, keys: tuple[str, ...], start: str) -> str:
+    """CTE ``lad``: 80 reweighted least-squares steps over ``rows(keys, x, y, m)`` from the coefficients in ``start``."""
+    head = ", ".join(f"r.{c}" for c in keys)
+    match = " AND ".join(f"r.{c} = c.{c}" for c in keys)
+    w = "m / greatest(abs(y - c.a - c.b * x), 1e-9::DOUBLE)"
+    e = "(y - c.a - c.b * x)"
+    return f"""
+lad AS (
+  SELECT {", ".join(keys)}, 0 AS step, a, b, 0.5::DOUBLE AS mid FROM {start}
+  UNION ALL
+  SELECT {", ".join(keys)}, step + 1, a + sr / sw - slope * (mid + sx / sw), b + slope, mid + sx / sw
+  FROM (SELECT *, (sxr - sx * sr / sw) / (sxx - sx * sx / sw) AS slope FROM (
+    SELECT {head}, c.step, c.a, c.b, c.mid, sum({w}) AS sw, sum({w} * (x - c.mid)) AS sx, sum({w} * {e}) AS sr, sum({w} * (x - c.mid) * (x - c.mid)) AS sxx, sum({w} * (x - c.mid) * {e}) AS sxr
+    FROM {rows} r JOIN lad c ON {match} WHERE c.step < 80 GROUP BY ALL))
+)
+"""
+
+
+SQL_L1 = f"""WITH RECURSIVE {SQL_SCORED}, {sql_folds('scored')}, {SQL_OLS},
+train AS (SELECT h.domain, h.repeat, h.heldout AS fold, s.q_hat AS x, s.q_true AS y, 1 AS m FROM (SELECT DISTINCT domain, repeat, fold AS heldout FROM folds) h
+  JOIN folds f ON f.domain = h.domain AND f.repeat = h.repeat AND f.fold <> h.heldout JOIN scored s ON s.unit_id = f.unit_id),
+start AS (SELECT domain, repeat, fold, intercept AS a, slope AS b FROM ols), {sql_lad('train', ('domain', 'repeat', 'fold'), 'start')}
+SELECT domain, repeat, fold::INT AS fold, n_train, round(a, 4) AS intercept, round(b, 4) AS slope FROM lad JOIN ols USING (domain, repeat, fold) WHERE step = 80"""
+
+
+@query("F2_affine_l1", SQL_L1)
 def affine_l1(spark, sf_dir):
-    return rounded(samples(spark, sf_dir).coefficients("affine_L1").drop("replicate"), "intercept", "slope")
+    """Four digits: near-zero residuals have weights up to 1e9, so rounding moves the last digits of the path."""
+    return rounded(samples(spark, sf_dir).coefficients("affine_L1").drop("replicate"), "intercept", "slope", digits=4)
 
 
 @query("F3_isotonic")
@@ -402,12 +428,12 @@ DEPLOYED = "q_hat"
 OLS = "(intercept + slope * q_hat)"
 
 
-def endpoint(spark, sf_dir, recalibrator, resamples=B_ORACLE, seeds=SEEDS_2):
+def endpoint(spark, sf_dir, recalibrator, resamples=B_ORACLE, seeds=SEEDS_2, digits=6):
     units = scored(spark, sf_dir).select("domain", "unit_id", "q_true", "q_hat")
     out = endpoints.shift_endpoint(
         units, "domain", "unit_id", "q_true", "q_hat", IN_DOMAIN, OUT_DOMAIN, recalibrator=recalibrator, seeds=seeds, resamples=resamples
     )
-    return rounded(out, "s_id", "s_ood", "delta", "ci_low", "ci_high")
+    return rounded(out, "s_id", "s_ood", "delta", "ci_low", "ci_high", digits=digits)
 
 
 @query("G2_deployed_endpoint", SQL_BOOT_SKILL.format(model=DEPLOYED) + SQL_ENDPOINT.format(
@@ -427,9 +453,29 @@ def recoverable_endpoint_ols(spark, sf_dir):
     return endpoint(spark, sf_dir, "affine_OLS")
 
 
-@query("G4_recoverable_endpoint_l1")
+SQL_BOOT_L1 = f"""
+WITH RECURSIVE {SQL_SCORED}, {sql_folds('scored')}, {sql_bootstrap('scored', B_ORACLE)},
+v AS (SELECT b.domain, b.replicate, f.repeat, f.fold, b.m, s.q_hat AS x, s.q_true AS y FROM boot b JOIN scored s USING (unit_id) JOIN folds f USING (unit_id)),
+train AS (SELECT v.domain, v.replicate, v.repeat, h.heldout AS fold, v.x, v.y, v.m FROM v, (SELECT unnest(range(0, 5)) AS heldout) h WHERE v.fold <> h.heldout),
+medians AS (SELECT domain, replicate, repeat, fold, median(y) AS median FROM (SELECT *, unnest(range(m)) FROM train) GROUP BY ALL),
+start AS (SELECT domain, replicate, repeat, fold, regr_intercept(y, x) AS a, regr_slope(y, x) AS b FROM (SELECT *, unnest(range(m)) FROM train) GROUP BY ALL),
+{sql_lad('train', ('domain', 'replicate', 'repeat', 'fold'), 'start')},
+skills AS (
+  SELECT v.domain, v.replicate, v.repeat, 1 - sum(v.m * abs(l.a + l.b * x - y)) / sum(v.m * abs(median - y)) AS skill
+  FROM v JOIN (SELECT * FROM lad WHERE step = 80) l ON l.domain = v.domain AND l.replicate = v.replicate AND l.repeat = v.repeat AND l.fold = v.fold
+  JOIN medians d ON d.domain = v.domain AND d.replicate = v.replicate AND d.repeat = v.repeat AND d.fold = v.fold GROUP BY ALL
+),
+deltas AS (
+  SELECT replicate, avg(skill) FILTER (domain = 'ID') AS s_id, avg(skill) FILTER (domain = 'OOD') AS s_ood,
+    avg(skill) FILTER (domain = 'OOD') - avg(skill) FILTER (domain = 'ID') AS delta FROM skills GROUP BY 1
+)
+"""
+
+
+@query("G4_recoverable_endpoint_l1", SQL_BOOT_L1 + SQL_ENDPOINT.replace(", 6)", ", 4)").format(
+    name="affine_L1", verdict="CASE WHEN quantile_cont(delta, 0.975) FILTER (replicate > 0) < 0 THEN 'REPLICATED' ELSE 'UNRESOLVED' END"))
 def recoverable_endpoint_l1(spark, sf_dir):
-    return endpoint(spark, sf_dir, "affine_L1")
+    return endpoint(spark, sf_dir, "affine_L1", digits=4)
 
 
 @query("G4_recoverable_endpoint_isotonic")

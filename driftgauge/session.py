@@ -5,6 +5,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Rows one task may hold for a single group before an operator switches to its
 # range-partitioned form. Override with the session setting of the same name.
@@ -49,6 +50,20 @@ def compute_tasks(spark: SparkSession) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def bounded_broadcast(table: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """Broadcast hint only when a proven bound on the size is below the session's limit."""
+    return F.broadcast(table) if rows * row_bytes <= broadcast_bytes(table.sparkSession) else table
+
+
+def measured_broadcast(table: DataFrame, row_bytes: int = 128) -> DataFrame:
+    """Broadcast hint after counting the table; beyond the limit the join shuffles instead.
+
+    Meant for lookup tables keyed by a coarse key (stratum, case), where a shuffle
+    join would send all rows of a hot key to one task.
+    """
+    return bounded_broadcast(table, table.count(), row_bytes)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a local one only where it is unset."""
     context = spark.sparkContext
