@@ -249,6 +249,19 @@ def _l1_distributed(copies: DataFrame, keys: list[str], x: str, y: str, weight:
     return current.drop("center")
 
 
+def training_objectives(copies: DataFrame, keys: Sequence[str], x: str, y: str, coefficients: DataFrame, *, weight: str = "multiplicity") -> DataFrame:
+    """Adds ``mean_abs_error``, the mean absolute error on the rows each fit was trained on."""
+    keys = list(keys)
+    fits = measured_broadcast(cut_lineage(coefficients.withColumnRenamed("fold", "heldout")))
+    long = copies.select(*keys, x, y, weight, F.posexplode("folds").alias("repeat", "fold"))
+    error = F.abs(F.col(y) - F.col("intercept") - F.col("slope") * F.col(x))
+    return (
+        long.join(fits, [*keys, "repeat"]).where("fold <> heldout")
+        .groupBy(*keys, "repeat", F.col("heldout").alias("fold"), "n_train", "intercept", "slope")
+        .agg((F.sum(F.col(weight) * error) / F.sum(weight)).alias("mean_abs_error"))
+    )
+
+
 def affine_coefficients(copies: DataFrame, keys: Sequence[str], x: str, y: str, recalibrator: str, *, repeats: int, k: int, bounded: bool, weight: str = "multiplicity") -> DataFrame:
     if recalibrator == "affine_OLS":
         return ols_coefficients(copies, keys, x, y, weight=weight)

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftgauge.operators import endpoints, metrics, resample
+from driftgauge.operators import endpoints, metrics, recalibrate, resample
 from driftgauge.operators.ranks import quantiles
 from driftgauge.plans.bindings import (
     IN_DOMAIN, OUT_DOMAIN, SEEDS_2, SQL_SCORED, scored, sql_bootstrap, sql_fold, sql_folds, sql_uniform, table,
@@ -378,13 +378,23 @@ SQL_L1 = f"""WITH RECURSIVE {SQL_SCORED}, {sql_folds('scored')}, {SQL_OLS},
 train AS (SELECT h.domain, h.repeat, h.heldout AS fold, s.q_hat AS x, s.q_true AS y, 1 AS m FROM (SELECT DISTINCT domain, repeat, fold AS heldout FROM folds) h
   JOIN folds f ON f.domain = h.domain AND f.repeat = h.repeat AND f.fold <> h.heldout JOIN scored s ON s.unit_id = f.unit_id),
 start AS (SELECT domain, repeat, fold, intercept AS a, slope AS b FROM ols), {sql_lad('train', ('domain', 'repeat', 'fold'), 'start')}
-SELECT domain, repeat, fold::INT AS fold, n_train, round(a, 4) AS intercept, round(b, 4) AS slope FROM lad JOIN ols USING (domain, repeat, fold) WHERE step = 80"""
+SELECT t.domain, t.repeat, t.fold::INT AS fold, count(*) AS n_train, round(any_value(a), 2) AS intercept, round(any_value(b), 2) AS slope, round(avg(abs(y - a - b * x)), 6) AS mean_abs_error
+FROM train t JOIN lad l ON l.domain = t.domain AND l.repeat = t.repeat AND l.fold = t.fold WHERE step = 80 GROUP BY ALL"""
 
 
 @query("F2_affine_l1", SQL_L1)
 def affine_l1(spark, sf_dir):
-    """Four digits: near-zero residuals have weights up to 1e9, so rounding moves the last digits of the path."""
-    return rounded(samples(spark, sf_dir).coefficients("affine_L1").drop("replicate"), "intercept", "slope", digits=4)
+    """The objective to six digits; the line itself to two.
+
+    Residuals near zero have weights up to 1e9, so rounding moves the later digits of
+    the line while the objective stays put.
+    """
+    prepared = samples(spark, sf_dir)
+    fits = recalibrate.training_objectives(prepared.copies, prepared.keys, "q_hat", "q_true", prepared.coefficients("affine_L1"))
+    return fits.select(
+        "domain", "repeat", "fold", "n_train", F.round("intercept", 2).alias("intercept"), F.round("slope", 2).alias("slope"),
+        F.round("mean_abs_error", 6).alias("mean_abs_error"),
+    )
 
 
 @query("F3_isotonic")
