@@ -24,7 +24,7 @@ from driftgauge.operators.resample import (
     place_units,
     repeated_folds,
 )
-from driftgauge.session import bounded_broadcast, cut_lineage, task_rows
+from driftgauge.session import bounded_broadcast, cut_lineage, pinned_if_small, task_rows
 
 
 class Samples:
@@ -53,9 +53,9 @@ class Samples:
         self.units = placed.drop(*PLACE_COLUMNS)
         self.keys = [domain, "replicate"]
         if resamples:
-            self.copies = draw(
-                placed, [domain], id_col, resamples=resamples, seed=bootstrap_seed, mode=mode, include_original=True
-            )
+            drawn = draw(placed, [domain], id_col, resamples=resamples, seed=bootstrap_seed, mode=mode, include_original=True)
+            # Every endpoint reads the copies three to four times.
+            self.copies = pinned_if_small(drawn, 2 * largest * (resamples + 1), 64 + 4 * len(seeds))
         else:
             self.copies = self.units.withColumns({"replicate": F.lit(0), "multiplicity": F.lit(1).cast("bigint")})
         # Two domains are compared, so this is the number of samples.

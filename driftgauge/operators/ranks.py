@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftgauge.functions import hash60
 from driftgauge.session import cut_lineage, task_rows
 
 BLOCK = "__block"
@@ -200,14 +201,14 @@ def hash_positions(
 ) -> DataFrame:
     """Zero-based place of each row in its group's pseudo-random order, and the group size.
 
-    The order is by ``md5(seed:id)`` and then by id. The leading hex digits of the hash
+    The order is by the leading 60 bits of ``md5(seed:id)`` and then by id. The top bits
     cut a large group into equal buckets, so no task ever sorts a whole group.
     """
     group_cols = list(group_cols)
     seed = seed if isinstance(seed, Column) else F.lit(seed)
     if blocks is None:
         blocks = needs_blocks(df, group_cols)
-    keyed = df.withColumn("__key", F.md5(F.concat_ws(":", seed.cast("string"), F.col(id_col).cast("string"))))
+    keyed = df.withColumn("__key", hash60(seed, id_col))
     if not blocks:
         ordered = W.partitionBy(*group_cols).orderBy("__key", id_col)
         return (
@@ -215,7 +216,7 @@ def hash_positions(
             .withColumn(size_col, F.count(F.lit(1)).over(W.partitionBy(*group_cols)))
             .drop("__key")
         )
-    keyed = keyed.withColumn(BLOCK, F.substring("__key", 1, 4))
+    keyed = keyed.withColumn(BLOCK, F.shiftright("__key", 44))
     offsets = _block_offsets(keyed, group_cols, BLOCK, F.count(F.lit(1)))
     inside = W.partitionBy(*group_cols, BLOCK).orderBy("__key", id_col)
     return (

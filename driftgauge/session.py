@@ -17,6 +17,11 @@ BROADCAST_BYTES_KEY = "driftgauge.broadcast.bytes"
 BROADCAST_BYTES_DEFAULT = 32 * 1024 * 1024
 
 
+# Largest intermediate (bytes, from counted rows) that is written once rather than recomputed by each pass.
+PIN_BYTES_KEY = "driftgauge.pin.bytes"
+PIN_BYTES_DEFAULT = 4 * 1024 * 1024 * 1024
+
+
 def local_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "driftgauge") -> SparkSession:
     """A session for tests and the benchmark; clusters bring their own."""
     return (
@@ -28,6 +33,7 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "drif
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -50,6 +56,12 @@ def compute_tasks(spark: SparkSession) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def pinned_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """Pin a table that several passes read, unless writing it would exceed the session's limit."""
+    limit = int(df.sparkSession.conf.get(PIN_BYTES_KEY, str(PIN_BYTES_DEFAULT)))
+    return cut_lineage(df) if rows * row_bytes <= limit else df
+
+
 def bounded_broadcast(table: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Broadcast hint only when a proven bound on the size is below the session's limit."""
     return F.broadcast(table) if rows * row_bytes <= broadcast_bytes(table.sparkSession) else table
