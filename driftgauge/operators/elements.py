@@ -1,6 +1,7 @@
 """Element-level (voxel, pixel, token) aggregates on a long table ``case, coordinates, labels, probabilities``."""
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from driftgauge.functions import argmax_index, entropy, hash60
 from driftgauge.functions.arrays import probability_violation
-from driftgauge.operators.contracts import violation
+from driftgauge.operators.contracts import ContractError, violation
 from driftgauge.operators.ranks import needs_blocks, quantiles
 from driftgauge.session import compute_tasks, cut_lineage
 
@@ -120,7 +121,7 @@ def nearest_squared(points: DataFrame, targets: DataFrame, case: str, coords: Se
     coords = list(coords)
     weights = {c: float(s) ** 2 for c, s in zip(coords, spacing)}
     extent = points.groupBy(case).agg(
-        *[F.min(c).cast("int").alias(f"__lo_{c}") for c in coords[1:]], *[F.max(c).cast("int").alias(f"__hi_{c}") for c in coords[1:]]
+        F.count(F.lit(1)).alias("__points"), *[F.min(c).cast("int").alias(f"__lo_{c}") for c in coords[1:]], *[F.max(c).cast("int").alias(f"__hi_{c}") for c in coords[1:]]
     )
     field = targets.select(case, *[F.col(c).cast("int").alias(c) for c in coords], F.lit(0.0).alias("g"))
 
@@ -235,12 +236,14 @@ def label_fractions(elements: DataFrame, case: str, label: str, labels: Sequence
 
 # --- connected components ---------------------------------------------------------------
 
-def _code(coords: Sequence[str]) -> Column:
-    """Coordinates packed in one BIGINT, 20 bits each, in coordinate order."""
-    out = F.lit(0).cast("bigint")
-    for c in coords:
-        out = out * F.lit(1 << 20) + F.col(c).cast("bigint")
-    return out
+def _measured_strides(elements: DataFrame, coords: Sequence[str]) -> tuple[list[int], list[int]]:
+    """Smallest coordinates and strides that pack the table's coordinates in one BIGINT, in coordinate order."""
+    bounds = elements.agg(*[f(c) for c in coords for f in (F.min, F.max)]).first()
+    low = [int(bounds[2 * i] or 0) for i in range(len(coords))]
+    extent = [int(bounds[2 * i + 1] or 0) - low[i] + 1 for i in range(len(coords))]
+    if math.prod(extent) > 1 << 63:
+        raise ContractError(f"the grid of {extent} has more cells than a BIGINT can number")
+    return low, [math.prod(extent[i + 1 :]) for i in range(len(coords))]
 
 
 def _offsets(dims: int) -> list[tuple[int, ...]]:
@@ -303,11 +306,11 @@ def connected_components(elements: DataFrame, case: str, label: str, coords: Seq
         [placed.schema[case], placed.schema["label"], *[placed.schema[c] for c in coords], T.StructField("component", T.LongType())]
     )
 
+    low, strides = _measured_strides(placed, coords)
+
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         points = pdf[coords].to_numpy(np.int64)
-        code = np.zeros(len(points), dtype=np.int64)
-        for i in range(points.shape[1]):
-            code = code * (1 << 20) + points[:, i]
+        code = (points - np.array(low, dtype=np.int64)) @ np.array(strides, dtype=np.int64)
         group = pdf.groupby([case, *tiles], sort=False).ngroup().to_numpy()
         first = label_tiles(group, points, pdf["label"].to_numpy(), tile)
         out = pdf[[case, "label", *coords]].copy()
@@ -331,7 +334,7 @@ def _face_edges(labelled: DataFrame, case: str, coords: Sequence[str], tile: int
     """Distinct pairs of components that touch across a tile face."""
     on_face = F.lit(False)
     for c in coords:
-        on_face = on_face | (F.col(c) % tile == 0) | (F.col(c) % tile == tile - 1)
+        on_face = on_face | F.pmod(F.col(c), F.lit(tile)).isin(0, tile - 1)
     faces = labelled.where(on_face)
     steps = F.array(*[F.struct(*[F.lit(o).alias(c) for o, c in zip(offset, coords)]) for offset in _offsets(len(coords))])
     reach = faces.select(case, "label", F.col("component").alias("a"), *coords, F.explode(steps).alias("s")).select(
@@ -405,7 +408,9 @@ def case_features(
         *[F.max(F.when(F.col("label") == v, F.col("components"))).cast("double").alias(f"components_{v}") for v in foreground],
         *[F.max(F.when(F.col("label") == v, F.col("largest_fraction"))).alias(f"largest_component_fraction_{v}") for v in foreground],
     )
-    return probability.join(fractions, case).join(wide, case).select(case, *feature_names(labels))
+    # a case without any element in the support keeps its row; its means and fractions are null
+    found = cases.join(probability, case, "left").join(fractions, case, "left").join(wide, case, "left")
+    return found.select(case, *feature_names(labels))
 
 
 def feature_names(labels: Sequence[int]) -> list[str]:

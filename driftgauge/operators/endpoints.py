@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftgauge.operators.contracts import ContractError, not_finite
 from driftgauge.operators.metrics import skill
 from driftgauge.operators.ranks import largest_group, with_order_block
 from driftgauge.operators.recalibrate import (
@@ -13,6 +14,7 @@ from driftgauge.operators.recalibrate import (
     crossfit_predictions,
     isotonic_errors,
     leave_fold_out_medians,
+    sample_center,
 )
 from driftgauge.operators.resample import (
     BOOTSTRAP_RESAMPLES,
@@ -67,8 +69,10 @@ class Samples:
         )
 
     def coefficients(self, recalibrator: str) -> DataFrame:
+        # sums are taken around the mean of the units, which is one small aggregate and not one over all copies
         return affine_coefficients(
-            self.copies, self.keys, self.prediction, self.target, recalibrator, repeats=self.repeats, k=self.k, bounded=self.bounded
+            self.copies, self.keys, self.prediction, self.target, recalibrator, repeats=self.repeats, k=self.k, bounded=self.bounded,
+            center=sample_center(self.units, self.prediction, self.target),
         )
 
     def _as_arrays(self, table: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -100,6 +104,9 @@ class Samples:
         for r in range(self.repeats):
             slot = F.element_at("folds", r + 1) + (r * self.k + 1)
             sums.append(F.sum(m * F.abs(F.element_at("median", slot) - y)).alias(f"c{r}"))
+            # copies whose fold has no fit must not drop out of one side of the comparison
+            fit = "intercept" if len(columns) > 1 else "median"
+            sums.append(F.sum(F.when(F.element_at("median", slot).isNull() | F.element_at(fit, slot).isNull(), m).otherwise(0)).alias(f"u{r}"))
             if len(columns) > 1:
                 fitted = F.element_at("intercept", slot) + F.element_at("slope", slot) * x
                 sums.append(F.sum(m * F.abs(fitted - y)).alias(f"m{r}"))
@@ -107,8 +114,8 @@ class Samples:
         rows = [
             F.struct(
                 F.lit(r).alias("repeat"),
-                ((F.col(f"m{r}") if len(columns) > 1 else F.col("deployed")) / F.col("w")).alias("model_mae"),
-                (F.col(f"c{r}") / F.col("w")).alias("comparator_mae"),
+                F.when(F.col(f"u{r}") == 0, (F.col(f"m{r}") if len(columns) > 1 else F.col("deployed")) / F.col("w")).alias("model_mae"),
+                F.when(F.col(f"u{r}") == 0, F.col(f"c{r}") / F.col("w")).alias("comparator_mae"),
             )
             for r in range(self.repeats)
         ]
@@ -158,6 +165,17 @@ def directional_verdict(ci_low: Column, ci_high: Column, positive: str = "POSITI
     )
 
 
+def refuse_unusable(units: DataFrame, domain: str, id_col: str, values: Sequence[str]) -> None:
+    """Raise unless every (domain, id) occurs once and has finite values."""
+    bad = F.col(id_col).isNull() | F.col(domain).isNull()
+    for v in values:
+        bad = bad | not_finite(v)
+    per_id = units.groupBy(domain, id_col).agg(F.count(F.lit(1)).alias("n"), F.max(bad.cast("int")).alias("bad"))
+    found = per_id.agg(F.count_if(F.col("n") > 1).alias("repeated"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
+    if found["repeated"] or found["bad"]:
+        raise ContractError(f"{found['repeated']} repeated ids, {found['bad']} ids with missing or non-finite values")
+
+
 def shift_endpoint(
     units: DataFrame, domain: str, id_col: str, target: str, prediction: str, in_domain: str, out_domain: str, *,
     recalibrator: str | None = None, seeds: Sequence[int] = CROSSFIT_SEEDS, k: int = CROSSFIT_FOLDS,
@@ -167,8 +185,10 @@ def shift_endpoint(
 
     Without a recalibrator this is the as-deployed endpoint; with one it is the
     recoverable-skill endpoint, refitted inside every replicate. Only the deployed
-    and the least-absolute-deviation endpoint carry a verdict.
+    and the least-absolute-deviation endpoint carry a verdict. Repeated ids, nulls and values that
+    are not finite are refused.
     """
+    refuse_unusable(units, domain, id_col, [target, prediction])
     samples = Samples(
         units, domain, id_col, target, prediction, seeds=seeds, k=k, resamples=resamples, bootstrap_seed=bootstrap_seed, mode=mode
     )
@@ -187,18 +207,21 @@ def summarize_endpoint(
         F.max(F.when(F.col("replicate") == 0, F.col("s_ood"))).alias("s_ood"),
         F.max(F.when(F.col("replicate") == 0, F.col("delta"))).alias("delta"),
         F.percentile(drawn, F.array(F.lit(tail), F.lit(1.0 - tail))).alias("__ci"),
-        F.sum("n_undefined").alias("n_undefined"),
+        F.sum("n_undefined").alias("n_undefined"), F.count(drawn).alias("__drawn"),
     ).withColumns({"ci_low": F.col("__ci")[0], "ci_high": F.col("__ci")[1]}).drop("__ci")
     positive = "REPLICATED" if recalibrator == "affine_L1" else "POSITIVE"
     judged = recalibrator in (None, "affine_L1")
-    verdict = directional_verdict(F.col("ci_low"), F.col("ci_high"), positive) if judged else F.lit(None).cast("string")
+    # an undefined skill anywhere, or a replicate without a difference, leaves no verdict to give
+    complete = (F.coalesce("n_undefined", F.lit(1)) == 0) & (F.col("__drawn") >= resamples)
+    called = F.when(complete, directional_verdict(F.col("ci_low"), F.col("ci_high"), positive)).otherwise(F.lit("INVALID"))
+    verdict = called if judged else F.lit(None).cast("string")
     return out.withColumns(
         {
             "recalibration": F.lit(recalibrator or "NONE"),
             "repeats": F.lit(repeats), "n_folds": F.lit(k), "resamples": F.lit(resamples), "bootstrap_seed": F.lit(bootstrap_seed),
             "verdict": verdict,
         }
-    )
+    ).drop("__drawn")
 
 
 def aggregate_gate(df: DataFrame, columns: Sequence[str], macro: float = 0.80, each: float = 0.60) -> DataFrame:

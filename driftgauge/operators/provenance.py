@@ -46,14 +46,15 @@ def one_to_one_matches(left: DataFrame, right: DataFrame, id_col: str, canonical
         .alias("status"),
         "r_id",
     )
-    return left.join(classes, canonical_col).select(
+    # records without a hash have no class; they match nothing
+    return left.join(classes, canonical_col, "left").withColumn("status", F.coalesce("status", F.lit(NO_MATCH))).select(
         id_col, "status", F.when(F.col("status").isin(*AUTHORITATIVE), F.col("r_id")).alias("matched_id")
     )
 
 
-def authoritative(matches: DataFrame) -> DataFrame:
-    """Matches that may be used as provenance."""
-    return matches.where(F.col("status").isin(*AUTHORITATIVE))
+def authoritative(matches: DataFrame, statuses: Sequence[str] = AUTHORITATIVE) -> DataFrame:
+    """Matches that may be used as provenance: those with one of the accepted statuses."""
+    return matches.where(F.col("status").isin(*statuses))
 
 
 def units_with_several_cases(df: DataFrame, scope_col: str, unit_col: str, case_col: str) -> DataFrame:

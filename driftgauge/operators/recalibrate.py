@@ -92,11 +92,20 @@ def leave_fold_out_medians(
 
 # --- affine fits ------------------------------------------------------------------
 
-def affine_from_sums(n: Column, sx: Column, sy: Column, sxx: Column, sxy: Column) -> tuple[Column, Column]:
-    """Intercept and slope of least squares; the minimum-norm solution when x is constant."""
+def sample_center(df: DataFrame, x: str, y: str) -> tuple[float, float]:
+    """A point near the data, around which sums of products do not cancel."""
+    row = df.agg(F.avg(x).alias("x"), F.avg(y).alias("y")).first()
+    return float(row["x"] or 0.0), float(row["y"] or 0.0)
+
+
+def affine_from_sums(
+    n: Column, sx: Column, sy: Column, sxx: Column, sxy: Column, center: tuple[float, float] = (0.0, 0.0)
+) -> tuple[Column, Column]:
+    """Intercept and slope of least squares from sums around ``center``; the minimum-norm solution when x is constant."""
     cxx = sxx - sx * sx / n
-    flat = cxx <= F.lit(1e-14) * sxx
-    mean_x, mean_y = sx / n, sy / n
+    # constant up to the rounding of the sums or of the values themselves
+    flat = (cxx <= F.lit(1e-14) * sxx) | (cxx <= n * F.lit((4e-16 * center[0]) ** 2))
+    mean_x, mean_y = F.lit(center[0]) + sx / n, F.lit(center[1]) + sy / n
     slope = F.try_divide(sxy - sx * sy / n, cxx)
     norm = 1.0 + mean_x * mean_x
     return (
@@ -105,13 +114,17 @@ def affine_from_sums(n: Column, sx: Column, sy: Column, sxx: Column, sxy: Column
     )
 
 
-def ols_coefficients(copies: DataFrame, keys: Sequence[str], x: str, y: str, *, weight: str = "multiplicity") -> DataFrame:
+def ols_coefficients(
+    copies: DataFrame, keys: Sequence[str], x: str, y: str, *, weight: str = "multiplicity", center: tuple[float, float] | None = None
+) -> DataFrame:
     """``(keys, repeat, fold, n_train, intercept, slope)`` fitted outside each fold.
 
-    Sums are additive, so outside = total - fold: one combined aggregate, no second pass.
+    Sums are additive, so outside = total - fold: one combined aggregate. They are taken around ``center`` (measured when not
+    given), so that large values with a small spread do not cancel.
     """
     keys = list(keys)
-    m, cx, cy = F.col(weight), F.col(x), F.col(y)
+    center = center or sample_center(copies, x, y)
+    m, cx, cy = F.col(weight), F.col(x) - F.lit(center[0]), F.col(y) - F.lit(center[1])
     per_fold = (
         copies.select(*keys, x, y, weight, F.posexplode("folds").alias("repeat", "fold"))
         .groupBy(*keys, "repeat", "fold")
@@ -124,7 +137,7 @@ def ols_coefficients(copies: DataFrame, keys: Sequence[str], x: str, y: str, *,
     outside = per_fold.select(
         *keys, "repeat", "fold", *[(F.sum(c).over(every) - F.col(c)).alias(c) for c in ("n", "sx", "sy", "sxx", "sxy")]
     )
-    intercept, slope = affine_from_sums(F.col("n"), F.col("sx"), F.col("sy"), F.col("sxx"), F.col("sxy"))
+    intercept, slope = affine_from_sums(F.col("n"), F.col("sx"), F.col("sy"), F.col("sxx"), F.col("sxy"), center)
     return outside.where("n >= 2").select(
         *keys, "repeat", "fold", F.col("n").alias("n_train"), intercept.alias("intercept"), slope.alias("slope")
     )
@@ -262,9 +275,12 @@ def training_objectives(copies: DataFrame, keys: Sequence[str], x: str, y: str,
     )
 
 
-def affine_coefficients(copies: DataFrame, keys: Sequence[str], x: str, y: str, recalibrator: str, *, repeats: int, k: int, bounded: bool, weight: str = "multiplicity") -> DataFrame:
+def affine_coefficients(
+    copies: DataFrame, keys: Sequence[str], x: str, y: str, recalibrator: str, *, repeats: int, k: int, bounded: bool,
+    weight: str = "multiplicity", center: tuple[float, float] | None = None,
+) -> DataFrame:
     if recalibrator == "affine_OLS":
-        return ols_coefficients(copies, keys, x, y, weight=weight)
+        return ols_coefficients(copies, keys, x, y, weight=weight, center=center)
     if recalibrator == "affine_L1":
         return l1_coefficients(copies, keys, x, y, repeats=repeats, k=k, weight=weight, bounded=bounded)
     raise ValueError(f"not an affine recalibrator: {recalibrator}")

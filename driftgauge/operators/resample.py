@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from driftgauge.functions import hash_uniform
 from driftgauge.operators.audit import key_reconcile
-from driftgauge.operators.contracts import value_violations, violation
+from driftgauge.operators.contracts import ContractError, value_violations, violation
 from driftgauge.operators.ranks import group_sizes, hash_positions, needs_blocks, quantiles
 from driftgauge.session import compute_tasks, measured_broadcast
 
@@ -88,8 +88,12 @@ def quota_split(
 
     ``quotas`` is ``(stratum, role, role_order, quota)``. Pass a seed column that
     includes the stratum for independent orders, or a constant to restart the same
-    order in every stratum.
+    order in every stratum. Quotas that do not use up every stratum exactly are refused, so
+    that each row gets a role.
     """
+    problems = quota_violations(units, stratum_col, quotas).take(5)
+    if problems:
+        raise ContractError(f"quotas do not fit: {[tuple(p) for p in problems]}")
     placed = hash_positions(units, [stratum_col], id_col, seed, blocks=blocks)
     return (
         placed.join(measured_broadcast(_bands(quotas, stratum_col)), stratum_col)

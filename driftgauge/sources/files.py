@@ -1,15 +1,20 @@
 """File inventories, digests and their reconciliation, read through Spark's file listing."""
 from __future__ import annotations
 
-from collections.abc import Mapping
+import hashlib
+from collections.abc import Iterator, Mapping
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftgauge.functions import set_digest
+from driftgauge.session import compute_tasks
 
-# A binary row holds a whole file, so larger files are listed but not hashed.
+# A binary row holds a whole file; larger files are read as streams.
 MAX_FILE_BYTES = 1 << 30
+CHUNK_BYTES = 8 << 20
 
 
 def _files(spark: SparkSession, root: str, glob: str | None) -> DataFrame:
@@ -47,13 +52,38 @@ def entities(files: DataFrame, entity_pattern: str, kinds: Mapping[str, str]) ->
 
 
 def digests(spark: SparkSession, root: str, glob: str | None = None, algorithm: str = "sha256") -> DataFrame:
-    """``(path, length, digest)``; files above the limit get a null digest, which reconciliation reports."""
+    """``(path, length, digest)`` of files of any size.
+
+    Files up to ``MAX_FILE_BYTES`` are hashed from their binary row (the length filter reaches the source, so larger
+    contents are never loaded); larger ones are read by tasks as streams in chunks.
+    """
+    files = _files(spark, root, glob)
     content = F.col("content")
     value = {"sha256": F.sha2(content, 256), "md5": F.md5(content)}[algorithm]
-    small = F.col("length") <= MAX_FILE_BYTES
-    return _files(spark, root, glob).select(
-        _relative(root).alias("path"), "length", F.when(small, value).alias("digest")
-    )
+    small = files.where(F.col("length") <= MAX_FILE_BYTES).select("path", "length", value.alias("digest"))
+
+    def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(digest=[_streamed_digest(p, algorithm) for p in frame["path"]])
+
+    # one row per large file, dealt evenly because each is long work
+    large = files.where(F.col("length") > MAX_FILE_BYTES).select("path", "length").repartition(compute_tasks(spark))
+    hashed = small.unionByName(large.mapInPandas(stream, "path string, length bigint, digest string"))
+    return hashed.select(_relative(root).alias("path"), "length", "digest")
+
+
+def _streamed_digest(path: str, algorithm: str) -> str:
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        source = fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"))
+    else:
+        system, inner = fs.FileSystem.from_uri(path)
+        source = system.open_input_stream(inner)
+    digest = hashlib.new(algorithm, usedforsecurity=False)
+    with source:
+        while chunk := source.read(CHUNK_BYTES):
+            digest.update(chunk)
+    return digest.hexdigest()
 
 
 def reconcile(observed: DataFrame, expected: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from driftgauge.operators.contracts import ContractError, duplicate_keys, not_finite, violation
 
+EXACT_DOUBLE = float(1 << 53)
 LEDGER_SCHEMA = (
     "result_id string, dataset string, endpoint string, quantity string, full_precision double, display string, status string"
 )
@@ -36,13 +37,16 @@ def scan_csv(
         raise ContractError(f"missing columns: {missing}")
     typed, problems = raw.select(*required), None
     for column in integers:
-        number = F.col(column).try_cast("double")
-        whole = number.isNotNull() & (number == F.floor(number))
+        exact, number = F.col(column).try_cast("bigint"), F.col(column).try_cast("double")
+        # other spellings of whole numbers (3.0, 1e3) only while a double holds them exactly
+        spelled = F.when((number == F.floor(number)) & (F.abs(number) < EXACT_DOUBLE), number.cast("bigint"))
+        value = F.coalesce(exact, spelled)
+        whole = value.isNotNull()
         bad = raw.where(~F.coalesce(whole, F.lit(False))).select(
             *violation("integer", F.lit(column), F.coalesce(F.col(column), F.lit("null")))
         )
         problems = bad if problems is None else problems.unionByName(bad)
-        typed = typed.withColumn(column, F.when(whole, number.cast("bigint")))
+        typed = typed.withColumn(column, value)
     for old, new in (rename or {}).items():
         typed = typed.withColumnRenamed(old, new)
     if problems is None:
