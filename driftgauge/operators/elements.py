@@ -237,10 +237,15 @@ def label_fractions(elements: DataFrame, case: str, label: str, labels: Sequence
 # --- connected components ---------------------------------------------------------------
 
 def _measured_strides(elements: DataFrame, coords: Sequence[str]) -> tuple[list[int], list[int]]:
-    """Smallest coordinates and strides that pack the table's coordinates in one BIGINT, in coordinate order."""
+    """Offsets and strides that pack the table's coordinates in one BIGINT, in coordinate order.
+
+    20 bits each where all coordinates are in that range, else by the measured extents.
+    """
     bounds = elements.agg(*[f(c) for c in coords for f in (F.min, F.max)]).first()
     low = [int(bounds[2 * i] or 0) for i in range(len(coords))]
     extent = [int(bounds[2 * i + 1] or 0) - low[i] + 1 for i in range(len(coords))]
+    if len(coords) <= 3 and all(a >= 0 and a + n <= 1 << 20 for a, n in zip(low, extent)):
+        return [0] * len(coords), [1 << 20 * i for i in reversed(range(len(coords)))]
     if math.prod(extent) > 1 << 63:
         raise ContractError(f"the grid of {extent} has more cells than a BIGINT can number")
     return low, [math.prod(extent[i + 1 :]) for i in range(len(coords))]
