@@ -7,8 +7,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgauge.llm import best_fit, line_dedup, ordinal, queries, risk_rules, simhash
+from driftgauge.llm import best_fit, line_dedup, ordinal, queries, risk_rules, wide_simhash
 from driftgauge.llm.storage import stored
+from driftgauge.llm.text import whole
 
 # SQL can express neither the classifier nor the fingerprints
 ORACLE_SQL = None
@@ -27,10 +28,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; rows without an id stay only as a group's sole row."""
-    marked = simhash.near_duplicates(docs)
-    keep = marked.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """The first document of each group of texts whose five-word shingles are about 0.8 alike or more.
+
+    A document is a doc_id with a text; a repeated row of it stays beside it. Null ids come last and stay only where a group has no other.
+    """
+    first = wide_simhash.similar_documents(docs).where("first").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(whole(F.col("text"))) == F.col("__hash"))
+    return docs.join(first, same, "left_semi").select(*docs.columns)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
