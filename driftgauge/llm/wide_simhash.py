@@ -92,16 +92,8 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def similar_links(classes: DataFrame, most: int, segments: int = 24, crowded: int = 16) -> DataFrame:
-    """Links (a, b) between ``classes(cid, w0 ... w11)`` whose prints differ in at most ``most`` bits and meet under a key.
-
-    Every class is stored under its segments and looks up the keys in the ball of one bit (only zeros are set: of two
-    segments that differ in one bit, the one with the zero finds the other). Under a key with up to ``crowded`` classes
-    all pairs are verified. A larger one is mostly one group of similar texts, so its pairs are not spelt out:
-    a leader is compared with all who look the key up, the classes linked to it need no further comparison under this
-    key, and the next leader is drawn from the others, until at most ``crowded`` are left; these are compared with
-    all again. So every class is compared with all others under the key or is linked to one that is.
-    """
+def _links(classes: DataFrame, most: int, segments: int, crowded: int) -> tuple[DataFrame, DataFrame | None]:
+    """Links found under common keys, and the classes (cid, key) that a leader has spared further comparisons."""
     entries = classes.select("cid", F.explode(F.array(*map(_key, range(segments)))).alias("key"))
     masks = F.array(*(F.lit(m).cast("int") for m in [0, *(1 << b for b in range(SEGMENT))]))
     probes = entries.select("cid", "key", F.explode(masks).alias("mask")).where(F.col("key").bitwiseAND(F.col("mask")) == 0)
@@ -109,35 +101,62 @@ def similar_links(classes: DataFrame, most: int, segments: int = 24, crowded: in
     shared = stored(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("key"), "crowded-keys")
     hint = measured_broadcast(shared, 64)
     few = entries.join(hint, "key", "left_anti")
-    found = [_verified(probes.join(few, "key").where("p <> cid").select(*_pair("p", "cid")), classes, most)]
+    found = _verified(probes.join(few, "key").where("p <> cid").select(*_pair("p", "cid")), classes, most)
     if not shared.take(1):
-        return found[0]
+        return found.distinct(), None
     members = stored(probes.join(hint, "key"), "crowded-members")
-    left = stored(entries.join(hint, "key", "left_semi"), "crowded-open")
-    turn = 0
+    left, spared, turn = members.withColumnRenamed("p", "cid"), None, 0
     while True:
-        sizes = left.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("cid", F.lit(turn)), "cid"))["cid"].alias("leader"))
-        leaders = stored(sizes, "crowded-leaders")
-        last = leaders.where(F.col("n") <= crowded).select("key")
-        ends = left.join(measured_broadcast(last, 64), "key", "left_semi")
-        found.append(stored(_verified(members.join(ends, "key").where("p <> cid").select(*_pair("p", "cid")), classes, most), "crowded-ends"))
-        going = leaders.where(F.col("n") > crowded).select("key", "leader")
+        sizes = stored(left.groupBy("key").agg(F.count("*").alias("n")), "crowded-sizes")
+        counted = left.join(measured_broadcast(sizes, 64), "key")
+        # some ``crowded`` leaders a key, by a draw that is the same under every key, or all classes once they are no more than that
+        draw = F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(1 << 30)) * F.col("n") < F.lit(crowded << 30)
+        leaders = measured_broadcast(stored(counted.where(draw).select("key", F.col("cid").alias("leader")), "crowded-leaders"), 64)
+        near = stored(_verified(members.join(leaders, "key").where("p <> leader").select(*_pair("p", "leader")), classes, most), "crowded-links")
+        found = found.union(near)
+        going = stored(counted.where(F.col("n") > crowded).select("cid", "key"), "crowded-going")
         if not going.take(1):
             break
-        led = measured_broadcast(going, 64)
-        near = stored(_verified(members.join(led, "key").where("p <> leader").select(*_pair("p", "leader")), classes, most), "crowded-links")
-        found.append(near)
-        # what is still to be compared under each key: neither its leader nor linked to it
-        rest = left.join(led, "key").where("cid <> leader").select("key", "cid", *_pair("cid", "leader"))
-        left = stored(rest.join(near, ["a", "b"], "left_anti").select("cid", "key"), "crowded-open")
+        both = near.union(near.select("b", "a")).toDF("cid", "leader")
+        linked = both.join(leaders, "leader").select("cid", "key").distinct()
+        rest = going.join(leaders.withColumnRenamed("leader", "cid"), ["cid", "key"], "left_anti")
+        met = stored(rest.join(linked, ["cid", "key"], "left_semi"), "crowded-met")
+        spared = met if spared is None else spared.union(met)
+        left = stored(rest.join(met, ["cid", "key"], "left_anti"), "crowded-open")
         turn += 1
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out.distinct()
+    return found.distinct(), spared
+
 
+def similar_components(classes: DataFrame, most: int, segments: int = 24, crowded: int = 64) -> DataFrame:
+    """(node, component) for the classes of ``classes(cid, w0 ... w11)`` that have links.
 
-def similar_documents(documents: DataFrame, width: int = 5, least: float = 0.8, segments: int = 24, crowded: int = 16) -> DataFrame:
+    Links join classes whose prints differ in at most ``most`` bits and meet under a key. Every class is stored under
+    its segments and looks up the keys in the ball of one bit (only zeros are set: of two segments that differ in one bit, the
+    one with the zero finds the other). Under a key with up to ``crowded`` classes all pairs are verified. A larger one
+    is mostly one group of similar texts, so its pairs are not spelt out: about ``crowded`` leaders are drawn from all who look the
+    key up and compared with all of them, those linked to a leader are spared, and the next leaders are drawn from the others until
+    none is left. Two spared classes are compared only if their leaders ended in different components: all that are outside
+    the largest component under the key with all spared ones of other components. So the components are those of all
+    pairs that meet under a key.
+    """
+    found, spared = _links(classes, most, segments, crowded)
+    joined = connected_components(found)
+    if spared is None:
+        return joined
+    joined = stored(joined, "wide-components")
+    parts = stored(spared.join(joined, spared["cid"] == joined["node"]).select("cid", "key", "component"), "crowded-parts")
+    counts = parts.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("components"))
+    split = stored(largest.where("components > 1").select("key", "main"), "crowded-split")
+    if not split.take(1):
+        return joined
+    parts = parts.join(measured_broadcast(split, 64), "key")
+    outside = parts.where("component <> main").select("key", F.col("cid").alias("p"), F.col("component").alias("other"))
+    asked = parts.join(outside, "key").where("component <> other").select(*_pair("p", "cid"))
+    return connected_components(joined.toDF("a", "b").union(_verified(asked, classes, most)))
+
+
+def similar_documents(documents: DataFrame, width: int = 5, least: float = 0.8, segments: int = 24, crowded: int = 64) -> DataFrame:
     """(doc_id, text_hash, component_id, first) for every row of ``documents(doc_id, text)``.
 
     ``component_id`` is the smallest doc_id that links reach, ``first`` marks the one document of the group that has it (of
@@ -150,7 +169,7 @@ def similar_documents(documents: DataFrame, width: int = 5, least: float = 0.8,
     prints = stored(wide_prints(documents, width), "wide-prints")
     totals = prints.groupBy(*NAMES).agg(F.min(place).alias("least"), F.count("*").alias("n"))
     classes = stored(totals.withColumn("cid", F.monotonically_increasing_id()), "wide-classes")
-    joined = connected_components(similar_links(classes, greatest_distance(least), segments, crowded)).select(F.col("node").alias("cid"), "component")
+    joined = similar_components(classes, greatest_distance(least), segments, crowded).select(F.col("node").alias("cid"), "component")
     grouped = classes.join(joined, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     names = grouped.groupBy("component").agg(F.min("least").alias("leader"))
     of = stored(grouped.join(names, "component").select(*NAMES, "n", "leader"), "wide-groups")

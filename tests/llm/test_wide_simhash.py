@@ -1,6 +1,6 @@
 import random
 
-from driftgauge.llm.wide_simhash import NAMES, greatest_distance, similar_documents, similar_links, wide_print
+from driftgauge.llm.wide_simhash import NAMES, greatest_distance, similar_components, similar_documents, wide_print
 from tests.llm.data import empty, messy
 from tests.llm.test_simhash import components
 
@@ -35,7 +35,7 @@ def test_groups_of_near_copies_against_jaccard(spark):
     sets = {i: shingles(t) for i, t in rows}
     near = lambda least: [(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= least]
     want = components(list(sets), near(0.8))
-    for crowded in (16, 4):
+    for crowded in (64, 4):
         got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), crowded=crowded).collect()}
         assert len(got) == len(rows)
         # no unrelated text is joined, and what is clearly alike is
@@ -45,7 +45,7 @@ def test_groups_of_near_copies_against_jaccard(spark):
         assert sum(got[i] == want[i] for i in got) >= 0.97 * len(got)
 
 
-def test_links_are_those_under_a_common_key(spark):
+def test_components_are_those_of_links_under_a_common_key(spark):
     rows = corpus()
     prints = [(i, *map(int, wide_print(t, 5).view("int64"))) for i, t in rows]
     table = spark.createDataFrame(prints, "cid bigint, " + ", ".join(f"{n} bigint" for n in NAMES))
@@ -57,10 +57,32 @@ def test_links_are_those_under_a_common_key(spark):
         return d.bit_count() <= most and any((d >> 24 * s & (2**24 - 1)).bit_count() <= 1 for s in range(24))
 
     want = {(a, b) for a in value for b in value if a < b and meet(value[a], value[b])}
-    assert {tuple(r) for r in similar_links(table, most, crowded=10**6).collect()} == want
-    fewer = {tuple(r) for r in similar_links(table, most, crowded=8).collect()}
-    assert fewer <= want
-    assert components(list(value), fewer) == components(list(value), want)
+    want = components(list(value), want)
+    for crowded in (10**6, 8):
+        got = {r.node: r.component for r in similar_components(table, most, crowded=crowded).collect()}
+        assert {i: got.get(i, i) for i in value} == want
+
+
+def test_two_groups_under_one_key_that_only_spared_classes_join(spark):
+    """A chain of prints with one common segment: each is near the next few only, so few leaders leave several components."""
+    most, value, rng = 30, {}, random.Random(3)
+    bits = rng.sample(range(24, 768), 700)
+    for i in range(70):
+        value[i] = sum(1 << b for b in bits[: 10 * i])
+    # a gap wider than the limit: two components
+    for i in range(40, 70):
+        value[i] ^= sum(1 << b for b in range(0, 24)) ^ sum(1 << b for b in bits[660:])
+    rows = [(i, *((v >> 64 * w & (2**64 - 1)) - ((v >> 64 * w & (1 << 63)) << 1) for w in range(12))) for i, v in value.items()]
+    table = spark.createDataFrame(rows, "cid bigint, " + ", ".join(f"{n} bigint" for n in NAMES))
+
+    def meet(x, y):
+        d = x ^ y
+        return d.bit_count() <= most and any((d >> 24 * s & (2**24 - 1)).bit_count() <= 1 for s in range(24))
+
+    want = components(list(value), {(a, b) for a in value for b in value if a < b and meet(value[a], value[b])})
+    for crowded in (12,):
+        got = {r.node: r.component for r in similar_components(table, most, crowded=crowded).collect()}
+        assert {i: got.get(i, i) for i in value} == want
 
 
 def test_awkward_rows(spark):
