@@ -28,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of texts whose five-word shingles are about 0.8 alike or more.
+    """The first document of each group of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
     A document is a doc_id with a text; a repeated row of it stays beside it. Null ids come last and stay only where a group has no other.
     """

@@ -1,15 +1,15 @@
-"""Near-duplicates by a similarity of shingle sets: wide SimHash prints and multi-index hashing.
+"""Near-duplicates by a similarity of shingle sets: wide SimHash prints, multi-index hashing and an exact check.
 
 A print of 64 bits is too coarse for a similarity: two sets of shingles with Jaccard similarity 0.8 differ in about 10 of its bits. Here
-a print has 768 bits. The share of bits in which two prints differ estimates the angle between the sets, so a least Jaccard
-similarity J becomes a greatest distance of ``768 * acos(2J / (1 + J)) / pi`` bits (116 for 0.8; the estimate has a
-standard deviation of about 0.03 in J there). Segments of 24 bits are indexed: two prints are compared if they differ by at most one bit in
-one of 24 segments, which holds for 95 % of pairs at 0.8 and over 99.9 % at 0.9.
+a print has 768 bits. The share of bits in which two prints differ estimates the angle between the sets: a Jaccard
+similarity J is at ``768 * acos(2J / (1 + J)) / pi`` bits on average (116 for 0.8, with a standard deviation of 10). Prints only find
+candidates, up to 7 deviations beyond that mean; then the shingle sets themselves decide. Segments of 24 bits are
+indexed, 32 of neighbouring bits and 32 of three bytes far apart: two prints are compared if they differ by at most one bit in one of them.
 """
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,8 @@ BITS = 64 * WORDS
 SEGMENT = 24
 NAMES = [f"w{i}" for i in range(WORDS)]
 BLOCK = 255 * 64
+Check = Callable[[DataFrame], DataFrame]
+Exact = Callable[[DataFrame], Check]
 
 
 def _spread(hashes: np.ndarray) -> np.ndarray:
@@ -71,8 +73,18 @@ def greatest_distance(least: float) -> int:
     return math.floor(BITS * math.acos(2 * least / (1 + least)) / math.pi)
 
 
+def candidate_distance(least: float, deviations: int = 7) -> int:
+    """Bits within which pairs at ``least`` lie; sets of four and five shingles are the farthest, at 144 on average for 0.8."""
+    share = math.acos(2 * least / (1 + least)) / math.pi
+    return math.ceil(BITS * share + deviations * math.sqrt(BITS * share * (1 - share)))
+
+
 def _key(segment: int) -> Column:
-    """Number of the segment and its bits in one INT."""
+    """Number of the segment and its bits in one INT: 32 of neighbouring bits, then 32 of a byte from each of three words."""
+    if segment >= BITS // SEGMENT:
+        word, byte = divmod(segment - BITS // SEGMENT, 8)
+        part = lambda i: F.shiftleft(F.shiftrightunsigned(f"w{word + 4 * i}", 8 * byte).bitwiseAND(F.lit(255)), 8 * i)
+        return (part(0) + part(1) + part(2) + F.lit(segment << SEGMENT)).cast("int")
     word, shift = divmod(segment * SEGMENT, 64)
     bits = F.shiftrightunsigned(f"w{word}", shift)
     if shift + SEGMENT > 64:
@@ -81,19 +93,41 @@ def _key(segment: int) -> Column:
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, most: int) -> DataFrame:
-    """The different pairs (a, b) whose complete prints differ in at most ``most`` bits."""
+    """The different pairs (a, b, distance) whose complete prints differ in at most ``most`` bits."""
     side = lambda of: classes.select(F.col("cid").alias(of), *(F.col(n).alias(f"{of}_{n}") for n in NAMES))
     joined = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
     distance = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in NAMES), F.lit(0))
-    return joined.where(distance <= most).select("a", "b")
+    return joined.select("a", "b", distance.alias("distance")).where(F.col("distance") <= most)
+
+
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(cid, hashes) with the different shingle hashes of ``texts(cid, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cid, text in zip(batch.column(0), batch.column(1)):
+                blocks = list(shingle_hashes(lower_words(text.as_py()), width))
+                hashes = np.unique(np.concatenate(blocks)).view(np.int64) if blocks else np.zeros(0, dtype=np.int64)
+                one = pa.ListArray.from_arrays(pa.array([0, len(hashes)], pa.int32()), pa.array(hashes))
+                yield pa.RecordBatch.from_arrays([pa.array([cid.as_py()], pa.int64()), one], ["cid", "hashes"])
+
+    return texts.mapInArrow(run, "cid bigint, hashes array<bigint>")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The different pairs (a, b) whose sets in ``sets(cid, hashes)`` have a Jaccard similarity of ``least`` or more."""
+    side = lambda of: sets.select(F.col("cid").alias(of), F.col("hashes").alias(f"{of}_set"))
+    joined = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    return joined.where(both / (F.size("a_set") + F.size("b_set") - both) >= least).select("a", "b")
 
 
 def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _links(classes: DataFrame, most: int, segments: int, crowded: int) -> tuple[DataFrame, DataFrame | None]:
-    """Links found under common keys, and the classes (cid, key) that a leader has spared further comparisons."""
+def _links(classes: DataFrame, most: int, segments: int, crowded: int, exact: Exact | None) -> tuple[DataFrame, DataFrame | None, DataFrame | None, Check]:
+    """Links found under common keys, the classes (cid, key) that a leader has spared further comparisons, pairs not checked yet, and the check."""
     entries = classes.select("cid", F.explode(F.array(*map(_key, range(segments)))).alias("key"))
     masks = F.array(*(F.lit(m).cast("int") for m in [0, *(1 << b for b in range(SEGMENT))]))
     probes = entries.select("cid", "key", F.explode(masks).alias("mask")).where(F.col("key").bitwiseAND(F.col("mask")) == 0)
@@ -101,67 +135,87 @@ def _links(classes: DataFrame, most: int, segments: int, crowded: int) -> tuple[
     shared = stored(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("key"), "crowded-keys")
     hint = measured_broadcast(shared, 64)
     few = entries.join(hint, "key", "left_anti")
-    found = _verified(probes.join(few, "key").where("p <> cid").select(*_pair("p", "cid")), classes, most)
-    if not shared.take(1):
-        return found.distinct(), None
-    members = stored(probes.join(hint, "key"), "crowded-members")
-    left, spared, turn = members.withColumnRenamed("p", "cid"), None, 0
+    found = stored(_verified(probes.join(few, "key").where("p <> cid").select(*_pair("p", "cid")), classes, most), "wide-candidates")
+    members = stored(probes.join(hint, "key"), "crowded-members") if shared.take(1) else None
+    check: Check = lambda pairs: pairs.select("a", "b").distinct()
+    if exact is not None:
+        asked = found.select("a").union(found.select("b"))
+        check = exact((asked if members is None else asked.union(members.select("p"))).toDF("cid").distinct())
+    found = stored(check(found), "wide-links")
+    if members is None:
+        return found, None, None, check
+    left, spared, pending, turn = members.withColumnRenamed("p", "cid"), None, None, 0
     while True:
         sizes = stored(left.groupBy("key").agg(F.count("*").alias("n")), "crowded-sizes")
         counted = left.join(measured_broadcast(sizes, 64), "key")
         # some ``crowded`` leaders a key, by a draw that is the same under every key, or all classes once they are no more than that
         draw = F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(1 << 30)) * F.col("n") < F.lit(crowded << 30)
         leaders = measured_broadcast(stored(counted.where(draw).select("key", F.col("cid").alias("leader")), "crowded-leaders"), 64)
-        near = stored(_verified(members.join(leaders, "key").where("p <> leader").select(*_pair("p", "leader")), classes, most), "crowded-links")
-        found = found.union(near)
+        near = stored(_verified(members.join(leaders, "key").where("p <> leader").select(*_pair("p", "leader")), classes, most), "crowded-near")
+        sides = near.union(near.select("b", "a", "distance")).toDF("cid", "leader", "distance")
+        links = near.select("a", "b")
+        if exact is not None:
+            # only the nearest leader of each class and key is checked now; the others matter where components stay apart
+            nearest = sides.join(leaders, "leader").groupBy("cid", "key").agg(F.min(F.struct("distance", "leader"))["leader"].alias("leader"))
+            links = stored(check(nearest.select(*_pair("cid", "leader"))), "crowded-links")
+            pending = near.select("a", "b") if pending is None else pending.union(near.select("a", "b"))
+        found = found.union(links)
         going = stored(counted.where(F.col("n") > crowded).select("cid", "key"), "crowded-going")
         if not going.take(1):
             break
-        both = near.union(near.select("b", "a")).toDF("cid", "leader")
-        linked = both.join(leaders, "leader").select("cid", "key").distinct()
+        linked = links.union(links.select("b", "a")).toDF("cid", "leader").join(leaders, "leader").select("cid", "key").distinct()
         rest = going.join(leaders.withColumnRenamed("leader", "cid"), ["cid", "key"], "left_anti")
         met = stored(rest.join(linked, ["cid", "key"], "left_semi"), "crowded-met")
         spared = met if spared is None else spared.union(met)
         left = stored(rest.join(met, ["cid", "key"], "left_anti"), "crowded-open")
         turn += 1
-    return found.distinct(), spared
+    return found.distinct(), spared, pending, check
 
 
-def similar_components(classes: DataFrame, most: int, segments: int = 24, crowded: int = 64) -> DataFrame:
+def similar_components(classes: DataFrame, most: int, segments: int = 24, crowded: int = 64, exact: Exact | None = None) -> DataFrame:
     """(node, component) for the classes of ``classes(cid, w0 ... w11)`` that have links.
 
-    Links join classes whose prints differ in at most ``most`` bits and meet under a key. Every class is stored under
+    Links join classes whose prints differ in at most ``most`` bits and meet under a key and, with ``exact``, pass its check: it takes the
+    classes (cid) that can be asked for and gives a function from pairs (a, b) to those that are links. Every class is stored under
     its segments and looks up the keys in the ball of one bit (only zeros are set: of two segments that differ in one bit, the
     one with the zero finds the other). Under a key with up to ``crowded`` classes all pairs are verified. A larger one
     is mostly one group of similar texts, so its pairs are not spelt out: about ``crowded`` leaders are drawn from all who look the
     key up and compared with all of them, those linked to a leader are spared, and the next leaders are drawn from the others until
-    none is left. Two spared classes are compared only if their leaders ended in different components: all that are outside
-    the largest component under the key with all spared ones of other components. So the components are those of all
-    pairs that meet under a key.
+    none is left. Two spared classes, or a class and a leader that was not its nearest, are checked only if they ended in different
+    components: of spared ones, all that are outside the largest component under the key with all of other components. So the
+    components are those of all pairs that meet under a key.
     """
-    found, spared = _links(classes, most, segments, crowded)
+    found, spared, pending, check = _links(classes, most, segments, crowded, exact)
     joined = connected_components(found)
-    if spared is None:
+    if spared is None and pending is None:
         return joined
-    joined = stored(joined, "wide-components")
-    parts = stored(spared.join(joined, spared["cid"] == joined["node"]).select("cid", "key", "component"), "crowded-parts")
-    counts = parts.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = counts.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("components"))
-    split = stored(largest.where("components > 1").select("key", "main"), "crowded-split")
-    if not split.take(1):
+    joined, more = stored(joined, "wide-components"), None
+    if pending is not None:
+        of = lambda side: joined.toDF(side, f"{side}_component")
+        named = pending.distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
+        more = named.where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
+    if spared is not None:
+        parts = stored(spared.join(joined, spared["cid"] == joined["node"]).select("cid", "key", "component"), "crowded-parts")
+        counts = parts.groupBy("key", "component").agg(F.count("*").alias("n"))
+        largest = counts.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("components"))
+        split = stored(largest.where("components > 1").select("key", "main"), "crowded-split")
+        if split.take(1):
+            parts = parts.join(measured_broadcast(split, 64), "key")
+            outside = parts.where("component <> main").select("key", F.col("cid").alias("p"), F.col("component").alias("other"))
+            asked = _verified(parts.join(outside, "key").where("component <> other").select(*_pair("p", "cid")), classes, most).select("a", "b")
+            more = asked if more is None else more.union(asked)
+    if more is None:
         return joined
-    parts = parts.join(measured_broadcast(split, 64), "key")
-    outside = parts.where("component <> main").select("key", F.col("cid").alias("p"), F.col("component").alias("other"))
-    asked = parts.join(outside, "key").where("component <> other").select(*_pair("p", "cid"))
-    return connected_components(joined.toDF("a", "b").union(_verified(asked, classes, most)))
+    more = stored(check(stored(more, "crowded-apart")), "crowded-more")
+    return connected_components(joined.toDF("a", "b").union(more)) if more.take(1) else joined
 
 
-def similar_documents(documents: DataFrame, width: int = 5, least: float = 0.8, segments: int = 24, crowded: int = 64) -> DataFrame:
+def similar_documents(documents: DataFrame, width: int = 5, least: float = 0.8, segments: int = 64, crowded: int = 64) -> DataFrame:
     """(doc_id, text_hash, component_id, first) for every row of ``documents(doc_id, text)``.
 
     ``component_id`` is the smallest doc_id that links reach, ``first`` marks the one document of the group that has it (of
-    several texts of that id, the one with the smallest hash). Links join texts whose sets of ``width``-word shingles are about
-    ``least`` alike or more; texts with fewer words are one shingle. Equal prints are one class, so copies are never paired
+    several texts of that id, the one with the smallest hash). Links join texts whose sets of ``width``-word shingles have a
+    Jaccard similarity of ``least`` or more, by the sets themselves (as 64-bit hashes); texts with fewer words are one shingle. Equal prints are one class, so copies are never paired
     with each other. Null and blank texts are one class. Repeated rows stay and are all marked alike. A null doc_id ranks
     last: it names its group only where there is no other (the component is then null). Other columns are not read.
     """
@@ -169,7 +223,17 @@ def similar_documents(documents: DataFrame, width: int = 5, least: float = 0.8,
     prints = stored(wide_prints(documents, width), "wide-prints")
     totals = prints.groupBy(*NAMES).agg(F.min(place).alias("least"), F.count("*").alias("n"))
     classes = stored(totals.withColumn("cid", F.monotonically_increasing_id()), "wide-classes")
-    joined = similar_components(classes, greatest_distance(least), segments, crowded).select(F.col("node").alias("cid"), "component")
+
+    def exact(asked: DataFrame) -> Check:
+        one = classes.join(asked, "cid", "left_semi").select("cid", F.col("least.id").alias("__id"), F.col("least.hash").alias("__hash"))
+        text = whole(F.col("text"))
+        texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+        same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
+        of = texts.join(measured_broadcast(stored(one, "wide-asked"), 64), same).select("cid", "text").dropDuplicates(["cid"])
+        sets = stored(shingle_sets(of, width), "wide-sets")
+        return lambda pairs: alike(pairs, sets, least)
+
+    joined = similar_components(classes, candidate_distance(least), segments, crowded, exact).select(F.col("node").alias("cid"), "component")
     grouped = classes.join(joined, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     names = grouped.groupBy("component").agg(F.min("least").alias("leader"))
     of = stored(grouped.join(names, "component").select(*NAMES, "n", "leader"), "wide-groups")

@@ -109,3 +109,18 @@ def test_stage_keeps_one_document_of_each_group(spark):
     # both repeated rows of document 1 and the row itself
     assert [i for i, t in left if t == rows[0][1]] == ["1"] * 3
     assert corpus_pipeline.near_dedup(spark, empty(spark), "").collect() == []
+
+
+def test_pairs_around_the_limit(spark):
+    """Pairs at exactly 0.78, 0.80 and 0.82: the sets decide, not the prints."""
+    rows, of = [], {}
+    for similarity, shared, own in ((0.78, 390, 55), (0.80, 400, 50), (0.82, 410, 45)):
+        for pair in range(30):
+            base = [f"s{shared}p{pair}w{i}" for i in range(shared + 4)]
+            both = [" ".join(base + [f"{side}{shared}p{pair}w{i}" for i in range(own)]) for side in "ab"]
+            assert abs(jaccard(*map(shingles, both)) - similarity) < 1e-12
+            of[len(rows)] = similarity
+            rows += [(len(rows), both[0]), (len(rows) + 1, both[1])]
+    got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    linked = {s: sum(got[i] == got[i + 1] for i in of if of[i] == s) for s in (0.78, 0.80, 0.82)}
+    assert linked == {0.78: 0, 0.80: 30, 0.82: 30}
