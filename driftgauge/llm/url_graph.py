@@ -7,6 +7,7 @@ between a host and its parent domain.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,7 @@ Rule = tuple[str, str, str]
 
 LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/"'?#>\s]+)"""
 SALTS = 8
+RELAXED = 0.7
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -71,8 +73,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.union(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, cut_every: int = 4) -> DataFrame:
-    """(host, trust, distrust) after ``rounds`` steps from ``seeds(host, trust, distrust)``.
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float = 1e-8, cut_every: int = 4) -> DataFrame:
+    """(host, trust, distrust) of the converged walk from ``seeds(host, trust, distrust)``.
+
+    Steps end when the scores of each kind are within ``tolerance`` of the limit, summed over hosts: the summed residual over
+    ``1 - damping`` bounds that distance. Each step goes the share ``RELAXED`` of the way, as full steps swing between a host and its parent.
 
     Sender rows are copied to a few salts, so the messages of a host with very many links are dealt over
     several tasks; sums are combined before the shuffle. Mass that reaches a host without links ends there.
@@ -82,25 +87,42 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, c
     sent = forward.union(back)
     out = sent.groupBy("kind", "sender").agg(F.sum("weight").alias("total"))
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    # what stays with a host is a step to itself, so each step reads the state once
+    hosts = edges.select("src").union(edges.select("dst")).union(seeds.select("host")).toDF("sender").distinct()
+    own = hosts.select(F.explode(F.array(F.lit("trust"), F.lit("distrust"))).alias("kind"), "sender")
+    stays = own.select("kind", "sender", F.pmod(F.xxhash64("sender"), F.lit(SALTS)).cast("int").alias("salt"), F.col("sender").alias("to"), F.lit(1 - RELAXED).alias("share"))
     shares = cut_lineage(
         sent.withColumn("salt", F.pmod(F.xxhash64("to"), F.lit(SALTS)).cast("int"))
         .join(out.select("kind", "sender", "total", salt), ["kind", "sender", "salt"])
-        .select("kind", "sender", "salt", "to", (F.col("weight") / F.col("total")).alias("share"))
+        .select("kind", "sender", "salt", "to", (F.col("weight") / F.col("total") * damping * RELAXED).alias("share"))
+        .union(stays)
     )
     start = cut_lineage(
         seeds.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "seed"))
         .where("seed > 0")
     )
-    base = start.select("host", "kind", (F.col("seed") * (1 - damping)).alias("score"))
+    base = start.select("host", "kind", (F.col("seed") * (1 - damping) * RELAXED).alias("score"))
     state = start.withColumnRenamed("seed", "score")
-    for i in range(rounds):
-        senders = state.select("kind", F.col("host").alias("sender"), "score", salt)
-        arrived = shares.join(senders, ["kind", "sender", "salt"]).select(
-            F.col("to").alias("host"), "kind", (F.col("score") * F.col("share") * damping).alias("score")
-        )
-        state = arrived.union(base).groupBy("host", "kind").agg(F.sum("score").alias("score"))
-        if (i + 1) % cut_every == 0 or i + 1 == rounds:
-            state = cut_lineage(state)
+    # the residual shrinks by this factor a step at least
+    factor = 1 - RELAXED * (1 - damping)
+    bound, step, left = 2 * math.ceil(math.log(tolerance) / math.log(factor)) + cut_every, 0, math.inf
+    while left > tolerance:
+        if step >= bound:
+            raise RuntimeError("the walk has not settled")
+        for i in range(cut_every):
+            if i == cut_every - 1:
+                before = state = cut_lineage(state)
+            senders = state.select("kind", F.col("host").alias("sender"), "score", salt)
+            arrived = shares.join(senders, ["kind", "sender", "salt"]).select(
+                F.col("to").alias("host"), "kind", (F.col("score") * F.col("share")).alias("score")
+            )
+            state = arrived.union(base).groupBy("host", "kind").agg(F.sum("score").alias("score"))
+        step += cut_every
+        both = state.select("host", "kind", "score", F.lit(0.0).alias("last")).union(before.select("host", "kind", F.lit(0.0), "score"))
+        both = cut_lineage(both.groupBy("host", "kind").agg(F.sum("score").alias("score"), F.sum("last").alias("last")))
+        changes = both.groupBy("kind").agg(F.sum(F.abs(F.col("score") - F.col("last"))).alias("change"))
+        left = 1 / RELAXED / (1 - damping) * (changes.agg(F.max("change")).first()[0] or 0.0)
+        state = both.select("host", "kind", "score")
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
     return state.groupBy("host").agg(of("trust"), of("distrust"))
 
@@ -112,13 +134,13 @@ def judge_urls(
     url_column: str = "url",
     html_column: str = "html",
     damping: float = 0.85,
-    rounds: int = 8,
+    tolerance: float = 1e-8,
     floor: float = 0.25,
 ) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, trust, distrust.
 
     A host without a fitting rule is blocked when its distrust exceeds its trust and ``floor`` times the mean
-    seed of the blocked hosts. Seeds are the shares of a host's pages that rules allow or block.
+    seed of the blocked hosts, both of the converged walk (up to ``tolerance``). Seeds are the shares of a host's pages that rules allow or block.
 
     Null urls and urls without ``://`` have empty host and path, no rule, and are allowed; null html has no links.
     Repeated rows stay. Other columns of ``pages`` are not read, so their names cannot clash.
@@ -137,7 +159,7 @@ def judge_urls(
         (F.col("trust") / F.lit(float(totals["t"] or 1.0))).alias("trust"),
         (F.col("distrust") / F.lit(float(totals["d"] or 1.0))).alias("distrust"),
     )
-    scores = propagate(host_edges(judged.select("host", "html")), normal, damping, rounds)
+    scores = propagate(host_edges(judged.select("host", "html")), normal, damping, tolerance)
     least = floor / max(float(totals["n"] or 1.0), 1.0)
     blocked = F.round(F.col("distrust"), 12) > F.greatest(F.round(F.col("trust"), 12), F.lit(least))
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")

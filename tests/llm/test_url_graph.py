@@ -85,3 +85,32 @@ def test_against_brute_force(spark):
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert judge_urls(pages, RULES).collect() == []
+
+
+def test_scores_are_those_of_the_converged_walk(spark):
+    """A chain of 11 hosts behind the seeds and a star of subdomains, against a solved linear system."""
+    import numpy as np
+
+    from driftgauge.llm.url_graph import propagate
+
+    chain = [f"h{i}" for i in range(11)]
+    edges = [(a, b, 1.0) for a, b in zip(chain, chain[1:])] + [(chain[3], "hub", 2.0)]
+    edges += [e for i in range(5) for e in ((f"s{i}.hub", "hub", 1.0), ("hub", f"s{i}.hub", 1.0))]
+    seeds = [("h0", 0.75, 0.0), ("s0.hub", 0.25, 0.5), ("h10", 0.0, 0.5)]
+    hosts = sorted({h for a, b, _ in edges for h in (a, b)})
+    want = {}
+    for k in (0, 1):
+        step = np.zeros((len(hosts), len(hosts)))
+        for a, b, w in edges:
+            a, b = (a, b) if k == 0 else (b, a)
+            step[hosts.index(b), hosts.index(a)] += w
+        step /= np.maximum(step.sum(axis=0), 1e-300)
+        start = np.zeros(len(hosts))
+        for s in seeds:
+            start[hosts.index(s[0])] = s[1 + k]
+        want[k] = np.linalg.solve(np.eye(len(hosts)) - 0.85 * step, 0.15 * start)
+    graph = spark.createDataFrame(edges, "src string, dst string, weight double")
+    got = {r.host: r for r in propagate(graph, spark.createDataFrame(seeds, "host string, trust double, distrust double"), 0.85).collect()}
+    assert want[0][hosts.index("h9")] > 0.005 and all(w > 0 for w in want[0])
+    for i, host in enumerate(hosts):
+        assert abs(got[host].trust - want[0][i]) < 2e-8 and abs(got[host].distrust - want[1][i]) < 2e-8
