@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgauge.llm import best_fit, bpe, hash_ring, hidden_markov, line_dedup, multiset_hash, ordinal, risk_rules, simhash, url_graph
+from driftgauge.llm import best_fit, bpe, hash_ring, hidden_markov, line_dedup, multiset_hash, ordinal, risk_rules, simhash, turn_repair, url_graph
 
 # Fixed values: (verdict, host, path)
 RULES = [
@@ -74,10 +74,14 @@ def op10_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("__expected_grade").alias("expected_grade"), F.col("__top_probability").alias("top_probability"), F.col("__kept").alias("kept"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_url_filter, op2_simhash, op3_line_dedup, op4_quality_rules, op5_bpe, op6_hash_ring, op7_hidden_markov, op8_best_fit, op9_multiset_hash, op10_ordinal,
+        op1_url_filter, op2_simhash, op3_line_dedup, op4_quality_rules, op5_bpe, op6_hash_ring, op7_hidden_markov, op8_best_fit, op9_multiset_hash, op10_ordinal, op11_turn_repair,
     )
 }
 ORACLES: dict[str, str] = {}
