@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgauge.llm import best_fit, bpe, hash_ring, hidden_markov, line_dedup, multiset_hash, ordinal, risk_rules, simhash, turn_repair, url_graph
+from driftgauge.llm import best_fit, bpe, hard_negatives, hash_ring, hidden_markov, line_dedup, multiset_hash, ordinal, pivot_search, risk_rules, simhash, turn_repair, url_graph
 
 # Fixed values: (verdict, host, path)
 RULES = [
@@ -78,10 +78,42 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op13_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_url_filter, op2_simhash, op3_line_dedup, op4_quality_rules, op5_bpe, op6_hash_ring, op7_hidden_markov, op8_best_fit, op9_multiset_hash, op10_ordinal, op11_turn_repair,
+        op1_url_filter, op2_simhash, op3_line_dedup, op4_quality_rules, op5_bpe, op6_hash_ring, op7_hidden_markov, op8_best_fit, op9_multiset_hash, op10_ordinal, op11_turn_repair, op12_hard_negatives,
+        op13_pivot_search,
     )
 }
-ORACLES: dict[str, str] = {}
+# vectors as integers; rows with nulls or non-finite components take no part. Sums of such products are exact in doubles.
+SQL_VECTORS = """
+{name} AS (SELECT vec_id, {label}, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding))"""
+
+ORACLES: dict[str, str] = {
+    "op12_hard_negatives": f"""
+WITH {SQL_VECTORS.format(name="moved", scale=256, label="CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label")},
+usable AS (SELECT * FROM moved WHERE label IS NOT NULL),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM usable a JOIN usable b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.other_id AS positive_id, n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+  row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id)::INTEGER AS rank
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id) <= 5""",
+    "op13_pivot_search": f"""
+WITH {SQL_VECTORS.format(name="usable", scale=64, label="label")},
+scored AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.v, b.v)::BIGINT AS score FROM usable a JOIN usable b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
+}

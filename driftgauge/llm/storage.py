@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from driftgauge.session import scratch_path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back; survives lost executors."""
+def stored(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder, by ``folders`` of those columns, and read it back; survives lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
