@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,13 +10,8 @@ from pyspark.sql import functions as F
 from driftgauge.operators.contracts import ContractError, not_finite
 from driftgauge.operators.metrics import skill
 from driftgauge.operators.ranks import largest_group, with_order_block
-from driftgauge.operators.recalibrate import (
-    affine_coefficients,
-    crossfit_predictions,
-    isotonic_errors,
-    leave_fold_out_medians,
-    sample_center,
-)
+from driftgauge.operators.recalibrate import affine_coefficients, crossfit_predictions, isotonic_predictions, leave_fold_out_medians, sample_center
+from driftgauge.operators.replicate_blocks import replicate_skills
 from driftgauge.operators.resample import (
     BOOTSTRAP_RESAMPLES,
     BOOTSTRAP_SEED,
@@ -32,7 +28,8 @@ from driftgauge.session import bounded_broadcast, cut_lineage, pinned_if_small,
 class Samples:
     """Units prepared for cross-fitting: folds, order blocks, and the replicates drawn from them.
 
-    ``copies`` has replicate 0 (the sample itself) and 1..B.
+    While a sample fits a task, skills are found by blocks of replicates and no copies are made. ``copies`` are built when asked for, or for
+    larger samples; they have replicate 0 (the sample itself) and 1..B.
     """
 
     def __init__(
@@ -41,9 +38,9 @@ class Samples:
         mode: str = "multinomial",
     ) -> None:
         self.domain, self.id_col, self.target, self.prediction = domain, id_col, target, prediction
-        self.repeats, self.k, self.resamples, self.bootstrap_seed = len(seeds), k, resamples, bootstrap_seed
+        self.repeats, self.k, self.resamples, self.bootstrap_seed, self.mode = len(seeds), k, resamples, bootstrap_seed, mode
         slim = units.select(domain, id_col, target, prediction)
-        largest = largest_group(slim, [domain])
+        self.largest = largest = largest_group(slim, [domain])
         self.bounded = largest <= task_rows(units.sparkSession)
         blocks = not self.bounded
         # About sqrt(n) blocks: the counting pass and the inspected block are then of similar size.
@@ -51,18 +48,20 @@ class Samples:
         prepared = repeated_folds(slim, [domain], id_col, seeds, k, blocks=blocks)
         prepared = with_order_block(prepared, [domain], target, n_blocks, blocks=blocks)
         # Folds, blocks and slots are sorted out once; every later pass starts from the pinned table.
-        placed = cut_lineage(place_units(prepared, [domain], id_col, bootstrap_seed, blocks=blocks))
-        self.units = placed.drop(*PLACE_COLUMNS)
+        self.placed = cut_lineage(place_units(prepared, [domain], id_col, bootstrap_seed, blocks=blocks))
+        self.units = self.placed.drop(*PLACE_COLUMNS)
         self.keys = [domain, "replicate"]
-        if resamples:
-            drawn = draw(placed, [domain], id_col, resamples=resamples, seed=bootstrap_seed, mode=mode, include_original=True)
-            # Every endpoint reads the copies three to four times.
-            self.copies = pinned_if_small(drawn, 2 * largest * (resamples + 1), 64 + 4 * len(seeds))
-        else:
-            self.copies = self.units.withColumns({"replicate": F.lit(0), "multiplicity": F.lit(1).cast("bigint")})
         # Two domains are compared, so this is the number of samples.
         self.n_samples = 2 * (resamples + 1)
 
+    @cached_property
+    def copies(self) -> DataFrame:
+        if not self.resamples:
+            return self.units.withColumns({"replicate": F.lit(0), "multiplicity": F.lit(1).cast("bigint")})
+        drawn = draw(self.placed, [self.domain], self.id_col, resamples=self.resamples, seed=self.bootstrap_seed, mode=self.mode, include_original=True)
+        # Every endpoint reads the copies three to four times.
+        return pinned_if_small(drawn, 2 * self.largest * (self.resamples + 1), 64 + 4 * self.repeats)
+
     def medians(self) -> DataFrame:
         return leave_fold_out_medians(
             self.copies, self.keys, self.target, repeats=self.repeats, k=self.k, n_samples=self.n_samples
@@ -89,7 +88,18 @@ class Samples:
         return bounded_broadcast(arrays, self.n_samples, 64 + 16 * len(columns) * self.repeats * self.k)
 
     def skills(self, recalibrator: str | None) -> DataFrame:
-        """``(domain, replicate, repeat, model_mae, comparator_mae, skill)``; no recalibrator means as deployed."""
+        """``(domain, replicate, repeat, model_mae, comparator_mae, skill, n_misplaced)``; no recalibrator means as deployed.
+
+        ``n_misplaced`` counts the copies of a replicate whose fold is not that of their unit.
+        """
+        if self.bounded:
+            found = replicate_skills(
+                self.placed, [self.domain], self.id_col, self.target, self.prediction, repeats=self.repeats, k=self.k, recalibrator=recalibrator,
+                resamples=self.resamples, seed=self.bootstrap_seed, mode=self.mode,
+            )
+            return found.select(
+                *self.keys, "repeat", "model_mae", "comparator_mae", skill(F.col("model_mae"), F.col("comparator_mae")).alias("skill"), "n_misplaced"
+            )
         params = self.medians().select(*self.keys, "repeat", "fold", "median")
         columns = ["median"]
         if recalibrator in ("affine_L1", "affine_OLS"):
@@ -122,18 +132,18 @@ class Samples:
         long = wide.select(*self.keys, F.explode(F.array(*rows)).alias("e")).select(*self.keys, "e.*")
         if recalibrator == "isotonic":
             long = long.drop("model_mae").join(self.isotonic_errors(), [*self.keys, "repeat"])
-        return long.select(
-            *self.keys, "repeat", "model_mae", "comparator_mae", skill(F.col("model_mae"), F.col("comparator_mae")).alias("skill")
+        stray = self.integrity_violations().groupBy(*self.keys).agg(F.sum("multiplicity").alias("n_misplaced"))
+        return long.join(stray, self.keys, "left").select(
+            *self.keys, "repeat", "model_mae", "comparator_mae", skill(F.col("model_mae"), F.col("comparator_mae")).alias("skill"),
+            F.coalesce("n_misplaced", F.lit(0)).cast("bigint").alias("n_misplaced"),
         )
 
     def isotonic_errors(self) -> DataFrame:
-        args = (self.copies, self.keys)
-        if self.bounded:
-            return isotonic_errors(*args, self.prediction, self.target, k=self.k)
-        predicted = self.predictions("isotonic")
-        truth = self.copies.select(*self.keys, self.id_col, self.target, "multiplicity")
+        predicted = isotonic_predictions(
+            self.copies, self.keys, [self.target, "multiplicity"], self.prediction, self.target, repeats=self.repeats, k=self.k
+        )
         error = F.sum(F.col("multiplicity") * F.abs(F.col("prediction") - F.col(self.target))) / F.sum("multiplicity")
-        return predicted.join(truth, [*self.keys, self.id_col]).groupBy(*self.keys, "repeat").agg(error.alias("model_mae"))
+        return predicted.groupBy(*self.keys, "repeat").agg(error.alias("model_mae"))
 
     def predictions(self, recalibrator: str) -> DataFrame:
         return crossfit_predictions(
@@ -152,7 +162,7 @@ def replicate_deltas(skills: DataFrame, domain: str, in_domain: str, out_domain:
     return skills.groupBy("replicate").agg(
         F.avg(F.when(F.col(domain) == in_domain, F.col("skill"))).alias("s_id"),
         F.avg(F.when(F.col(domain) == out_domain, F.col("skill"))).alias("s_ood"),
-        F.count_if(F.col("skill").isNull()).alias("n_undefined"),
+        F.count_if(F.col("skill").isNull()).alias("n_undefined"), F.sum("n_misplaced").alias("n_misplaced"),
     ).withColumn("delta", F.col("s_ood") - F.col("s_id"))
 
 
@@ -207,12 +217,12 @@ def summarize_endpoint(
         F.max(F.when(F.col("replicate") == 0, F.col("s_ood"))).alias("s_ood"),
         F.max(F.when(F.col("replicate") == 0, F.col("delta"))).alias("delta"),
         F.percentile(drawn, F.array(F.lit(tail), F.lit(1.0 - tail))).alias("__ci"),
-        F.sum("n_undefined").alias("n_undefined"), F.count(drawn).alias("__drawn"),
+        F.sum("n_undefined").alias("n_undefined"), F.sum("n_misplaced").alias("n_misplaced"), F.count(drawn).alias("__drawn"),
     ).withColumns({"ci_low": F.col("__ci")[0], "ci_high": F.col("__ci")[1]}).drop("__ci")
     positive = "REPLICATED" if recalibrator == "affine_L1" else "POSITIVE"
     judged = recalibrator in (None, "affine_L1")
-    # an undefined skill anywhere, or a replicate without a difference, leaves no verdict to give
-    complete = (F.coalesce("n_undefined", F.lit(1)) == 0) & (F.col("__drawn") >= resamples)
+    # an undefined skill or a misplaced copy anywhere, or a replicate without a difference, leaves no verdict to give
+    complete = (F.coalesce("n_undefined", F.lit(1)) == 0) & (F.coalesce("n_misplaced", F.lit(1)) == 0) & (F.col("__drawn") >= resamples)
     called = F.when(complete, directional_verdict(F.col("ci_low"), F.col("ci_high"), positive)).otherwise(F.lit("INVALID"))
     verdict = called if judged else F.lit(None).cast("string")
     return out.withColumns(

@@ -8,7 +8,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftgauge.operators.ranks import BLOCK, needs_blocks, range_blocks, with_average_rank
-from driftgauge.operators.resample import bootstrap, percentile_interval
+from driftgauge.operators.replicate_blocks import replicate_rank_correlations
+from driftgauge.operators.resample import bootstrap, percentile_interval, place_units
+from driftgauge.session import cut_lineage
 
 
 def regression_metrics(df: DataFrame, group_cols: Sequence[str], target: str, prediction: str) -> DataFrame:
@@ -109,8 +111,14 @@ def competence(
     group_cols = list(group_cols)
     blocks = needs_blocks(units, group_cols)
     slim = units.select(*group_cols, id_col, target, prediction)
-    copies = bootstrap(slim, group_cols, id_col, resamples=resamples, seed=seed, include_original=True, blocks=blocks)
-    table = spearman(copies, [*group_cols, "replicate"], target, prediction, "multiplicity", blocks=blocks)
+    if blocks:
+        copies = cut_lineage(bootstrap(slim, group_cols, id_col, resamples=resamples, seed=seed, include_original=True, blocks=True))
+        table = spearman(copies, [*group_cols, "replicate"], target, prediction, "multiplicity", blocks=True)
+    else:
+        placed = place_units(slim, group_cols, id_col, seed, blocks=False)
+        table = replicate_rank_correlations(placed, group_cols, id_col, target, prediction, resamples=resamples, seed=seed)
+    # a few numbers for each replicate, read three times
+    table = cut_lineage(table)
     point = table.where("replicate = 0").select(*group_cols, "n", F.col("value").alias("rho"))
     drawn = table.where("replicate > 0")
     interval = percentile_interval(drawn, group_cols, "value")

@@ -6,23 +6,27 @@ Tables here are "copies": one row per (keys, unit) with a multiplicity, the unit
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftgauge.session import bounded_broadcast, compute_tasks, cut_lineage, measured_broadcast
+from driftgauge.operators.ranks import BLOCK, range_blocks
+from driftgauge.session import bounded_broadcast, compute_tasks, cut_lineage, measured_broadcast, task_rows
 
 # Least-absolute-deviation fit.
 IRLS_ITERATIONS = 80
 IRLS_EPSILON = 1e-9
 
+# A weighted variance below this share of (1 + squared mean) is that of a constant.
+FLAT = 1e-28
+
 RECALIBRATORS = ("affine_L1", "affine_OLS", "isotonic")
 
 
@@ -103,9 +107,9 @@ def affine_from_sums(
 ) -> tuple[Column, Column]:
     """Intercept and slope of least squares from sums around ``center``; the minimum-norm solution when x is constant."""
     cxx = sxx - sx * sx / n
-    # constant up to the rounding of the sums or of the values themselves
-    flat = (cxx <= F.lit(1e-14) * sxx) | (cxx <= n * F.lit((4e-16 * center[0]) ** 2))
     mean_x, mean_y = F.lit(center[0]) + sx / n, F.lit(center[1]) + sy / n
+    # constant up to the rounding of the sums or of the values themselves
+    flat = (cxx <= F.lit(1e-14) * sxx) | (cxx <= F.lit(FLAT) * n * (1.0 + mean_x * mean_x))
     slope = F.try_divide(sxy - sx * sy / n, cxx)
     norm = 1.0 + mean_x * mean_x
     return (
@@ -114,6 +118,18 @@ def affine_from_sums(
     )
 
 
+def affine_line_from_sums(
+    n: float, sx: float, sy: float, sxx: float, sxy: float, center: tuple[float, float]
+) -> tuple[float, float]:
+    """:func:`affine_from_sums` for numbers."""
+    cxx = sxx - sx * sx / n
+    mean_x, mean_y = center[0] + sx / n, center[1] + sy / n
+    if cxx <= 1e-14 * sxx or cxx <= FLAT * n * (1.0 + mean_x * mean_x):
+        return mean_y / (1.0 + mean_x * mean_x), mean_y * mean_x / (1.0 + mean_x * mean_x)
+    slope = (sxy - sx * sy / n) / cxx
+    return mean_y - slope * mean_x, slope
+
+
 def ols_coefficients(
     copies: DataFrame, keys: Sequence[str], x: str, y: str, *, weight: str = "multiplicity", center: tuple[float, float] | None = None
 ) -> DataFrame:
@@ -149,7 +165,7 @@ def weighted_line(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, f
     mx, my = (w @ x) / total, (w @ y) / total
     dx = x - mx
     cxx = w @ (dx * dx)
-    if cxx <= 1e-28 * max(total * (1.0 + mx * mx), 1e-300):
+    if cxx <= FLAT * total * (1.0 + mx * mx):
         return my / (1.0 + mx * mx), my * mx / (1.0 + mx * mx)
     slope = (w @ (dx * (y - my))) / cxx
     return my - slope * mx, slope
@@ -230,36 +246,41 @@ def _by_repeat(copies: DataFrame, keys: list[str], columns: list[str]) -> Groupe
 
 
 def _l1_distributed(copies: DataFrame, keys: list[str], x: str, y: str, weight: str, iterations: int, eps: float) -> DataFrame:
-    """The same fit when a sample exceeds one task: the only state between steps is the coefficients."""
+    """The same fits when a sample exceeds one task: the only state between steps is the coefficients.
+
+    Each step is one aggregate over all fits at once: residuals are regressed on the distance from the fit's last weighted mean, so large weights do not
+    cancel. The least-squares start is such a step too, so both forms take the same decisions about constant predictors.
+    """
     one = [*keys, "repeat", "fold"]
     data = cut_lineage(copies.select(*keys, x, y, weight, "folds"))
-    current = cut_lineage(ols_coefficients(data, keys, x, y, weight=weight).withColumn("center", F.lit(0.0)))
+    m = F.col(weight)
+    per_fold = data.select(*keys, x, weight, F.posexplode("folds").alias("repeat", "fold")).groupBy(*one).agg(F.sum(m).alias("n"), F.sum(m * F.col(x)).alias("sx"))
+    every = W.partitionBy(*keys, "repeat")
+    outside = per_fold.select(*one, *[(F.sum(c).over(every) - F.col(c)).alias(c) for c in ("n", "sx")]).where("n >= 2")
+    current = cut_lineage(outside.select(
+        *one, F.col("n").alias("n_train"), F.lit(0.0).alias("intercept"), F.lit(0.0).alias("slope"), (F.col("sx") / F.col("n")).alias("center")
+    ))
     n_fits = current.count()
-    for _ in range(iterations):
-        current_side = bounded_broadcast(current, n_fits, 128)
-        # Residuals are regressed on x - center (the last weighted mean), so large weights do not cancel.
-        joined = data.join(current_side, keys).where(F.expr("folds[repeat]") != F.col("fold"))
-        residual = F.col(y) - F.col("intercept") - F.col("slope") * F.col(x)
-        w = F.col(weight) / F.greatest(F.abs(residual), F.lit(eps))
+    residual = F.col(y) - F.col("intercept") - F.col("slope") * F.col(x)
+    for step in range(iterations + 1):
+        joined = data.join(bounded_broadcast(current, n_fits, 128), keys).where(F.expr("folds[repeat]") != F.col("fold"))
+        w = m / F.greatest(F.abs(residual), F.lit(eps)) if step else m
         dx = F.col(x) - F.col("center")
         sums = joined.groupBy(*one, "n_train", "intercept", "slope", "center").agg(
-            F.sum(w).alias("sw"), F.sum(w * dx).alias("sx"), F.sum(w * residual).alias("sr"),
-            F.sum(w * dx * dx).alias("sxx"), F.sum(w * dx * residual).alias("sxr"),
+            F.sum(w).alias("sw"), F.sum(w * dx).alias("sx"), F.sum(w * residual).alias("sr"), F.sum(w * dx * dx).alias("sxx"), F.sum(w * dx * residual).alias("sxr"),
         )
-        cxx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("sw")
-        step = F.when(
-            cxx > F.lit(1e-14) * F.col("sxx"), F.try_divide(F.col("sxr") - F.col("sx") * F.col("sr") / F.col("sw"), cxx)
-        ).otherwise(F.lit(0.0))
-        mean_x = F.col("center") + F.col("sx") / F.col("sw")
+        sw, sx, sr = F.col("sw"), F.col("sx"), F.col("sr")
+        cxx = F.greatest(F.col("sxx") - sx * sx / sw, F.lit(0.0))
+        mean_x = F.col("center") + sx / sw
+        mean_y = sr / sw + F.col("intercept") + F.col("slope") * mean_x
+        flat = cxx <= F.lit(FLAT) * sw * (1.0 + mean_x * mean_x)
+        norm = 1.0 + mean_x * mean_x
+        slope = F.when(flat, mean_y * mean_x / norm).otherwise(F.col("slope") + F.try_divide(F.col("sxr") - sx * sr / sw, cxx))
         current = cut_lineage(
-            sums.select(
-                *one, "n_train",
-                (F.col("intercept") + F.col("sr") / F.col("sw") - step * mean_x).alias("intercept"),
-                (F.col("slope") + step).alias("slope"),
-                mean_x.alias("center"),
-            )
+            sums.select(*one, "n_train", slope.alias("__b"), F.when(flat, mean_y / norm).otherwise(mean_y - slope * mean_x).alias("intercept"), mean_x.alias("center"))
+            .withColumnRenamed("__b", "slope")
         )
-    return current.drop("center")
+    return current.select(*one, "n_train", "intercept", "slope")
 
 
 def training_objectives(copies: DataFrame, keys: Sequence[str], x: str, y: str, coefficients: DataFrame, *, weight: str = "multiplicity") -> DataFrame:
@@ -305,7 +326,7 @@ def crossfit_predictions(
     if recalibrator != "isotonic":
         raise ValueError(f"unknown recalibrator: {recalibrator}")
     if not bounded:
-        return _isotonic_distributed(copies, keys, id_col, x, y, repeats, k, weight)
+        return isotonic_predictions(copies, keys, [id_col], x, y, repeats=repeats, k=k, weight=weight)
     schema = T.StructType(
         [*[copies.schema[key] for key in keys], copies.schema[id_col], T.StructField("repeat", T.IntegerType()),
          T.StructField("fold", T.IntegerType()), T.StructField("prediction", T.DoubleType())]
@@ -331,36 +352,120 @@ def _isotonic_out_of_fold(pdf: pd.DataFrame, x: str, y: str, weight: str, k: int
     return predicted
 
 
-def isotonic_errors(copies: DataFrame, keys: Sequence[str], x: str, y: str, *, k: int, weight: str = "multiplicity") -> DataFrame:
-    """``(keys, repeat, model_mae)`` for samples measured to fit one task."""
+# --- isotonic fits of samples beyond one task -----------------------------------------
+
+def _pool(stack: list[list[float]], level: float, mass: float, first: float, last: float) -> None:
+    """Add a block (level, mass, first x, last x) to the right and pool it with what it violates."""
+    while stack and stack[-1][0] >= level:
+        before = stack.pop()
+        level = (before[0] * before[1] + level * mass) / (before[1] + mass)
+        mass, first = mass + before[1], before[2]
+    stack.append([level, mass, first, last])
+
+
+def _pooled_runs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks ``(keys, repeat, fold, x_first, x_last, mass, level)`` pooled inside every sorted partition.
+
+    The pooled state is what any further pooling needs, so partitions can be pooled in any order.
+    """
+    one = [*keys, "repeat", "fold"]
+    columns = ["x_first", "x_last", "mass", "level"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, stack, schema = None, [], None
+
+        def flushed() -> pa.RecordBatch:
+            heads = [pa.array([v] * len(stack), schema.field(i).type) for i, v in enumerate(head)]
+            values = [pa.array([b[i] for b in stack], pa.float64()) for i in (2, 3, 1, 0)]
+            return pa.RecordBatch.from_arrays([*heads, *values], names=[*one, *columns])
+
+        for batch in batches:
+            schema = batch.schema
+            values = [batch.column(c).to_pylist() for c in [*one, *columns]]
+            for *of, first, last, mass, level in zip(*values):
+                if head != of:
+                    if stack:
+                        yield flushed()
+                    head, stack = of, []
+                _pool(stack, level, mass, first, last)
+        if stack:
+            yield flushed()
+
+    fields = T.StructType([*[rows.schema[c] for c in one], *[T.StructField(c, T.DoubleType()) for c in columns]])
+    return rows.select(*one, *columns).mapInArrow(run, fields)
+
+
+def isotonic_blocks(copies: DataFrame, keys: Sequence[str], x: str, y: str, *, repeats: int, k: int, weight: str = "multiplicity") -> DataFrame:
+    """``(keys, repeat, fold, x_first, x_last, mass, level)``: the pooled blocks of the isotonic fit outside each fold, all fits at once.
+
+    Copies of equal x are averaged for each fit, sorted by ranges of (fit, x) and pooled inside every range. Blocks that still violate the order across the end of a
+    range are pooled in further rounds over fewer, shifted ranges. Pooling adjacent violators gives the same fit in any
+    order, so the rounds end with the fit of the whole sample; no task sees more than a range and the driver sees two counts a round.
+    """
     keys = list(keys)
-    one = [*keys, "repeat"]
-    schema = T.StructType([*[copies.schema[key] for key in keys], T.StructField("repeat", T.IntegerType()), T.StructField("model_mae", T.DoubleType())])
-
-    def errors(pdf: pd.DataFrame) -> pd.DataFrame:
-        ys, ms = pdf[y].to_numpy(np.float64), pdf[weight].to_numpy(np.float64)
-        predicted = _isotonic_out_of_fold(pdf, x, y, weight, k)
-        mae = float(ms @ np.abs(predicted - ys) / ms.sum())
-        return pd.DataFrame([(*[pdf[key].iloc[0] for key in one], mae)], columns=[*one, "model_mae"])
-
-    return _by_repeat(copies, keys, [x, y, weight]).applyInPandas(errors, schema)
-
-
-def _isotonic_distributed(copies: DataFrame, keys: list[str], id_col: str, x: str, y: str, repeats: int, k: int, weight: str) -> DataFrame:
-    """One MLlib isotonic fit per (sample, repeat, fold), each itself distributed."""
-    data = cut_lineage(copies.select(*keys, id_col, x, y, F.col(weight).cast("double").alias(weight), "folds"))
-    assembled = VectorAssembler(inputCols=[x], outputCol="__x").transform(data)
-    model = IsotonicRegression(featuresCol="__x", labelCol=y, weightCol=weight, predictionCol="prediction")
-    out: DataFrame | None = None
-    for sample in data.select(*keys).distinct().toLocalIterator():
-        mine = assembled
-        for key in keys:
-            mine = mine.where(F.col(key) == F.lit(sample[key]))
-        for r in range(repeats):
-            for f in range(k):
-                own = F.element_at("folds", r + 1) == f
-                part = model.fit(mine.where(~own)).transform(mine.where(own)).select(
-                    *keys, id_col, F.lit(r).alias("repeat"), F.lit(f).alias("fold"), "prediction"
-                )
-                out = part if out is None else out.unionByName(part)
-    return out
+    one = [*keys, "repeat", "fold"]
+    spark = copies.sparkSession
+    m = F.col(weight).cast("double")
+    own = copies.select(*keys, x, m.alias("m"), (m * F.col(y)).alias("t"), F.posexplode("folds").alias("repeat", "fold"))
+    knots = own.groupBy(*keys, x, "repeat").agg(
+        F.sum("m").alias("m"), F.sum("t").alias("t"), *[F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0.0)).alias(f"{c}{f}") for f in range(k) for c in "mt"]
+    )
+    fits = F.explode(F.array(*[
+        F.struct(F.lit(f).alias("fold"), (F.col("m") - F.col(f"m{f}")).alias("mass"), (F.col("t") - F.col(f"t{f}")).alias("total")) for f in range(k)
+    ])).alias("e")
+    # whole multiplicities subtract exactly
+    rows = knots.select(*keys, "repeat", F.col(x).cast("double").alias("x_first"), fits).where("e.mass > 0").select(
+        *keys, "repeat", "e.fold", "x_first", F.col("x_first").alias("x_last"), "e.mass", (F.col("e.total") / F.col("e.mass")).alias("level")
+    )
+    limit, turn = task_rows(spark), 0
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    while True:
+        ranged = rows.repartitionByRange(parts, *one, "x_first").sortWithinPartitions(*one, "x_first")
+        rows = cut_lineage(_pooled_runs(ranged, keys).withColumn(BLOCK, F.spark_partition_id()))
+        ends = rows.groupBy(*one, BLOCK).agg(F.min_by("level", "x_first").alias("left"), F.max_by("level", "x_first").alias("right"), F.count("*").alias("n"))
+        beside = F.lag("right").over(W.partitionBy(*one).orderBy(BLOCK))
+        total, open_ends = ends.withColumn("before", beside).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("before") >= F.col("left"))).first()
+        rows = rows.drop(BLOCK)
+        if not open_ends:
+            return rows
+        turn += 1
+        # another number of ranges moves their ends
+        parts = max(1, min(parts, math.ceil(total / limit))) + turn % 2
+
+
+def isotonic_predictions(
+    copies: DataFrame, keys: Sequence[str], carry: Sequence[str], x: str, y: str, *, repeats: int, k: int, weight: str = "multiplicity"
+) -> DataFrame:
+    """``(keys, carry, repeat, fold, prediction)``: out-of-fold isotonic predictions, linear between the blocks and constant beyond them.
+
+    Blocks and the rows that ask are sorted together by ranges of (fit, x); a row takes the last block before it and the first after it, from its own range or,
+    by one number a fit and range, from the nearest range that has one.
+    """
+    keys = list(keys)
+    one = [*keys, "repeat", "fold"]
+    blocks = isotonic_blocks(copies, keys, x, y, repeats=repeats, k=k, weight=weight)
+    asks = copies.select(*keys, F.struct(*carry).alias("__ask"), F.col(x).cast("double").alias("__x"), F.posexplode("folds").alias("repeat", "fold"))
+    block = F.struct("x_first", "x_last", "level")
+    both = blocks.select(*one, F.col("x_first").alias("__x"), F.lit(0).alias("__asks"), block.alias("__b"), F.lit(None).cast(asks.schema["__ask"].dataType).alias("__ask"))
+    both = both.unionByName(asks.select(*one, "__x", F.lit(1).alias("__asks"), F.lit(None).cast(both.schema["__b"].dataType).alias("__b"), "__ask"))
+    pinned = range_blocks(both, [*one, "__x", "__asks"])
+    inside = W.partitionBy(*one, BLOCK).orderBy("__x", "__asks")
+    ends = pinned.where("__asks = 0").groupBy(*one, BLOCK).agg(F.min_by("__b", "__x").alias("left"), F.max_by("__b", "__x").alias("right"))
+    every = pinned.select(*one, BLOCK).distinct().join(ends, [*one, BLOCK], "left")
+    across = W.partitionBy(*one).orderBy(BLOCK)
+    carried = every.select(
+        *one, BLOCK,
+        F.last("right", ignorenulls=True).over(across.rowsBetween(W.unboundedPreceding, -1)).alias("__left"),
+        F.first("left", ignorenulls=True).over(across.rowsBetween(1, W.unboundedFollowing)).alias("__right"),
+    )
+    placed = pinned.withColumns({
+        "__p": F.last("__b", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)),
+        "__q": F.first("__b", ignorenulls=True).over(inside.rowsBetween(W.currentRow, W.unboundedFollowing)),
+    }).where("__asks = 1").join(measured_broadcast(cut_lineage(carried)), [*one, BLOCK])
+    p, q, at = F.coalesce("__p", "__left"), F.coalesce("__q", "__right"), F.col("__x")
+    share = (at - p["x_last"]) / (q["x_first"] - p["x_last"])
+    prediction = (
+        F.when(p.isNull(), q["level"]).when((at <= p["x_last"]) | q.isNull(), p["level"])
+        .otherwise(p["level"] + share * (q["level"] - p["level"]))
+    )
+    return placed.select(*keys, "__ask.*", "repeat", "fold", prediction.alias("prediction"))

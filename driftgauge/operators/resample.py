@@ -257,12 +257,23 @@ def bootstrap(
     return draw(placed, group_cols, id_col, resamples=resamples, seed=seed, mode=mode, include_original=include_original)
 
 
-def _poisson_one(u: Column) -> Column:
-    """Inverse of the Poisson(1) distribution function; the tail beyond 17 is below 2**-52."""
-    weight, total, expr = 0.36787944117144233, 0.0, None
+def _poisson_totals() -> tuple[float, ...]:
+    weight, total, out = 0.36787944117144233, 0.0, []
     for count in range(18):
         total += weight
         weight /= count + 1
+        out.append(total)
+    return tuple(out)
+
+
+# Distribution function of Poisson(1) at 0..17; the tail beyond is below 2**-52.
+POISSON_TOTALS = _poisson_totals()
+
+
+def _poisson_one(u: Column) -> Column:
+    """Inverse of the Poisson(1) distribution function."""
+    expr = None
+    for count, total in enumerate(POISSON_TOTALS):
         test = u < F.lit(total)
         expr = F.when(test, F.lit(count)) if expr is None else expr.when(test, F.lit(count))
     return expr.otherwise(F.lit(18)).cast("bigint")
