@@ -53,37 +53,43 @@ def with_pivots(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "vec_id bigint, v array<int>, norm double, far array<double>, near int, near_far double")
 
 
-def _above(norms: np.ndarray, apart: np.ndarray) -> np.ndarray:
-    """Upper bounds of scores; widened by far more than the rounding of distances."""
-    apart = np.maximum(apart - 1e-7 * np.sqrt(norms), 0)
+def _above(norms: np.ndarray, apart: np.ndarray, longest: float) -> np.ndarray:
+    """Upper bounds of scores; widened by far more than the rounding of distances to the pivots (at most some 2^-22 of them)."""
+    apart = np.maximum(apart - 4e-6 * (apart + np.sqrt(norms) + longest), 0)
     return (norms - apart**2) / 2 + 1e-9 * norms + 0.5
 
 
-def _cell(width: int, count: int, k: int):
+def _cell(width: int, count: int, k: int, longest: float):
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         asks, rows = exact(matrix(a, "v", width), matrix(b, "v", width))
-        ask_far, row_far = matrix(a, "far", count), np.ascontiguousarray(matrix(b, "far", count).T)
+        ask_far, row_far = matrix(a, "far", count, np.float32), np.ascontiguousarray(matrix(b, "far", count, np.float32).T)
         ask_norm, row_norm = np.asarray(a.column("norm")), np.asarray(b.column("norm"))
         ask_row, row_row, tie = np.asarray(a.column("row")), np.asarray(b.column("row")), ids(b)
         unknown = np.asarray(b.column("vec_id").is_null())
         least = np.asarray(a.column("least"))
         out_ask, out_id, out_null, out_score = [], [], [], []
+        apart, gap = np.zeros(len(rows), np.float32), np.zeros(len(rows), np.float32)
         for i in range(len(asks)):
-            apart = np.zeros(len(rows))
+            apart[:] = 0
             for p in range(count):
-                np.maximum(apart, np.abs(row_far[p] - ask_far[i, p]), out=apart)
-            bound = _above(ask_norm[i] + row_norm, apart)
-            open_ = np.flatnonzero((bound >= least[i]) & (row_row != ask_row[i]))
-            open_ = open_[np.argsort(-bound[open_], kind="stable")]
-            got, got_score, kth, start, size = np.zeros(0, np.int64), np.zeros(0, np.int64), least[i], 0, 4 * k
-            while start < len(open_) and bound[open_[start]] >= kth:
-                part = open_[start : start + size]
-                got, got_score = np.concatenate([got, part]), np.concatenate([got_score, (rows[part] @ asks[i]).astype(np.int64)])
+                np.subtract(row_far[p], ask_far[i, p], out=gap)
+                np.abs(gap, out=gap)
+                np.maximum(apart, gap, out=apart)
+            bound = _above(ask_norm[i] + row_norm, apart.astype(np.float64), longest)
+            kth, size = least[i], 4 * k
+            open_ = np.flatnonzero((bound >= kth) & (row_row != ask_row[i]))
+            got, got_score = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            # rows with the highest bounds first, until the best bound left is below the k-th score
+            while len(open_):
+                ahead = np.argpartition(-bound[open_], size) if len(open_) > size else np.arange(len(open_))
+                part, rest = open_[ahead[:size]], open_[ahead[size:]]
+                value = (rows @ asks[i])[part] if 4 * len(part) > len(rows) else rows[part] @ asks[i]
+                got, got_score = np.concatenate([got, part]), np.concatenate([got_score, value.astype(np.int64)])
                 keep = first_k(got_score, tie[got], k)
                 got, got_score = got[keep], got_score[keep]
                 if len(got) == k:
                     kth = max(kth, float(got_score[-1]))
-                start, size = start + size, min(2 * size, 4096)
+                open_, size = rest[bound[rest] >= kth], 16 * size
             out_ask.append(np.full(len(got), i))
             out_id.append(tie[got])
             out_null.append(unknown[got])
@@ -117,7 +123,9 @@ def top_k(
     summary = ZoneMap(zones(rows.select("block", F.concat("far", F.array("norm")).alias("far")), "far", pivots + 1), pivots + 1)
     asks = rows.where(asking).select("block", "row", "vec_id", "v", "norm", "far", F.lit(float("-inf")).alias("least"))
     rows = rows.select("block", "row", "vec_id", "v", "norm", "far")
-    cell = _cell(width, pivots, k)
+    # no distance to a pivot is longer than the norms of both together
+    longest = float(np.sqrt((chosen**2).sum(axis=1)).max())
+    cell = _cell(width, pivots, k, longest)
     home = stored(meet(asks, rows, summary, cell, FOUND), "search-home")
     known = home.groupBy("ask").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("kth"))
     known = asks.join(known, asks["row"] == known["ask"], "left").withColumn("least", F.coalesce("kth", "least")).drop("ask", "kth")
@@ -130,7 +138,7 @@ def top_k(
             np.maximum(apart, far[:, p, None] - zone_map.hi[None, :, p], out=apart)
         # a nearer row of smaller norm is bounded too, as the bound grows with the norm
         norms = np.asarray(batch.column("norm"))[:, None] + zone_map.hi[None, :, pivots]
-        return _above(norms, apart) >= np.asarray(batch.column("least"))[:, None]
+        return _above(norms, apart, longest) >= np.asarray(batch.column("least"))[:, None]
 
     visits = stored(choose(known, summary, wanted), "search-visits")
     found = home.unionByName(meet(visits, rows, summary, cell, FOUND))
