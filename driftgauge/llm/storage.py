@@ -10,4 +10,14 @@ def stored(df: DataFrame, name: str, *folders: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder, by ``folders`` of those columns, and read it back; survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.partitionBy(*folders).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path  # noqa: SLF001
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more: what was made from them has been written."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._stored_at)  # noqa: SLF001
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
