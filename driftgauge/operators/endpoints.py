@@ -198,6 +198,8 @@ def shift_endpoint(
     and the least-absolute-deviation endpoint carry a verdict. Repeated ids, nulls and values that
     are not finite are refused.
     """
+    # the source is read once; the contract and everything after start from what was read
+    units = cut_lineage(units.select(domain, id_col, target, prediction))
     refuse_unusable(units, domain, id_col, [target, prediction])
     samples = Samples(
         units, domain, id_col, target, prediction, seeds=seeds, k=k, resamples=resamples, bootstrap_seed=bootstrap_seed, mode=mode

@@ -8,14 +8,16 @@ a partition into positions inside the group. The size is measured, never assumed
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftgauge.functions import hash60
-from driftgauge.session import cut_lineage, task_rows
+from driftgauge.session import bounded_broadcast, cut_lineage, task_rows
 
 BLOCK = "__block"
 
@@ -227,6 +229,70 @@ def hash_positions(
     )
 
 
+def boundary_keys(df: DataFrame, id_col: str, seeds: Sequence[int], cuts: Sequence[Column], largest: int) -> DataFrame:
+    """``(__code, bounds)``: for each group of ``df(__code, __n, id)`` and seed, the rows at the places ``cuts`` of the order by hash, as ``bounds[seed][cut]`` of (key, id).
+
+    Counts per bucket of leading hash bits, combined before the shuffle, give the bucket that holds each place; only the rows of those
+    buckets are ordered. Buckets beyond a task's rows are cut by their next bits until they are not. ``cuts`` are expressions of ``__n``.
+    """
+    limit, shift = task_rows(df.sparkSession), 60 - max(0, min(16, math.ceil(math.log2(max(1, largest / 4096)))))
+    tagged = df.select("__code", "__n", id_col, F.posexplode(F.array(*[F.lit(int(s)) for s in seeds])).alias("__repeat", "__seed"))
+    keyed = tagged.select("__code", "__n", "__repeat", id_col, hash60("__seed", id_col).alias("__key"))
+    one = ["__code", "__repeat"]
+    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("cut"), c.cast("bigint").alias("place")) for i, c in enumerate(cuts)])).alias("w")
+    held, base = keyed, None
+    while True:
+        prefix = F.shiftright("__key", shift)
+        keep = [] if base is None else ["__within", "__base"]
+        counts = held.groupBy(*one, *keep, prefix.alias("__bucket")).agg(F.count(F.lit(1)).alias("n"), F.first("__n").alias("__n"))
+        before = F.coalesce(F.sum("n").over(W.partitionBy(*one, *keep[:1]).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        placed = counts.withColumn("offset", before + (F.col("__base") if keep else F.lit(0)))
+        targets = placed.select(*one, "__bucket", "offset", "n", wanted).where("w.place >= offset and w.place < offset + n")
+        targets = cut_lineage(targets.select(*one, "__bucket", "offset", "n", "w.*"))
+        most = targets.agg(F.max("n"), F.count("*")).first()
+        buckets = bounded_broadcast(targets.select(*one, F.col("__bucket").alias("__within"), F.col("offset").alias("__base")).distinct(), most[1], 64)
+        held = keyed.withColumn("__within", prefix).join(buckets, [*one, "__within"])
+        if (most[0] or 0) <= limit or not shift:
+            break
+        base, shift = True, max(0, shift - 16)
+    inside = W.partitionBy(*one, "__within").orderBy("__key", id_col)
+    ranked = held.withColumn("place", F.col("__base") + F.row_number().over(inside) - 1)
+    found = ranked.join(bounded_broadcast(targets.select(*one, "cut", "place"), most[1], 64), [*one, "place"])
+    rows = found.groupBy(*one).agg(F.sort_array(F.collect_list(F.struct("cut", F.col("__key").alias("key"), F.col(id_col).alias("id")))).alias("b"))
+    return rows.groupBy("__code").agg(F.transform(F.sort_array(F.collect_list(F.struct("__repeat", "b"))), lambda e: e["b"]).alias("bounds"))
+
+
+def parts_by_boundaries(df: DataFrame, group_cols: Sequence[str], id_col: str, seeds: Sequence[int], cuts: Callable[[Column], Sequence[Column]], parts_col: str) -> DataFrame | None:
+    """``df`` with ``parts_col``: per seed the number of cuts before the row in the order by hash of its group; None with too many groups for a lookup.
+
+    Only boundaries are looked for and compared with, so no order of all rows is made and nothing of their number is shuffled.
+    """
+    sizes = group_sizes(df, group_cols)
+    if sizes is None:
+        return None
+    spark, group_cols = df.sparkSession, list(group_cols)
+    schema = T.StructType([*[T.StructField(f"__g{i}", df.schema[c].dataType) for i, c in enumerate(group_cols)], T.StructField("__code", T.IntegerType()), T.StructField("__n", T.LongType())])
+    lookup = spark.createDataFrame([(*key, code, n) for code, (key, n) in enumerate(sizes.items())], schema)
+    same = F.lit(True)
+    for i, c in enumerate(group_cols):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    # at most a thousand groups
+    coded = df.join(F.broadcast(lookup), same).drop(*(f"__g{i}" for i in range(len(group_cols))))
+    wanted = cuts(F.col("__n"))
+    bounds = boundary_keys(coded.select("__code", "__n", id_col), id_col, seeds, wanted, max(sizes.values(), default=0))
+    bounds = bounded_broadcast(bounds.withColumnRenamed("__code", "__of"), len(sizes) * len(seeds) * len(wanted), 128)
+    keys = coded.withColumn("__keys", F.array(*[hash60(F.lit(int(s)), id_col) for s in seeds])).join(bounds, F.col("__code") == F.col("__of"))
+
+    def part(r: int) -> Column:
+        own, out = F.col("__keys")[r], F.lit(0)
+        for j in range(len(wanted)):
+            at = F.col("bounds")[r][j]
+            out = out + ((own > at["key"]) | ((own == at["key"]) & (F.col(id_col) > at["id"]))).cast("int")
+        return out
+
+    return keys.withColumn(parts_col, F.array(*[part(r) for r in range(len(seeds))])).drop("__keys", "__code", "__n", "__of", "bounds")
+
+
 def medians(df: DataFrame, group_cols: Sequence[str], value_cols: Sequence[str], *, blocks: bool | None = None) -> DataFrame:
     """Exact medians of several columns, ``median_<column>``."""
     group_cols = list(group_cols)

@@ -179,6 +179,25 @@ def lad_line(x: np.ndarray, y: np.ndarray, m: np.ndarray, iterations: int = IRLS
     return float(a), float(b)
 
 
+def lad_lines(x: np.ndarray, y: np.ndarray, weights: np.ndarray, iterations: int = IRLS_ITERATIONS, eps: float = IRLS_EPSILON) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`lad_line` for several fits to the same points at once; each row of ``weights`` is a fit, zero where a point takes no part."""
+    w, a, b = weights, None, None
+    for step in range(iterations + 1):
+        if step:
+            w = weights / np.maximum(np.abs(y - a[:, None] - b[:, None] * x), eps)
+        total = w.sum(axis=1)
+        mx, my = (w @ x) / total, (w @ y) / total
+        dx = x - mx[:, None]
+        wdx = w * dx
+        cxx = (wdx * dx).sum(axis=1)
+        flat = cxx <= FLAT * total * (1.0 + mx * mx)
+        slope = (wdx * (y - my[:, None])).sum(axis=1) / np.where(flat, 1.0, cxx)
+        norm = 1.0 + mx * mx
+        b = np.where(flat, my * mx / norm, slope)
+        a = np.where(flat, my / norm, my - slope * mx)
+    return a, b
+
+
 def pool_adjacent(x: np.ndarray, y: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Isotonic regression: knots and fitted values. Equal x are averaged first."""
     knots, where = np.unique(x, return_inverse=True)

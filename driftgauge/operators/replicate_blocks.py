@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftgauge.operators.recalibrate import affine_line_from_sums, lad_line, pool_adjacent
+from driftgauge.operators.recalibrate import affine_line_from_sums, lad_lines, pool_adjacent
 from driftgauge.operators.resample import POISSON_TOTALS
 from driftgauge.session import compute_tasks
 
 LOW_60 = (1 << 60) - 1
 PAIRS_PER_BLOCK = 64
+# points times fits that are worked on at once
+FIT_CELLS = 1 << 15
 
 # what a replicate gives: a list of rows for its multiplicities
 PerReplicate = Callable[[np.ndarray], list[tuple]]
@@ -138,17 +140,25 @@ def _fitted(x: np.ndarray, y: np.ndarray, m: np.ndarray, folds: np.ndarray, k: i
         return a[folds] + b[folds] * x
     for f in range(k):
         held = folds == f
-        train = ~held
-        if not held.any() or m[train].sum() < (2 if recalibrator == "affine_L1" else 1):
-            continue
-        if recalibrator == "affine_L1":
-            a, b = lad_line(x[train], y[train], m[train])
-            predicted[held] = a + b * x[held]
-        else:
-            predicted[held] = np.interp(x[held], *pool_adjacent(x[train], y[train], m[train]))
+        if held.any() and m[~held].sum() >= 1:
+            predicted[held] = np.interp(x[held], *pool_adjacent(x[~held], y[~held], m[~held]))
     return predicted
 
 
+def _l1_predictions(x: np.ndarray, y: np.ndarray, m: np.ndarray, folds: np.ndarray, k: int) -> np.ndarray:
+    """Predictions (repeats x units) of the least-absolute-deviation lines outside each fold; small samples take many fits at once."""
+    fits = [(r, f) for r in range(len(folds)) for f in range(k)]
+    lines, batch = np.full((2, len(folds), k), np.nan), max(1, FIT_CELLS // max(1, len(x)))
+    for start in range(0, len(fits), batch):
+        part = fits[start : start + batch]
+        weights = np.stack([np.where(folds[r] == f, 0.0, m) for r, f in part])
+        enough = weights.sum(axis=1) >= 2
+        if enough.any():
+            rows, cols = np.array([p for p, e in zip(part, enough) if e]).T
+            lines[:, rows, cols] = lad_lines(x, y, weights[enough])
+    return np.stack([lines[0, r][folds[r]] + lines[1, r][folds[r]] * x for r in range(len(folds))])
+
+
 SKILL_FIELDS = (
     T.StructField("repeat", T.IntegerType()), T.StructField("model_mae", T.DoubleType()), T.StructField("comparator_mae", T.DoubleType()),
     T.StructField("n_misplaced", T.LongType()),
@@ -177,6 +187,7 @@ def replicate_skills(
             held = np.flatnonzero(m)
             rows, total = [], m.sum()
             my, mx, mm = y[held], x[held], m[held]
+            lines = _l1_predictions(mx, my, mm, np.clip(folds[:, held], 0, k - 1), k) if recalibrator == "affine_L1" else None
             for r in range(repeats):
                 of = folds[r, held]
                 stray = int(mm[(of < 0) | (of >= k)].sum())
@@ -189,7 +200,8 @@ def replicate_skills(
                 if recalibrator is None:
                     model = float(mm @ deployed[held]) / total if total else math.nan
                 else:
-                    model = float(mm @ np.abs(_fitted(mx, my, mm, of, k, recalibrator, center) - my)) / total if total else math.nan
+                    fitted = lines[r] if lines is not None else _fitted(mx, my, mm, of, k, recalibrator, center)
+                    model = float(mm @ np.abs(fitted - my)) / total if total else math.nan
                 sound = not (math.isnan(model) or math.isnan(comparator))
                 rows.append((r, model if sound else None, comparator if sound else None, stray))
             return rows

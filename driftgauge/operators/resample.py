@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from driftgauge.functions import hash_uniform
 from driftgauge.operators.audit import key_reconcile
 from driftgauge.operators.contracts import ContractError, value_violations, violation
-from driftgauge.operators.ranks import group_sizes, hash_positions, needs_blocks, quantiles
+from driftgauge.operators.ranks import group_sizes, hash_positions, needs_blocks, parts_by_boundaries, quantiles
 from driftgauge.session import compute_tasks, measured_broadcast
 
 # Resampling protocol.
@@ -35,6 +35,11 @@ def fold_of(position: Column, size: Column, k: int) -> Column:
     return F.when(position < cut, early).otherwise(late).cast("int")
 
 
+def _fold_end(size: Column, folds: int, k: int) -> Column:
+    """Place of the last row of the first ``folds`` of ``k`` folds."""
+    return F.lit(folds) * F.floor(size / F.lit(k)) + F.least(F.lit(folds), size % F.lit(k)) - 1
+
+
 def repeated_folds(
     units: DataFrame,
     group_cols: Sequence[str],
@@ -47,9 +52,13 @@ def repeated_folds(
 ) -> DataFrame:
     """Attach an array with one fold number per seed; each repeat is an independent balanced K-fold.
 
-    Repeats are ordered in parallel; ids must be unique inside their group.
+    The k-1 rows where the folds of a repeat end are selected from counts of hash buckets, and every row is compared with them in one narrow pass.
+    Ids must be unique inside their group. With over a thousand groups, whole groups are ordered instead.
     """
     group_cols = list(group_cols)
+    found = parts_by_boundaries(units, group_cols, id_col, seeds, lambda n: [_fold_end(n, j, k) for j in range(1, k)], folds_col)
+    if found is not None:
+        return found
     if blocks is None:
         blocks = needs_blocks(units, group_cols)
     tagged = units.select(

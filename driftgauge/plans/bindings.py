@@ -13,7 +13,7 @@ from driftgauge.functions import hash60, hash_uniform
 from driftgauge.session import cut_lineage
 
 IN_DOMAIN, OUT_DOMAIN = "ID", "OOD"
-SEEDS_2 = (2026, 2027)
+SEEDS = tuple(range(2026, 2036))
 
 # SQL macros of the hash functions.
 SQL_HASH60 = "('0x' || substr(md5({0}), 1, 15))::BIGINT"
@@ -76,6 +76,23 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scored_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored units from suppliers: few enough for SQL to follow the whole protocol of 10 repeats and 2,000 replicates.
+
+    A hash below one unit of the balance keeps the values off a decimal grid, on which rounded results would tie.
+    """
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").alias("n_nationkey"))
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("r_regionkey"))
+    region = table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("grp"))
+    u = hash_uniform("unit_id")
+    is_id = F.col("grp").isin("AFRICA", "AMERICA")
+    units = supplier.join(nation, "n_nationkey").join(region, "r_regionkey").select(F.col("s_suppkey").cast("string").alias("unit_id"), "grp", "s_acctbal")
+    return units.select("unit_id", "grp", ((F.col("s_acctbal") + 1000 + hash_uniform(F.lit("cents"), "unit_id")) / 11001).alias("q_true")).select(
+        "unit_id", "grp", F.when(is_id, F.lit(IN_DOMAIN)).otherwise(F.lit(OUT_DOMAIN)).alias("domain"), "q_true",
+        F.when(is_id, 0.25 + 0.5 * F.col("q_true") + 0.2 * (u - 0.5)).otherwise(0.40 + 0.3 * F.col("q_true") + 0.3 * (u - 0.5)).alias("q_hat"),
+    )
+
+
 def role_of(id_col: str):
     """Half training, a quarter calibration, a quarter evaluation, by hash of the key."""
     bucket = F.pmod(hash60(F.lit("role"), id_col), F.lit(4))
@@ -100,7 +117,21 @@ scored AS (
 """
 
 
-def sql_folds(source: str, seeds: tuple[int, ...] = SEEDS_2, k: int = 5, keep: str = "") -> str:
+SQL_SUPPLIERS = f"""
+scored0 AS (
+  SELECT s_suppkey::VARCHAR AS unit_id, r_name AS grp, (s_acctbal + 1000 + {sql_uniform("concat_ws(':', 'cents', s_suppkey::VARCHAR)")}) / 11001 AS q_true
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+),
+scored AS (
+  SELECT unit_id, grp, CASE WHEN grp IN ('AFRICA', 'AMERICA') THEN 'ID' ELSE 'OOD' END AS domain, q_true,
+    CASE WHEN grp IN ('AFRICA', 'AMERICA') THEN 0.25::DOUBLE + 0.5::DOUBLE * q_true + 0.2::DOUBLE * ({sql_uniform('unit_id')} - 0.5::DOUBLE)
+         ELSE 0.40::DOUBLE + 0.3::DOUBLE * q_true + 0.3::DOUBLE * ({sql_uniform('unit_id')} - 0.5::DOUBLE) END AS q_hat
+  FROM scored0
+)
+"""
+
+
+def sql_folds(source: str, seeds: tuple[int, ...] = SEEDS, k: int = 5, keep: str = "") -> str:
     """CTE ``folds(domain, unit_id, repeat, fold)`` over ``source``."""
     seed_rows = ", ".join(f"({i}, {s})" for i, s in enumerate(seeds))
     return f"""
@@ -210,7 +241,10 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftgauge.functions import argmax_index
 
     p = probabilities(spark, sf_dir).withColumn("pred", argmax_index("p"))
-    ref = p.select((F.col("case_id") - 1).alias("case_id"), "x", "y", "z", F.col("pred").alias("ref"))
+    # the last case is followed by the first
+    ends = F.broadcast(table(spark, sf_dir, "embeddings").agg(F.min("vec_id").alias("__least"), F.max("vec_id").alias("__most")))
+    before = F.when(F.col("case_id") == F.col("__least"), F.col("__most")).otherwise(F.col("case_id") - 1)
+    ref = p.join(ends).select(before.alias("case_id"), "x", "y", "z", F.col("pred").alias("ref"))
     intensity = F.when(F.pmod(hash60("case_id", "x", "y"), F.lit(4)) == 0, F.lit(0.0)).otherwise(hash_uniform("case_id", "y", "x") + 0.5)
     return p.join(ref, ["case_id", "x", "y", "z"]).withColumn("intensity", intensity)
 
@@ -237,6 +271,7 @@ elements AS (
   SELECT a.*, b.pred AS ref,
     CASE WHEN {sql_hash("concat_ws(':', a.case_id::VARCHAR, a.x::VARCHAR, a.y::VARCHAR)")} % 4 = 0 THEN 0.0
          ELSE {sql_uniform("concat_ws(':', a.case_id::VARCHAR, a.y::VARCHAR, a.x::VARCHAR)")} + 0.5 END AS intensity
-  FROM labelled a JOIN labelled b ON b.case_id = a.case_id + 1 AND b.x = a.x AND b.y = a.y
+  FROM labelled a JOIN labelled b ON b.case_id = CASE WHEN a.case_id = (SELECT max(vec_id) FROM embeddings) THEN (SELECT min(vec_id) FROM embeddings) ELSE a.case_id + 1 END
+    AND b.x = a.x AND b.y = a.y
 )
 """

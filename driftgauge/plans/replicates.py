@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 
 from driftgauge.operators import summaries
 from driftgauge.operators.resample import bootstrap
-from driftgauge.plans.bindings import SQL_SCORED, scored, sql_bootstrap
+from driftgauge.plans.bindings import SQL_SCORED, SQL_SUPPLIERS, scored_suppliers, sql_bootstrap
 from driftgauge.plans.intake import SQL_LEDGER, ledger_rows
 from driftgauge.plans.registry import query
 
-B = 20
+B = 2000
 
 
 def rounded(df, *columns, digits=6):
@@ -25,7 +25,7 @@ vals AS (SELECT cell, replicate, metric, value FROM wide UNPIVOT (value FOR metr
 
 def replicate_values(spark, sf_dir, seed=2026):
     """``(cell, replicate, metric, value)``: weighted errors of each region in each replicate."""
-    units = scored(spark, sf_dir).select("domain", "unit_id", F.col("grp").alias("cell"), (F.col("q_hat") - F.col("q_true")).alias("e"))
+    units = scored_suppliers(spark, sf_dir).select("domain", "unit_id", F.col("grp").alias("cell"), (F.col("q_hat") - F.col("q_true")).alias("e"))
     copies = bootstrap(units, ["domain"], "unit_id", resamples=B, seed=seed)
     m = F.col("multiplicity")
     wide = copies.groupBy("cell", "replicate").agg(
@@ -37,7 +37,7 @@ def replicate_values(spark, sf_dir, seed=2026):
 SQL_SUMMARY = """SELECT cell, metric, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS sd, quantile_cont(value, 0.025) AS p2_5, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.975) AS p97_5 FROM {v} GROUP BY 1, 2"""
 
 
-@query("L1_replicate_summary", f"""WITH {SQL_SCORED}, {sql_bootstrap('scored', B)}, {SQL_VALUES}, s AS ({SQL_SUMMARY.format(v='vals')})
+@query("L1_replicate_summary", f"""WITH {SQL_SUPPLIERS}, {sql_bootstrap('scored', B)}, {SQL_VALUES}, s AS ({SQL_SUMMARY.format(v='vals')})
 SELECT cell, metric, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(p2_5, 6) AS p2_5, round(p50, 6) AS p50, round(p97_5, 6) AS p97_5 FROM s""")
 def replicate_summary(spark, sf_dir):
     out = summaries.replicate_summary(replicate_values(spark, sf_dir), ["cell", "metric"], "value")
@@ -52,7 +52,7 @@ def _renamed(sql: str, suffix: str) -> str:
     return sql
 
 
-@query("L2_bias_vs_reference", f"""WITH {SQL_SCORED}, {sql_bootstrap('scored', B)}, {SQL_VALUES}, s AS ({SQL_SUMMARY.format(v='vals')}),
+@query("L2_bias_vs_reference", f"""WITH {SQL_SUPPLIERS}, {sql_bootstrap('scored', B)}, {SQL_VALUES}, s AS ({SQL_SUMMARY.format(v='vals')}),
 {_renamed(sql_bootstrap('scored', B, 7) + ',' + SQL_VALUES, '_ref')}, r AS ({SQL_SUMMARY.format(v='vals_ref')})
 SELECT s.cell, s.metric, s.n, r.n AS n_ref, round(s.mean, 6) AS mean, round(r.mean, 6) AS mean_ref, round(s.mean - r.mean, 6) AS bias, round(sqrt(s.sd * s.sd / s.n + r.sd * r.sd / r.n), 6) AS mcse
 FROM s JOIN r ON r.cell = s.cell AND r.metric = s.metric""")
@@ -67,7 +67,7 @@ FLAGS = ("below_zero", "above_zero", "covers_reference", "covers_zero")
 SQL_RATES = ", ".join(f"round(avg({f}), 6) AS {f}, round(sqrt(avg({f}) * (1 - avg({f})) / count(*)), 6) AS {f}_se" for f in FLAGS)
 
 
-@query("L3_decision_rates", f"""WITH {SQL_SCORED}, {sql_bootstrap('scored', B)}, {SQL_VALUES}, iv AS (SELECT cell, value - 0.02::DOUBLE AS lo, value + 0.02::DOUBLE AS hi FROM vals WHERE metric = 'bias'),
+@query("L3_decision_rates", f"""WITH {SQL_SUPPLIERS}, {sql_bootstrap('scored', B)}, {SQL_VALUES}, iv AS (SELECT cell, value - 0.02::DOUBLE AS lo, value + 0.02::DOUBLE AS hi FROM vals WHERE metric = 'bias'),
 f AS (SELECT cell, hi - lo AS w, (hi < 0)::INT AS below_zero, (lo > 0)::INT AS above_zero, (0.05::DOUBLE BETWEEN lo AND hi)::INT AS covers_reference, (0 BETWEEN lo AND hi)::INT AS covers_zero FROM iv)
 SELECT cell, count(*) AS n, round(avg(w), 6) AS mean_width, {SQL_RATES} FROM f GROUP BY 1""")
 def decision_rates(spark, sf_dir):

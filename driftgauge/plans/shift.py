@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 from driftgauge.operators import endpoints, metrics, recalibrate, resample
 from driftgauge.operators.ranks import quantiles
 from driftgauge.plans.bindings import (
-    IN_DOMAIN, OUT_DOMAIN, SEEDS_2, SQL_SCORED, scored, sql_bootstrap, sql_fold, sql_folds, sql_uniform, table,
+    IN_DOMAIN, OUT_DOMAIN, SEEDS, SQL_SCORED, SQL_SUPPLIERS, scored, scored_suppliers, sql_bootstrap, sql_fold, sql_folds, sql_uniform, table,
 )
 from driftgauge.plans.registry import query
 
-B_ORACLE = 20
+# The whole protocol: 10 repeats of 5 folds, 2,000 replicates. SQL can follow it over the suppliers; what needs no replicates runs over the orders.
+B = 2000
 
 SQL_MEDIANS = """
 medians AS (
@@ -22,15 +23,16 @@ medians AS (
 """
 
 
-def samples(spark, sf_dir, resamples=0):
-    units = scored(spark, sf_dir).select("domain", "unit_id", "q_true", "q_hat")
-    return endpoints.Samples(units, "domain", "unit_id", "q_true", "q_hat", seeds=SEEDS_2, resamples=resamples)
+def samples(spark, sf_dir, resamples=0, source=scored):
+    units = source(spark, sf_dir).select("domain", "unit_id", "q_true", "q_hat")
+    return endpoints.Samples(units, "domain", "unit_id", "q_true", "q_hat", seeds=SEEDS, resamples=resamples)
 
 
 @query("E5_crossfit_median", f"""WITH {SQL_SCORED}, {sql_folds('scored')}, {SQL_MEDIANS}
-SELECT domain, repeat, fold, n_train, round(median, 6) AS median FROM medians""")
+SELECT domain, repeat, fold, n_train, round(median, 8) AS median FROM medians""")
 def crossfit_median(spark, sf_dir):
-    return samples(spark, sf_dir).medians().select("domain", "repeat", "fold", "n_train", F.round("median", 6).alias("median"))
+    # medians are whole numbers of 1e-8
+    return samples(spark, sf_dir).medians().select("domain", "repeat", "fold", "n_train", F.round("median", 8).alias("median"))
 
 
 SQL_SKILL = f"""
@@ -62,14 +64,14 @@ def segments(spark, sf_dir):
 @query("D1_repeated_folds", f"WITH {SQL_SCORED}, {sql_folds('scored')} SELECT domain, unit_id, repeat, fold::INT AS fold FROM folds")
 def repeated_folds(spark, sf_dir):
     units = scored(spark, sf_dir).select("domain", "unit_id")
-    return resample.long_folds(resample.repeated_folds(units, ["domain"], "unit_id", SEEDS_2), ["domain", "unit_id"])
+    return resample.long_folds(resample.repeated_folds(units, ["domain"], "unit_id", SEEDS), ["domain", "unit_id"])
 
 
 @query("D2_align_folds", f"""WITH {SQL_SCORED}, {sql_folds('scored')}
 SELECT f.unit_id, f.repeat, f.fold::INT AS fold FROM folds f JOIN scored s USING (unit_id) WHERE s.role = 'EVAL'""")
 def align_folds(spark, sf_dir):
     units = scored(spark, sf_dir)
-    folds = resample.repeated_folds(units.select("domain", "unit_id"), ["domain"], "unit_id", SEEDS_2)
+    folds = resample.repeated_folds(units.select("domain", "unit_id"), ["domain"], "unit_id", SEEDS)
     aligned, _ = resample.align_folds(folds, units.where("role = 'EVAL'"), "unit_id")
     return resample.long_folds(aligned, ["unit_id"])
 
@@ -147,14 +149,14 @@ def group_permutation_split(spark, sf_dir):
     return resample.quota_split(units, "stratum", "unit_id", segment_quotas(units), SEED).select("stratum", "unit_id", "role")
 
 
-def replicates(spark, sf_dir, resamples, **kwargs):
-    units = scored(spark, sf_dir).select("domain", "unit_id")
+def replicates(spark, sf_dir, resamples=B, **kwargs):
+    units = scored_suppliers(spark, sf_dir).select("domain", "unit_id")
     return resample.bootstrap(units, ["domain"], "unit_id", resamples=resamples, seed=SEED, **kwargs)
 
 
-@query("D7_unit_bootstrap", f"WITH {SQL_SCORED}, {sql_bootstrap('scored', 5)} SELECT domain, replicate::INT AS replicate, unit_id, m AS multiplicity FROM boot WHERE replicate > 0")
+@query("D7_unit_bootstrap", f"WITH {SQL_SUPPLIERS}, {sql_bootstrap('scored', B)} SELECT domain, replicate::INT AS replicate, unit_id, m AS multiplicity FROM boot WHERE replicate > 0")
 def unit_bootstrap(spark, sf_dir):
-    return replicates(spark, sf_dir, 5)
+    return replicates(spark, sf_dir)
 
 
 def _sql_poisson(u: str) -> str:
@@ -166,28 +168,28 @@ def _sql_poisson(u: str) -> str:
     return out + " ELSE 18 END"
 
 
-@query("D7_poisson_bootstrap", f"""WITH {SQL_SCORED}, drawn AS (
+@query("D7_poisson_bootstrap", f"""WITH {SQL_SUPPLIERS}, drawn AS (
   SELECT domain, replicate::INT AS replicate, unit_id, {_sql_poisson(sql_uniform("concat_ws(':', '2026', domain, replicate::VARCHAR, unit_id)"))} AS multiplicity
-  FROM scored, (SELECT unnest(range(1, 6)) AS replicate)) SELECT * REPLACE (multiplicity::BIGINT AS multiplicity) FROM drawn WHERE multiplicity > 0""")
+  FROM scored, (SELECT unnest(range(1, {B + 1})) AS replicate)) SELECT * REPLACE (multiplicity::BIGINT AS multiplicity) FROM drawn WHERE multiplicity > 0""")
 def poisson_bootstrap(spark, sf_dir):
-    return replicates(spark, sf_dir, 5, mode="poisson")
+    return replicates(spark, sf_dir, mode="poisson")
 
 
-@query("D8_two_population_bootstrap", f"""WITH {SQL_SCORED}, {sql_bootstrap('scored', B_ORACLE)}
+@query("D8_two_population_bootstrap", f"""WITH {SQL_SUPPLIERS}, {sql_bootstrap('scored', B)}
 SELECT domain, replicate::INT AS replicate, sum(m)::BIGINT AS n_drawn, count(*) AS n_units, max(m)::BIGINT AS max_copies FROM boot WHERE replicate > 0 GROUP BY 1, 2""")
 def two_population_bootstrap(spark, sf_dir):
-    return replicates(spark, sf_dir, B_ORACLE).groupBy("domain", "replicate").agg(
+    return replicates(spark, sf_dir).groupBy("domain", "replicate").agg(
         F.sum("multiplicity").alias("n_drawn"), F.count(F.lit(1)).alias("n_units"), F.max("multiplicity").alias("max_copies")
     )
 
 
-@query("D9_inherited_folds", f"""WITH {SQL_SCORED}, {sql_folds('scored')}, {sql_bootstrap('scored', 5)}
+@query("D9_inherited_folds", f"""WITH {SQL_SUPPLIERS}, {sql_folds('scored')}, {sql_bootstrap('scored', B)}
 SELECT b.domain, b.replicate::INT AS replicate, f.repeat, f.fold::INT AS fold, sum(b.m)::BIGINT AS n FROM boot b JOIN folds f ON f.domain = b.domain AND f.unit_id = b.unit_id
 WHERE b.replicate > 0 GROUP BY ALL""")
 def inherited_folds(spark, sf_dir):
-    units = scored(spark, sf_dir).select("domain", "unit_id")
-    folds = resample.repeated_folds(units, ["domain"], "unit_id", SEEDS_2)
-    copies = resample.inherit_folds(replicates(spark, sf_dir, 5), folds, ["domain", "unit_id"])
+    units = scored_suppliers(spark, sf_dir).select("domain", "unit_id")
+    folds = resample.repeated_folds(units, ["domain"], "unit_id", SEEDS)
+    copies = resample.inherit_folds(replicates(spark, sf_dir), folds, ["domain", "unit_id"])
     long = resample.long_folds(copies, ["domain", "replicate", "multiplicity"])
     return long.groupBy("domain", "replicate", "repeat", "fold").agg(F.sum("multiplicity").alias("n"))
 
@@ -206,10 +208,10 @@ def copy_ordinals(spark, sf_dir):
     return resample.copy_ordinals(table(spark, sf_dir, "events").select("event_id", "user_id"), "user_id", "event_id")
 
 
-@query("D11_expand_copies", f"""WITH {SQL_SCORED}, {sql_bootstrap('scored', 2)}
+@query("D11_expand_copies", f"""WITH {SQL_SUPPLIERS}, {sql_bootstrap('scored', B)}
 SELECT domain, replicate::INT AS replicate, unit_id, m AS multiplicity, unnest(range(m)) AS ordinal FROM boot WHERE replicate > 0""")
 def expand_copies(spark, sf_dir):
-    return resample.expand_copies(replicates(spark, sf_dir, 2))
+    return resample.expand_copies(replicates(spark, sf_dir))
 
 
 SQL_VECTORS = """
@@ -286,7 +288,7 @@ def spearman(spark, sf_dir):
 SQL_COPIES = "copies AS (SELECT domain, replicate, unit_id, unnest(range(m)) AS ordinal FROM boot)"
 
 
-@query("E4_competence", f"""WITH {SQL_SCORED}, {sql_bootstrap('scored', B_ORACLE)}, {SQL_COPIES}, v AS (SELECT c.domain, c.replicate, s.q_hat, s.q_true FROM copies c JOIN scored s USING (unit_id)),
+@query("E4_competence", f"""WITH {SQL_SUPPLIERS}, {sql_bootstrap('scored', B)}, {SQL_COPIES}, v AS (SELECT c.domain, c.replicate, s.q_hat, s.q_true FROM copies c JOIN scored s USING (unit_id)),
 ranked AS (SELECT domain, replicate,
     rank() OVER (PARTITION BY domain, replicate ORDER BY q_hat) + (count(*) OVER (PARTITION BY domain, replicate, q_hat) - 1) / 2.0::DOUBLE AS rp,
     rank() OVER (PARTITION BY domain, replicate ORDER BY q_true) + (count(*) OVER (PARTITION BY domain, replicate, q_true) - 1) / 2.0::DOUBLE AS rt FROM v),
@@ -295,7 +297,7 @@ SELECT domain, max(n) AS n, round(max(rho) FILTER (replicate = 0), 6) AS rho, ro
   round(quantile_cont(rho, 0.975) FILTER (replicate > 0), 6) AS ci_high, count(*) FILTER (rho IS NULL) AS n_undefined,
   CASE WHEN quantile_cont(rho, 0.025) FILTER (replicate > 0) > 0 THEN 'RESOLVED' ELSE 'UNRESOLVED' END AS verdict FROM rho GROUP BY domain""")
 def competence(spark, sf_dir):
-    out = metrics.competence(scored(spark, sf_dir), ["domain"], "unit_id", "q_true", "q_hat", resamples=B_ORACLE, seed=SEED)
+    out = metrics.competence(scored_suppliers(spark, sf_dir), ["domain"], "unit_id", "q_true", "q_hat", resamples=B, seed=SEED)
     return rounded(out, "rho", "ci_low", "ci_high")
 
 
@@ -397,9 +399,50 @@ def affine_l1(spark, sf_dir):
     )
 
 
-@query("F3_isotonic")
+def sql_isotonic(rows: str, keys: tuple[str, ...]) -> str:
+    """CTEs ``pav`` and ``levels(keys, x0, x1, level)``: pooled blocks over ``rows(keys, x, y, m)``.
+
+    Each step pools every run of neighbouring blocks that violate the order; fits without violations are left as they are.
+    """
+    head = ", ".join(keys)
+    return f"""
+pav AS (
+  SELECT {head}, row_number() OVER (PARTITION BY {head} ORDER BY x) AS b, x AS x0, x AS x1, w, t, 0 AS step
+  FROM (SELECT {head}, x, sum(m)::DOUBLE AS w, sum(m * y) AS t FROM {rows} GROUP BY ALL)
+  UNION ALL
+  SELECT {head}, grp AS b, min(x0), max(x1), sum(w), sum(t), step + 1 FROM (
+    SELECT *, sum(1 - hit) OVER (PARTITION BY {head} ORDER BY b) AS grp, max(hit) OVER (PARTITION BY {head}) AS open FROM (
+      SELECT *, coalesce((t / w <= lag(t / w) OVER (PARTITION BY {head} ORDER BY b))::INT, 0) AS hit FROM pav))
+  WHERE open = 1 GROUP BY {head}, grp, step
+),
+levels AS (SELECT {head}, x0, x1, t / w AS level FROM pav QUALIFY step = max(step) OVER (PARTITION BY {head}))
+"""
+
+
+def sql_interpolated(asks: str, keys: tuple[str, ...], columns: str) -> str:
+    """Rows of ``asks(keys, x, columns)`` with the isotonic ``prediction``."""
+    match = lambda of: " AND ".join(f"a.{c} = {of}.{c}" for c in keys)
+    return f"""SELECT {", ".join(f"a.{c}" for c in keys)}, {columns},
+    CASE WHEN p.level IS NULL THEN n.level WHEN a.x <= p.x1 OR n.level IS NULL THEN p.level ELSE p.level + (a.x - p.x1) / (n.x0 - p.x1) * (n.level - p.level) END AS prediction
+  FROM {asks} a ASOF LEFT JOIN levels p ON {match("p")} AND a.x >= p.x0 ASOF LEFT JOIN levels n ON {match("n")} AND a.x < n.x0"""
+
+
+FIT = ("domain", "repeat", "fold")
+SQL_TRAIN = """
+train AS (SELECT h.domain, h.repeat, h.heldout AS fold, s.q_hat AS x, s.q_true AS y, 1 AS m FROM (SELECT DISTINCT domain, repeat, fold AS heldout FROM folds) h
+  JOIN folds f ON f.domain = h.domain AND f.repeat = h.repeat AND f.fold <> h.heldout JOIN scored s ON s.unit_id = f.unit_id),
+asks AS (SELECT f.domain, f.repeat, f.fold, f.unit_id, s.q_hat AS x, s.q_true AS y FROM folds f JOIN scored s USING (unit_id))
+"""
+# levels are means of values on a grid of 2e-8, which would often tie when rounded
+OFF_GRID = 1.234567e-7
+
+
+@query("F3_isotonic", f"""WITH RECURSIVE {SQL_SCORED}, {sql_folds('scored')}, {SQL_TRAIN}, {sql_isotonic('train', FIT)},
+fitted AS ({sql_interpolated('asks', FIT, 'a.unit_id')})
+SELECT domain, unit_id, repeat, fold::INT AS fold, round(prediction + {OFF_GRID}, 6) AS prediction FROM fitted""")
 def isotonic(spark, sf_dir):
-    return rounded(samples(spark, sf_dir).predictions("isotonic").drop("replicate"), "prediction")
+    out = samples(spark, sf_dir).predictions("isotonic").drop("replicate")
+    return out.withColumn("prediction", F.round(F.col("prediction") + OFF_GRID, 6))
 
 
 @query("F4_crossfit_predictions", f"""WITH {SQL_SCORED}, {sql_folds('scored')}, {SQL_OLS}
@@ -411,8 +454,20 @@ def crossfit_predictions(spark, sf_dir):
 
 # --- G: shift endpoints ------------------------------------------------------------------------
 
+# copies that are in several folds of a repeat, or in none of 0..4
+SQL_MISPLACED = """
+misplaced AS (SELECT coalesce(sum(n), 0)::BIGINT AS n_misplaced FROM (
+  SELECT domain, replicate, repeat, unit_id, any_value(m) AS n FROM (SELECT b.domain, b.replicate, f.repeat, b.unit_id, b.m, f.fold FROM boot b JOIN folds f USING (unit_id))
+  GROUP BY domain, replicate, repeat, unit_id HAVING count(*) > 1 OR min(fold) < 0 OR max(fold) > 4))
+"""
+SQL_DELTAS = """
+deltas AS (
+  SELECT replicate, avg(skill) FILTER (domain = 'ID') AS s_id, avg(skill) FILTER (domain = 'OOD') AS s_ood,
+    avg(skill) FILTER (domain = 'OOD') - avg(skill) FILTER (domain = 'ID') AS delta, count(*) FILTER (skill IS NULL) AS n_undefined FROM skills GROUP BY 1
+)
+"""
 SQL_BOOT_SKILL = f"""
-WITH {SQL_SCORED}, {sql_folds('scored')}, {sql_bootstrap('scored', B_ORACLE)}, {SQL_COPIES},
+WITH {SQL_SUPPLIERS}, {sql_folds('scored')}, {sql_bootstrap('scored', B)}, {SQL_COPIES}, {SQL_MISPLACED},
 v AS (SELECT c.domain, c.replicate, f.repeat, f.fold, s.q_hat, s.q_true FROM copies c JOIN scored s USING (unit_id) JOIN folds f USING (unit_id)),
 fits AS (
   SELECT h.domain, h.replicate, h.repeat, h.heldout AS fold, median(v.q_true) AS median, regr_intercept(v.q_true, v.q_hat) AS intercept, regr_slope(v.q_true, v.q_hat) AS slope
@@ -421,25 +476,21 @@ fits AS (
 ),
 skills AS (
   SELECT v.domain, v.replicate, v.repeat, avg(abs({{model}} - q_true)) AS model_mae, avg(abs(median - q_true)) AS comparator_mae,
-    1 - avg(abs({{model}} - q_true)) / avg(abs(median - q_true)) AS skill
+    CASE WHEN avg(abs(median - q_true)) > 0 THEN 1 - avg(abs({{model}} - q_true)) / avg(abs(median - q_true)) END AS skill
   FROM v JOIN fits f ON f.domain = v.domain AND f.replicate = v.replicate AND f.repeat = v.repeat AND f.fold = v.fold GROUP BY ALL
 ),
-deltas AS (
-  SELECT replicate, avg(skill) FILTER (domain = 'ID') AS s_id, avg(skill) FILTER (domain = 'OOD') AS s_ood,
-    avg(skill) FILTER (domain = 'OOD') - avg(skill) FILTER (domain = 'ID') AS delta FROM skills GROUP BY 1
-)
-"""
+{SQL_DELTAS}"""
 SQL_ENDPOINT = f"""
 SELECT round(max(s_id) FILTER (replicate = 0), 6) AS s_id, round(max(s_ood) FILTER (replicate = 0), 6) AS s_ood, round(max(delta) FILTER (replicate = 0), 6) AS delta,
   round(quantile_cont(delta, 0.025) FILTER (replicate > 0), 6) AS ci_low, round(quantile_cont(delta, 0.975) FILTER (replicate > 0), 6) AS ci_high,
-  0::BIGINT AS n_undefined, '{{name}}' AS recalibration, 2 AS repeats, 5 AS n_folds, {B_ORACLE} AS resamples, 2026 AS bootstrap_seed, {{verdict}} AS verdict FROM deltas
+  sum(n_undefined)::BIGINT AS n_undefined, (SELECT n_misplaced FROM misplaced) AS n_misplaced, '{{name}}' AS recalibration, 10 AS repeats, 5 AS n_folds, {B} AS resamples, 2026 AS bootstrap_seed, {{verdict}} AS verdict FROM deltas
 """
 DEPLOYED = "q_hat"
 OLS = "(intercept + slope * q_hat)"
 
 
-def endpoint(spark, sf_dir, recalibrator, resamples=B_ORACLE, seeds=SEEDS_2, digits=6):
-    units = scored(spark, sf_dir).select("domain", "unit_id", "q_true", "q_hat")
+def endpoint(spark, sf_dir, recalibrator, resamples=B, seeds=SEEDS, digits=6):
+    units = scored_suppliers(spark, sf_dir).select("domain", "unit_id", "q_true", "q_hat")
     out = endpoints.shift_endpoint(
         units, "domain", "unit_id", "q_true", "q_hat", IN_DOMAIN, OUT_DOMAIN, recalibrator=recalibrator, seeds=seeds, resamples=resamples
     )
@@ -455,7 +506,7 @@ def deployed_endpoint(spark, sf_dir):
 @query("G3_recoverable_skill", SQL_BOOT_SKILL.format(model=OLS) + """SELECT domain, replicate::INT AS replicate, repeat, round(model_mae, 6) AS model_mae,
 round(comparator_mae, 6) AS comparator_mae, round(skill, 6) AS skill FROM skills""")
 def recoverable_skill(spark, sf_dir):
-    return rounded(samples(spark, sf_dir, B_ORACLE).skills("affine_OLS"), "model_mae", "comparator_mae", "skill")
+    return rounded(samples(spark, sf_dir, B, scored_suppliers).skills("affine_OLS").drop("n_misplaced"), "model_mae", "comparator_mae", "skill")
 
 
 @query("G4_recoverable_endpoint_ols", SQL_BOOT_SKILL.format(model=OLS) + SQL_ENDPOINT.format(name="affine_OLS", verdict="NULL::VARCHAR"))
@@ -463,23 +514,30 @@ def recoverable_endpoint_ols(spark, sf_dir):
     return endpoint(spark, sf_dir, "affine_OLS")
 
 
-SQL_BOOT_L1 = f"""
-WITH RECURSIVE {SQL_SCORED}, {sql_folds('scored')}, {sql_bootstrap('scored', B_ORACLE)},
+REPLICATE_FIT = ("domain", "replicate", "repeat", "fold")
+SQL_BOOT_TRAIN = f"""
+WITH RECURSIVE {SQL_SUPPLIERS}, {sql_folds('scored')}, {sql_bootstrap('scored', B)}, {SQL_MISPLACED},
 v AS (SELECT b.domain, b.replicate, f.repeat, f.fold, b.m, s.q_hat AS x, s.q_true AS y FROM boot b JOIN scored s USING (unit_id) JOIN folds f USING (unit_id)),
 train AS (SELECT v.domain, v.replicate, v.repeat, h.heldout AS fold, v.x, v.y, v.m FROM v, (SELECT unnest(range(0, 5)) AS heldout) h WHERE v.fold <> h.heldout),
-medians AS (SELECT domain, replicate, repeat, fold, median(y) AS median FROM (SELECT *, unnest(range(m)) FROM train) GROUP BY ALL),
+medians AS (SELECT domain, replicate, repeat, fold, median(y) AS median FROM (SELECT *, unnest(range(m)) FROM train) GROUP BY ALL)
+"""
+SQL_BOOT_L1 = SQL_BOOT_TRAIN + f""",
 start AS (SELECT domain, replicate, repeat, fold, regr_intercept(y, x) AS a, regr_slope(y, x) AS b FROM (SELECT *, unnest(range(m)) FROM train) GROUP BY ALL),
-{sql_lad('train', ('domain', 'replicate', 'repeat', 'fold'), 'start')},
+{sql_lad('train', REPLICATE_FIT, 'start')},
 skills AS (
-  SELECT v.domain, v.replicate, v.repeat, 1 - sum(v.m * abs(l.a + l.b * x - y)) / sum(v.m * abs(median - y)) AS skill
+  SELECT v.domain, v.replicate, v.repeat, CASE WHEN sum(v.m * abs(median - y)) > 0 THEN 1 - sum(v.m * abs(l.a + l.b * x - y)) / sum(v.m * abs(median - y)) END AS skill
   FROM v JOIN (SELECT * FROM lad WHERE step = 80) l ON l.domain = v.domain AND l.replicate = v.replicate AND l.repeat = v.repeat AND l.fold = v.fold
   JOIN medians d ON d.domain = v.domain AND d.replicate = v.replicate AND d.repeat = v.repeat AND d.fold = v.fold GROUP BY ALL
 ),
-deltas AS (
-  SELECT replicate, avg(skill) FILTER (domain = 'ID') AS s_id, avg(skill) FILTER (domain = 'OOD') AS s_ood,
-    avg(skill) FILTER (domain = 'OOD') - avg(skill) FILTER (domain = 'ID') AS delta FROM skills GROUP BY 1
-)
-"""
+{SQL_DELTAS}"""
+SQL_BOOT_ISOTONIC = SQL_BOOT_TRAIN + f""",
+{sql_isotonic('train', REPLICATE_FIT)},
+fitted AS ({sql_interpolated('v', REPLICATE_FIT, 'a.m, a.y')}),
+skills AS (
+  SELECT v.domain, v.replicate, v.repeat, CASE WHEN sum(v.m * abs(median - y)) > 0 THEN 1 - sum(v.m * abs(prediction - y)) / sum(v.m * abs(median - y)) END AS skill
+  FROM fitted v JOIN medians d ON d.domain = v.domain AND d.replicate = v.replicate AND d.repeat = v.repeat AND d.fold = v.fold GROUP BY ALL
+),
+{SQL_DELTAS}"""
 
 
 @query("G4_recoverable_endpoint_l1", SQL_BOOT_L1 + SQL_ENDPOINT.replace(", 6)", ", 4)").format(
@@ -488,9 +546,9 @@ def recoverable_endpoint_l1(spark, sf_dir):
     return endpoint(spark, sf_dir, "affine_L1", digits=4)
 
 
-@query("G4_recoverable_endpoint_isotonic")
+@query("G4_recoverable_endpoint_isotonic", SQL_BOOT_ISOTONIC + SQL_ENDPOINT.format(name="isotonic", verdict="NULL::VARCHAR"))
 def recoverable_endpoint_isotonic(spark, sf_dir):
-    return endpoint(spark, sf_dir, "isotonic", resamples=5)
+    return endpoint(spark, sf_dir, "isotonic")
 
 
 @query("G5_directional_verdict", f"""WITH {SQL_SCORED}, ci AS (SELECT grp, role, quantile_cont(q_hat - q_true, 0.025) AS lo, quantile_cont(q_hat - q_true, 0.3) AS hi FROM scored GROUP BY 1, 2)
@@ -510,7 +568,25 @@ def aggregate_gate(spark, sf_dir):
     return rounded(endpoints.aggregate_gate(shares, ["a", "b", "c"]), "a", "b", "c", "macro_mean")
 
 
-@query("G7_point_estimates")
+def _sql_point(name: str, model: str) -> str:
+    return f"""SELECT '{name}' AS name, domain, avg(skill) AS s FROM (
+    SELECT a.domain, a.repeat, 1 - avg(abs({model} - a.y)) / avg(abs(d.median - a.y)) AS skill
+    FROM fitted a JOIN medians d ON d.domain = a.domain AND d.repeat = a.repeat AND d.fold = a.fold
+    JOIN ols o ON o.domain = a.domain AND o.repeat = a.repeat AND o.fold = a.fold
+    JOIN (SELECT * FROM lad WHERE step = 80) l ON l.domain = a.domain AND l.repeat = a.repeat AND l.fold = a.fold GROUP BY ALL) GROUP BY domain"""
+
+
+POINT_MODELS = {"R5": "a.x", "R8_affine_L1": "(l.a + l.b * a.x)", "R8_affine_OLS": "(o.intercept + o.slope * a.x)", "R8_isotonic": "a.prediction"}
+SQL_POINTS = f"""
+WITH RECURSIVE {SQL_SCORED}, {sql_folds('scored')}, {SQL_MEDIANS}, {SQL_OLS}, {SQL_TRAIN}, {sql_isotonic('train', FIT)},
+start AS (SELECT domain, repeat, fold, intercept AS a, slope AS b FROM ols), {sql_lad('train', FIT, 'start')},
+fitted AS ({sql_interpolated('asks', FIT, 'a.x, a.y')}),
+points AS ({" UNION ALL ".join(_sql_point(n, m) for n, m in POINT_MODELS.items())}),
+wide AS (SELECT name, max(s) FILTER (domain = 'ID') AS s_id, max(s) FILTER (domain = 'OOD') AS s_ood FROM points GROUP BY name)
+SELECT name || '.S_ID' AS metric, round(s_id, 6) AS value FROM wide UNION ALL SELECT name || '.S_OOD', round(s_ood, 6) FROM wide UNION ALL SELECT name || '.Delta', round(s_ood - s_id, 6) FROM wide"""
+
+
+@query("G7_point_estimates", SQL_POINTS)
 def point_estimates(spark, sf_dir):
     names = {"R5": None, "R8_affine_L1": "affine_L1", "R8_affine_OLS": "affine_OLS", "R8_isotonic": "isotonic"}
     return rounded(endpoints.point_estimates(samples(spark, sf_dir), IN_DOMAIN, OUT_DOMAIN, names), "value")

@@ -48,6 +48,23 @@ def test_hash_positions_and_folds(values):
     assert sorted((r["g"], r["id"], tuple(r["folds"])) for r in large.collect()) == sorted((r["g"], r["id"], tuple(r["folds"])) for r in small.collect())
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 3])
+def test_fold_ends_by_selection_equal_folds_by_order(spark, values, limit):
+    """Folds by selected boundaries are the folds of the whole hash order, also where buckets have to be cut again, in tiny groups and for a null group."""
+    tiny = spark.createDataFrame([("two", "a"), ("two", "b"), ("one", "c"), (None, "d"), (None, "e"), (None, "f")], "g string, id string")
+    one = values.select("g", "id").union(tiny).union(spark.range(20000).select(F.lit("large"), F.col("id").cast("string")))
+    spark.conf.set("driftgauge.task.rows", str(limit))
+    try:
+        got = {(r["g"], r["id"]): r["folds"] for r in resample.repeated_folds(one, ["g"], "id", [1, 2, 3], 5).collect()}
+    finally:
+        spark.conf.unset("driftgauge.task.rows")
+    assert len(got) == one.count()
+    for i, seed in enumerate([1, 2, 3]):
+        placed = ranks.hash_positions(one, ["g"], "id", seed, blocks=False)
+        for r in placed.withColumn("fold", resample.fold_of(F.col("position"), F.col("size"), 5)).collect():
+            assert got[r["g"], r["id"]][i] == r["fold"]
+
+
 def test_spearman_and_blocks(values):
     large, small = (metrics.spearman(values.where("m > 0"), ["g"], "v", "w", "m", blocks=b).orderBy("g").collect() for b in (True, False))
     assert [r["value"] for r in large] == pytest.approx([r["value"] for r in small])
