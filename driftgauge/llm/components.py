@@ -1,12 +1,45 @@
 """Connected components by alternating star contraction."""
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftgauge.session import cut_lineage
 
 
+def spanning_links(pairs: DataFrame, most: int = 1 << 18) -> DataFrame:
+    """Pairs (a, b) with the same components as ``pairs`` and, of every ``most`` pairs dealt to a task, only those of a spanning forest.
+
+    A group whose members are all linked with each other has a square of pairs; this leaves about as many as it has members.
+    """
+    total = pairs.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        for batch in batches:
+            kept: tuple[list[int], list[int]] = ([], [])
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = root(a), root(b)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    kept[0].append(a)
+                    kept[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()) for k in kept], ["a", "b"])
+
+    dealt = pairs.select("a", "b").repartition(max(1, math.ceil(total / most)), F.xxhash64("a"))
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
 def _starred(edges: DataFrame, of: str, to: str) -> DataFrame:
     """Each edge ``(of, to)`` with the smallest neighbour of ``of`` (itself included) as ``least``.
 

@@ -1,7 +1,9 @@
 """Intermediate tables that several passes read, written once to the shared folder."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 
 from driftgauge.session import scratch_path
 
@@ -21,3 +23,9 @@ def dropped(*tables: DataFrame) -> None:
         context = table.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(table._stored_at)  # noqa: SLF001
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
+
+
+def collected(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files and checkpoints of tables that nothing refers to any more, which it does after a garbage collection of the driver."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # noqa: SLF001

@@ -3,28 +3,31 @@
 A print of 64 bits is too coarse for a similarity: two sets of shingles with Jaccard similarity 0.8 differ in about 10 of its bits. Here
 a print has 768 bits. The share of bits in which two prints differ estimates the angle between the sets: a Jaccard
 similarity J is at ``768 * acos(2J / (1 + J)) / pi`` bits on average (116 for 0.8, with a standard deviation of 10). Prints only find
-candidates, up to 7 deviations beyond that mean; then the shingle sets themselves decide. Segments of 24 bits are
-indexed, 32 of neighbouring bits and 32 of three bytes far apart: two prints are compared if they differ by at most one bit in one of them.
+candidates, up to 7 deviations beyond that mean; then the shingle sets themselves decide. Two prints are compared if they differ by at most one bit in one
+of the indexed segments, whose width and number follow the number of different prints (:func:`planned_index`).
 """
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftgauge.llm.components import connected_components
+from driftgauge.llm.components import connected_components, spanning_links
 from driftgauge.llm.simhash import shingle_hashes
-from driftgauge.llm.storage import stored
+from driftgauge.llm.storage import collected, dropped, stored
 from driftgauge.llm.text import lower_words, whole
 from driftgauge.session import measured_broadcast
 
 WORDS = 12
 BITS = 64 * WORDS
-SEGMENT = 24
+# pairs at the limit that meet under no key, classes met by chance, segments joined at a time
+MISS, CHANCE, TURN = 0.003, 16, 16
 NAMES = [f"w{i}" for i in range(WORDS)]
 BLOCK = 255 * 64
 Check = Callable[[DataFrame], DataFrame]
@@ -79,17 +82,56 @@ def candidate_distance(least: float, deviations: int = 7) -> int:
     return math.ceil(BITS * share + deviations * math.sqrt(BITS * share * (1 - share)))
 
 
-def _key(segment: int) -> Column:
-    """Number of the segment and its bits in one INT: 32 of neighbouring bits, then 32 of a byte from each of three words."""
-    if segment >= BITS // SEGMENT:
-        word, byte = divmod(segment - BITS // SEGMENT, 8)
-        part = lambda i: F.shiftleft(F.shiftrightunsigned(f"w{word + 4 * i}", 8 * byte).bitwiseAND(F.lit(255)), 8 * i)
-        return (part(0) + part(1) + part(2) + F.lit(segment << SEGMENT)).cast("int")
-    word, shift = divmod(segment * SEGMENT, 64)
-    bits = F.shiftrightunsigned(f"w{word}", shift)
-    if shift + SEGMENT > 64:
-        bits = bits.bitwiseOR(F.shiftleft(f"w{word + 1}", 64 - shift))
-    return (bits.bitwiseAND(F.lit((1 << SEGMENT) - 1)) + F.lit(segment << SEGMENT)).cast("int")
+@dataclass(frozen=True)
+class Index:
+    """``segments`` keys of ``bits`` bits for each print."""
+
+    bits: int
+    segments: int
+
+    @property
+    def masks(self) -> list[int]:
+        """The ball of one bit: flips of a key that has zeros there, and the key itself."""
+        return [0, *(1 << b for b in range(self.bits))]
+
+
+def planned_index(classes: int, least: float, miss: float = MISS, chance: int = CHANCE) -> Index:
+    """Key width and number of segments for so many classes.
+
+    The width is the smallest at which a class meets ``chance`` others by chance, so candidates grow in proportion to the classes. Two prints at
+    ``least`` differ in a share ``q`` of their bits; a key of ``b`` bits finds them with probability ``(1-q)^b + b q (1-q)^(b-1)``, and there are as many
+    segments as it takes for them to meet in none with probability ``miss`` (taking segments as independent).
+    """
+    q = math.acos(2 * least / (1 + least)) / math.pi
+    for bits in range(12, 44):
+        met = (1 - q) ** bits + bits * q * (1 - q) ** (bits - 1)
+        segments = math.ceil(math.log(miss) / math.log1p(-met))
+        if classes * segments * (bits + 1) / 2**bits <= chance:
+            break
+    return Index(bits, segments)
+
+
+def with_keys(classes: DataFrame, index: Index) -> DataFrame:
+    """(cid, keys): the number of each segment above its bits. Segments take the bits of the print in turn, then in the order of further fixed draws."""
+    per_turn = BITS // index.bits
+    rng, order = np.random.default_rng(BITS), []
+    while len(order) < index.segments:
+        turn = rng.permutation(BITS) if order else np.arange(BITS)
+        order += [turn[i * index.bits : (i + 1) * index.bits] for i in range(per_turn)]
+    picked = np.concatenate(order[: index.segments])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = np.left_shift(np.int64(1), np.arange(index.bits, dtype=np.int64))
+        numbers = np.arange(index.segments, dtype=np.int64) << index.bits
+        for whole_batch in batches:
+            for batch in (whole_batch.slice(i, 1024) for i in range(0, whole_batch.num_rows, 1024)):
+                prints = np.stack([np.asarray(batch.column(n)) for n in NAMES], axis=1).astype("<i8")
+                bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")[:, picked]
+                keys = bits.reshape(len(prints), index.segments, index.bits) @ values + numbers
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), index.segments).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["cid", "keys"])
+
+    return classes.select("cid", *NAMES).mapInArrow(run, "cid bigint, keys array<bigint>")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, most: int) -> DataFrame:
@@ -126,23 +168,38 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _links(classes: DataFrame, most: int, segments: int, crowded: int, exact: Exact | None) -> tuple[DataFrame, DataFrame | None, DataFrame | None, Check]:
+def _links(classes: DataFrame, most: int, index: Index, crowded: int, exact: Exact | None) -> tuple[DataFrame, DataFrame | None, DataFrame | None, Check]:
     """Links found under common keys, the classes (cid, key) that a leader has spared further comparisons, pairs not checked yet, and the check."""
-    entries = classes.select("cid", F.explode(F.array(*map(_key, range(segments)))).alias("key"))
-    masks = F.array(*(F.lit(m).cast("int") for m in [0, *(1 << b for b in range(SEGMENT))]))
-    probes = entries.select("cid", "key", F.explode(masks).alias("mask")).where(F.col("key").bitwiseAND(F.col("mask")) == 0)
-    probes = probes.select(F.col("cid").alias("p"), F.col("key").bitwiseOR(F.col("mask")).alias("key"))
+    keyed = stored(with_keys(classes, index), "wide-keys")
+    masks = F.array(*(F.lit(m).cast("bigint") for m in index.masks))
+
+    def probed(entries: DataFrame) -> DataFrame:
+        balls = entries.select("cid", "key", F.explode(masks).alias("mask")).where(F.col("key").bitwiseAND(F.col("mask")) == 0)
+        return balls.select(F.col("cid").alias("p"), F.col("key").bitwiseOR(F.col("mask")).alias("key"))
+
+    entries = keyed.select("cid", F.explode("keys").alias("key"))
     shared = stored(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("key"), "crowded-keys")
     hint = measured_broadcast(shared, 64)
-    few = entries.join(hint, "key", "left_anti")
-    found = stored(_verified(probes.join(few, "key").where("p <> cid").select(*_pair("p", "cid")), classes, most), "wide-candidates")
+    parts = []
+    # some segments at a time, so that the balls of all segments never lie on disk together
+    for start in range(0, index.segments, TURN):
+        some = keyed.select("cid", F.explode(F.slice("keys", start + 1, TURN)).alias("key"))
+        met = probed(some).join(some.join(hint, "key", "left_anti"), "key").where("p <> cid").select(*_pair("p", "cid"))
+        parts.append(stored(_verified(met, classes, most), "wide-candidates"))
+        collected(classes.sparkSession)
+    found = stored(reduce(DataFrame.unionByName, parts).distinct(), "wide-found")
+    dropped(*parts)
+    probes = probed(entries)
     members = stored(probes.join(hint, "key"), "crowded-members") if shared.take(1) else None
     check: Check = lambda pairs: pairs.select("a", "b").distinct()
     if exact is not None:
         asked = found.select("a").union(found.select("b"))
         check = exact((asked if members is None else asked.union(members.select("p"))).toDF("cid").distinct())
-    found = stored(check(found), "wide-links")
+    links = stored(check(found), "wide-links")
+    dropped(found)
+    found = links
     if members is None:
+        dropped(keyed)
         return found, None, None, check
     left, spared, pending, turn = members.withColumnRenamed("p", "cid"), None, None, 0
     while True:
@@ -172,7 +229,7 @@ def _links(classes: DataFrame, most: int, segments: int, crowded: int, exact: Ex
     return found.distinct(), spared, pending, check
 
 
-def similar_components(classes: DataFrame, most: int, segments: int = 24, crowded: int = 64, exact: Exact | None = None) -> DataFrame:
+def similar_components(classes: DataFrame, most: int, index: Index, crowded: int = 64, exact: Exact | None = None) -> DataFrame:
     """(node, component) for the classes of ``classes(cid, w0 ... w11)`` that have links.
 
     Links join classes whose prints differ in at most ``most`` bits and meet under a key and, with ``exact``, pass its check: it takes the
@@ -185,8 +242,8 @@ def similar_components(classes: DataFrame, most: int, segments: int = 24, crowde
     components: of spared ones, all that are outside the largest component under the key with all of other components. So the
     components are those of all pairs that meet under a key.
     """
-    found, spared, pending, check = _links(classes, most, segments, crowded, exact)
-    joined = connected_components(found)
+    found, spared, pending, check = _links(classes, most, index, crowded, exact)
+    joined = connected_components(spanning_links(found))
     if spared is None and pending is None:
         return joined
     joined, more = stored(joined, "wide-components"), None
@@ -207,10 +264,10 @@ def similar_components(classes: DataFrame, most: int, segments: int = 24, crowde
     if more is None:
         return joined
     more = stored(check(stored(more, "crowded-apart")), "crowded-more")
-    return connected_components(joined.toDF("a", "b").union(more)) if more.take(1) else joined
+    return connected_components(joined.toDF("a", "b").union(spanning_links(more))) if more.take(1) else joined
 
 
-def similar_documents(documents: DataFrame, width: int = 5, least: float = 0.8, segments: int = 64, crowded: int = 64) -> DataFrame:
+def similar_documents(documents: DataFrame, width: int = 5, least: float = 0.8, crowded: int = 64) -> DataFrame:
     """(doc_id, text_hash, component_id, first) for every row of ``documents(doc_id, text)``.
 
     ``component_id`` is the smallest doc_id that links reach, ``first`` marks the one document of the group that has it (of
@@ -233,7 +290,8 @@ def similar_documents(documents: DataFrame, width: int = 5, least: float = 0.8,
         sets = stored(shingle_sets(of, width), "wide-sets")
         return lambda pairs: alike(pairs, sets, least)
 
-    joined = similar_components(classes, candidate_distance(least), segments, crowded, exact).select(F.col("node").alias("cid"), "component")
+    index = planned_index(classes.count(), least)
+    joined = similar_components(classes, candidate_distance(least), index, crowded, exact).select(F.col("node").alias("cid"), "component")
     grouped = classes.join(joined, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     names = grouped.groupBy("component").agg(F.min("least").alias("leader"))
     of = stored(grouped.join(names, "component").select(*NAMES, "n", "leader"), "wide-groups")

@@ -1,6 +1,6 @@
 import random
 
-from driftgauge.llm.wide_simhash import NAMES, greatest_distance, similar_components, similar_documents, wide_print
+from driftgauge.llm.wide_simhash import Index, NAMES, greatest_distance, planned_index, similar_components, similar_documents, wide_print
 from tests.llm.data import empty, messy
 from tests.llm.test_simhash import components
 
@@ -59,7 +59,7 @@ def test_components_are_those_of_links_under_a_common_key(spark):
     want = {(a, b) for a in value for b in value if a < b and meet(value[a], value[b])}
     want = components(list(value), want)
     for crowded in (10**6, 8):
-        got = {r.node: r.component for r in similar_components(table, most, crowded=crowded).collect()}
+        got = {r.node: r.component for r in similar_components(table, most, Index(24, 24), crowded=crowded).collect()}
         assert {i: got.get(i, i) for i in value} == want
 
 
@@ -81,7 +81,7 @@ def test_two_groups_under_one_key_that_only_spared_classes_join(spark):
 
     want = components(list(value), {(a, b) for a in value for b in value if a < b and meet(value[a], value[b])})
     for crowded in (12,):
-        got = {r.node: r.component for r in similar_components(table, most, crowded=crowded).collect()}
+        got = {r.node: r.component for r in similar_components(table, most, Index(24, 24), crowded=crowded).collect()}
         assert {i: got.get(i, i) for i in value} == want
 
 
