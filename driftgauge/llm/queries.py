@@ -43,7 +43,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = risk_rules.apply_rules(table(spark, sf_dir, "documents"), good(spark, sf_dir), ["doc_id", "lang"])
     of = lambda name: F.col(f"{risk_rules.HELD}.{name}").alias(name)
-    return done.select("doc_id", *map(of, ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
+    return done.select("row.doc_id", *map(of, ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def op9_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = ordinal.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), grades(spark, sf_dir))
-    return done.select("doc_id", F.col("__expected_grade").alias("expected_grade"), F.col("__top_probability").alias("top_probability"), F.col("__kept").alias("kept"))
+    return done.select("row.doc_id", "expected_grade", "top_probability", "kept")
 
 
 def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 For every stratum and rule, cutoffs are tried from the most lenient to the strictest. A cutoff is certified
 when the labelled good documents it would reject are so few that, by the exact binomial tail, a true
-rate of false rejections above ``risk`` is excluded at the level ``alpha / (strata x rules)`` (Bonferroni over strata
-and rules; testing in fixed order needs no correction over cutoffs). The strictest certified cutoff is used; without
+rate of false rejections above ``risk / rules`` is excluded at the level ``alpha / (strata x rules)`` (the risk is split over the rules, Bonferroni
+over strata and rules; testing in fixed order needs no correction over cutoffs). Documents and texts count once. The strictest certified cutoff is used; without
 one the rule rejects nothing in that stratum. Everything is DataFrame expressions.
 """
 from __future__ import annotations
@@ -21,7 +21,7 @@ from driftgauge.session import measured_broadcast
 
 SYMBOLS = "#*$%&|<>"  # fixed value
 METRICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-HELD = "__quality"
+HELD = "metrics"
 # rule -> cutoffs from lenient to strict; a document is rejected when its value is above the cutoff
 CUTOFFS = {
     "symbols_per_char": [0.5 * 0.8**i for i in range(24)],
@@ -33,26 +33,26 @@ CUTOFFS = {
 
 
 def with_metrics(documents: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Columns ``keep`` and a struct of counts. Windows of three words are compared by their 64-bit hash."""
+    """(row, text_hash, metrics): ``row`` has the columns ``keep``, so their names cannot clash. Windows of three words are compared by their 64-bit hash."""
     text = whole(F.col("text"))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
-    df = documents.select(*keep, text.alias("__text"), words(F.col("text")).alias("__w"), lines.alias("__l"))
-    n = F.size("__w")
+    df = documents.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), text.alias("text"), words(F.col("text")).alias("w"), lines.alias("l"))
+    n = F.size("w")
     at = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
-    window = lambda i: F.struct(F.xxhash64(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2)).alias("h"), i.alias("i"))
-    df = df.select(*keep, "__text", n.alias("__n"), "__l", F.sort_array(F.transform(at, window)).alias("__s"))
-    twin = lambda x, k: x["h"].eqNullSafe(F.get("__s", k - 1)["h"]) | x["h"].eqNullSafe(F.get("__s", k + 1)["h"])
-    hit = F.transform(F.filter("__s", twin), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))
+    window = lambda i: F.struct(F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).alias("h"), i.alias("i"))
+    df = df.select("row", "text", n.alias("n"), "l", F.sort_array(F.transform(at, window)).alias("s"))
+    twin = lambda x, k: x["h"].eqNullSafe(F.get("s", k - 1)["h"]) | x["h"].eqNullSafe(F.get("s", k + 1)["h"])
+    hit = F.transform(F.filter("s", twin), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))
     count = lambda c: c.cast("bigint")
     measures = F.struct(
-        count(F.col("__n")).alias("n_words"),
-        count(F.length(F.translate("__text", BLANKS, ""))).alias("word_chars"),
-        count(F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).alias("n_symbols"),
-        count(F.size("__l")).alias("n_lines"),
-        count(F.size("__l") - F.size(F.array_distinct("__l"))).alias("n_dup_lines"),
+        count(F.col("n")).alias("n_words"),
+        count(F.length(F.translate("text", BLANKS, ""))).alias("word_chars"),
+        count(F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).alias("n_symbols"),
+        count(F.size("l")).alias("n_lines"),
+        count(F.size("l") - F.size(F.array_distinct("l"))).alias("n_dup_lines"),
         count(F.size(F.array_distinct(F.flatten(hit)))).alias("n_repeat_words"),
     )
-    return df.select(*keep, measures.alias(HELD))
+    return df.select("row", F.xxhash64("text").alias("text_hash"), measures.alias(HELD))
 
 
 def base_failed(of: str = HELD) -> Column:
@@ -87,50 +87,56 @@ def binomial_tail_log(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(steps, start, add)["total"]
 
 
-def certified_cutoffs(measured: DataFrame, labels: DataFrame, stratum: Column, risk: float, alpha: float) -> DataFrame:
-    """(stratum, cutoffs map) from ``measured(doc_id, metrics)`` and ``labels(doc_id, good)``.
+def certified_cutoffs(measured: DataFrame, labels: DataFrame, risk: float, alpha: float) -> DataFrame:
+    """(stratum, cuts) with a map of cutoffs from ``measured(doc_id, text_hash, stratum, metrics)`` and ``labels(doc_id, good)``.
 
-    Only documents that the fixed base rules let through are counted. Several labels of a document: all must be good.
+    Only documents that the fixed base rules let through are counted. Several labels of a document: all must be good. A trial of the binomial is one
+    document and one text: a doc_id with several rows counts once, by the text with the smallest hash, and a text that several documents have counts once in a stratum.
     """
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.col("good").cast("int")).alias("good")).where("good = 1")
-    holdout = measured.where(~base_failed()).withColumn("__stratum", stratum).join(good.select("doc_id"), "doc_id", "left_semi")
+    holdout = measured.where(~base_failed()).join(good.select("doc_id"), "doc_id", "left_semi")
+    one = holdout.groupBy("doc_id").agg(F.min(F.struct("text_hash", "stratum", HELD)).alias("d")).select("d.*")
+    trials = one.groupBy("stratum", "text_hash").agg(F.min(HELD).alias(HELD))
     cells = F.array(*[
         F.struct(F.lit(name).alias("rule"), F.size(F.filter(F.array(*map(F.lit, CUTOFFS[name])), lambda c: value <= c)).alias("step"))
         for name, value in rule_values().items()
     ])
-    counts = holdout.select("__stratum", F.explode(cells).alias("c")).groupBy("__stratum", "c.rule", "c.step").agg(F.count("*").alias("n"))
+    counts = trials.select("stratum", F.explode(cells).alias("c")).groupBy("stratum", "c.rule", "c.step").agg(F.count("*").alias("n"))
     ladder = F.explode(F.array(*[
         F.struct(F.lit(name).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff")) for name, cuts in CUTOFFS.items() for i, c in enumerate(cuts)
     ])).alias("l")
-    strata = counts.groupBy("__stratum").agg((F.sum("n") / len(CUTOFFS)).cast("bigint").alias("total"))
-    rungs = strata.select("__stratum", "total", ladder).select("__stratum", "total", "l.*")
-    upto = W.Window.partitionBy("__stratum", "rule").orderBy("step")
-    tested = rungs.join(counts, ["__stratum", "rule", "step"], "left").withColumn("k", F.sum(F.coalesce("n", F.lit(0))).over(upto))
-    # more than the expected number of rejections can never be certified
-    hopeless = F.col("k") > F.col("total") * risk
-    tail = F.when(hopeless, F.lit(0.0)).otherwise(binomial_tail_log(F.when(hopeless, F.lit(0)).otherwise(F.col("k")).cast("bigint"), F.col("total"), risk))
+    strata = counts.groupBy("stratum").agg((F.sum("n") / len(CUTOFFS)).cast("bigint").alias("total"))
+    rungs = strata.select("stratum", "total", ladder).select("stratum", "total", "l.*")
+    upto = W.Window.partitionBy("stratum", "rule").orderBy("step")
+    tested = rungs.join(counts, ["stratum", "rule", "step"], "left").withColumn("k", F.sum(F.coalesce("n", F.lit(0))).over(upto))
+    # each rule has its share of the risk; more than the expected number of rejections can never be certified
+    share = risk / len(CUTOFFS)
+    hopeless = F.col("k") > F.col("total") * share
+    tail = F.when(hopeless, F.lit(0.0)).otherwise(binomial_tail_log(F.when(hopeless, F.lit(0)).otherwise(F.col("k")).cast("bigint"), F.col("total"), share))
     level = math.log(alpha / (max(1, strata.count()) * len(CUTOFFS)))
     passed = tested.where(tail <= level)
-    strictest = passed.groupBy("__stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
-    return strictest.groupBy("__stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("__cuts"))
+    strictest = passed.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    return strictest.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts"))
 
 
 def apply_rules(
-    documents: DataFrame, labels: DataFrame, keep: Sequence[str], stratum_column: str = "lang", risk: float = 0.01, alpha: float = 0.05
+    documents: DataFrame, labels: DataFrame, keep: Sequence[str], stratum_column: str = "lang", risk: float = 0.02, alpha: float = 0.05
 ) -> DataFrame:
-    """Columns ``keep`` (``doc_id`` and the stratum among them), the metrics, ``base_failed`` and ``kept``.
+    """(row, metrics, base_failed, kept): ``row`` has the columns ``keep`` of ``documents``, ``doc_id`` and the stratum among them.
 
-    ``labels`` has doc_id and a boolean ``good``. A null stratum is a stratum of its own; strata without enough labelled
+    With probability ``1 - alpha`` at least, in every stratum at most the share ``risk`` of good documents that pass the base rules is rejected by the rules
+    together. ``labels`` has doc_id and a boolean ``good``. A null stratum is a stratum of its own, apart from an empty one; strata without enough labelled
     documents keep what the base rules keep. Null and blank texts have no words and fail the base rules.
-    Repeated rows are measured like any other; a labelled doc_id counts once per row that carries it.
+    Repeated rows are measured like any other and count once as labelled documents; an empty table gives no rows.
     """
     measured = stored(with_metrics(documents, keep), "quality-metrics")
-    stratum = F.coalesce(F.col(stratum_column).cast("string"), F.lit(""))
-    cuts = certified_cutoffs(measured.select("doc_id", stratum_column, HELD), labels, stratum, risk, alpha)
+    # the first character tells null from empty
+    stratum = F.coalesce(F.concat(F.lit("="), F.col("row").getField(stratum_column).cast("string")), F.lit("")).alias("stratum")
+    cuts = certified_cutoffs(measured.select(F.col("row.doc_id").alias("doc_id"), "text_hash", stratum, HELD), labels, risk, alpha)
     cuts = stored(cuts, "quality-cutoffs")
-    joined = measured.withColumn("__stratum", stratum).join(measured_broadcast(cuts, 512), "__stratum", "left")
+    joined = measured.withColumn("stratum", stratum).join(measured_broadcast(cuts, 512), "stratum", "left")
     above = F.lit(False)
     for name, value in rule_values().items():
-        above = above | F.coalesce(value > F.element_at("__cuts", F.lit(name)), F.lit(False))
+        above = above | F.coalesce(value > F.element_at("cuts", F.lit(name)), F.lit(False))
     failed = base_failed()
-    return joined.select(*keep, F.col(HELD), failed.alias("base_failed"), (~failed & ~above).alias("kept"))
+    return joined.select("row", F.col(HELD), failed.alias("base_failed"), (~failed & ~above).alias("kept"))
