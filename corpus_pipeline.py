@@ -18,13 +18,13 @@ ORACLE_SQL = None
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are probably of the top grade."""
     done = ordinal.classify(docs, queries.grades(spark, sf_dir))
-    return done.where("__kept").select(*docs.columns)
+    return done.where("kept").select("row.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the certified cutoffs of their language."""
     done = risk_rules.apply_rules(docs, queries.good(spark, sf_dir), docs.columns)
-    return done.where("kept").select(*docs.columns)
+    return done.where("kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +32,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document is a doc_id with a text; a repeated row of it stays beside it. Null ids come last and stay only where a group has no other.
     """
-    first = wide_simhash.similar_documents(docs).where("first").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(whole(F.col("text"))) == F.col("__hash"))
-    return docs.join(first, same, "left_semi").select(*docs.columns)
+    first = wide_simhash.similar_documents(docs).where("first").select("doc_id", "text_hash").distinct()
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(whole(F.col("text"))).alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
+    return packed.join(first, same, "left_semi").select("row.*")
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that an earlier one has."""
+    """All documents, without the passages that an earlier one has."""
     return line_dedup.drop_repeated_lines(docs).select(*docs.columns)
 
 
