@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from itertools import islice
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 
 from driftgauge.llm.text import whole
 
-LEAF = 256
+LEAF_BITS = 8
+LEAF_MASK = (1 << LEAF_BITS) - 1
+# pre-tokens kept in each of two generations, and their greatest length
 CACHE_ENTRIES, CACHE_CHARS = 1 << 19, 48
 PIECES = 1 << 16
 
@@ -34,58 +37,75 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions by merge rank; ``pop`` gives the lowest rank and its leftmost position."""
+    """Positions by merge rank; ``pop`` gives the lowest rank and its leftmost position.
+
+    ``top`` marks the leaves that have a rank, ``leaves`` the ranks of each that have a bucket.
+    """
+
+    __slots__ = ("buckets", "leaves", "top")
 
     def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
+        # one position, or a heap of several
+        self.buckets: dict[int, int | list[int]] = {}
         self.leaves: dict[int, int] = {}
         self.top = 0
 
+    def __bool__(self) -> bool:
+        return self.top != 0
+
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        leaf = rank // LEAF
-        self.leaves[leaf] = self.leaves.get(leaf, 0) | 1 << (rank % LEAF)
-        self.top |= 1 << leaf
+        buckets = self.buckets
+        bucket = buckets.get(rank)
+        if bucket is None:
+            buckets[rank] = position
+            leaf = rank >> LEAF_BITS
+            leaves = self.leaves
+            leaves[leaf] = leaves.get(leaf, 0) | 1 << (rank & LEAF_MASK)
+            self.top |= 1 << leaf
+        elif type(bucket) is list:
+            heappush(bucket, position)
+        else:
+            buckets[rank] = [bucket, position] if bucket < position else [position, bucket]
 
     def pop(self) -> tuple[int, int]:
-        leaf = (self.top & -self.top).bit_length() - 1
+        top = self.top
+        leaf = (top & -top).bit_length() - 1
         bits = self.leaves[leaf]
-        rank = leaf * LEAF + (bits & -bits).bit_length() - 1
+        rank = (leaf << LEAF_BITS) + (bits & -bits).bit_length() - 1
         bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            bits &= bits - 1
-            self.leaves[leaf] = bits
-            if not bits:
-                self.top &= self.top - 1
+        if type(bucket) is list:
+            position = heappop(bucket)
+            if bucket:
+                return rank, position
+        else:
+            position = bucket
+        del self.buckets[rank]
+        bits &= bits - 1
+        self.leaves[leaf] = bits
+        if not bits:
+            self.top = top & (top - 1)
         return rank, position
 
-    def __bool__(self) -> bool:
-        return self.top != 0
-
 
 def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Token ids of one pre-token."""
-    known = ranks.get(piece)
+    get = ranks.get
+    known = get(piece)
     if known is not None:
         return [known]
     n = len(piece)
-    get = ranks.get
     stop = list(range(1, n + 1))  # the token that starts at i ends at stop[i]; the next one starts there
     before = list(range(-1, n - 1))
     pair = [-1] * n  # rank of the token at i with its successor
     queue = RankQueue()
+    push, pop = queue.push, queue.pop
     for i in range(n - 1):
         rank = get(piece[i : i + 2])
         if rank is not None:
             pair[i] = rank
-            queue.push(rank, i)
-    while queue:
-        rank, i = queue.pop()
+            push(rank, i)
+    while queue.top:
+        rank, i = pop()
         if pair[i] != rank:
             continue
         middle = stop[i]
@@ -97,7 +117,7 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
             rank = get(piece[i : stop[end]])
             if rank is not None:
                 pair[i] = rank
-                queue.push(rank, i)
+                push(rank, i)
         left = before[i]
         if left >= 0:
             rank = get(piece[left:end])
@@ -105,42 +125,65 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                 pair[left] = -1
             else:
                 pair[left] = rank
-                queue.push(rank, left)
+                push(rank, left)
     ids, i = [], 0
     while i < n:
-        ids.append(ranks[piece[i : stop[i]]])
-        i = stop[i]
+        end = stop[i]
+        ids.append(ranks[piece[i:end]])
+        i = end
     return ids
 
 
 class Codec:
-    """Encoder and decoder of one rank file and pattern; a bounded cache keeps the ids of short pre-tokens."""
+    """Encoder and decoder of one rank file and pattern; a bounded cache keeps the ids of short pre-tokens.
+
+    When the cache is full it becomes the old generation, and what is asked for again moves over to the new one.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
         self.cache: dict[str, bytes] = {}
-        self.bytes_of: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
+        self.old: dict[str, bytes] = {}
+        # the vocabulary as one buffer: token ``r`` lies from ``starts[r]`` to ``starts[r + 1]``
+        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
-            self.bytes_of[rank] = token
+            tokens[rank] = token
+        self.flat = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        self.starts = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int64)
 
     def _piece(self, piece: str) -> bytes:
-        ids = np.array(encode_piece(piece.encode("utf-8"), self.ranks), dtype="<u4").tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            tokens = encode_piece(piece.encode("utf-8"), self.ranks)
+            ids = pack(f"<{len(tokens)}I", *tokens) if len(tokens) < 64 else np.array(tokens, dtype="<u4").tobytes()
         if len(piece) <= CACHE_CHARS:
             if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
+                self.old, self.cache = self.cache, {}
             self.cache[piece] = ids
         return ids
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Ids as little-endian unsigned 32-bit integers, in blocks of bounded size."""
         found = (m.group() for m in self.pattern.finditer(text)) if len(text) > 1 << 20 else iter(self.pattern.findall(text))
-        get, make = self.cache.get, self._piece
+        make = self._piece
         while block := list(islice(found, PIECES)):
-            yield b"".join([get(p) or make(p) for p in block])
+            cache = self.cache
+            known = list(map(cache.get, block))
+            if None in known:
+                known = [ids or cache.get(p) or make(p) for ids, p in zip(known, block)]
+            yield b"".join(known)
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        """Bytes of all tokens: a position of the vocabulary buffer for every byte, from running sums."""
+        tokens = np.frombuffer(ids, dtype="<u4")
+        first = self.starts[tokens]
+        sizes = self.starts[tokens + np.uint32(1)] - first
+        ends = np.cumsum(sizes)
+        if not len(ends):
+            return b""
+        at = np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1])
+        return self.flat[at].tobytes()
 
 
 _CODECS: dict[tuple[int, str], Codec] = {}
