@@ -185,6 +185,14 @@ def cv_provenance(fold_scores: DataFrame) -> DataFrame:
     return table.withColumn("rank", F.rank().over(W.partitionBy(F.lit(1)).orderBy("mean_mae")))
 
 
+def selected_penalty(fold_scores: DataFrame) -> DataFrame:
+    """``(alpha, fold, mae, mean_mae)`` of the penalty with the smallest mean fold error; ties go to the smaller penalty."""
+    means = fold_scores.groupBy("alpha").agg(F.avg("mae").alias("mean_mae"))
+    # a row per penalty of the grid, then one row
+    best = means.orderBy("mean_mae", "alpha").limit(1)
+    return fold_scores.join(F.broadcast(best), "alpha").select("alpha", "fold", "mae", "mean_mae")
+
+
 def boosted_trees(
     train: DataFrame, features: Sequence[str], target: str, *, trees: int = TREES, learning_rate: float = LEARNING_RATE,
     min_leaf: int = MIN_LEAF, max_depth: int = 5, seed: int = CV_SEED,

@@ -41,7 +41,41 @@ def training(spark, sf_dir):
     return feature_table(spark, sf_dir).where("split = 'QC_TRAIN'")
 
 
-@query("H3_ridge_search")
+def sql_solved(name: str, source: str, keys: str, size: int, width: int) -> str:
+    """CTE ``name(keys, p, mat)``: Gauss-Jordan steps on the matrices (lists of rows of ``width``) of ``source(keys, mat)``; the last step has ``p = size``."""
+    return f"""
+{name} AS (
+  SELECT {keys}, 0 AS p, mat FROM {source}
+  UNION ALL
+  SELECT {keys}, p + 1, list_transform(mat, lambda r, i: CASE WHEN i = p + 1 THEN list_transform(r, lambda v: v / mat[p + 1][p + 1])
+    ELSE list_transform(range(1, {width + 1}), lambda j: r[j] - r[p + 1] * mat[p + 1][j] / mat[p + 1][p + 1]) END) FROM {name} WHERE p < {size})"""
+
+
+# Ridge in SQL: standardised Gram matrices of the rows outside each fold (held = -1: of all rows), one linear system per fold and penalty.
+N_FEATURES = len(FEATURES)
+SQL_ALPHAS = ", ".join(f"{a!r}::DOUBLE" for a in models.ALPHA_GRID)
+SQL_FIT_Z = "[" + ", ".join(f"({c} - m_{c}) / (CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END)" for c in FEATURES) + "]"
+SQL_RIDGE = f"""
+WITH RECURSIVE {SQL_SCORED}, {SQL_FEATURES}, units AS (SELECT 'all' AS domain, unit_id FROM features WHERE split = 'QC_TRAIN'), {sql_folds('units', (models.CV_SEED,))},
+tf AS (SELECT t.*, f.fold FROM features t JOIN folds f USING (unit_id)),
+st AS (SELECT held, avg(target) AS m_y, {SQL_MS} FROM tf JOIN (SELECT unnest(range(-1, 5)) AS held) h ON fold <> held GROUP BY held),
+zt AS (SELECT held, {SQL_FIT_Z} AS z, target - m_y AS y FROM tf JOIN st ON fold <> held),
+gm AS (SELECT held, i, j, sum(z[i] * CASE WHEN j > {N_FEATURES} THEN y ELSE z[j] END) AS v
+  FROM zt, (SELECT unnest(range(1, {N_FEATURES + 1})) AS i) a, (SELECT unnest(range(1, {N_FEATURES + 2})) AS j) b GROUP BY held, i, j),
+penalised AS (SELECT held, alpha, i, list(v + CASE WHEN i = j THEN alpha ELSE 0 END ORDER BY j) AS r FROM gm, (SELECT unnest([{SQL_ALPHAS}]) AS alpha) GROUP BY held, alpha, i),
+systems AS (SELECT held, alpha, list(r ORDER BY i) AS mat FROM penalised GROUP BY held, alpha),
+{sql_solved('gj', 'systems', 'held, alpha', N_FEATURES, N_FEATURES + 1)},
+beta AS (SELECT held, alpha, list_transform(mat, lambda r: r[{N_FEATURES + 1}]) AS b FROM gj WHERE p = {N_FEATURES}),
+err AS (SELECT alpha, fold, avg(abs(m_y + list_dot_product(b, {SQL_FIT_Z}) - target)) AS mae FROM tf JOIN st ON held = fold JOIN beta USING (held) GROUP BY alpha, fold),
+best AS (SELECT alpha, avg(mae) AS mean_mae FROM err GROUP BY alpha ORDER BY mean_mae, alpha LIMIT 1)
+"""
+SQL_MODEL = SQL_RIDGE + "\n UNION ALL ".join([""] + [
+    f"""SELECT {i} AS position, '{c}' AS feature, round(m_{c}, 6) AS mean, round(s_{c}, 6) AS scale, round(b[{i + 1}], 6) AS coefficient, round(m_y, 6) AS intercept, alpha
+  FROM best JOIN beta USING (alpha) JOIN st USING (held) WHERE held = -1""" for i, c in enumerate(FEATURES)
+]).replace("\n UNION ALL ", "", 1)
+
+
+@query("H3_ridge_search", SQL_MODEL)
 def ridge_search(spark, sf_dir):
     model = models.ridge_search(training(spark, sf_dir), "unit_id", FEATURES, "target").model
     return rounded(model.table(spark), "mean", "scale", "coefficient", "intercept")
@@ -67,29 +101,36 @@ def cv_provenance(spark, sf_dir):
     return rounded(models.cv_provenance(scores), "mean_mae", "sd_mae")
 
 
-@query("H4_ridge_cv_provenance")
+@query("H4_ridge_cv_provenance", SQL_RIDGE + """, t AS (SELECT alpha, count(*) AS n_folds, avg(mae) AS mean_mae, stddev_pop(mae) AS sd_mae FROM err GROUP BY 1)
+SELECT alpha, n_folds, round(mean_mae, 6) AS mean_mae, round(sd_mae, 6) AS sd_mae, rank() OVER (ORDER BY mean_mae)::INT AS rank FROM t""")
 def ridge_cv_provenance(spark, sf_dir):
     search = models.ridge_search(training(spark, sf_dir), "unit_id", FEATURES, "target")
     return rounded(models.cv_provenance(search.fold_scores), "mean_mae", "sd_mae")
 
 
+@query("H4_selected_penalty", SQL_RIDGE + "SELECT alpha, fold::INT AS fold, round(mae, 6) AS mae, round(mean_mae, 6) AS mean_mae FROM err JOIN best USING (alpha)")
+def selected_penalty(spark, sf_dir):
+    search = models.ridge_search(training(spark, sf_dir), "unit_id", FEATURES, "target")
+    return rounded(models.selected_penalty(search.fold_scores), "mae", "mean_mae")
+
+
 @query("H5_boosted_trees")
 def boosted_trees(spark, sf_dir):
     df = feature_table(spark, sf_dir)
-    model = models.boosted_trees(df.where("split = 'QC_TRAIN'"), FEATURES, "target", trees=10)
+    model = models.boosted_trees(df.where("split = 'QC_TRAIN'"), FEATURES, "target")
     return rounded(models.predict_trees(df, model, FEATURES, "trees_pred").select("unit_id", "split", "trees_pred"), "trees_pred")
 
 
 @query("H6_fit_baselines")
 def fit_baselines(spark, sf_dir):
     df = feature_table(spark, sf_dir)
-    fitted = models.fit_baselines(df, "unit_id", "split", "QC_TRAIN", FEATURES, "target", trees=10)
+    fitted = models.fit_baselines(df, "unit_id", "split", "QC_TRAIN", FEATURES, "target")
     out = models.predict_baselines(df.select("unit_id", "split", *FEATURES, "target"), fitted, "target", ["split", "unit_id"])
     names = [f"{m}_{kind}" for m in ("mean", "ridge", "trees") for kind in ("pred", "abs_error")]
     return rounded(out.select("unit_id", "split", *names), *names)
 
 
-@query("H7_fit_deployed")
+@query("H7_fit_deployed", SQL_MODEL)
 def fit_deployed(spark, sf_dir):
     model = models.fit_deployed(training(spark, sf_dir), "unit_id", "split", "QC_TRAIN", FEATURES, "target")
     return rounded(model.table(spark), "mean", "scale", "coefficient", "intercept")
@@ -101,14 +142,12 @@ def population_guard(spark, sf_dir):
     return population_violations(scored(spark, sf_dir), "grp", "unit_id", "EUROPE")
 
 
-# A fixed model, so that SQL can score with the same numbers.
-FIXED = models.LinearModel(("qty_mean", "discount_mean", "tax_max"), (25.5, 0.05, 0.06), (7.0, 0.015, 0.02), (0.03, -0.02, 0.001), 0.5, 1.0)
-
-
-@query("H8_score", f"""WITH {SQL_SCORED}, {SQL_FEATURES} SELECT unit_id, round(0.5::DOUBLE + 0.03::DOUBLE * (qty_mean - 25.5::DOUBLE) / 7.0::DOUBLE
-  + -0.02::DOUBLE * (discount_mean - 0.05::DOUBLE) / 0.015::DOUBLE + 0.001::DOUBLE * (tax_max - 0.06::DOUBLE) / 0.02::DOUBLE, 6) AS q_hat FROM features""")
+@query("H8_score", SQL_RIDGE + f"SELECT f.unit_id, round(m_y + list_dot_product(b, {SQL_FIT_Z}), 6) AS q_hat FROM features f, (SELECT * FROM best JOIN beta USING (alpha) JOIN st USING (held) WHERE held = -1)")
 def score(spark, sf_dir):
-    return features(spark, sf_dir).select("unit_id", F.round(FIXED.score(), 6).alias("q_hat"))
+    """The model fitted on the training split scores every unit from all its features."""
+    df = feature_table(spark, sf_dir)
+    model = models.fit_deployed(df.where("split = 'QC_TRAIN'"), "unit_id", "split", "QC_TRAIN", FEATURES, "target")
+    return df.select("unit_id", F.round(model.score(), 6).alias("q_hat"))
 
 
 # --- I: split-conformal ---------------------------------------------------------------------
@@ -256,21 +295,49 @@ def knn_features(spark, sf_dir):
     return rounded(support.mean_distances(near, "unit_id", KS), *[f"support_knn_k{k}" for k in KS])
 
 
-@query("J3_mahalanobis")
+def sql_ledoit_wolf(vectors: str, p: int) -> str:
+    """CTEs over ``vectors(x)``: ``location(m)`` and ``precision(rows)`` of the shrunk covariance, inverted by Gauss-Jordan steps."""
+    numbers = f"(SELECT unnest(range(1, {p + 1})) AS i) a"
+    return f"""
+location AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(x[i]) AS m FROM {vectors}, {numbers} GROUP BY i)),
+centred AS (SELECT list_transform(range(1, {p + 1}), lambda i: x[i] - m[i]) AS d FROM {vectors}, location),
+covariance AS (SELECT i, j, avg(d[i] * d[j]) AS s FROM centred, {numbers}, (SELECT unnest(range(1, {p + 1})) AS j) b GROUP BY i, j),
+moments AS (SELECT n, fourth, trace / {p} AS mu, frob, (frob - trace * trace / {p}) / {p} AS delta, (fourth / n - frob) / ({p} * n) AS beta
+  FROM (SELECT count(*) AS n, sum(list_dot_product(d, d) ** 2) AS fourth FROM centred), (SELECT sum(s) FILTER (i = j) AS trace, sum(s * s) AS frob FROM covariance)),
+shrunk AS (SELECT i, j, (1 - g) * s + CASE WHEN i = j THEN g * mu ELSE 0 END AS v FROM covariance, (SELECT mu, CASE WHEN beta > 0 THEN least(beta, delta) / delta ELSE 0 END AS g FROM moments)),
+beside AS (SELECT 0 AS one, list(r ORDER BY i) AS mat FROM (SELECT i, list_concat(list(v ORDER BY j), list((i = j)::INT::DOUBLE ORDER BY j)) AS r FROM shrunk GROUP BY i)),
+{sql_solved('inverted', 'beside', 'one', p, 2 * p)},
+precision AS (SELECT list_transform(mat, lambda r: r[{p + 1}:{2 * p}]) AS rows FROM inverted WHERE p = {p})"""
+
+
+def sql_mahalanobis(d: str) -> str:
+    return f"list_dot_product({d}, list_transform(rows, lambda r: list_dot_product(r, {d})))"
+
+
+@query("J3_mahalanobis", f"""WITH RECURSIVE vectors AS (SELECT embedding::DOUBLE[] AS x FROM embeddings WHERE label < 5), {sql_ledoit_wolf('vectors', 64)},
+asks AS (SELECT vec_id, list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE - m[i]) AS d FROM embeddings, location WHERE label >= 5)
+SELECT vec_id, round({sql_mahalanobis('d')}, 6) AS support_mahalanobis FROM asks, precision""")
 def mahalanobis(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), "label")
     fitted = support.ledoit_wolf(vectors.where("label < 5"))
     return rounded(support.mahalanobis(vectors.where("label >= 5"), fitted, "vec_id"), "support_mahalanobis")
 
 
-@query("J4_support_scores")
+@query("J4_support_scores", f"""WITH RECURSIVE {SQL_SCORED}, {SQL_FEATURES}, {SQL_REFERENCE}, m AS (SELECT {SQL_MS} FROM reference),
+r AS (SELECT f.unit_id AS id, {SQL_VEC} AS x FROM reference f, m), q AS (SELECT f.unit_id AS id, f.domain, f.split, {SQL_VEC} AS x FROM features f, m WHERE f.split = 'EVAL'),
+nn AS (SELECT id, list_sort(list(d)) AS ds FROM (SELECT q.id, list_distance(q.x, r.x) AS d FROM q, r) GROUP BY id), vectors AS (SELECT x FROM r), {sql_ledoit_wolf('vectors', N_FEATURES)},
+asks AS (SELECT id, q.domain, q.split, list_transform(range(1, {N_FEATURES + 1}), lambda i: x[i] - location.m[i]) AS d FROM q, location)
+SELECT id AS unit_id, domain, split, round(ds[1], 6) AS support_knn_k1, round(list_avg(ds[1:5]), 6) AS support_knn_k5, round(list_avg(ds[1:10]), 6) AS support_knn_k10,
+  round({sql_mahalanobis('d')}, 6) AS support_mahalanobis FROM asks JOIN nn USING (id), precision""")
 def support_scores(spark, sf_dir):
     df, fitted = source_support(spark, sf_dir)
     out = support.support_scores(df, fitted, "unit_id", "split", "domain", ["EVAL"], KS)
     return rounded(out, *[c for c in out.columns if c.startswith("support_")])
 
 
-@query("J4_score_guards", "SELECT 'split' AS \"check\", vec_id::VARCHAR AS key, label::VARCHAR AS detail FROM embeddings WHERE label > 6 UNION ALL SELECT 'score', vec_id::VARCHAR, 'not finite or negative' FROM embeddings WHERE embedding[1] < 0")
+@query("J4_score_guards", "SELECT 'split' AS \"check\", vec_id::VARCHAR AS key, label::VARCHAR AS detail FROM embeddings WHERE label > 6 UNION ALL SELECT 'score', vec_id::VARCHAR, 'not finite or negative' FROM embeddings WHERE list_min(embedding) < -0.25")
 def score_guards(spark, sf_dir):
-    scores = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("split"), F.col("embedding")[0].cast("double").alias("support_knn_k1"))
+    """The least of all components, moved so that some stay above zero, stands for the score."""
+    least = (F.array_min("embedding") + F.lit(0.25)).cast("double")
+    scores = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("split"), least.alias("support_knn_k1"))
     return support.score_violations(scores, "vec_id", "split", [str(v) for v in range(7)])
