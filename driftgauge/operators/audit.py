@@ -158,11 +158,16 @@ def geometry_comparison(df: DataFrame, pairs: Mapping[str, tuple[str, str]], sha
     return out.withColumn("compatible", F.coalesce(compatible, F.lit(False)))
 
 
-def geometry_fingerprint(fields: Mapping[str, Column], rounded: Mapping[str, Column], digits: int = 10) -> Column:
-    """sha256 of canonical JSON: fields in name order, real arrays rounded first."""
-    everything = dict(fields)
-    everything.update({name: F.transform(col, lambda v: F.round(v, digits)) for name, col in rounded.items()})
-    return F.sha2(F.to_json(F.struct(*[everything[n].alias(n) for n in sorted(everything)])), 256)
+def geometry_fingerprint(
+    fields: Mapping[str, Column], rounded: Mapping[str, Column], digits: int = 10, lists: Mapping[str, Column] | None = None
+) -> Column:
+    """sha256 of a canonical text: ``name=value`` in name order; arrays (``lists``, and ``rounded`` with real members as whole numbers of ``10 ** -digits``) in brackets."""
+    unit = F.lit(10.0**digits)
+    listed = lambda col: F.concat(F.lit("["), F.array_join(F.transform(col, lambda v: v.cast("string")), ","), F.lit("]"))
+    texts = {name: listed(F.transform(col, lambda v: F.round(v.cast("double") * unit).cast("bigint"))) for name, col in rounded.items()}
+    texts.update({name: listed(col) for name, col in (lists or {}).items()})
+    texts.update({name: col.cast("string") for name, col in fields.items()})
+    return F.sha2(F.concat_ws("|", *[F.concat(F.lit(f"{n}="), F.coalesce(texts[n], F.lit("-"))) for n in sorted(texts)]), 256)
 
 
 def nested_counts(df: DataFrame, outer: str, inner: str) -> DataFrame:

@@ -113,21 +113,26 @@ def label_summary(spark, sf_dir):
     )
 
 
-@query("B9_geometry_comparison", """WITH g AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), d AS (SELECT vec_id, label = vec_id % 10 AS same_shape, greatest(abs(e[1] - e[4]), abs(e[2] - e[5]), abs(e[3] - e[6])) AS spacing_max_diff FROM g)
-SELECT vec_id, spacing_max_diff <= 0.1::DOUBLE AS spacing_ok, round(spacing_max_diff, 6) AS spacing_max_diff, same_shape AND spacing_max_diff <= 0.1::DOUBLE AS compatible FROM d""")
+@query("B9_geometry_comparison", """WITH g AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
+d AS (SELECT vec_id, label = vec_id % 10 AS same_shape, list_max(list_transform(range(1, 33), lambda i: abs(e[i] - e[i + 32]))) AS spacing_max_diff FROM g)
+SELECT vec_id, spacing_max_diff <= 0.4::DOUBLE AS spacing_ok, round(spacing_max_diff, 6) AS spacing_max_diff, same_shape AND spacing_max_diff <= 0.4::DOUBLE AS compatible FROM d""")
 def geometry_comparison(spark, sf_dir):
+    """The halves of each vector against each other."""
     e = F.col("embedding").cast("array<double>")
     pairs = table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.slice(e, 1, 3).alias("left"), F.slice(e, 4, 3).alias("right"), F.array("label").alias("shape_a"), F.array((F.col("vec_id") % 10).cast("int")).alias("shape_b")
+        "vec_id", F.slice(e, 1, 32).alias("left"), F.slice(e, 33, 32).alias("right"), F.array("label").alias("shape_a"), F.array((F.col("vec_id") % 10).cast("int")).alias("shape_b")
     )
-    out = audit.geometry_comparison(pairs, {"spacing": ("left", "right")}, ("shape_a", "shape_b"), 0.1)
+    out = audit.geometry_comparison(pairs, {"spacing": ("left", "right")}, ("shape_a", "shape_b"), 0.4)
     return out.select("vec_id", "spacing_ok", F.round("spacing_max_diff", 6).alias("spacing_max_diff"), "compatible")
 
 
-@query("B10_geometry_fingerprint")
+SQL_UNITS = "array_to_string(list_transform(embedding[{0}:{1}], lambda v: round(v::DOUBLE * 1e10)::BIGINT::VARCHAR), ',')"
+
+
+@query("B10_geometry_fingerprint", f"""SELECT vec_id, sha256(concat_ws('|', 'affine=[' || {SQL_UNITS.format(17, 64)} || ']', 'orientation=RAS', 'shape=[' || label || ']', 'spacing=[' || {SQL_UNITS.format(1, 16)} || ']')) AS fingerprint FROM embeddings""")
 def geometry_fingerprint(spark, sf_dir):
     e = F.col("embedding").cast("array<double>")
-    print_ = audit.geometry_fingerprint({"shape": F.array("label"), "orientation": F.lit("RAS")}, {"spacing": F.slice(e, 1, 3), "affine": F.slice(e, 4, 12)})
+    print_ = audit.geometry_fingerprint({"orientation": F.lit("RAS")}, {"spacing": F.slice(e, 1, 16), "affine": F.slice(e, 17, 48)}, lists={"shape": F.array("label")})
     return table(spark, sf_dir, "embeddings").select("vec_id", print_.alias("fingerprint"))
 
 
@@ -280,11 +285,11 @@ def normalize_labels(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(normalized_label(raw), F.lit(-1)).alias("label"))
 
 
-@query("B30_linear_rescale", f"""WITH {SQL_ELEMENTS} SELECT e.case_id, x, y, CASE WHEN label <> 0 THEN round(intensity * label + -1024::DOUBLE, 6) ELSE -9999 END AS rescaled FROM elements e JOIN embeddings ON vec_id = case_id""")
+@query("B30_linear_rescale", f"""WITH {SQL_ELEMENTS} SELECT e.case_id, x, y, z, CASE WHEN label <> 0 THEN round(intensity * label + -1024::DOUBLE, 6) ELSE -9999 END AS rescaled FROM elements e JOIN embeddings ON vec_id = case_id""")
 def linear_rescale(spark, sf_dir):
     params = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("case_id"), F.col("label").cast("double").alias("slope"), F.lit(-1024.0).alias("intercept"))
     out = audit.linear_rescale(elements(spark, sf_dir), params, "case_id", "intensity")
-    return out.select("case_id", "x", "y", F.coalesce(F.round("rescaled", 6), F.lit(-9999.0)).alias("rescaled"))
+    return out.select("case_id", "x", "y", "z", F.coalesce(F.round("rescaled", 6), F.lit(-9999.0)).alias("rescaled"))
 
 
 @query("B31_frame_availability", """WITH f AS (SELECT l_orderkey, l_linenumber AS frame, count(*) FILTER (l_returnflag = 'R') AS n FROM lineitem GROUP BY 1, 2),
@@ -323,21 +328,22 @@ def split_report(spark, sf_dir):
 # --- C: provenance ----------------------------------------------------------------------------------
 
 SQL_C1 = """members AS (SELECT case_id, max(x) AS mx, max(y) AS my, count(*) AS n FROM elements GROUP BY 1)"""
-SQL_MEMBER = "concat_ws(',', x::VARCHAR, y::VARCHAR, pred::VARCHAR || '.0')"
+SQL_MEMBER = "concat_ws(',', x::VARCHAR, y::VARCHAR, z::VARCHAR, pred::VARCHAR || '.0')"
 
 
-@query("C1_array_fingerprint", f"""WITH {SQL_ELEMENTS}, f AS (SELECT case_id, (max(x) + 1) || 'x' || (max(y) + 1) AS shape, {sql_set_digest(SQL_MEMBER)} AS members FROM labelled GROUP BY 1)
+@query("C1_array_fingerprint", f"""WITH {SQL_ELEMENTS}, f AS (SELECT case_id, (max(x) + 1) || 'x' || (max(y) + 1) || 'x' || (max(z) + 1) AS shape, {sql_set_digest(SQL_MEMBER)} AS members FROM labelled GROUP BY 1)
 SELECT case_id, shape, sha256(concat_ws('|', shape, members)) AS fingerprint FROM f""")
 def array_fingerprint(spark, sf_dir):
     from driftgauge.operators.elements import with_argmax
     from driftgauge.plans.bindings import probabilities
 
-    return provenance.array_fingerprints(with_argmax(probabilities(spark, sf_dir), "p"), "case_id", ["x", "y"], "label")
+    return provenance.array_fingerprints(with_argmax(probabilities(spark, sf_dir), "p"), "case_id", ["x", "y", "z"], "label")
 
 
 SQL_RECORDS = """
-left_side AS (SELECT doc_id::VARCHAR AS id, sha256(lower(text)) AS canonical, sha256(text) AS raw FROM documents WHERE doc_id % 2 = 0),
-right_side AS (SELECT doc_id::VARCHAR AS id, sha256(lower(text)) AS canonical, sha256(CASE WHEN doc_id % 3 = 0 THEN lower(text) ELSE text END) AS raw FROM documents WHERE doc_id % 3 < 2),
+left_side AS (SELECT doc_id::VARCHAR AS id, sha256(lower(text)) AS canonical, sha256(text) AS raw FROM documents),
+changed AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' revised' WHEN doc_id % 3 = 0 THEN lower(text) ELSE text END AS text FROM documents),
+right_side AS (SELECT doc_id::VARCHAR AS id, sha256(lower(text)) AS canonical, sha256(text) AS raw FROM changed),
 l AS (SELECT canonical, count(*) AS n FROM left_side GROUP BY 1), r AS (SELECT canonical, count(*) AS n, min(id) AS id, min(raw) AS raw FROM right_side GROUP BY 1),
 matches AS (
   SELECT s.id, CASE WHEN r.n IS NULL THEN 'NO_MATCH' WHEN r.n > 1 OR l.n > 1 THEN 'AMBIGUOUS' WHEN r.raw = s.raw THEN 'EXACT' ELSE 'EQUIVALENT' END AS status, r.id AS rid
@@ -347,17 +353,18 @@ matches AS (
 
 
 def records(spark, sf_dir):
+    """All documents against a copy of them in which some have another case and some another ending."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    raw = F.when(F.col("doc_id") % 3 == 0, F.lower("text")).otherwise(F.col("text"))
-    keyed = lambda df, text: df.select(
-        F.col("doc_id").cast("string").alias("id"), F.sha2(F.lower("text"), 256).alias("canonical"), F.sha2(text, 256).alias("raw")
+    changed = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" revised"))).when(F.col("doc_id") % 3 == 0, F.lower("text")).otherwise(F.col("text"))
+    keyed = lambda df: df.select(
+        F.col("doc_id").cast("string").alias("id"), F.sha2(F.lower("text"), 256).alias("canonical"), F.sha2("text", 256).alias("raw")
     )
-    return keyed(docs.where("doc_id % 2 = 0"), F.col("text")), keyed(docs.where("doc_id % 3 < 2"), raw)
+    return keyed(docs), keyed(docs.select("doc_id", changed.alias("text")))
 
 
 @query("C2_one_to_one_matches", f"WITH {SQL_RECORDS} SELECT id, status, CASE WHEN status IN ('EXACT', 'EQUIVALENT') THEN rid ELSE '' END AS matched_id FROM matches")
 def one_to_one_matches(spark, sf_dir):
-    """Two overlapping halves of the documents, one with changed case, matched by the hash of the whole text."""
+    """Documents matched by the hash of the whole text in one case."""
     left, right = records(spark, sf_dir)
     out = provenance.one_to_one_matches(left, right, "id", "canonical", "raw")
     return out.withColumn("matched_id", F.coalesce("matched_id", F.lit("")))

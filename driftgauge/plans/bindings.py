@@ -224,14 +224,16 @@ LABELS = (0, 1, 2, 3)
 
 
 def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``case_id, x, y, z, p``: every embedding read as a 4 x 4 x 1 grid with a 4-class softmax (scaled by 8)."""
+    """``case_id, x, y, z, p``: every embedding read as a 4 x 4 x 4 grid; a cell's 4-class softmax (scaled by 8) is over its own component and those a
+    quarter of the vector further on, in a circle."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("case_id"), "embedding")
-    cell = vectors.select(
-        "case_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("cell"), "embedding"
-    ).select("case_id", "cell", F.transform(F.slice("embedding", F.col("cell") * 4 + 1, 4), lambda v: F.exp(v.cast("double") * 8.0)).alias("e"))
+    logit = lambda k: F.exp(F.col("embedding")[(F.col("cell") + 16 * k) % 64].cast("double") * 8.0)
+    cell = vectors.select("case_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("cell"), "embedding").select(
+        "case_id", "cell", F.array(*map(logit, range(CLASSES))).alias("e")
+    )
     total = F.aggregate("e", F.lit(0.0), lambda a, v: a + v)
     return cell.select(
-        "case_id", F.floor(F.col("cell") / 4).cast("int").alias("x"), (F.col("cell") % 4).cast("int").alias("y"), F.lit(0).alias("z"),
+        "case_id", F.floor(F.col("cell") % 16 / 4).cast("int").alias("x"), (F.col("cell") % 4).cast("int").alias("y"), F.floor(F.col("cell") / 16).cast("int").alias("z"),
         F.transform("e", lambda v: v / total).alias("p"),
     )
 
@@ -245,18 +247,18 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = F.broadcast(table(spark, sf_dir, "embeddings").agg(F.min("vec_id").alias("__least"), F.max("vec_id").alias("__most")))
     before = F.when(F.col("case_id") == F.col("__least"), F.col("__most")).otherwise(F.col("case_id") - 1)
     ref = p.join(ends).select(before.alias("case_id"), "x", "y", "z", F.col("pred").alias("ref"))
-    intensity = F.when(F.pmod(hash60("case_id", "x", "y"), F.lit(4)) == 0, F.lit(0.0)).otherwise(hash_uniform("case_id", "y", "x") + 0.5)
+    intensity = F.when(F.pmod(hash60("case_id", "x", "y", "z"), F.lit(4)) == 0, F.lit(0.0)).otherwise(hash_uniform("case_id", "z", "y", "x") + 0.5)
     return p.join(ref, ["case_id", "x", "y", "z"]).withColumn("intensity", intensity)
 
 
 SQL_ELEMENTS = f"""
 cells AS (
-  SELECT vec_id AS case_id, c AS cell, exp(embedding[c * 4 + 1]::DOUBLE * 8) AS e0, exp(embedding[c * 4 + 2]::DOUBLE * 8) AS e1,
-    exp(embedding[c * 4 + 3]::DOUBLE * 8) AS e2, exp(embedding[c * 4 + 4]::DOUBLE * 8) AS e3
-  FROM embeddings, (SELECT unnest(range(0, 16)) AS c)
+  SELECT vec_id AS case_id, c AS cell, exp(embedding[c + 1]::DOUBLE * 8) AS e0, exp(embedding[(c + 16) % 64 + 1]::DOUBLE * 8) AS e1,
+    exp(embedding[(c + 32) % 64 + 1]::DOUBLE * 8) AS e2, exp(embedding[(c + 48) % 64 + 1]::DOUBLE * 8) AS e3
+  FROM embeddings, (SELECT unnest(range(0, 64)) AS c)
 ),
 probs AS (
-  SELECT case_id, (cell // 4)::INT AS x, (cell % 4)::INT AS y, 0 AS z, e0 / (e0 + e1 + e2 + e3) AS p0, e1 / (e0 + e1 + e2 + e3) AS p1,
+  SELECT case_id, (cell % 16 // 4)::INT AS x, (cell % 4)::INT AS y, (cell // 16)::INT AS z, e0 / (e0 + e1 + e2 + e3) AS p0, e1 / (e0 + e1 + e2 + e3) AS p1,
     e2 / (e0 + e1 + e2 + e3) AS p2, e3 / (e0 + e1 + e2 + e3) AS p3
   FROM cells
 ),
@@ -269,9 +271,9 @@ labelled AS (
 ),
 elements AS (
   SELECT a.*, b.pred AS ref,
-    CASE WHEN {sql_hash("concat_ws(':', a.case_id::VARCHAR, a.x::VARCHAR, a.y::VARCHAR)")} % 4 = 0 THEN 0.0
-         ELSE {sql_uniform("concat_ws(':', a.case_id::VARCHAR, a.y::VARCHAR, a.x::VARCHAR)")} + 0.5 END AS intensity
+    CASE WHEN {sql_hash("concat_ws(':', a.case_id::VARCHAR, a.x::VARCHAR, a.y::VARCHAR, a.z::VARCHAR)")} % 4 = 0 THEN 0.0
+         ELSE {sql_uniform("concat_ws(':', a.case_id::VARCHAR, a.z::VARCHAR, a.y::VARCHAR, a.x::VARCHAR)")} + 0.5 END AS intensity
   FROM labelled a JOIN labelled b ON b.case_id = CASE WHEN a.case_id = (SELECT max(vec_id) FROM embeddings) THEN (SELECT min(vec_id) FROM embeddings) ELSE a.case_id + 1 END
-    AND b.x = a.x AND b.y = a.y
+    AND b.x = a.x AND b.y = a.y AND b.z = a.z
 )
 """

@@ -8,8 +8,8 @@ from driftgauge.plans.bindings import CLASSES, LABELS, SQL_ELEMENTS, elements, p
 from driftgauge.plans.registry import query
 
 FG = (1, 2, 3)
-GRID = ("x", "y")
-SPACING = (1.5, 2.0)
+GRID = ("x", "y", "z")
+SPACING = (1.5, 2.0, 2.5)
 
 
 def rounded(df, *columns, digits=6):
@@ -66,10 +66,10 @@ def empty_truth(spark, sf_dir):
 
 
 SQL_SURFACE = """
-inside AS (SELECT case_id, x, y, ref > 0 AS r, pred > 0 AS p FROM elements),
-rmask AS (SELECT case_id, x, y FROM inside WHERE r), pmask AS (SELECT case_id, x, y FROM inside WHERE p),
-rsurf AS (SELECT m.case_id, m.x, m.y FROM rmask m LEFT JOIN rmask n ON n.case_id = m.case_id AND abs(n.x - m.x) + abs(n.y - m.y) = 1 GROUP BY ALL HAVING count(n.x) < 4),
-psurf AS (SELECT m.case_id, m.x, m.y FROM pmask m LEFT JOIN pmask n ON n.case_id = m.case_id AND abs(n.x - m.x) + abs(n.y - m.y) = 1 GROUP BY ALL HAVING count(n.x) < 4)
+inside AS (SELECT case_id, x, y, z, ref > 0 AS r, pred > 0 AS p FROM elements),
+rmask AS (SELECT case_id, x, y, z FROM inside WHERE r), pmask AS (SELECT case_id, x, y, z FROM inside WHERE p),
+rsurf AS (SELECT m.case_id, m.x, m.y, m.z FROM rmask m LEFT JOIN rmask n ON n.case_id = m.case_id AND abs(n.x - m.x) + abs(n.y - m.y) + abs(n.z - m.z) = 1 GROUP BY ALL HAVING count(n.x) < 6),
+psurf AS (SELECT m.case_id, m.x, m.y, m.z FROM pmask m LEFT JOIN pmask n ON n.case_id = m.case_id AND abs(n.x - m.x) + abs(n.y - m.y) + abs(n.z - m.z) = 1 GROUP BY ALL HAVING count(n.x) < 6)
 """
 
 
@@ -78,10 +78,11 @@ def surface(spark, sf_dir):
     return el.surface(elements(spark, sf_dir).where("ref > 0"), "case_id", GRID)
 
 
-SQL_HD = """
+SQL_GAP = "sqrt(2.25 * (a.x - b.x) * (a.x - b.x) + 4.0 * (a.y - b.y) * (a.y - b.y) + 6.25 * (a.z - b.z) * (a.z - b.z))"
+SQL_HD = f"""
 pooled AS (
-  SELECT a.case_id, a.x, a.y, 0 AS side, min(sqrt(2.25 * (a.x - b.x) * (a.x - b.x) + 4.0 * (a.y - b.y) * (a.y - b.y))) AS d FROM psurf a JOIN rsurf b USING (case_id) GROUP BY ALL
-  UNION ALL SELECT a.case_id, a.x, a.y, 1, min(sqrt(2.25 * (a.x - b.x) * (a.x - b.x) + 4.0 * (a.y - b.y) * (a.y - b.y))) FROM rsurf a JOIN psurf b USING (case_id) GROUP BY ALL),
+  SELECT a.case_id, a.x, a.y, a.z, 0 AS side, min({SQL_GAP}) AS d FROM psurf a JOIN rsurf b USING (case_id) GROUP BY ALL
+  UNION ALL SELECT a.case_id, a.x, a.y, a.z, 1, min({SQL_GAP}) FROM rsurf a JOIN psurf b USING (case_id) GROUP BY ALL),
 hd AS (SELECT case_id, quantile_cont(d, 0.95) AS hd FROM pooled GROUP BY 1),
 distances AS (SELECT c.case_id, CASE WHEN has_r AND has_p THEN round(hd, 6) WHEN has_r OR has_p THEN -1 ELSE -2 END AS hd95
   FROM (SELECT case_id, bool_or(r) AS has_r, bool_or(p) AS has_p FROM inside GROUP BY 1) c LEFT JOIN hd USING (case_id))
@@ -162,10 +163,10 @@ def label_fractions(spark, sf_dir):
 
 def sql_components(source: str) -> str:
     return f"""
-nodes AS (SELECT case_id, pred AS label, x, y, x::BIGINT * 1048576 * 1048576 + y::BIGINT * 1048576 AS code FROM {source} WHERE pred > 0),
+nodes AS (SELECT case_id, pred AS label, x, y, z, x::BIGINT * 1048576 * 1048576 + y::BIGINT * 1048576 + z AS code FROM {source} WHERE pred > 0),
 reach AS (
-  SELECT case_id, label, code, x, y, code AS root FROM nodes
-  UNION SELECT r.case_id, r.label, n.code, n.x, n.y, r.root FROM reach r JOIN nodes n ON n.case_id = r.case_id AND n.label = r.label AND abs(n.x - r.x) <= 1 AND abs(n.y - r.y) <= 1
+  SELECT case_id, label, code, x, y, z, code AS root FROM nodes
+  UNION SELECT r.case_id, r.label, n.code, n.x, n.y, n.z, r.root FROM reach r JOIN nodes n ON n.case_id = r.case_id AND n.label = r.label AND abs(n.x - r.x) <= 1 AND abs(n.y - r.y) <= 1 AND abs(n.z - r.z) <= 1
 ),
 member AS (SELECT case_id, label, code, min(root) AS component FROM reach GROUP BY 1, 2, 3),
 sizes AS (SELECT case_id, label, component, count(*) AS n FROM member GROUP BY 1, 2, 3),
