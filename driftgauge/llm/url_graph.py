@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftgauge.llm.storage import collected, stored
 from driftgauge.llm.text import lower_ascii, whole
 from driftgauge.session import cut_lineage
 
@@ -21,6 +22,8 @@ Rule = tuple[str, str, str]
 
 LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/"'?#>\s]+)"""
 SALTS = 8
+# edges up to which the walk takes its steps in one partition
+STEP_ROWS = 100_000
 RELAXED = 0.7
 
 
@@ -49,8 +52,8 @@ def _picked(index: Column, values: Sequence[str]) -> Column:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, weight) over ``pages(host, html)``: counted links and parent-domain steps."""
-    target = F.explode(F.regexp_extract_all(whole(F.col("html")), F.lit(LINK), F.lit(1)))
+    """(src, dst, weight) over ``pages(host, targets)``: counted links and parent-domain steps."""
+    target = F.explode("targets")
     links = (
         pages.where(F.col("host") != "").select(F.col("host").alias("src"), target.alias("dst"))
         .select("src", lower_ascii(F.col("dst")).alias("dst")).where("src <> dst")
@@ -82,6 +85,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: flo
     Sender rows are copied to a few salts, so the messages of a host with very many links are dealt over
     several tasks; sums are combined before the shuffle. Mass that reaches a host without links ends there.
     """
+    edges = cut_lineage(edges)
+    # a small graph needs no exchange between its steps: all of it lies in one partition
+    small = edges.count() <= STEP_ROWS
+    together = lambda df: df.coalesce(1) if small else df
     forward = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("sender"), F.col("dst").alias("to"), "weight")
     back = edges.select(F.lit("distrust"), F.col("dst"), F.col("src"), F.col("weight"))
     sent = forward.union(back)
@@ -91,16 +98,16 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: flo
     hosts = edges.select("src").union(edges.select("dst")).union(seeds.select("host")).toDF("sender").distinct()
     own = hosts.select(F.explode(F.array(F.lit("trust"), F.lit("distrust"))).alias("kind"), "sender")
     stays = own.select("kind", "sender", F.pmod(F.xxhash64("sender"), F.lit(SALTS)).cast("int").alias("salt"), F.col("sender").alias("to"), F.lit(1 - RELAXED).alias("share"))
-    shares = cut_lineage(
+    shares = cut_lineage(together(
         sent.withColumn("salt", F.pmod(F.xxhash64("to"), F.lit(SALTS)).cast("int"))
         .join(out.select("kind", "sender", "total", salt), ["kind", "sender", "salt"])
         .select("kind", "sender", "salt", "to", (F.col("weight") / F.col("total") * damping * RELAXED).alias("share"))
         .union(stays)
-    )
-    start = cut_lineage(
+    ))
+    start = cut_lineage(together(
         seeds.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "seed"))
         .where("seed > 0")
-    )
+    ))
     base = start.select("host", "kind", (F.col("seed") * (1 - damping) * RELAXED).alias("score"))
     state = start.withColumnRenamed("seed", "score")
     # the residual shrinks by this factor a step at least
@@ -116,13 +123,15 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: flo
             arrived = shares.join(senders, ["kind", "sender", "salt"]).select(
                 F.col("to").alias("host"), "kind", (F.col("score") * F.col("share")).alias("score")
             )
-            state = arrived.union(base).groupBy("host", "kind").agg(F.sum("score").alias("score"))
+            state = together(arrived.union(base)).groupBy("host", "kind").agg(F.sum("score").alias("score"))
         step += cut_every
         both = state.select("host", "kind", "score", F.lit(0.0).alias("last")).union(before.select("host", "kind", F.lit(0.0), "score"))
-        both = cut_lineage(both.groupBy("host", "kind").agg(F.sum("score").alias("score"), F.sum("last").alias("last")))
+        both = cut_lineage(together(both).groupBy("host", "kind").agg(F.sum("score").alias("score"), F.sum("last").alias("last")))
         changes = both.groupBy("kind").agg(F.sum(F.abs(F.col("score") - F.col("last"))).alias("change"))
         left = 1 / RELAXED / (1 - damping) * (changes.agg(F.max("change")).first()[0] or 0.0)
         state = both.select("host", "kind", "score")
+        if step % (8 * cut_every) == 0:
+            collected(edges.sparkSession)
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
     return state.groupBy("host").agg(of("trust"), of("distrust"))
 
@@ -143,11 +152,13 @@ def judge_urls(
     seed of the blocked hosts, both of the converged walk (up to ``tolerance``). Seeds are the shares of a host's pages that rules allow or block.
 
     Null urls and urls without ``://`` have empty host and path, no rule, and are allowed; null html has no links.
-    Repeated rows stay. Other columns of ``pages`` are not read, so their names cannot clash.
+    Repeated rows stay; an empty table gives no rows. Other columns of ``pages`` are not read, so their names cannot clash.
     """
     host, path = url_parts(F.col(url_column).cast("string"))
-    judged = pages.select(F.col(id_column).alias("page_id"), host.alias("host"), path.alias("path"), F.col(html_column).alias("html"))
-    judged = judged.withColumn("rule_at", rule_index(F.col("host"), F.col("path"), rules))
+    targets = F.regexp_extract_all(whole(F.col(html_column)), F.lit(LINK), F.lit(1)).alias("targets")
+    judged = pages.select(F.col(id_column).alias("page_id"), host.alias("host"), path.alias("path"), targets)
+    # the pages are read once; what follows needs their hosts and links alone
+    judged = stored(judged.withColumn("rule_at", rule_index(F.col("host"), F.col("path"), rules)), "judged-pages")
     verdicts, names = [r[0] for r in rules], [r[1] + r[2] for r in rules]
     says = _picked(F.col("rule_at"), verdicts)
     share = lambda v: F.avg(F.when(says == v, 1.0).otherwise(0.0))
@@ -159,12 +170,12 @@ def judge_urls(
         (F.col("trust") / F.lit(float(totals["t"] or 1.0))).alias("trust"),
         (F.col("distrust") / F.lit(float(totals["d"] or 1.0))).alias("distrust"),
     )
-    scores = propagate(host_edges(judged.select("host", "html")), normal, damping, tolerance)
+    scores = propagate(host_edges(judged.select("host", "targets")), normal, damping, tolerance)
     least = floor / max(float(totals["n"] or 1.0), 1.0)
     blocked = F.round(F.col("distrust"), 12) > F.greatest(F.round(F.col("trust"), 12), F.lit(least))
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     by_host = scores.select("host", "trust", "distrust", blocked.alias("blocked"), salt)
-    rows = judged.drop("html").withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
+    rows = judged.drop("targets").withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
     joined = rows.join(by_host, ["host", "salt"], "left")
     method = F.when(F.coalesce("blocked", F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
     return joined.select(
