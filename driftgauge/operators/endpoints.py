@@ -1,6 +1,7 @@
 """Shift endpoints: skill per repeat, its difference between domains, and bootstrap verdicts."""
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import cached_property
 
@@ -44,7 +45,7 @@ class Samples:
         self.bounded = largest <= task_rows(units.sparkSession)
         blocks = not self.bounded
         # About sqrt(n) blocks: the counting pass and the inspected block are then of similar size.
-        n_blocks = max(16, min(65536, int(largest**0.5)))
+        n_blocks = max(16, math.isqrt(largest))
         prepared = repeated_folds(slim, [domain], id_col, seeds, k, blocks=blocks)
         prepared = with_order_block(prepared, [domain], target, n_blocks, blocks=blocks)
         # Folds, blocks and slots are sorted out once; every later pass starts from the pinned table.

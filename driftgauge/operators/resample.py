@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from driftgauge.functions import hash_uniform
 from driftgauge.operators.audit import key_reconcile
 from driftgauge.operators.contracts import ContractError, value_violations, violation
-from driftgauge.operators.ranks import group_sizes, hash_positions, needs_blocks, parts_by_boundaries, quantiles
+from driftgauge.operators.ranks import BLOCK, group_sizes, hash_positions, needs_blocks, parts_by_boundaries, quantiles, range_blocks
 from driftgauge.session import compute_tasks, measured_broadcast
 
 # Resampling protocol.
@@ -301,9 +301,19 @@ def inheritance_violations(copies: DataFrame, key_cols: Sequence[str]) -> DataFr
 def copy_ordinals(df: DataFrame, id_col: str, position_col: str) -> DataFrame:
     """Zero-based occurrence number of a repeated id in the order of ``position_col``.
 
-    For replicate tables use :func:`expand_copies`, which needs no sort.
+    Where an id has more rows than a task holds, rows are sorted by ranges of (id, position): the rows of an id in earlier ranges are
+    counted, and numbers inside a range come on top. For replicate tables use :func:`expand_copies`, which needs no sort.
     """
-    return df.withColumn("ordinal", F.row_number().over(W.partitionBy(id_col).orderBy(position_col)) - 1)
+    if not needs_blocks(df, [id_col]):
+        return df.withColumn("ordinal", F.row_number().over(W.partitionBy(id_col).orderBy(position_col)) - 1)
+    pinned = range_blocks(df, [id_col, position_col])
+    before = W.partitionBy(id_col).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
+    counts = pinned.groupBy(id_col, BLOCK).agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.select(F.col(id_col).alias("__id"), F.col(BLOCK).alias("__in"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
+    inside = W.partitionBy(id_col, BLOCK).orderBy(position_col)
+    placed = pinned.join(offsets, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col(BLOCK) == F.col("__in")))
+    ordinal = (F.col("__offset") + F.row_number().over(inside) - 1).cast("int")
+    return placed.withColumn("ordinal", ordinal).drop(BLOCK, "__id", "__in", "__offset")
 
 
 def expand_copies(replicates: DataFrame) -> DataFrame:

@@ -103,3 +103,16 @@ def test_folds_are_balanced(values):
         .groupBy("g", "repeat", "fold").count().groupBy("g", "repeat").agg((F.max("count") - F.min("count")).alias("d"), F.count("*").alias("k")).collect()
     )
     assert all(r["d"] <= 1 and r["k"] == 7 for r in sizes)
+
+
+def test_copy_ordinals_of_a_hot_id(spark):
+    """One id in half the rows: its rows are numbered range by range."""
+    df = spark.range(2000).select(F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.col("id") % 11).alias("user"), ((F.col("id") * 7919) % 2003).alias("at"))
+    spark.conf.set("driftgauge.task.rows", "100")
+    try:
+        large = resample.copy_ordinals(df, "user", "at").collect()
+    finally:
+        spark.conf.unset("driftgauge.task.rows")
+    small = resample.copy_ordinals(df, "user", "at").collect()
+    key = lambda r: (r["user"] is None, r["user"] or 0, r["at"], r["ordinal"])
+    assert sorted(map(key, large)) == sorted(map(key, small)) and len(large) == 2000
