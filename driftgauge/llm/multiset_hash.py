@@ -1,6 +1,6 @@
 """Document fingerprints as a homomorphic multiset hash of paragraph pieces.
 
-A text is a multiset of units (paragraphs cut at line ends and at sentence ends). Each unit is hashed to a wide vector and the vectors are
+A text is a multiset of units (paragraphs cut after line ends and after sentence ends, which belong to them). Each unit is hashed to a wide vector and the vectors are
 added: ``WIDE`` lanes modulo 2^32 decide equality, ``SIGNS`` lanes of +1 and -1 modulo 2^16 estimate the size of differences. The
 sum does not depend on the order of units, and units can be added to or taken from a fingerprint without the text.
 Only DataFrame expressions are used.
@@ -22,8 +22,8 @@ LANES = WIDE + SIGNS
 
 
 def units(text: Column) -> Column:
-    """Pieces between line and sentence ends, without surrounding blanks; empty ones are left out."""
-    pieces = F.transform(F.split(F.translate(text, ENDS, "\n" * len(ENDS)), "\n", -1), lambda u: F.trim(u))
+    """Pieces up to and with each line or sentence end, without surrounding spaces; empty ones are left out. A unit has its end, so another end is another unit."""
+    pieces = F.transform(F.split(text, f"(?<=[{ENDS}])", -1), lambda u: F.trim(u))
     return F.filter(pieces, lambda u: u != "")
 
 
@@ -69,15 +69,18 @@ def likeness(left: Column, right: Column) -> Column:
     return F.when(same, F.lit(1.0)).otherwise(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
 
 
-def with_next(documents: DataFrame, most_parts: int = 1 << 16, part_rows: int = 2000) -> DataFrame:
+def with_next(documents: DataFrame, most_parts: int = 1 << 16, part_rows: int = 2000, **made: Column) -> DataFrame:
     """(doc_id, text, next_text) in ascending order of doc_id; the last document is followed by the first.
 
+    Columns ``made`` from the text are made once and come along, those of the next text as ``next_<name>``.
+
     Ids are cut into parts of equal width, a row's part being known from its id alone, and texts are
     shuffled once, by part. The first row of a part is also sent to the part before, so no part needs to look into another.
     Null ids come first; equal ids are ordered by the digest of their text.
     """
     text = whole(F.col("text"))
     docs = documents.select("doc_id", text.alias("text"))
+    names = ["text", *made]
     span = docs.agg(F.count("*").alias("n"), F.min("doc_id").cast("double").alias("low"), F.max("doc_id").cast("double").alias("high")).first()
     parts = max(1, min(most_parts, math.ceil(span["n"] / part_rows)))
     low, width = span["low"] or 0.0, max(((span["high"] or 0.0) - (span["low"] or 0.0) + 1) / parts, 1.0)
@@ -92,9 +95,11 @@ def with_next(documents: DataFrame, most_parts: int = 1 << 16, part_rows: int =
     places = F.when(opens, F.array(F.struct("part", F.lit(0).alias("guest")), F.struct(F.col("part_before").alias("part"), F.lit(1).alias("guest")))).otherwise(
         F.array(F.struct("part", F.lit(0).alias("guest")))
     )
-    rows = docs.join(F.broadcast(firsts), "part").select("doc_id", "text", F.explode(places).alias("at")).select("doc_id", "text", "at.part", "at.guest")
+    docs = docs.select("doc_id", "part", "text", *(c.alias(n) for n, c in made.items()))
+    rows = docs.join(F.broadcast(firsts), "part").select("doc_id", *names, F.explode(places).alias("at")).select("doc_id", *names, "at.part", "at.guest")
     order = W.Window.partitionBy("part").orderBy("guest", F.col("doc_id").asc_nulls_first(), F.md5("text"))
-    return rows.withColumn("next_text", F.lead("text").over(order)).where("guest = 0").select("doc_id", "text", "next_text")
+    nexts = {f"next_{n}": F.lead(n).over(order) for n in names}
+    return rows.withColumns(nexts).where("guest = 0").select("doc_id", *names, *nexts)
 
 
 def edited_fingerprints(documents: DataFrame) -> DataFrame:
@@ -107,12 +112,11 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
     columns are not read.
     """
     cut_ends = lambda c: F.translate(c, ENDS, "\n" * len(ENDS))
-    df = with_next(documents).withColumn("n_chars", F.length("text").cast("bigint"))
+    df = with_next(documents, vector=insert(zero(), units(F.col("text")))).withColumn("n_chars", F.length("text").cast("bigint"))
     quarter = F.expr("cast(n_chars div 4 as int)")
     df = df.select(
         "doc_id", "n_chars", "text", F.substring("text", F.lit(1), F.col("n_chars").cast("int") - quarter).alias("kept"),
-        F.substring("next_text", F.lit(1), quarter).alias("head"), insert(zero(), units(F.col("text"))).alias("vector"),
-        insert(zero(), units(F.col("next_text"))).alias("next_vector"),
+        F.substring("next_text", F.lit(1), quarter).alias("head"), "vector", "next_vector",
     )
     # the unit that the edit cuts starts after the last unit end of what is kept
     df = df.withColumn("closed", F.length("kept") - F.length(F.substring_index(cut_ends(F.col("kept")), "\n", -1)))

@@ -52,14 +52,21 @@ def test_order_free_and_incremental(spark):
     units = ["unit number %d" % rng.randrange(40) for _ in range(30)]
     shuffled = units[:]
     rng.shuffle(shuffled)
-    a, b, c = prints(spark, [". ".join(units), "\n".join(shuffled), ". ".join(units[:-1])]).values()
+    joined = lambda us: "".join(u + ". " for u in us)
+    a, b, c = prints(spark, [joined(units), joined(shuffled), joined(units[:-1])]).values()
     assert a == b != c
-    df = spark.createDataFrame([(". ".join(units), units[-1], ". ".join(units[:-1]))], "t string, u string, v string")
+    df = spark.createDataFrame([(joined(units), units[-1] + ".", joined(units[:-1]))], "t string, u string, v string")
     vector = m.insert(m.zero(), m.units(F.col("t")))
     out = df.select(m.printed(m.insert(vector, m.units(F.col("u")), -1)).alias("less"), m.printed(m.combine(m.insert(m.zero(), m.units(F.col("v"))), m.insert(m.zero(), m.units(F.col("u"))))).alias("more")).first()
     assert out.less == c and out.more == a
 
 
+def test_other_ends_give_other_fingerprints(spark):
+    texts = ["Yes. It is.", "Yes? It is!", "It is.\nYes", "Yes. It is", "Yes.. It is.", "Yes.\nIt is.", "Yes.\n\nIt is."]
+    got = list(prints(spark, texts).values())
+    assert len(set(got)) == len(texts)
+
+
 def test_likeness_follows_the_shared_part(spark):
     def pair(shared):
         return [". ".join("s%d x" % i for i in range(shared)) + ". " + ". ".join("%s%d y" % (side, i) for i in range(200 - shared)) for side in "ab"]
