@@ -128,90 +128,107 @@ def _nearest_broadcast(queries: DataFrame, reference: DataFrame, id_col: str, k:
     return spread.mapInPandas(scan, _out_schema(queries, id_col))
 
 
-def _nearest_partitioned(queries: DataFrame, reference: DataFrame, id_col: str, k: int, vec: str, n: int) -> DataFrame:
-    """Voronoi cells around pivots; a query visits only cells that can hold a near enough row.
+class CellDirectory:
+    """Reference rows in Voronoi cells around pivots, and what is known of each cell: size, least and greatest distance to its pivot."""
+
+    def __init__(self, reference: DataFrame, id_col: str, vec: str, n: int) -> None:
+        spark = reference.sparkSession
+        n_pivots = max(2, min(MAX_PIVOTS, int(math.sqrt(n)), max(2, broadcast_bytes(spark) // 4096)))
+        chosen = reference.orderBy(hash60(F.lit("pivot"), F.col(vec).cast("string"))).select(vec).limit(n_pivots)
+        self.pivots = np.unique(_matrix(chosen.toPandas()[vec]), axis=0)
+        shared = spark.sparkContext.broadcast(self.pivots)
+
+        def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    d = _distances(_matrix(batch[vec]), shared.value)
+                    cell = d.argmin(axis=1)
+                    yield pd.DataFrame({"rid": batch["rid"], "cell": cell, "to_pivot": d[np.arange(len(d)), cell], vec: batch[vec]})
+
+        rows = reference.select(F.col(id_col).cast("string").alias("rid"), F.col(vec).cast("array<double>").alias(vec))
+        # the directory and the searches must see the same assignment
+        self.rows = cut_lineage(rows.mapInPandas(assign, f"rid string, cell int, to_pivot double, {vec} array<double>"))
+        stats = self.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("to_pivot").alias("inner"), F.max("to_pivot").alias("outer"))
+        found = stats.orderBy("cell").toPandas()  # at most MAX_PIVOTS rows of four numbers
+        self.cell, self.n, self.inner, self.outer = (found[c].to_numpy() for c in ("cell", "n", "inner", "outer"))
+
+    def least_distances(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distances of every query to the pivots, and lower bounds of its distances to any row of a cell.
+
+        By the triangle inequality a row of the cell is no nearer than the ring between ``inner`` and ``outer``; and as it is nearer to its own pivot than
+        to that of the query, no nearer than half the difference of the query's distances to both.
+        """
+        d = _distances(q, self.pivots[self.cell])
+        halfway = (d - d.min(axis=1, keepdims=True)) / 2
+        return d, np.maximum(np.maximum(d - self.outer, self.inner - d), halfway)
+
+
+def _search_cells(routed: DataFrame, directory: CellDirectory, id_col: str, k: int, vec: str, schema: T.StructType) -> DataFrame:
+    """``(id, distances)`` of the k nearest rows of each (query, cell) of ``routed``; cells, and the queries routed to one, are cut into pieces of bounded size."""
+    pieces = {int(c): math.ceil(n / REFERENCE_ROWS) for c, n in zip(directory.cell, directory.n)}
+    visits = routed.groupBy("cell").agg(F.count(F.lit(1)).alias("v")).toPandas()  # at most MAX_PIVOTS rows
+    plan = [(int(c), pieces[int(c)], max(1, math.ceil(v / QUERY_ROWS))) for c, v in zip(visits["cell"], visits["v"])]
+    cuts = F.broadcast(routed.sparkSession.createDataFrame(plan, "cell int, pieces int, chunks int"))  # the same rows
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = routed.join(cuts, "cell").withColumn("chunk", F.pmod(hash60(F.lit("chunk"), id_col), F.col("chunks")).cast("int")).withColumn("piece", upto("pieces"))
+    right = directory.rows.join(cuts, "cell").withColumn("piece", F.pmod(hash60(F.lit("piece"), "rid"), F.col("pieces")).cast("int")).withColumn("chunk", upto("chunks"))
 
-    For pivot p with the i-th smallest distance r_i of its cell's rows, no row of the
-    cell is further than ``d(q, p) + r_i`` for i rows; the k-th smallest of these
-    bounds over all cells is an upper bound on the k-th distance. A cell is visited
-    unless ``d(q, p) - radius`` exceeds it, so nothing that could matter is left out.
-    Cells, and the queries routed to a cell, are cut into pieces of bounded size.
-    """
-    spark = queries.sparkSession
-    n_pivots = max(2, min(MAX_PIVOTS, int(math.sqrt(n)), max(2, broadcast_bytes(spark) // 4096)))
-    chosen = reference.orderBy(hash60(F.lit("pivot"), F.col(vec).cast("string"))).select(vec).limit(n_pivots)
-    pivots = np.unique(_matrix(chosen.toPandas()[vec]), axis=0)
-    shared = spark.sparkContext.broadcast(pivots)
+    def search(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame({id_col: q[id_col].iloc[:0], "distances": []})
+        return pd.DataFrame({id_col: q[id_col], "distances": list(_nearest(_matrix(q[vec]), _matrix(r[vec]), k))})
+
+    group = ["cell", "piece", "chunk"]
+    left, right = left.select(id_col, vec, *group), right.select(vec, *group)
+    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(search, schema)
+    return found.withColumn("part", F.pmod(F.hash("distances"), F.lit(16)))
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                d = _distances(_matrix(batch[vec]), shared.value)
-                cell = d.argmin(axis=1)
-                yield pd.DataFrame({"rid": batch["rid"], "cell": cell, "to_pivot": d[np.arange(len(d)), cell], vec: batch[vec]})
-
-    # The cell directory and the join must see the same assignment.
-    cells = cut_lineage(
-        reference.select(F.col(id_col).cast("string").alias("rid"), F.col(vec).cast("array<double>").alias(vec)).mapInPandas(
-            assign, f"rid string, cell int, to_pivot double, {vec} array<double>"
-        )
-    )
-    salted = cells.withColumn("salt", F.pmod(hash60("rid"), F.lit(4096)))
-    # k smallest pivot distances per cell in two steps, so a hot cell is reduced in parallel first.
-    near = lambda c: F.slice(F.sort_array(c), 1, k)
-    tops = (
-        salted.withColumn("rn", F.row_number().over(W.partitionBy("cell", "salt").orderBy("to_pivot"))).where(F.col("rn") <= k)
-        .groupBy("cell").agg(near(F.collect_list("to_pivot")).alias("near"))
-    )
-    stats = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("to_pivot").alias("radius"))
-    directory = stats.join(tops, "cell").toPandas()  # at most MAX_PIVOTS rows of k + 3 numbers
-    pieces = {int(c): int(math.ceil(m / REFERENCE_ROWS)) for c, m in zip(directory["cell"], directory["n"])}
-    numbers, radius = directory["cell"].to_numpy(), directory["radius"].to_numpy()
-    nears = np.full((len(directory), k), np.inf)
-    for i, values in enumerate(directory["near"]):
-        nears[i, : len(values)] = values
-    routing = spark.sparkContext.broadcast((numbers, radius, nears, np.asarray([pieces[int(c)] for c in numbers])))
+
+def _merged(found: DataFrame, id_col: str, k: int) -> DataFrame:
+    """The k smallest of all distances of a query, in two steps, so that no list holds those of all cells."""
+    first = lambda c: F.slice(F.sort_array(F.flatten(F.collect_list(c))), 1, k).alias("distances")
+    return found.groupBy(id_col, "part").agg(first("distances")).groupBy(id_col).agg(first("distances"))
+
+
+def routed_queries(queries: DataFrame, directory: CellDirectory, id_col: str, vec: str, own: bool) -> DataFrame:
+    """``(id, vec, cell)``: with ``own`` the nearest cell with rows, else all others that can hold a row within the query's ``known`` distance (null: any)."""
+    shared = queries.sparkSession.sparkContext.broadcast((directory.cell, directory.pivots, directory.inner, directory.outer))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cell_ids, radii, near_k, n_pieces = routing.value
+        it = object.__new__(CellDirectory)
+        it.cell, it.pivots, it.inner, it.outer = shared.value
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.iloc[start : start + 256]
-                d = _distances(_matrix(part[vec]), shared.value[cell_ids])
-                bound = np.partition((d[:, :, None] + near_k[None]).reshape(len(part), -1), k - 1, axis=1)[:, k - 1]
-                # The slack keeps rounding from dropping a cell on the boundary.
-                row, col = np.nonzero(d - radii <= bound[:, None] * (1 + 1e-9) + 1e-12)
-                copies = n_pieces[col]
-                row, col = np.repeat(row, copies), np.repeat(col, copies)
-                piece = np.concatenate([np.arange(c) for c in copies]) if len(copies) else np.empty(0, int)
-                yield pd.DataFrame(
-                    {id_col: part[id_col].to_numpy()[row], vec: part[vec].to_numpy()[row], "cell": cell_ids[col], "piece": piece}
-                )
-
-    schema = T.StructType(
-        [queries.schema[id_col], T.StructField(vec, T.ArrayType(T.DoubleType())), T.StructField("cell", T.IntegerType()), T.StructField("piece", T.IntegerType())]
-    )
-    routed = queries.select(id_col, F.col(vec).cast("array<double>").alias(vec)).mapInPandas(route, schema)
-    visits = routed.groupBy("cell").agg(F.count(F.lit(1)).alias("v")).toPandas()  # at most MAX_PIVOTS rows
-    chunks = {int(c): int(math.ceil(v / pieces[int(c)] / QUERY_ROWS)) for c, v in zip(visits["cell"], visits["v"])}
-    lookup = F.create_map(*[F.lit(v) for pair in chunks.items() for v in pair]) if chunks else F.create_map(F.lit(-1), F.lit(1))
-    sizes = F.create_map(*[F.lit(v) for pair in pieces.items() for v in pair])
-    left = routed.withColumn("chunk", F.pmod(hash60(F.lit("chunk"), id_col), lookup[F.col("cell")]).cast("int"))
-    right = (
-        cells.where(F.col("cell").isin(list(chunks)))
-        .withColumn("piece", F.pmod(hash60(F.lit("piece"), "rid"), sizes[F.col("cell")]).cast("int"))
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), lookup[F.col("cell")] - 1)))
-        .select("cell", "piece", "chunk", vec)
-    )
+                d, least = it.least_distances(_matrix(part[vec]))
+                nearest = d.argmin(axis=1)
+                if own:
+                    row, col = np.arange(len(part)), nearest
+                else:
+                    known = part["known"].to_numpy(dtype=np.float64, na_value=np.inf)
+                    # the slack keeps rounding from dropping a cell on the boundary
+                    wanted = least <= known[:, None] * (1 + 1e-9) + 1e-9 * (1 + d.max())
+                    wanted[np.arange(len(part)), nearest] = False
+                    row, col = np.nonzero(wanted)
+                yield pd.DataFrame({id_col: part[id_col].to_numpy()[row], vec: part[vec].to_numpy()[row], "cell": it.cell[col]})
+
+    schema = T.StructType([queries.schema[id_col], T.StructField(vec, T.ArrayType(T.DoubleType())), T.StructField("cell", T.IntegerType())])
+    return queries.mapInPandas(route, schema)
 
-    def search(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame({id_col: q[id_col].iloc[:0], "distances": []})
-        return pd.DataFrame({id_col: q[id_col], "distances": list(_nearest(_matrix(q[vec]), _matrix(r[vec]), k))})
 
-    group = ["cell", "piece", "chunk"]
-    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(search, _out_schema(queries, id_col))
-    return found.groupBy(id_col).agg(F.slice(F.sort_array(F.flatten(F.collect_list("distances"))), 1, k).alias("distances"))
+def _nearest_partitioned(queries: DataFrame, reference: DataFrame, id_col: str, k: int, vec: str, n: int) -> DataFrame:
+    """Each query first searches the cell it lies in, which gives a true k-th distance; other cells are visited only if they can hold a nearer row.
+
+    Nothing that could matter is left out; a query whose own cell has fewer than k rows takes the cells in any distance.
+    """
+    directory = CellDirectory(reference, id_col, vec, n)
+    slim = queries.select(id_col, F.col(vec).cast("array<double>").alias(vec))
+    schema = _out_schema(queries, id_col)
+    home = cut_lineage(_search_cells(routed_queries(slim, directory, id_col, vec, True), directory, id_col, k, vec, schema))
+    known = _merged(home, id_col, k).select(F.col(id_col).alias("__id"), F.try_element_at("distances", F.lit(k)).alias("known"))
+    asked = slim.join(known, F.col(id_col) == F.col("__id"), "left").select(id_col, vec, "known")
+    routed = cut_lineage(routed_queries(asked, directory, id_col, vec, False))
+    return _merged(home.unionByName(_search_cells(routed, directory, id_col, k, vec, schema)), id_col, k)
 
 
 def mean_distances(nearest: DataFrame, id_col: str, ks: Sequence[int]) -> DataFrame:

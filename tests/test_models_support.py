@@ -102,3 +102,19 @@ def test_source_support_requires_the_source_domain(frame):
     scores = support.support_scores(frame, fitted, "id", "split", "domain", ["EVAL"], (1, 3))
     assert scores.count() == 30
     assert support.score_violations(scores, "id", "split", ["EVAL"]).count() == 0
+
+
+def test_few_cells_are_visited(spark):
+    """Clustered rows in 15 dimensions: the search is exact and routes queries to a small share of the cells."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 15)) * 10
+    ref = (centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 15))).round(3)
+    ask = (centres[rng.integers(0, 40, 200)] + rng.normal(size=(200, 15))).round(3)
+    frame = lambda m: spark.createDataFrame([(str(i), [float(x) for x in v]) for i, v in enumerate(m)], "id string, vec array<double>")
+    got = {r["id"]: r["distances"] for r in support.nearest_distances(frame(ask), frame(ref), "id", 7, broadcast_limit=0).collect()}
+    want = np.sort(np.sqrt(((ask[:, None] - ref[None]) ** 2).sum(axis=2)), axis=1)[:, :7]
+    assert all(got[str(i)] == pytest.approx(list(want[i])) for i in range(200))
+    directory = support.CellDirectory(frame(ref), "id", "vec", 3000)
+    known = frame(ask).withColumn("known", F.element_at(F.array(*[F.lit(float(d)) for d in want[:, -1]]), F.col("id").cast("int") + 1))
+    visited = support.routed_queries(known, directory, "id", "vec", False).count()
+    assert visited < 0.2 * 200 * len(directory.cell)
