@@ -470,14 +470,19 @@ SQL_BOOT_SKILL = f"""
 WITH {SQL_SUPPLIERS}, {sql_folds('scored')}, {sql_bootstrap('scored', B)}, {SQL_COPIES}, {SQL_MISPLACED},
 v AS (SELECT c.domain, c.replicate, f.repeat, f.fold, s.q_hat, s.q_true FROM copies c JOIN scored s USING (unit_id) JOIN folds f USING (unit_id)),
 fits AS (
-  SELECT h.domain, h.replicate, h.repeat, h.heldout AS fold, median(v.q_true) AS median, regr_intercept(v.q_true, v.q_hat) AS intercept, regr_slope(v.q_true, v.q_hat) AS slope
+  SELECT h.domain, h.replicate, h.repeat, h.heldout AS fold, median(v.q_true) AS median,
+    CASE WHEN count(*) < 2 THEN NULL WHEN min(v.q_hat) = max(v.q_hat) THEN avg(v.q_true) / (1 + min(v.q_hat) ** 2) ELSE regr_intercept(v.q_true, v.q_hat) END AS intercept,
+    CASE WHEN count(*) < 2 THEN NULL WHEN min(v.q_hat) = max(v.q_hat) THEN avg(v.q_true) * min(v.q_hat) / (1 + min(v.q_hat) ** 2) ELSE regr_slope(v.q_true, v.q_hat) END AS slope
   FROM (SELECT DISTINCT domain, replicate, repeat, fold AS heldout FROM v) h
   JOIN v ON v.domain = h.domain AND v.replicate = h.replicate AND v.repeat = h.repeat AND v.fold <> h.heldout GROUP BY ALL
 ),
+maes AS (
+  SELECT v.domain, v.replicate, v.repeat, avg(abs({{model}} - q_true)) AS model_mae, avg(abs(median - q_true)) AS comparator_mae, count(*) FILTER (median IS NULL OR {{model}} IS NULL) = 0 AS complete
+  FROM v LEFT JOIN fits f ON f.domain = v.domain AND f.replicate = v.replicate AND f.repeat = v.repeat AND f.fold = v.fold GROUP BY v.domain, v.replicate, v.repeat
+),
 skills AS (
-  SELECT v.domain, v.replicate, v.repeat, avg(abs({{model}} - q_true)) AS model_mae, avg(abs(median - q_true)) AS comparator_mae,
-    CASE WHEN avg(abs(median - q_true)) > 0 THEN 1 - avg(abs({{model}} - q_true)) / avg(abs(median - q_true)) END AS skill
-  FROM v JOIN fits f ON f.domain = v.domain AND f.replicate = v.replicate AND f.repeat = v.repeat AND f.fold = v.fold GROUP BY ALL
+  SELECT domain, replicate, repeat, CASE WHEN complete THEN model_mae END AS model_mae, CASE WHEN complete THEN comparator_mae END AS comparator_mae,
+    CASE WHEN complete AND comparator_mae > 0 THEN 1 - model_mae / comparator_mae END AS skill FROM maes
 ),
 {SQL_DELTAS}"""
 SQL_ENDPOINT = f"""
@@ -498,7 +503,7 @@ def endpoint(spark, sf_dir, recalibrator, resamples=B, seeds=SEEDS, digits=6):
 
 
 @query("G2_deployed_endpoint", SQL_BOOT_SKILL.format(model=DEPLOYED) + SQL_ENDPOINT.format(
-    name="NONE", verdict="CASE WHEN quantile_cont(delta, 0.975) FILTER (replicate > 0) < 0 THEN 'POSITIVE' ELSE 'UNRESOLVED' END"))
+    name="NONE", verdict="CASE WHEN sum(n_undefined) > 0 THEN 'INVALID' WHEN quantile_cont(delta, 0.975) FILTER (replicate > 0) < 0 THEN 'POSITIVE' ELSE 'UNRESOLVED' END"))
 def deployed_endpoint(spark, sf_dir):
     return endpoint(spark, sf_dir, None)
 
@@ -525,23 +530,25 @@ SQL_BOOT_L1 = SQL_BOOT_TRAIN + f""",
 start AS (SELECT domain, replicate, repeat, fold, regr_intercept(y, x) AS a, regr_slope(y, x) AS b FROM (SELECT *, unnest(range(m)) FROM train) GROUP BY ALL),
 {sql_lad('train', REPLICATE_FIT, 'start')},
 skills AS (
-  SELECT v.domain, v.replicate, v.repeat, CASE WHEN sum(v.m * abs(median - y)) > 0 THEN 1 - sum(v.m * abs(l.a + l.b * x - y)) / sum(v.m * abs(median - y)) END AS skill
-  FROM v JOIN (SELECT * FROM lad WHERE step = 80) l ON l.domain = v.domain AND l.replicate = v.replicate AND l.repeat = v.repeat AND l.fold = v.fold
-  JOIN medians d ON d.domain = v.domain AND d.replicate = v.replicate AND d.repeat = v.repeat AND d.fold = v.fold GROUP BY ALL
+  SELECT v.domain, v.replicate, v.repeat,
+    CASE WHEN count(*) FILTER (median IS NULL OR l.a IS NULL) = 0 AND sum(v.m * abs(median - y)) > 0 THEN 1 - sum(v.m * abs(l.a + l.b * x - y)) / sum(v.m * abs(median - y)) END AS skill
+  FROM v LEFT JOIN (SELECT * FROM lad WHERE step = 80) l ON l.domain = v.domain AND l.replicate = v.replicate AND l.repeat = v.repeat AND l.fold = v.fold
+  LEFT JOIN medians d ON d.domain = v.domain AND d.replicate = v.replicate AND d.repeat = v.repeat AND d.fold = v.fold GROUP BY v.domain, v.replicate, v.repeat
 ),
 {SQL_DELTAS}"""
 SQL_BOOT_ISOTONIC = SQL_BOOT_TRAIN + f""",
 {sql_isotonic('train', REPLICATE_FIT)},
 fitted AS ({sql_interpolated('v', REPLICATE_FIT, 'a.m, a.y')}),
 skills AS (
-  SELECT v.domain, v.replicate, v.repeat, CASE WHEN sum(v.m * abs(median - y)) > 0 THEN 1 - sum(v.m * abs(prediction - y)) / sum(v.m * abs(median - y)) END AS skill
-  FROM fitted v JOIN medians d ON d.domain = v.domain AND d.replicate = v.replicate AND d.repeat = v.repeat AND d.fold = v.fold GROUP BY ALL
+  SELECT v.domain, v.replicate, v.repeat,
+    CASE WHEN count(*) FILTER (median IS NULL) = 0 AND sum(v.m * abs(median - y)) > 0 THEN 1 - sum(v.m * abs(prediction - y)) / sum(v.m * abs(median - y)) END AS skill
+  FROM fitted v LEFT JOIN medians d ON d.domain = v.domain AND d.replicate = v.replicate AND d.repeat = v.repeat AND d.fold = v.fold GROUP BY v.domain, v.replicate, v.repeat
 ),
 {SQL_DELTAS}"""
 
 
 @query("G4_recoverable_endpoint_l1", SQL_BOOT_L1 + SQL_ENDPOINT.replace(", 6)", ", 4)").format(
-    name="affine_L1", verdict="CASE WHEN quantile_cont(delta, 0.975) FILTER (replicate > 0) < 0 THEN 'REPLICATED' ELSE 'UNRESOLVED' END"))
+    name="affine_L1", verdict="CASE WHEN sum(n_undefined) > 0 THEN 'INVALID' WHEN quantile_cont(delta, 0.975) FILTER (replicate > 0) < 0 THEN 'REPLICATED' ELSE 'UNRESOLVED' END"))
 def recoverable_endpoint_l1(spark, sf_dir):
     return endpoint(spark, sf_dir, "affine_L1", digits=4)
 
