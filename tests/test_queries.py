@@ -23,7 +23,7 @@ def test_query_matches_sql(spark, name):
 
 
 def test_flagship(spark):
-    assert entry.entry(spark).count() == 4
+    assert entry.entry(spark).count() == 20
 
 
 def test_every_sql_belongs_to_a_query():
