@@ -26,8 +26,8 @@ from driftgauge.session import measured_broadcast
 
 WORDS = 12
 BITS = 64 * WORDS
-# pairs at the limit that meet under no key, classes met by chance, segments joined at a time
-MISS, CHANCE, TURN = 0.003, 16, 16
+# pairs at the limit that meet under no key, classes met by chance, segments joined at a time, and the number of classes below which keys do not get narrower
+MISS, CHANCE, TURN, LEAST_CLASSES = 0.003, 16, 12, 1 << 20
 NAMES = [f"w{i}" for i in range(WORDS)]
 BLOCK = 255 * 64
 Check = Callable[[DataFrame], DataFrame]
@@ -102,7 +102,7 @@ def planned_index(classes: int, least: float, miss: float = MISS, chance: int =
     ``least`` differ in a share ``q`` of their bits; a key of ``b`` bits finds them with probability ``(1-q)^b + b q (1-q)^(b-1)``, and there are as many
     segments as it takes for them to meet in none with probability ``miss`` (taking segments as independent).
     """
-    q = math.acos(2 * least / (1 + least)) / math.pi
+    q, classes = math.acos(2 * least / (1 + least)) / math.pi, max(classes, LEAST_CLASSES)
     for bits in range(12, 44):
         met = (1 - q) ** bits + bits * q * (1 - q) ** (bits - 1)
         segments = math.ceil(math.log(miss) / math.log1p(-met))
@@ -224,6 +224,7 @@ def _links(classes: DataFrame, most: int, index: Index, crowded: int, exact: Exa
         rest = going.join(leaders.withColumnRenamed("leader", "cid"), ["cid", "key"], "left_anti")
         met = stored(rest.join(linked, ["cid", "key"], "left_semi"), "crowded-met")
         spared = met if spared is None else spared.union(met)
+        collected(classes.sparkSession)
         left = stored(rest.join(met, ["cid", "key"], "left_anti"), "crowded-open")
         turn += 1
     return found.distinct(), spared, pending, check
