@@ -40,6 +40,31 @@ def spanning_links(pairs: DataFrame, most: int = 1 << 18) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
+def components_in_task(pairs: DataFrame, most: int = 1 << 18) -> DataFrame:
+    """:func:`connected_components` of ``pairs(a, b)``: up to ``most`` pairs, counted first, are joined up by one task without rounds."""
+    if pairs.count() > most:
+        return connected_components(spanning_links(pairs, most))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+        nodes = list(parent)
+        for start in range(0, len(nodes), 10000):
+            some = nodes[start : start + 10000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([root(x) for x in some], pa.int64())], ["node", "component"])
+
+    return pairs.select("a", "b").repartition(1).mapInArrow(run, "node bigint, component bigint")
+
+
 def _starred(edges: DataFrame, of: str, to: str) -> DataFrame:
     """Each edge ``(of, to)`` with the smallest neighbour of ``of`` (itself included) as ``least``.
 

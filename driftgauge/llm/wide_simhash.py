@@ -3,7 +3,7 @@
 A print of 64 bits is too coarse for a similarity: two sets of shingles with Jaccard similarity 0.8 differ in about 10 of its bits. Here
 a print has 768 bits. The share of bits in which two prints differ estimates the angle between the sets: a Jaccard
 similarity J is at ``768 * acos(2J / (1 + J)) / pi`` bits on average (116 for 0.8, with a standard deviation of 10). Prints only find
-candidates, up to 7 deviations beyond that mean; then the shingle sets themselves decide. Two prints are compared if they differ by at most one bit in one
+candidates, up to 4 deviations beyond that mean (7 for sets of under 32 shingles, whose prints lie farther apart); then the shingle sets themselves decide. Two prints are compared if they differ by at most one bit in one
 of the indexed segments, whose width and number follow the number of different prints (:func:`planned_index`).
 """
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftgauge.llm.components import connected_components, spanning_links
+from driftgauge.llm.components import components_in_task
 from driftgauge.llm.simhash import shingle_hashes
 from driftgauge.llm.storage import collected, dropped, stored
 from driftgauge.llm.text import lower_words, whole
@@ -28,10 +28,11 @@ WORDS = 12
 BITS = 64 * WORDS
 # pairs at the limit that meet under no key, classes met by chance, segments joined at a time, and the number of classes below which keys do not get narrower
 MISS, CHANCE, TURN, LEAST_CLASSES = 0.003, 16, 12, 1 << 20
+# sets of fewer shingles are small
+SMALL = 32
 NAMES = [f"w{i}" for i in range(WORDS)]
 BLOCK = 255 * 64
-Check = Callable[[DataFrame], DataFrame]
-Exact = Callable[[DataFrame], Check]
+Exact = Callable[[DataFrame], DataFrame]
 
 
 def _spread(hashes: np.ndarray) -> np.ndarray:
@@ -42,12 +43,20 @@ def _spread(hashes: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def _different(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the different shingles."""
+    blocks = list(shingle_hashes(lower_words(text), width))
+    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, dtype=np.uint64)
+
+
 def wide_print(text: str | None, width: int) -> np.ndarray:
     """The print as ``WORDS`` unsigned words; each different shingle counts once, no word gives zeros."""
-    blocks = list(shingle_hashes(lower_words(text), width))
-    if not blocks:
+    return _print_of(_different(text, width))
+
+
+def _print_of(hashes: np.ndarray) -> np.ndarray:
+    if not len(hashes):
         return np.zeros(WORDS, dtype=np.uint64)
-    hashes = np.unique(np.concatenate(blocks))
     ones = np.zeros(BITS, dtype=np.int64)
     for start in range(0, len(hashes), BLOCK):
         part = _spread(hashes[start : start + BLOCK]).astype("<u8", copy=False)
@@ -59,24 +68,28 @@ def wide_print(text: str | None, width: int) -> np.ndarray:
 
 
 def wide_prints(documents: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text_hash, w0 ... w11) for every row of ``documents(doc_id, text)``."""
+    """(doc_id, text_hash, small, w0 ... w11) for every row of ``documents(doc_id, text)``; ``small`` tells sets of under ``SMALL`` shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([wide_print(t.as_py(), width) for t in batch.column(2)], dtype=np.uint64).reshape(-1, WORDS).view(np.int64)
+            prints, small = np.zeros((batch.num_rows, WORDS), dtype=np.uint64), np.zeros(batch.num_rows, dtype=bool)
+            for i, text in enumerate(batch.column(2)):
+                hashes = _different(text.as_py(), width)
+                prints[i], small[i] = _print_of(hashes), len(hashes) < SMALL
+            prints = prints.view(np.int64)
             columns = [pa.array(np.ascontiguousarray(prints[:, i])) for i in range(WORDS)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_hash", *NAMES])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(small), *columns], ["doc_id", "text_hash", "small", *NAMES])
 
     text = whole(F.col("text"))
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return texts.mapInArrow(run, "doc_id bigint, text_hash bigint, " + ", ".join(f"{n} bigint" for n in NAMES))
+    return texts.mapInArrow(run, "doc_id bigint, text_hash bigint, small boolean, " + ", ".join(f"{n} bigint" for n in NAMES))
 
 
 def greatest_distance(least: float) -> int:
     return math.floor(BITS * math.acos(2 * least / (1 + least)) / math.pi)
 
 
-def candidate_distance(least: float, deviations: int = 7) -> int:
+def candidate_distance(least: float, deviations: int) -> int:
     """Bits within which pairs at ``least`` lie; sets of four and five shingles are the farthest, at 144 on average for 0.8."""
     share = math.acos(2 * least / (1 + least)) / math.pi
     return math.ceil(BITS * share + deviations * math.sqrt(BITS * share * (1 - share)))
@@ -135,11 +148,12 @@ def with_keys(classes: DataFrame, index: Index) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, most: int) -> DataFrame:
-    """The different pairs (a, b, distance) whose complete prints differ in at most ``most`` bits."""
-    side = lambda of: classes.select(F.col("cid").alias(of), *(F.col(n).alias(f"{of}_{n}") for n in NAMES))
+    """The different pairs (a, b, distance) whose complete prints differ in at most ``most`` bits, or in the limit ``most`` of either class if they have one."""
+    own = F.col("most") if "most" in classes.columns else F.lit(most)
+    side = lambda of: classes.select(F.col("cid").alias(of), own.alias(f"{of}_most"), *(F.col(n).alias(f"{of}_{n}") for n in NAMES))
     joined = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
     distance = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in NAMES), F.lit(0))
-    return joined.select("a", "b", distance.alias("distance")).where(F.col("distance") <= most)
+    return joined.where(distance <= F.greatest("a_most", "b_most")).select("a", "b", distance.alias("distance"))
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -148,8 +162,7 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cid, text in zip(batch.column(0), batch.column(1)):
-                blocks = list(shingle_hashes(lower_words(text.as_py()), width))
-                hashes = np.unique(np.concatenate(blocks)).view(np.int64) if blocks else np.zeros(0, dtype=np.int64)
+                hashes = _different(text.as_py(), width).view(np.int64)
                 one = pa.ListArray.from_arrays(pa.array([0, len(hashes)], pa.int32()), pa.array(hashes))
                 yield pa.RecordBatch.from_arrays([pa.array([cid.as_py()], pa.int64()), one], ["cid", "hashes"])
 
@@ -168,107 +181,144 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _links(classes: DataFrame, most: int, index: Index, crowded: int, exact: Exact | None) -> tuple[DataFrame, DataFrame | None, DataFrame | None, Check]:
-    """Links found under common keys, the classes (cid, key) that a leader has spared further comparisons, pairs not checked yet, and the check."""
-    keyed = stored(with_keys(classes, index), "wide-keys")
-    masks = F.array(*(F.lit(m).cast("bigint") for m in index.masks))
+def _contracted(joined: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components of ``links`` together with those of ``joined(node, component)``."""
+    pairs = links.select("a", "b")
+    return stored(components_in_task(pairs if joined is None else joined.toDF("a", "b").union(pairs)), "wide-components")
 
-    def probed(entries: DataFrame) -> DataFrame:
-        balls = entries.select("cid", "key", F.explode(masks).alias("mask")).where(F.col("key").bitwiseAND(F.col("mask")) == 0)
-        return balls.select(F.col("cid").alias("p"), F.col("key").bitwiseOR(F.col("mask")).alias("key"))
 
-    entries = keyed.select("cid", F.explode("keys").alias("key"))
-    shared = stored(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("key"), "crowded-keys")
-    hint = measured_broadcast(shared, 64)
-    parts = []
-    # some segments at a time, so that the balls of all segments never lie on disk together
-    for start in range(0, index.segments, TURN):
-        some = keyed.select("cid", F.explode(F.slice("keys", start + 1, TURN)).alias("key"))
-        met = probed(some).join(some.join(hint, "key", "left_anti"), "key").where("p <> cid").select(*_pair("p", "cid"))
-        parts.append(stored(_verified(met, classes, most), "wide-candidates"))
+def _placed(table: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """``table(cid, ...)`` with the component of each class, which is the class itself while it has no link."""
+    if joined is None:
+        return table.withColumn("of", F.col("cid"))
+    found = table.join(joined.toDF("cid", "component"), "cid", "left")
+    return found.withColumn("of", F.coalesce("component", "cid")).drop("component")
+
+
+def _phases(segments: int) -> Iterator[tuple[int, int]]:
+    """Ranges of segments after which components are found; each ends eight times as far as the one before."""
+    start, end = 0, 2
+    while start < segments:
+        yield start, min(end, segments)
+        start, end = end, end * 8
+
+
+def _probed(entries: DataFrame, index: Index) -> DataFrame:
+    """Every entry under the keys of its ball."""
+    masks = F.array(*(F.lit(m).cast("bigint") for m in index.masks))
+    balls = entries.withColumn("mask", F.explode(masks)).where(F.col("key").bitwiseAND(F.col("mask")) == 0)
+    return balls.withColumn("key", F.col("key").bitwiseOR(F.col("mask"))).drop("mask")
+
+
+def _checked(pairs: DataFrame, exact: Exact | None) -> DataFrame:
+    """Those of ``pairs(a, b)`` that are links, stored."""
+    pairs = pairs.select("a", "b").distinct()
+    return exact(pairs) if exact else stored(pairs, "wide-links")
+
+
+def _sparse(keyed: DataFrame, classes: DataFrame, most: int, index: Index, hint: DataFrame, exact: Exact | None) -> DataFrame | None:
+    """Components (node, component) of the links under keys that are not crowded (``hint``); only pairs of different components are compared."""
+    joined = None
+    for begin, end in _phases(index.segments):
+        parts = []
+        # some segments at a time, so that the balls of all segments never lie on disk together
+        for start in range(begin, end, TURN):
+            some = _placed(keyed.select("cid", F.slice("keys", start + 1, min(TURN, end - start)).alias("keys")), joined)
+            some = some.select("cid", "of", F.explode("keys").alias("key"))
+            probes = _probed(some, index).select("key", F.col("cid").alias("p"), F.col("of").alias("p_of"))
+            met = probes.join(some.join(hint, "key", "left_anti"), "key").where("p_of <> of").select(*_pair("p", "cid"))
+            parts.append(stored(_verified(met, classes, most), "wide-candidates"))
+            collected(classes.sparkSession)
+        found = stored(reduce(DataFrame.unionByName, parts).distinct(), "wide-found")
+        dropped(*parts)
+        links = _checked(found, exact)
+        dropped(found)
+        if links.take(1):
+            joined = _contracted(joined, links)
+        dropped(links)
         collected(classes.sparkSession)
-    found = stored(reduce(DataFrame.unionByName, parts).distinct(), "wide-found")
-    dropped(*parts)
-    probes = probed(entries)
-    members = stored(probes.join(hint, "key"), "crowded-members") if shared.take(1) else None
-    check: Check = lambda pairs: pairs.select("a", "b").distinct()
-    if exact is not None:
-        asked = found.select("a").union(found.select("b"))
-        check = exact((asked if members is None else asked.union(members.select("p"))).toDF("cid").distinct())
-    links = stored(check(found), "wide-links")
-    dropped(found)
-    found = links
-    if members is None:
-        dropped(keyed)
-        return found, None, None, check
-    left, spared, pending, turn = members.withColumnRenamed("p", "cid"), None, None, 0
+    return joined
+
+
+def _crowded(members: DataFrame, classes: DataFrame, joined: DataFrame | None, most: int, crowded: int, exact: Exact | None) -> DataFrame | None:
+    """Components (node, component) once the pairs under the crowded keys of ``members(cid, key)`` are links too."""
+    left, spared, pending, turn = members, None, None, 0
     while True:
         sizes = stored(left.groupBy("key").agg(F.count("*").alias("n")), "crowded-sizes")
         counted = left.join(measured_broadcast(sizes, 64), "key")
         # some ``crowded`` leaders a key, by a draw that is the same under every key, or all classes once they are no more than that
         draw = F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(1 << 30)) * F.col("n") < F.lit(crowded << 30)
-        leaders = measured_broadcast(stored(counted.where(draw).select("key", F.col("cid").alias("leader")), "crowded-leaders"), 64)
-        near = stored(_verified(members.join(leaders, "key").where("p <> leader").select(*_pair("p", "leader")), classes, most), "crowded-near")
+        leaders = stored(counted.where(draw).select("key", "cid"), "crowded-leaders")
+        led = measured_broadcast(_placed(leaders, joined).select("key", F.col("cid").alias("leader"), F.col("of").alias("leader_of")), 64)
+        met = _placed(members, joined).join(led, "key").where("of <> leader_of").select(*_pair("cid", "leader"))
+        near = stored(_verified(met, classes, most), "crowded-near")
+        # only the nearest partner of each class is checked now; the others matter where components stay apart
         sides = near.union(near.select("b", "a", "distance")).toDF("cid", "leader", "distance")
-        links = near.select("a", "b")
-        if exact is not None:
-            # only the nearest leader of each class and key is checked now; the others matter where components stay apart
-            nearest = sides.join(leaders, "leader").groupBy("cid", "key").agg(F.min(F.struct("distance", "leader"))["leader"].alias("leader"))
-            links = stored(check(nearest.select(*_pair("cid", "leader"))), "crowded-links")
-            pending = near.select("a", "b") if pending is None else pending.union(near.select("a", "b"))
-        found = found.union(links)
+        nearest = sides.groupBy("cid").agg(F.min(F.struct("distance", "leader"))["leader"].alias("leader"))
+        links = _checked(nearest.select(*_pair("cid", "leader")), exact)
+        if links.take(1):
+            joined = _contracted(joined, links)
+        pending = near.select("a", "b") if pending is None else pending.union(near.select("a", "b"))
         going = stored(counted.where(F.col("n") > crowded).select("cid", "key"), "crowded-going")
         if not going.take(1):
             break
-        linked = links.union(links.select("b", "a")).toDF("cid", "leader").join(leaders, "leader").select("cid", "key").distinct()
-        rest = going.join(leaders.withColumnRenamed("leader", "cid"), ["cid", "key"], "left_anti")
-        met = stored(rest.join(linked, ["cid", "key"], "left_semi"), "crowded-met")
+        rest = _placed(going.join(measured_broadcast(leaders, 64), ["cid", "key"], "left_anti"), joined)
+        settled = measured_broadcast(_placed(leaders, joined).select("key", "of").distinct(), 64)
+        met = stored(rest.join(settled, ["key", "of"], "left_semi").select("cid", "key"), "crowded-met")
         spared = met if spared is None else spared.union(met)
+        left = stored(rest.join(settled, ["key", "of"], "left_anti").select("cid", "key"), "crowded-open")
         collected(classes.sparkSession)
-        left = stored(rest.join(met, ["cid", "key"], "left_anti"), "crowded-open")
         turn += 1
-    return found.distinct(), spared, pending, check
-
-
-def similar_components(classes: DataFrame, most: int, index: Index, crowded: int = 64, exact: Exact | None = None) -> DataFrame:
-    """(node, component) for the classes of ``classes(cid, w0 ... w11)`` that have links.
-
-    Links join classes whose prints differ in at most ``most`` bits and meet under a key and, with ``exact``, pass its check: it takes the
-    classes (cid) that can be asked for and gives a function from pairs (a, b) to those that are links. Every class is stored under
-    its segments and looks up the keys in the ball of one bit (only zeros are set: of two segments that differ in one bit, the
-    one with the zero finds the other). Under a key with up to ``crowded`` classes all pairs are verified. A larger one
-    is mostly one group of similar texts, so its pairs are not spelt out: about ``crowded`` leaders are drawn from all who look the
-    key up and compared with all of them, those linked to a leader are spared, and the next leaders are drawn from the others until
-    none is left. Two spared classes, or a class and a leader that was not its nearest, are checked only if they ended in different
-    components: of spared ones, all that are outside the largest component under the key with all of other components. So the
-    components are those of all pairs that meet under a key.
-    """
-    found, spared, pending, check = _links(classes, most, index, crowded, exact)
-    joined = connected_components(spanning_links(found))
-    if spared is None and pending is None:
-        return joined
-    joined, more = stored(joined, "wide-components"), None
-    if pending is not None:
-        of = lambda side: joined.toDF(side, f"{side}_component")
-        named = pending.distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
-        more = named.where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
+    if joined is not None:
+        swapped = pending.distinct().select(F.col("b"), F.col("a").alias("cid"))
+        one = _placed(swapped, joined).select(F.col("b").alias("cid"), F.col("cid").alias("a"), F.col("of").alias("a_of"))
+        pending = _placed(one, joined).where("a_of <> of").select("a", F.col("cid").alias("b"))
+    more = pending
     if spared is not None:
-        parts = stored(spared.join(joined, spared["cid"] == joined["node"]).select("cid", "key", "component"), "crowded-parts")
-        counts = parts.groupBy("key", "component").agg(F.count("*").alias("n"))
-        largest = counts.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("components"))
+        parts = stored(_placed(spared, joined), "crowded-parts")
+        counts = parts.groupBy("key", "of").agg(F.count("*").alias("n"))
+        largest = counts.groupBy("key").agg(F.max(F.struct("n", "of"))["of"].alias("main"), F.count("*").alias("components"))
         split = stored(largest.where("components > 1").select("key", "main"), "crowded-split")
         if split.take(1):
             parts = parts.join(measured_broadcast(split, 64), "key")
-            outside = parts.where("component <> main").select("key", F.col("cid").alias("p"), F.col("component").alias("other"))
-            asked = _verified(parts.join(outside, "key").where("component <> other").select(*_pair("p", "cid")), classes, most).select("a", "b")
-            more = asked if more is None else more.union(asked)
-    if more is None:
-        return joined
-    more = stored(check(stored(more, "crowded-apart")), "crowded-more")
-    return connected_components(joined.toDF("a", "b").union(spanning_links(more))) if more.take(1) else joined
+            outside = parts.where("of <> main").select("key", F.col("cid").alias("p"), F.col("of").alias("other"))
+            asked = _verified(parts.join(outside, "key").where("of <> other").select(*_pair("p", "cid")), classes, most).select("a", "b")
+            more = more.union(asked)
+    more = _checked(stored(more, "crowded-apart"), exact)
+    return _contracted(joined, more) if more.take(1) else joined
 
 
-def similar_documents(documents: DataFrame, width: int = 5, least: float = 0.8, crowded: int = 64) -> DataFrame:
+def similar_components(classes: DataFrame, most: int, index: Index, crowded: int = 16, exact: Exact | None = None) -> DataFrame:
+    """(node, component) for the classes of ``classes(cid, w0 ... w11)`` that have links.
+
+    Links join classes whose prints differ in at most ``most`` bits and meet under a key and, with ``exact``, pass its check: it takes
+    different pairs (a, b) and gives a stored table of those that are links. Every class is stored under
+    its segments and looks up the keys in the ball of one bit (only zeros are set: of two segments that differ in one bit, the
+    one with the zero finds the other). Segments are taken in phases, and components are found after each: later phases compare only
+    classes of different components, so a large group of similar texts, which the first phase joins, is not paired again. Under a key with
+    up to ``crowded`` classes all such pairs are verified. Under a larger one about ``crowded`` leaders are drawn from all who look the
+    key up and compared with all of other components, those that are then in the component of a leader are spared, and the next leaders
+    are drawn from the others until none is left. Two spared classes, or a class and a leader that was not its nearest, are checked
+    only if they ended in different components: of spared ones, all that are outside the largest component under the key with all of other
+    components. So the components are those of all pairs that meet under a key.
+    """
+    keyed = stored(with_keys(classes, index), "wide-keys")
+    entries = keyed.select("cid", F.explode("keys").alias("key"))
+    shared = stored(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("key"), "crowded-keys")
+    hint = measured_broadcast(shared, 64)
+    joined = _sparse(keyed, classes, most, index, hint, exact)
+    if shared.take(1):
+        members = stored(_probed(entries, index).join(hint, "key").select("cid", "key"), "crowded-members")
+        # keys whose classes are all of one component have nothing to add
+        kinds = _placed(members, joined).groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high"))
+        several = stored(kinds.where("low <> high").select("key"), "crowded-several")
+        if several.take(1):
+            joined = _crowded(members.join(measured_broadcast(several, 64), "key").select("cid", "key"), classes, joined, most, crowded, exact)
+    dropped(keyed)
+    return classes.sparkSession.createDataFrame([], "node bigint, component bigint") if joined is None else joined
+
+
+def similar_documents(documents: DataFrame, width: int = 5, least: float = 0.8, crowded: int = 16) -> DataFrame:
     """(doc_id, text_hash, component_id, first) for every row of ``documents(doc_id, text)``.
 
     ``component_id`` is the smallest doc_id that links reach, ``first`` marks the one document of the group that has it (of
@@ -279,26 +329,31 @@ def similar_documents(documents: DataFrame, width: int = 5, least: float = 0.8,
     """
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     prints = stored(wide_prints(documents, width), "wide-prints")
-    totals = prints.groupBy(*NAMES).agg(F.min(place).alias("least"), F.count("*").alias("n"))
+    totals = prints.groupBy(*NAMES).agg(F.min(place).alias("least"), F.count("*").alias("n"), F.max("small").alias("small"))
+    near, far = candidate_distance(least, 4), candidate_distance(least, 7)
+    totals = totals.withColumn("most", F.when(F.col("small"), far).otherwise(near)).drop("small")
     classes = stored(totals.withColumn("cid", F.monotonically_increasing_id()), "wide-classes")
 
-    def exact(asked: DataFrame) -> Check:
-        one = classes.join(asked, "cid", "left_semi").select("cid", F.col("least.id").alias("__id"), F.col("least.hash").alias("__hash"))
+    def exact(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select("a").union(pairs.select("b")).toDF("cid").distinct()
+        one = stored(classes.join(asked, "cid", "left_semi").select("cid", F.col("least.id").alias("__id"), F.col("least.hash").alias("__hash")), "wide-asked")
         text = whole(F.col("text"))
         texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
         same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
-        of = texts.join(measured_broadcast(stored(one, "wide-asked"), 64), same).select("cid", "text").dropDuplicates(["cid"])
-        sets = stored(shingle_sets(of, width), "wide-sets")
-        return lambda pairs: alike(pairs, sets, least)
+        sets = stored(shingle_sets(texts.join(measured_broadcast(one, 64), same).select("cid", "text").dropDuplicates(["cid"]), width), "wide-sets")
+        links = stored(alike(pairs, sets, least), "wide-links")
+        dropped(one, sets)
+        return links
 
     index = planned_index(classes.count(), least)
-    joined = similar_components(classes, candidate_distance(least), index, crowded, exact).select(F.col("node").alias("cid"), "component")
+    joined = similar_components(classes, far, index, crowded, exact).select(F.col("node").alias("cid"), "component")
     grouped = classes.join(joined, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     names = grouped.groupBy("component").agg(F.min("least").alias("leader"))
     of = stored(grouped.join(names, "component").select(*NAMES, "n", "leader"), "wide-groups")
     # fewer than 1000 classes can have over a thousandth of the rows each: these are broadcast, so no task meets all rows of one
     bound = max(1000, (of.agg(F.sum("n")).first()[0] or 0) // 1000)
     large = F.broadcast(of.where(F.col("n") > bound).drop("n"))
+    prints = prints.drop("small")
     rows = prints.join(large, NAMES)
     others = prints.join(large.select(*NAMES), NAMES, "left_anti").join(of.where(F.col("n") <= bound).drop("n"), NAMES)
     both = rows.unionByName(others)
