@@ -231,11 +231,12 @@ def _sparse(keyed: DataFrame, classes: DataFrame, most: int, index: Index, hint:
             collected(classes.sparkSession)
         found = stored(reduce(DataFrame.unionByName, parts).distinct(), "wide-found")
         dropped(*parts)
-        links = _checked(found, exact)
+        if found.take(1):
+            links = _checked(found, exact)
+            if links.take(1):
+                joined = _contracted(joined, links)
+            dropped(links)
         dropped(found)
-        if links.take(1):
-            joined = _contracted(joined, links)
-        dropped(links)
         collected(classes.sparkSession)
     return joined
 
