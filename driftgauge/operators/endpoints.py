@@ -23,7 +23,7 @@ from driftgauge.operators.resample import (
     place_units,
     repeated_folds,
 )
-from driftgauge.session import bounded_broadcast, cut_lineage, pinned_if_small, task_rows
+from driftgauge.session import bounded_broadcast, compute_tasks, cut_lineage, pinned_if_small, task_rows
 
 
 class Samples:
@@ -40,21 +40,26 @@ class Samples:
     ) -> None:
         self.domain, self.id_col, self.target, self.prediction = domain, id_col, target, prediction
         self.repeats, self.k, self.resamples, self.bootstrap_seed, self.mode = len(seeds), k, resamples, bootstrap_seed, mode
-        slim = units.select(domain, id_col, target, prediction)
-        self.largest = largest = largest_group(slim, [domain])
-        self.bounded = largest <= task_rows(units.sparkSession)
-        blocks = not self.bounded
-        # About sqrt(n) blocks: the counting pass and the inspected block are then of similar size.
-        n_blocks = max(16, math.isqrt(largest))
-        prepared = repeated_folds(slim, [domain], id_col, seeds, k, blocks=blocks)
-        prepared = with_order_block(prepared, [domain], target, n_blocks, blocks=blocks)
-        # Folds, blocks and slots are sorted out once; every later pass starts from the pinned table.
-        self.placed = cut_lineage(place_units(prepared, [domain], id_col, bootstrap_seed, blocks=blocks))
-        self.units = self.placed.drop(*PLACE_COLUMNS)
+        # the source is read once: sizes, folds, blocks and places all start from what was read; hashing is spread over all cores
+        slim = cut_lineage(units.select(domain, id_col, target, prediction).repartition(compute_tasks(units.sparkSession), id_col))
+        self.largest = largest_group(slim, [domain])
+        self.bounded = self.largest <= task_rows(units.sparkSession)
+        folded = repeated_folds(slim, [domain], id_col, seeds, k, blocks=not self.bounded)
+        # every later pass starts from the pinned table
+        self.units = cut_lineage(self._with_blocks(folded) if resamples and not self.bounded else folded)
         self.keys = [domain, "replicate"]
         # Two domains are compared, so this is the number of samples.
         self.n_samples = 2 * (resamples + 1)
 
+    def _with_blocks(self, table: DataFrame) -> DataFrame:
+        # About sqrt(n) blocks: the counting pass and the inspected block are then of similar size.
+        return with_order_block(table, [self.domain], self.target, max(16, math.isqrt(self.largest)), blocks=not self.bounded)
+
+    @cached_property
+    def placed(self) -> DataFrame:
+        """Units with their places, from which replicates are drawn; without replicates only small samples need them."""
+        return cut_lineage(place_units(self.units, [self.domain], self.id_col, self.bootstrap_seed, blocks=not self.bounded))
+
     @cached_property
     def copies(self) -> DataFrame:
         if not self.resamples:
@@ -63,10 +68,15 @@ class Samples:
         # Every endpoint reads the copies three to four times.
         return pinned_if_small(drawn, 2 * self.largest * (self.resamples + 1), 64 + 4 * self.repeats)
 
+    @cached_property
+    def _medians(self) -> DataFrame:
+        copies = self.copies if "block" in self.copies.columns else self._with_blocks(self.copies)
+        found = leave_fold_out_medians(copies, self.keys, self.target, repeats=self.repeats, k=self.k, n_samples=self.n_samples)
+        # one row a fit; several endpoints of the same samples share them
+        return cut_lineage(found)
+
     def medians(self) -> DataFrame:
-        return leave_fold_out_medians(
-            self.copies, self.keys, self.target, repeats=self.repeats, k=self.k, n_samples=self.n_samples
-        )
+        return self._medians
 
     def coefficients(self, recalibrator: str) -> DataFrame:
         # sums are taken around the mean of the units, which is one small aggregate and not one over all copies
@@ -133,6 +143,11 @@ class Samples:
         long = wide.select(*self.keys, F.explode(F.array(*rows)).alias("e")).select(*self.keys, "e.*")
         if recalibrator == "isotonic":
             long = long.drop("model_mae").join(self.isotonic_errors(), [*self.keys, "repeat"])
+        if not self.resamples:
+            # the copies are the units themselves
+            return long.select(
+                *self.keys, "repeat", "model_mae", "comparator_mae", skill(F.col("model_mae"), F.col("comparator_mae")).alias("skill"), F.lit(0).cast("bigint").alias("n_misplaced")
+            )
         stray = self.integrity_violations().groupBy(*self.keys).agg(F.sum("multiplicity").alias("n_misplaced"))
         return long.join(stray, self.keys, "left").select(
             *self.keys, "repeat", "model_mae", "comparator_mae", skill(F.col("model_mae"), F.col("comparator_mae")).alias("skill"),

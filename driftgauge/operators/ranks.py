@@ -11,13 +11,15 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftgauge.functions import hash60
-from driftgauge.session import bounded_broadcast, cut_lineage, task_rows
+from driftgauge.session import bounded_broadcast, broadcast_bytes, cut_lineage, task_rows
 
 BLOCK = "__block"
 
@@ -262,6 +264,31 @@ def boundary_keys(df: DataFrame, id_col: str, seeds: Sequence[int], cuts: Sequen
     return rows.groupBy("__code").agg(F.transform(F.sort_array(F.collect_list(F.struct("__repeat", "b"))), lambda e: e["b"]).alias("bounds"))
 
 
+def _parts_of(spark: SparkSession, bounds: Mapping[int, Sequence]) -> Callable[..., Column]:
+    """Column function of (code, keys, id): for each key the number of ``bounds[code]`` before (key, id).
+
+    By vectors, as forty comparisons with ties in one generated method are too many for the JVM to compile.
+    """
+    shared = spark.sparkContext.broadcast({c: [[(b["key"], b["id"]) for b in one] for one in each] for c, each in bounds.items()})
+
+    @F.pandas_udf("array<int>")
+    def parts(code: pd.Series, keys: pd.Series, ids: pd.Series) -> pd.Series:
+        codes, own = code.to_numpy(), np.stack(keys.to_numpy()) if len(keys) else np.empty((0, 0), np.int64)
+        out = np.zeros(own.shape, dtype=np.int32)
+        for c in np.unique(codes):
+            rows = np.flatnonzero(codes == c)
+            for r, ends in enumerate(shared.value[int(c)]):
+                mine = own[rows, r]
+                for key, last in ends:
+                    after = mine > key
+                    for tie in np.flatnonzero(mine == key):
+                        after[tie] = ids.iloc[rows[tie]] > last
+                    out[rows, r] += after
+        return pd.Series(list(out))
+
+    return parts
+
+
 def parts_by_boundaries(df: DataFrame, group_cols: Sequence[str], id_col: str, seeds: Sequence[int], cuts: Callable[[Column], Sequence[Column]], parts_col: str) -> DataFrame | None:
     """``df`` with ``parts_col``: per seed the number of cuts before the row in the order by hash of its group; None with too many groups for a lookup.
 
@@ -280,8 +307,12 @@ def parts_by_boundaries(df: DataFrame, group_cols: Sequence[str], id_col: str, s
     coded = df.join(F.broadcast(lookup), same).drop(*(f"__g{i}" for i in range(len(group_cols))))
     wanted = cuts(F.col("__n"))
     bounds = boundary_keys(coded.select("__code", "__n", id_col), id_col, seeds, wanted, max(sizes.values(), default=0))
-    bounds = bounded_broadcast(bounds.withColumnRenamed("__code", "__of"), len(sizes) * len(seeds) * len(wanted), 128)
-    keys = coded.withColumn("__keys", F.array(*[hash60(F.lit(int(s)), id_col) for s in seeds])).join(bounds, F.col("__code") == F.col("__of"))
+    n_bounds, keys_of = len(sizes) * len(seeds) * len(wanted), F.array(*[hash60(F.lit(int(s)), id_col) for s in seeds])
+    if n_bounds * 128 <= broadcast_bytes(spark):
+        found = {row["__code"]: row["bounds"] for row in bounds.collect()}  # counted above
+        return coded.withColumn(parts_col, _parts_of(spark, found)("__code", keys_of, F.col(id_col))).drop("__code", "__n")
+    bounds = bounds.withColumnRenamed("__code", "__of")
+    keys = coded.withColumn("__keys", keys_of).join(bounds, F.col("__code") == F.col("__of"))
 
     def part(r: int) -> Column:
         own, out = F.col("__keys")[r], F.lit(0)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftgauge.operators.ranks import BLOCK, range_blocks
-from driftgauge.session import bounded_broadcast, compute_tasks, cut_lineage, measured_broadcast, task_rows
+from driftgauge.session import bounded_broadcast, broadcast_bytes, compute_tasks, cut_lineage, measured_broadcast, task_rows
 
 # Least-absolute-deviation fit.
 IRLS_ITERATIONS = 80
@@ -198,22 +198,42 @@ def lad_lines(x: np.ndarray, y: np.ndarray, weights: np.ndarray, iterations: int
     return a, b
 
 
+def pool_runs(first: np.ndarray, last: np.ndarray, mass: np.ndarray, total: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Blocks ``(first, last, mass, total, start)`` of pooled adjacent violators, several fits one after the other; ``start`` marks where a fit begins.
+
+    A run of falling levels pools into one block whatever the order, so whole runs are pooled at once while that takes many away; what is left then is
+    pooled by a stack, which no order of values makes slow.
+    """
+    while len(mass) > 1:
+        level = total / mass
+        head = np.concatenate([[True], (level[1:] > level[:-1]) | start[1:]])
+        heads = np.flatnonzero(head)
+        if len(heads) == len(mass):
+            return first, last, mass, total, start
+        few = len(heads) > len(mass) * 15 // 16
+        ends = np.append(heads[1:], len(mass)) - 1
+        first, last, start = first[heads], last[ends], start[heads]
+        mass, total = np.add.reduceat(mass, heads), np.add.reduceat(total, heads)
+        if few:
+            break
+    kept: list[int] = []
+    m, s, begins, ends = mass.tolist(), total.tolist(), start.tolist(), list(range(len(mass)))
+    for i in range(len(m)):
+        at = i
+        while kept and not begins[at] and s[kept[-1]] / m[kept[-1]] >= s[at] / m[at]:
+            before = kept.pop()
+            m[before], s[before], ends[before], at = m[before] + m[at], s[before] + s[at], ends[at], before
+        kept.append(at)
+    return first[kept], last[[ends[i] for i in kept]], np.array([m[i] for i in kept]), np.array([s[i] for i in kept]), start[kept]
+
+
 def pool_adjacent(x: np.ndarray, y: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Isotonic regression: knots and fitted values. Equal x are averaged first."""
     knots, where = np.unique(x, return_inverse=True)
-    w = np.bincount(where, weights=m)
-    mean = np.bincount(where, weights=m * y) / w
-    level: list[float] = []
-    mass: list[float] = []
-    width: list[int] = []
-    for value, weight in zip(mean.tolist(), w.tolist()):
-        level.append(value), mass.append(weight), width.append(1)
-        while len(level) > 1 and level[-2] >= level[-1]:
-            v, q, c = level.pop(), mass.pop(), width.pop()
-            level[-1] = (level[-1] * mass[-1] + v * q) / (mass[-1] + q)
-            mass[-1] += q
-            width[-1] += c
-    return knots, np.repeat(level, width)
+    w, total = np.bincount(where, weights=m), np.bincount(where, weights=m * y)
+    place = np.arange(len(knots))
+    first, last, mass, sums, _ = pool_runs(place, place, w, total, place == 0)
+    return knots, np.repeat(sums / mass, last - first + 1)
 
 
 def _coefficient_schema(copies: DataFrame, keys: Sequence[str]) -> T.StructType:
@@ -231,10 +251,10 @@ def l1_coefficients(
     """``(keys, repeat, fold, n_train, intercept, slope)`` of least absolute deviations outside each fold.
 
     ``bounded`` states that a sample was measured to fit one task: then all fits of a
-    sample run there in numpy. Otherwise every step is one distributed aggregate.
+    sample run there in numpy. Otherwise every step is one distributed aggregate over packed rows.
     """
     if not bounded:
-        return _l1_distributed(copies, list(keys), x, y, weight, iterations, eps)
+        return _l1_distributed(copies, list(keys), x, y, weight, iterations, eps, repeats, k)
     keys = list(keys)
     one = [*keys, "repeat"]
 
@@ -264,30 +284,113 @@ def _by_repeat(copies: DataFrame, keys: list[str], columns: list[str]) -> Groupe
     return long.repartition(tasks, *keys, "repeat").groupBy(*keys, "repeat")
 
 
-def _l1_distributed(copies: DataFrame, keys: list[str], x: str, y: str, weight: str, iterations: int, eps: float) -> DataFrame:
+# Rows of a sample that are packed into one row of arrays.
+PACKED_ROWS = 1 << 14
+
+
+def _packed(copies: DataFrame, keys: list[str], x: str, y: str, weight: str) -> DataFrame:
+    """``(keys, xs, ys, ms, fs)``: rows of a sample in packs, as the bytes of float64 vectors and of int16 fold numbers, repeat by repeat."""
+    columns = ["xs", "ys", "ms"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for head, rows in _by_keys(table, keys):
+                for at in range(0, rows.num_rows, PACKED_ROWS):
+                    part = rows.slice(at, PACKED_ROWS)
+                    vectors = [np.asarray(part.column(c)).astype(np.float64).tobytes() for c in columns]
+                    folds = _fold_rows(part).astype(np.int16).tobytes()
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array([v], batch.schema.field(c).type) for c, v in zip(keys, head)), *(pa.array([v], pa.binary()) for v in (*vectors, folds))],
+                        names=[*keys, *columns, "fs"],
+                    )
+
+    schema = T.StructType([*[copies.schema[c] for c in keys], *[T.StructField(c, T.BinaryType()) for c in (*columns, "fs")]])
+    slim = copies.select(*keys, *[F.col(c).cast("double").alias(n) for c, n in zip((x, y, weight), columns)], "folds")
+    return slim.mapInArrow(pack, schema)
+
+
+def _by_keys(table: pa.Table, keys: Sequence[str]) -> Iterator[tuple[list, pa.Table]]:
+    """The rows of every combination of key values, with these values, in the order of their first rows."""
+    if not table.num_rows:
+        return
+    code = np.zeros(table.num_rows, dtype=np.int64)
+    for c in keys:
+        found = table.column(c).combine_chunks().dictionary_encode("encode")
+        own = np.unique(code * (len(found.dictionary) + 1) + np.asarray(found.indices), return_inverse=True)[1]
+        code = own.astype(np.int64).ravel()
+    order = np.argsort(code, kind="stable")
+    for rows in sorted(np.split(order, np.flatnonzero(np.diff(code[order])) + 1), key=lambda r: r[0]):
+        part = table if len(rows) == table.num_rows else table.take(pa.array(rows))
+        yield [part.column(c)[0].as_py() for c in keys], part
+
+
+def _fold_rows(table: pa.Table) -> np.ndarray:
+    """Fold numbers, one row for each repeat."""
+    lists = table.column("folds").combine_chunks()
+    flat = np.asarray(lists.flatten())
+    return np.ascontiguousarray(flat.reshape(table.num_rows, -1).T) if table.num_rows else flat.reshape(0, 0)
+
+
+def _l1_sums(x: np.ndarray, y: np.ndarray, m: np.ndarray, folds: np.ndarray, a: np.ndarray, b: np.ndarray, center: np.ndarray, eps: float | None) -> np.ndarray:
+    """Sums (5, folds) of one repeat: weights, and products of weight, distance to the centre and residual, over the rows outside each fold."""
+    residual = y - a[:, None] - b[:, None] * x
+    dx = x - center[:, None]
+    w = np.broadcast_to(m, residual.shape).copy() if eps is None else m / np.maximum(np.abs(residual), eps)
+    inside = (folds >= 0) & (folds < len(a))
+    w[folds[inside], np.flatnonzero(inside)] = 0.0
+    wr, wx = w * residual, w * dx
+    return np.stack([w.sum(axis=1), wx.sum(axis=1), wr.sum(axis=1), (wx * dx).sum(axis=1), (wx * residual).sum(axis=1)])
+
+
+def _l1_distributed(copies: DataFrame, keys: list[str], x: str, y: str, weight: str, iterations: int, eps: float, repeats: int, k: int) -> DataFrame:
     """The same fits when a sample exceeds one task: the only state between steps is the coefficients.
 
-    Each step is one aggregate over all fits at once: residuals are regressed on the distance from the fit's last weighted mean, so large weights do not
-    cancel. The least-squares start is such a step too, so both forms take the same decisions about constant predictors.
+    Each step is one aggregate over all fits at once, by vectors over packs of rows: residuals are regressed on the distance from the fit's last weighted mean,
+    so large weights do not cancel. The least-squares start is such a step too, so both forms take the same decisions about constant predictors.
     """
     one = [*keys, "repeat", "fold"]
-    data = cut_lineage(copies.select(*keys, x, y, weight, "folds"))
+    data = cut_lineage(_packed(copies, keys, x, y, weight).repartition(compute_tasks(copies.sparkSession)))
     m = F.col(weight)
-    per_fold = data.select(*keys, x, weight, F.posexplode("folds").alias("repeat", "fold")).groupBy(*one).agg(F.sum(m).alias("n"), F.sum(m * F.col(x)).alias("sx"))
+    per_fold = copies.select(*keys, x, weight, F.posexplode("folds").alias("repeat", "fold")).groupBy(*one).agg(F.sum(m).alias("n"), F.sum(m * F.col(x)).alias("sx"))
     every = W.partitionBy(*keys, "repeat")
     outside = per_fold.select(*one, *[(F.sum(c).over(every) - F.col(c)).alias(c) for c in ("n", "sx")]).where("n >= 2")
     current = cut_lineage(outside.select(
         *one, F.col("n").alias("n_train"), F.lit(0.0).alias("intercept"), F.lit(0.0).alias("slope"), (F.col("sx") / F.col("n")).alias("center")
     ))
     n_fits = current.count()
-    residual = F.col(y) - F.col("intercept") - F.col("slope") * F.col(x)
+    names, state = ["sw", "sx", "sr", "sxx", "sxr"], ["n_train", "intercept", "slope", "center"]
+    schema = T.StructType([*[copies.schema[c] for c in keys], T.StructField("repeat", T.IntegerType()), T.StructField("fold", T.IntegerType()),
+                           *[T.StructField(c, T.DoubleType()) for c in names]])
+
+    def sums_of(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, list] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                head = tuple(batch.column(c)[i].as_py() for c in keys)
+                xs, ys, ms = (np.frombuffer(batch.column(c)[i].as_buffer(), dtype=np.float64) for c in ("xs", "ys", "ms"))
+                folds = np.frombuffer(batch.column("fs")[i].as_buffer(), dtype=np.int16).reshape(repeats, -1)
+                if head not in found:
+                    fits = batch.column("fits")[i].as_py()
+                    lines = np.full((3, repeats, k), np.nan)
+                    for f in fits:
+                        lines[:, f["repeat"], f["fold"]] = f["intercept"], f["slope"], f["center"]
+                    found[head] = [fits, lines, np.zeros((5, repeats, k))]
+                _, (a, b, center), sums = found[head]
+                for r in range(repeats):
+                    sums[:, r] += _l1_sums(xs, ys, ms, folds[r], a[r], b[r], center[r], eps if step else None)
+        for head, (fits, _, sums) in found.items():
+            r, f = ([e[c] for e in fits] for c in ("repeat", "fold"))
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array([v] * len(fits), batch.schema.field(c).type) for c, v in zip(keys, head)), pa.array(r, pa.int32()), pa.array(f, pa.int32()), *(pa.array(s) for s in sums[:, r, f])],
+                names=schema.names,
+            )
+
     for step in range(iterations + 1):
-        joined = data.join(bounded_broadcast(current, n_fits, 128), keys).where(F.expr("folds[repeat]") != F.col("fold"))
-        w = m / F.greatest(F.abs(residual), F.lit(eps)) if step else m
-        dx = F.col(x) - F.col("center")
-        sums = joined.groupBy(*one, "n_train", "intercept", "slope", "center").agg(
-            F.sum(w).alias("sw"), F.sum(w * dx).alias("sx"), F.sum(w * residual).alias("sr"), F.sum(w * dx * dx).alias("sxx"), F.sum(w * dx * residual).alias("sxr"),
-        )
+        fits = current.groupBy(*keys).agg(F.collect_list(F.struct("repeat", "fold", "intercept", "slope", "center")).alias("fits"))
+        joined = data.join(bounded_broadcast(fits, n_fits, 64), keys)
+        parts = joined.mapInArrow(lambda batches, step=step: sums_of(batches, step), schema)
+        sums = parts.groupBy(*one).agg(*[F.sum(c).alias(c) for c in names]).join(bounded_broadcast(current.select(*one, *state), n_fits, 128), one)
         sw, sx, sr = F.col("sw"), F.col("sx"), F.col("sr")
         cxx = F.greatest(F.col("sxx") - sx * sx / sw, F.lit(0.0))
         mean_x = F.col("center") + sx / sw
@@ -414,30 +517,106 @@ def _pooled_runs(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*one, *columns).mapInArrow(run, fields)
 
 
+# Rows that are pooled by vectors at once.
+POOLED_ROWS = 1 << 16
+
+
+class _RangePooler:
+    """Pools the rows of one sorted range for the fits outside every fold of every repeat, some rows at a time."""
+
+    def __init__(self, repeats: int, k: int) -> None:
+        self.repeats, self.k, self.held = repeats, k, None
+
+    def add(self, x: np.ndarray, y: np.ndarray, m: np.ndarray, folds: np.ndarray, final: bool) -> list[tuple]:
+        """``(repeat, fold, first, last, mass, level)`` of what is sure to have all rows of its x: the last x is held back unless ``final``."""
+        new = np.append(np.ones(min(1, len(x)), bool), x[1:] != x[:-1])
+        knots, where = x[new], np.cumsum(new) - 1
+        grids = []
+        for r in range(self.repeats):
+            # rows in no fold 0..k-1 are outside of all
+            of = folds[r] if len(folds) else where
+            cell = where * (self.k + 1) + np.where((of >= 0) & (of < self.k), of, self.k)
+            size = len(knots) * (self.k + 1)
+            grids.append(np.stack([np.bincount(cell, weights=v, minlength=size).reshape(-1, self.k + 1) for v in (m, m * y)]))
+        if self.held is not None:
+            at, before = self.held
+            if len(knots) and knots[0] == at:
+                for g, h in zip(grids, before):
+                    g[:, :1] += h
+            else:
+                knots, grids = np.append(at, knots), [np.concatenate([h, g], axis=1) for g, h in zip(grids, before)]
+            self.held = None
+        if not final and len(knots):
+            self.held = knots[-1], [g[:, -1:].copy() for g in grids]
+            knots, grids = knots[:-1], [g[:, :-1] for g in grids]
+        return [out for r, g in enumerate(grids) for out in self._fits(r, knots, g)] if len(knots) else []
+
+    def _fits(self, r: int, knots: np.ndarray, grid: np.ndarray) -> Iterator[tuple]:
+        # whole multiplicities subtract exactly
+        mass, total = (np.ascontiguousarray((g.sum(axis=1)[:, None] - g[:, : self.k]).T) for g in grid)
+        fit, place = np.nonzero(mass > 0)
+        if not len(fit):
+            return
+        begins = np.concatenate([[True], fit[1:] != fit[:-1]])
+        # the fit of a block travels with its first place
+        at = np.arange(len(fit))
+        first, last, mass, total, _ = pool_runs(at, at, mass[fit, place], total[fit, place], begins)
+        yield np.full(len(first), r), fit[first], knots[place[first]], knots[place[last]], mass, total / mass
+
+
+def _pooled_ranges(copies: DataFrame, keys: list[str], x: str, y: str, weight: str, repeats: int, k: int, parts: int) -> DataFrame:
+    """Blocks ``(keys, repeat, fold, x_first, x_last, mass, level)`` of all fits, pooled inside ranges of (keys, x): the rows are sorted once and not once for each fit."""
+    names = ["repeat", "fold", "x_first", "x_last", "mass", "level"]
+    types = [pa.int32(), pa.int32(), *[pa.float64()] * 4]
+    schema = T.StructType([*[copies.schema[c] for c in keys], T.StructField("repeat", T.IntegerType()), T.StructField("fold", T.IntegerType()),
+                           *[T.StructField(c, T.DoubleType()) for c in names[2:]]])
+    slim = copies.select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"), F.col(weight).cast("double").alias("__m"), "folds")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, pooler, waiting, n = None, None, [], 0
+        key_types: list = []
+
+        def pooled(final: bool) -> Iterator[pa.RecordBatch]:
+            table = pa.concat_tables(waiting)
+            values = [np.asarray(table.column(c)) for c in ("__x", "__y", "__m")]
+            for out in pooler.add(*values, _fold_rows(table), final):
+                heads = [pa.array([v] * len(out[0]), kind) for v, kind in zip(head, key_types)]
+                yield pa.RecordBatch.from_arrays([*heads, *(pa.array(v, kind) for v, kind in zip(out, types))], names=[*keys, *names])
+
+        for batch in batches:
+            key_types = [batch.schema.field(c).type for c in keys]
+            # sorted by keys, so a batch has the rows of a key together
+            for own, rows in _by_keys(pa.Table.from_batches([batch]), keys):
+                if own != head:
+                    if waiting:
+                        yield from pooled(True)
+                    head, pooler, waiting, n = own, _RangePooler(repeats, k), [], 0
+                waiting.append(rows)
+                n += rows.num_rows
+                if n >= POOLED_ROWS:
+                    yield from pooled(False)
+                    waiting, n = [rows.slice(0, 0)], 0
+        if waiting:
+            yield from pooled(True)
+
+    ranged = slim.repartitionByRange(parts, *keys, "__x").sortWithinPartitions(*keys, "__x")
+    return ranged.mapInArrow(run, schema)
+
+
 def isotonic_blocks(copies: DataFrame, keys: Sequence[str], x: str, y: str, *, repeats: int, k: int, weight: str = "multiplicity") -> DataFrame:
     """``(keys, repeat, fold, x_first, x_last, mass, level)``: the pooled blocks of the isotonic fit outside each fold, all fits at once.
 
-    Copies of equal x are averaged for each fit, sorted by ranges of (fit, x) and pooled inside every range. Blocks that still violate the order across the end of a
-    range are pooled in further rounds over fewer, shifted ranges. Pooling adjacent violators gives the same fit in any
+    Copies are sorted once by ranges of x, and pooled inside every range for all fits, equal x averaged first. Blocks that still violate the order across the end of a
+    range are pooled in further rounds over fewer, shifted ranges of (fit, x). Pooling adjacent violators gives the same fit in any
     order, so the rounds end with the fit of the whole sample; no task sees more than a range and the driver sees two counts a round.
     """
     keys = list(keys)
     one = [*keys, "repeat", "fold"]
     spark = copies.sparkSession
-    m = F.col(weight).cast("double")
-    own = copies.select(*keys, x, m.alias("m"), (m * F.col(y)).alias("t"), F.posexplode("folds").alias("repeat", "fold"))
-    knots = own.groupBy(*keys, x, "repeat").agg(
-        F.sum("m").alias("m"), F.sum("t").alias("t"), *[F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0.0)).alias(f"{c}{f}") for f in range(k) for c in "mt"]
-    )
-    fits = F.explode(F.array(*[
-        F.struct(F.lit(f).alias("fold"), (F.col("m") - F.col(f"m{f}")).alias("mass"), (F.col("t") - F.col(f"t{f}")).alias("total")) for f in range(k)
-    ])).alias("e")
-    # whole multiplicities subtract exactly
-    rows = knots.select(*keys, "repeat", F.col(x).cast("double").alias("x_first"), fits).where("e.mass > 0").select(
-        *keys, "repeat", "e.fold", "x_first", F.col("x_first").alias("x_last"), "e.mass", (F.col("e.total") / F.col("e.mass")).alias("level")
-    )
     limit, turn = task_rows(spark), 0
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(compute_tasks(spark), 2)
+    rows = cut_lineage(_pooled_ranges(copies, keys, x, y, weight, repeats, k, parts))
+    parts = max(1, min(parts, math.ceil(rows.count() / limit)))
     while True:
         ranged = rows.repartitionByRange(parts, *one, "x_first").sortWithinPartitions(*one, "x_first")
         rows = cut_lineage(_pooled_runs(ranged, keys).withColumn(BLOCK, F.spark_partition_id()))
@@ -452,17 +631,59 @@ def isotonic_blocks(copies: DataFrame, keys: Sequence[str], x: str, y: str, *, r
         parts = max(1, min(parts, math.ceil(total / limit))) + turn % 2
 
 
+def _looked_up(copies: DataFrame, blocks: DataFrame, keys: list[str], carry: Sequence[str], x: str, repeats: int, k: int) -> DataFrame:
+    """``(keys, carry, repeat, fold, prediction)`` where the blocks were counted to fit a broadcast: rows are read once and not sorted."""
+    found: dict[tuple, tuple] = {}
+    for head, rows in _by_keys(blocks.toArrow(), [*keys, "repeat", "fold"]):
+        rows = rows.sort_by("x_first")
+        found[tuple(head)] = tuple(np.asarray(rows.column(c)) for c in ("x_first", "x_last", "level"))
+    shared = copies.sparkSession.sparkContext.broadcast(found)
+    carry = [c for c in carry if c not in keys]
+    schema = T.StructType([*[copies.schema[c] for c in (*keys, *carry)], copies.schema["folds"], T.StructField("__p", T.ArrayType(T.DoubleType()))])
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for head, rows in _by_keys(pa.Table.from_batches([batch]), keys):
+                at, folds = np.asarray(rows.column("__x")), _fold_rows(rows)
+                out = np.full((rows.num_rows, repeats), np.nan)
+                for r in range(repeats):
+                    for f in range(k):
+                        held = np.flatnonzero(folds[r] == f)
+                        fit = shared.value.get((*head, r, f))
+                        if fit is not None and len(held):
+                            out[held, r] = _interpolated(at[held], *fit)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, repeats), pa.int32()), pa.array(out.ravel(), from_pandas=True))
+                kept = rows.select([*keys, *carry, "folds"]).append_column("__p", lists)
+                yield from kept.combine_chunks().to_batches()
+
+    done = copies.select(*keys, *carry, "folds", F.col(x).cast("double").alias("__x")).mapInArrow(predict, schema)
+    return done.select(*keys, *carry, F.posexplode(F.arrays_zip("folds", "__p")).alias("repeat", "e")).select(
+        *keys, *carry, "repeat", F.col("e.folds").alias("fold"), F.col("e.__p").alias("prediction")
+    )
+
+
+def _interpolated(at: np.ndarray, first: np.ndarray, last: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Levels at ``at``: that of its block, linear between blocks, constant beyond them."""
+    before = np.searchsorted(first, at, side="right") - 1
+    p, q = np.maximum(before, 0), np.minimum(before + 1, len(first) - 1)
+    gap = (before >= 0) & (before < len(first) - 1) & (at > last[p])
+    share = np.where(gap, (at - last[p]) / np.where(gap, first[q] - last[p], 1.0), 0.0)
+    return level[p] + share * (level[q] - level[p])
+
+
 def isotonic_predictions(
     copies: DataFrame, keys: Sequence[str], carry: Sequence[str], x: str, y: str, *, repeats: int, k: int, weight: str = "multiplicity"
 ) -> DataFrame:
     """``(keys, carry, repeat, fold, prediction)``: out-of-fold isotonic predictions, linear between the blocks and constant beyond them.
 
-    Blocks and the rows that ask are sorted together by ranges of (fit, x); a row takes the last block before it and the first after it, from its own range or,
+    While the blocks were counted to fit a broadcast, every row looks them up. Beyond that, blocks and the rows that ask are sorted together by ranges of (fit, x); a row takes the last block before it and the first after it, from its own range or,
     by one number a fit and range, from the nearest range that has one.
     """
     keys = list(keys)
     one = [*keys, "repeat", "fold"]
     blocks = isotonic_blocks(copies, keys, x, y, repeats=repeats, k=k, weight=weight)
+    if blocks.count() * 128 <= broadcast_bytes(copies.sparkSession):
+        return _looked_up(copies, blocks, keys, carry, x, repeats, k)
     asks = copies.select(*keys, F.struct(*carry).alias("__ask"), F.col(x).cast("double").alias("__x"), F.posexplode("folds").alias("repeat", "fold"))
     block = F.struct("x_first", "x_last", "level")
     both = blocks.select(*one, F.col("x_first").alias("__x"), F.lit(0).alias("__asks"), block.alias("__b"), F.lit(None).cast(asks.schema["__ask"].dataType).alias("__ask"))

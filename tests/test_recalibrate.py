@@ -161,3 +161,62 @@ def test_endpoint_row(units):
     assert row["ci_low"] <= row["delta"] + 0.5 and row["verdict"] in ("POSITIVE", "UNRESOLVED")
     assert row["delta"] == pytest.approx(row["s_ood"] - row["s_id"])
     assert endpoints.shift_endpoint(units, "domain", "unit_id", "q_true", "q_hat", "ID", "OOD", recalibrator="affine_OLS", seeds=(11,), k=4, resamples=5).first()["verdict"] is None
+
+
+def test_runs_pool_like_single_pairs():
+    """Whole falling runs at once, and the stack for what is left, give the fit that pooling pair by pair gives, several fits side by side."""
+    rng = np.random.default_rng(5)
+    shapes = [rng.normal(size=400), np.arange(300.0), -np.arange(300.0), np.append(np.arange(200.0), -1e6), np.zeros(50), rng.integers(0, 3, 500).astype(float), np.array([1.0])]
+    y, m = np.concatenate(shapes), rng.integers(1, 5, sum(map(len, shapes))).astype(float)
+    start = np.zeros(len(y), dtype=bool)
+    start[np.cumsum([0, *map(len, shapes[:-1])])] = True
+    at = np.arange(len(y))
+    first, last, mass, total, begins = recalibrate.pool_runs(at, at, m, m * y, start)
+    got, want = np.repeat(total / mass, last - first + 1), []
+    for part in np.split(at, np.flatnonzero(start)[1:]):
+        stack = []
+        for i in part:
+            stack.append([y[i], m[i], 1])
+            while len(stack) > 1 and stack[-2][0] >= stack[-1][0]:
+                v, w, c = stack.pop()
+                stack[-1] = [(stack[-1][0] * stack[-1][1] + v * w) / (stack[-1][1] + w), stack[-1][1] + w, stack[-1][2] + c]
+        want += [v for v, _, c in stack for _ in range(c)]
+    assert got == pytest.approx(want, abs=1e-9) and begins.sum() == len(shapes)
+
+
+def test_rows_of_one_x_in_several_batches_are_averaged_first(spark, monkeypatch):
+    """Every range is pooled some rows at a time; an x whose rows come in several turns still counts as one, for each key."""
+    monkeypatch.setattr(recalibrate, "POOLED_ROWS", 7)
+    rng = np.random.default_rng(8)
+    data = [(s, i % 3, i, float(rng.integers(0, 6)), float(rng.normal()), int(rng.integers(1, 4)), [int(v) for v in rng.integers(0, 3, 2)]) for s in "ab" for i in range(90)]
+    copies = spark.createDataFrame(data, "s string, t int, id int, x double, y double, multiplicity bigint, folds array<int>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        got = {tuple(r[:4]): r["prediction"] for r in recalibrate.isotonic_predictions(copies, ["s", "t"], ["id"], "x", "y", repeats=2, k=3).collect()}
+        spark.conf.set("driftgauge.broadcast.bytes", "1")
+        sorted_form = {tuple(r[:4]): r["prediction"] for r in recalibrate.isotonic_predictions(copies, ["s", "t"], ["id"], "x", "y", repeats=2, k=3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("driftgauge.broadcast.bytes")
+    want = {}
+    for s, t, i, x, _, _, folds in data:
+        for r in range(2):
+            train = [d for d in data if d[0] == s and d[1] == t and d[6][r] != folds[r]]
+            knots, fitted = pool_adjacent(*(np.array([d[c] for d in train], dtype=float) for c in (3, 4, 5)))
+            want[s, t, i, r] = np.interp(x, knots, fitted)
+    assert got == pytest.approx(want, abs=1e-9) and sorted_form == pytest.approx(want, abs=1e-9)
+
+
+def test_samples_without_replicates_are_neither_placed_nor_joined_with_themselves(spark):
+    """Draw places and the check of inherited folds are for copies; a sample beyond a task goes without both."""
+    units = spark.range(60).select(
+        F.when(F.col("id") % 2 == 0, "ID").otherwise("OOD").alias("domain"), F.col("id").cast("string").alias("unit_id"),
+        (F.col("id") * 7 % 31 / 31.0).alias("q_true"), (F.col("id") * 11 % 37 / 37.0).alias("q_hat"),
+    )
+    spark.conf.set("driftgauge.task.rows", "5")
+    try:
+        made = endpoints.Samples(units, "domain", "unit_id", "q_true", "q_hat", seeds=(11, 12), k=3)
+        rows = made.skills("isotonic").collect()
+    finally:
+        spark.conf.unset("driftgauge.task.rows")
+    assert "placed" not in vars(made) and {r["n_misplaced"] for r in rows} == {0} and len(rows) == 4
