@@ -210,7 +210,9 @@ def draw(
     if mode == "poisson":
         numbers = F.explode(F.sequence(F.lit(1), F.lit(int(resamples)))).alias("replicate")
         u = hash_uniform(F.lit(seed), *group_cols, "replicate", id_col)
-        out = units.select("*", numbers).withColumn("multiplicity", _poisson_one(u)).where("multiplicity > 0")
+        # the hash is made once a row: as a plain column it would be repeated by the filter and by the cases
+        hashed = units.select("*", numbers).select("*", F.explode(F.array(u)).alias("__u")).where(F.col("__u") >= POISSON_TOTALS[0])
+        out = hashed.withColumn("multiplicity", _poisson_one(F.col("__u"))).drop("__u")
     elif mode == "multinomial":
         # One md5 has room for two draws, so replicates 2j - 1 and 2j share the hash of j.
         pairs = F.explode(F.sequence(F.lit(1), F.lit((int(resamples) + 1) // 2))).alias("__pair")
@@ -260,7 +262,8 @@ def bootstrap(
     ``include_original`` adds replicate 0, the sample itself.
     """
     if mode == "poisson":
-        placed = units
+        # every unit is read once and hashed for each replicate: that work is spread, not the bytes
+        placed = units.repartition(compute_tasks(units.sparkSession), id_col)
     else:
         placed = place_units(units, group_cols, id_col, seed, blocks=blocks)
     return draw(placed, group_cols, id_col, resamples=resamples, seed=seed, mode=mode, include_original=include_original)

@@ -116,3 +116,13 @@ def test_copy_ordinals_of_a_hot_id(spark):
     small = resample.copy_ordinals(df, "user", "at").collect()
     key = lambda r: (r["user"] is None, r["user"] or 0, r["at"], r["ordinal"])
     assert sorted(map(key, large)) == sorted(map(key, small)) and len(large) == 2000
+
+
+def test_poisson_draws_are_hashed_once_and_spread(spark):
+    """A few units with many replicates are work for every core, and a draw is one hash."""
+    units = spark.range(40).coalesce(1).select(F.lit("g").alias("g"), F.col("id").cast("string").alias("id"))
+    drawn = resample.bootstrap(units, ["g"], "id", resamples=50, seed=7, mode="poisson")
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("md5(") == 1
+    assert drawn.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert drawn.agg(F.min("multiplicity")).first()[0] == 1
