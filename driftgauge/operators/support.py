@@ -21,6 +21,8 @@ from driftgauge.session import broadcast_bytes, compute_tasks, cut_lineage
 REFERENCE_ROWS = 20_000
 QUERY_ROWS = 20_000
 MAX_PIVOTS = 1024
+# Rows that are compared with all pivots at a time.
+ROUTED_ROWS = 256
 
 
 @dataclass(frozen=True)
@@ -71,7 +73,8 @@ def _nearest(q: np.ndarray, r: np.ndarray, k: int, cells: int = 4_000_000) -> np
     """
     k = min(k, len(r))
     wide = min(len(r), k + 16)
-    step = max(1, cells // max(len(r), 1))
+    # both the table of distances and the gathered candidates are bounded
+    step = max(1, cells // max(len(r), wide * r.shape[1], 1))
     out = np.empty((len(q), k))
     r2 = np.einsum("ij,ij->i", r, r)
     for start in range(0, len(q), step):
@@ -140,10 +143,11 @@ class CellDirectory:
 
         def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                if len(batch):
-                    d = _distances(_matrix(batch[vec]), shared.value)
+                for start in range(0, len(batch), ROUTED_ROWS):
+                    part = batch.iloc[start : start + ROUTED_ROWS]
+                    d = _distances(_matrix(part[vec]), shared.value)
                     cell = d.argmin(axis=1)
-                    yield pd.DataFrame({"rid": batch["rid"], "cell": cell, "to_pivot": d[np.arange(len(d)), cell], vec: batch[vec]})
+                    yield pd.DataFrame({"rid": part["rid"].to_numpy(), "cell": cell, "to_pivot": d[np.arange(len(d)), cell], vec: part[vec].to_numpy()})
 
         rows = reference.select(F.col(id_col).cast("string").alias("rid"), F.col(vec).cast("array<double>").alias(vec))
         # the directory and the searches must see the same assignment
@@ -198,8 +202,8 @@ def routed_queries(queries: DataFrame, directory: CellDirectory, id_col: str, ve
         it = object.__new__(CellDirectory)
         it.cell, it.pivots, it.inner, it.outer = shared.value
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.iloc[start : start + 256]
+            for start in range(0, len(batch), ROUTED_ROWS):
+                part = batch.iloc[start : start + ROUTED_ROWS]
                 d, least = it.least_distances(_matrix(part[vec]))
                 nearest = d.argmin(axis=1)
                 if own:

@@ -1,8 +1,11 @@
 """The range-partitioned forms give exactly what the one-window forms give, ties and hot values included."""
+import tracemalloc
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftgauge.operators import metrics, ranks, resample
+from driftgauge.operators import metrics, ranks, resample, support
 
 
 @pytest.fixture(scope="module")
@@ -126,3 +129,17 @@ def test_poisson_draws_are_hashed_once_and_spread(spark):
     assert plan.count("md5(") == 1
     assert drawn.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert drawn.agg(F.min("multiplicity")).first()[0] == 1
+
+
+def test_nearest_rows_are_found_in_bounded_memory():
+    """Many queries of a small cell gather their candidates in parts, in any number of dimensions, with the same distances."""
+    rng = np.random.default_rng(3)
+    q, r = rng.random((8000, 64)), rng.random((100, 64))
+    tracemalloc.start()
+    try:
+        found = support._nearest(q, r, 20, cells=400_000)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40e6
+    assert found == pytest.approx(np.sort(support._distances(q, r), axis=1)[:, :20], abs=1e-9)
