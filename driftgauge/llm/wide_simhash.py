@@ -33,6 +33,8 @@ SMALL = 32
 NAMES = [f"w{i}" for i in range(WORDS)]
 BLOCK = 255 * 64
 Exact = Callable[[DataFrame], DataFrame]
+# takes classes (cid) and gives stored tables of what set_bounds says of their sets
+Bounds = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
 
 def _spread(hashes: np.ndarray) -> np.ndarray:
@@ -177,6 +179,42 @@ def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return joined.where(both / (F.size("a_set") + F.size("b_set") - both) >= least).select("a", "b")
 
 
+def set_bounds(sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(cid, size, room) of ``sets(cid, hashes)`` and the pairs (a, b) that have a hash of two or three sets in common.
+
+    Two sets with no such hash share at most the hashes that lie in four sets or more. For a Jaccard similarity of ``least`` the number of these in either set has to
+    be ``least / (1 + least)`` of both sizes: so ``room`` is the largest size of a set that may be alike, and other pairs need no comparison.
+    """
+    rows = sets.select("cid", F.explode("hashes").alias("hash"))
+    of = rows.groupBy("hash").agg(F.count("*").alias("n"), F.min("cid").alias("low"), F.max("cid").alias("high"), F.bit_xor("cid").alias("all"))
+    # of three ids, all but the lowest and the highest
+    middle = F.col("all").bitwiseXOR(F.col("low")).bitwiseXOR(F.col("high"))
+    rare = stored(of.where("n <= 3").select("n", "low", "high", F.when(F.col("n") == 3, middle).alias("middle")), "wide-rare")
+    ids = F.when(F.col("n") == 1, F.array("low")).when(F.col("n") == 2, F.array("low", "high")).otherwise(F.array("low", "middle", "high"))
+    own = rare.select(F.explode(ids).alias("cid")).groupBy("cid").agg(F.count("*").alias("own"))
+    sizes = sets.select("cid", F.size("hashes").cast("bigint").alias("size")).join(own, "cid", "left")
+    shared = F.col("size") - F.coalesce("own", F.lit(0))
+    room = F.floor(shared * ((1 + least) / least) + 1e-6) - F.col("size")
+    bounds = stored(sizes.select("cid", "size", room.alias("room")), "wide-bounds")
+    two = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
+    pairs = F.when(F.col("n") == 2, F.array(two("low", "high"))).otherwise(F.array(two("low", "middle"), two("low", "high"), two("middle", "high")))
+    common = stored(rare.where("n > 1").select(F.explode(pairs).alias("pair")).select("pair.*").distinct(), "wide-common")
+    dropped(rare)
+    return bounds, common
+
+
+def _possible(bounds: DataFrame | None, other: str) -> Column:
+    """Whether a class (size, room) and one with the prefix ``other`` may be alike; true where nothing is known of one of them."""
+    if bounds is None:
+        return F.lit(True)
+    fits = (F.col("room") >= F.col(f"{other}size")) & (F.col(f"{other}room") >= F.col("size"))
+    return F.coalesce(fits, F.lit(True))
+
+
+def _sized(bounds: DataFrame | None, prefix: str = "") -> list[Column]:
+    return [] if bounds is None else [F.col(n).alias(prefix + n) for n in ("size", "room")]
+
+
 def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -187,14 +225,25 @@ def _contracted(joined: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(components_in_task(pairs if joined is None else joined.toDF("a", "b").union(pairs)), "wide-components")
 
 
-def _placed(table: DataFrame, joined: DataFrame | None) -> DataFrame:
-    """``table(cid, ...)`` with the component of each class, which is the class itself while it has no link."""
+def _placed(table: DataFrame, joined: DataFrame | None, bounds: DataFrame | None = None) -> DataFrame:
+    """``table(cid, ...)`` with the component of each class, which is the class itself while it has no link, and its ``bounds(cid, size, room)``, null where unknown."""
+    if bounds is not None:
+        table = table.join(bounds, "cid", "left")
     if joined is None:
         return table.withColumn("of", F.col("cid"))
     found = table.join(joined.toDF("cid", "component"), "cid", "left")
     return found.withColumn("of", F.coalesce("component", "cid")).drop("component")
 
 
+def _apart(pairs: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose classes are of different components."""
+    if joined is None:
+        return pairs.select("a", "b")
+    swapped = pairs.distinct().select(F.col("b"), F.col("a").alias("cid"))
+    one = _placed(swapped, joined).select(F.col("b").alias("cid"), F.col("cid").alias("a"), F.col("of").alias("a_of"))
+    return _placed(one, joined).where("a_of <> of").select("a", F.col("cid").alias("b"))
+
+
 def _phases(segments: int) -> Iterator[tuple[int, int]]:
     """Ranges of segments after which components are found; each ends eight times as far as the one before."""
     start, end = 0, 2
@@ -216,18 +265,20 @@ def _checked(pairs: DataFrame, exact: Exact | None) -> DataFrame:
     return exact(pairs) if exact else stored(pairs, "wide-links")
 
 
-def _sparse(keyed: DataFrame, classes: DataFrame, most: int, index: Index, hint: DataFrame, exact: Exact | None) -> DataFrame | None:
-    """Components (node, component) of the links under keys that are not crowded (``hint``); only pairs of different components are compared."""
-    joined = None
+def _sparse(
+    keyed: DataFrame, classes: DataFrame, most: int, index: Index, hint: DataFrame, exact: Exact | None, bounds: Bounds | None
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """Components (node, component) of the links under keys that are not crowded (``hint``), and what is known of the sets; only pairs of different components that may be alike are compared."""
+    joined = known = None
     for begin, end in _phases(index.segments):
         parts = []
         # some segments at a time, so that the balls of all segments never lie on disk together
         for start in range(begin, end, TURN):
-            some = _placed(keyed.select("cid", F.slice("keys", start + 1, min(TURN, end - start)).alias("keys")), joined)
-            some = some.select("cid", "of", F.explode("keys").alias("key"))
-            probes = _probed(some, index).select("key", F.col("cid").alias("p"), F.col("of").alias("p_of"))
-            met = probes.join(some.join(hint, "key", "left_anti"), "key").where("p_of <> of").select(*_pair("p", "cid"))
-            parts.append(stored(_verified(met, classes, most), "wide-candidates"))
+            some = _placed(keyed.select("cid", F.slice("keys", start + 1, min(TURN, end - start)).alias("keys")), joined, known)
+            some = some.select("cid", "of", *_sized(known), F.explode("keys").alias("key"))
+            probes = _probed(some, index).select("key", F.col("cid").alias("p"), F.col("of").alias("p_of"), *_sized(known, "p_"))
+            met = probes.join(some.join(hint, "key", "left_anti"), "key").where((F.col("p_of") != F.col("of")) & _possible(known, "p_"))
+            parts.append(stored(_verified(met.select(*_pair("p", "cid")), classes, most), "wide-candidates"))
             collected(classes.sparkSession)
         found = stored(reduce(DataFrame.unionByName, parts).distinct(), "wide-found")
         dropped(*parts)
@@ -235,13 +286,27 @@ def _sparse(keyed: DataFrame, classes: DataFrame, most: int, index: Index, hint:
             links = _checked(found, exact)
             if links.take(1):
                 joined = _contracted(joined, links)
+            if bounds:
+                # classes that were near another without being alike, as in a large group of edited copies: later phases would meet their pairs again
+                failed = found.select("a", "b").join(links.select("a", "b"), ["a", "b"], "left_anti")
+                met = failed.select("a").union(failed.select("b")).toDF("cid")
+                tables = [known] if known else []
+                doubted = stored((met.union(tables[0].select("cid")) if tables else met).distinct(), "wide-doubted")
+                known, common = bounds(doubted)
+                near = stored(_verified(_apart(common, joined), classes, most), "wide-near")
+                more = _checked(near, exact)
+                if more.take(1):
+                    joined = _contracted(joined, more)
+                dropped(*tables, doubted, common, near, more)
             dropped(links)
         dropped(found)
         collected(classes.sparkSession)
-    return joined
+    return joined, measured_broadcast(known, 64) if known else None
 
 
-def _crowded(members: DataFrame, classes: DataFrame, joined: DataFrame | None, most: int, crowded: int, exact: Exact | None) -> DataFrame | None:
+def _crowded(
+    members: DataFrame, classes: DataFrame, joined: DataFrame | None, known: DataFrame | None, most: int, crowded: int, exact: Exact | None
+) -> DataFrame | None:
     """Components (node, component) once the pairs under the crowded keys of ``members(cid, key)`` are links too."""
     left, spared, pending, turn = members, None, None, 0
     while True:
@@ -250,8 +315,8 @@ def _crowded(members: DataFrame, classes: DataFrame, joined: DataFrame | None, m
         # some ``crowded`` leaders a key, by a draw that is the same under every key, or all classes once they are no more than that
         draw = F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(1 << 30)) * F.col("n") < F.lit(crowded << 30)
         leaders = stored(counted.where(draw).select("key", "cid"), "crowded-leaders")
-        led = measured_broadcast(_placed(leaders, joined).select("key", F.col("cid").alias("leader"), F.col("of").alias("leader_of")), 64)
-        met = _placed(members, joined).join(led, "key").where("of <> leader_of").select(*_pair("cid", "leader"))
+        led = measured_broadcast(_placed(leaders, joined, known).select("key", F.col("cid").alias("leader"), F.col("of").alias("leader_of"), *_sized(known, "leader_")), 64)
+        met = _placed(members, joined, known).join(led, "key").where((F.col("of") != F.col("leader_of")) & _possible(known, "leader_")).select(*_pair("cid", "leader"))
         near = stored(_verified(met, classes, most), "crowded-near")
         # only the nearest partner of each class is checked now; the others matter where components stay apart
         sides = near.union(near.select("b", "a", "distance")).toDF("cid", "leader", "distance")
@@ -270,26 +335,23 @@ def _crowded(members: DataFrame, classes: DataFrame, joined: DataFrame | None, m
         left = stored(rest.join(settled, ["key", "of"], "left_anti").select("cid", "key"), "crowded-open")
         collected(classes.sparkSession)
         turn += 1
-    if joined is not None:
-        swapped = pending.distinct().select(F.col("b"), F.col("a").alias("cid"))
-        one = _placed(swapped, joined).select(F.col("b").alias("cid"), F.col("cid").alias("a"), F.col("of").alias("a_of"))
-        pending = _placed(one, joined).where("a_of <> of").select("a", F.col("cid").alias("b"))
-    more = pending
+    more = _apart(pending, joined)
     if spared is not None:
-        parts = stored(_placed(spared, joined), "crowded-parts")
+        parts = stored(_placed(spared, joined, known), "crowded-parts")
         counts = parts.groupBy("key", "of").agg(F.count("*").alias("n"))
         largest = counts.groupBy("key").agg(F.max(F.struct("n", "of"))["of"].alias("main"), F.count("*").alias("components"))
         split = stored(largest.where("components > 1").select("key", "main"), "crowded-split")
         if split.take(1):
             parts = parts.join(measured_broadcast(split, 64), "key")
-            outside = parts.where("of <> main").select("key", F.col("cid").alias("p"), F.col("of").alias("other"))
-            asked = _verified(parts.join(outside, "key").where("of <> other").select(*_pair("p", "cid")), classes, most).select("a", "b")
+            outside = parts.where("of <> main").select("key", F.col("cid").alias("p"), F.col("of").alias("other"), *_sized(known, "p_"))
+            asked = parts.join(outside, "key").where((F.col("of") != F.col("other")) & _possible(known, "p_")).select(*_pair("p", "cid"))
+            asked = _verified(asked, classes, most).select("a", "b")
             more = more.union(asked)
     more = _checked(stored(more, "crowded-apart"), exact)
     return _contracted(joined, more) if more.take(1) else joined
 
 
-def similar_components(classes: DataFrame, most: int, index: Index, crowded: int = 16, exact: Exact | None = None) -> DataFrame:
+def similar_components(classes: DataFrame, most: int, index: Index, crowded: int = 16, exact: Exact | None = None, bounds: Bounds | None = None) -> DataFrame:
     """(node, component) for the classes of ``classes(cid, w0 ... w11)`` that have links.
 
     Links join classes whose prints differ in at most ``most`` bits and meet under a key and, with ``exact``, pass its check: it takes
@@ -301,20 +363,21 @@ def similar_components(classes: DataFrame, most: int, index: Index, crowded: int
     key up and compared with all of other components, those that are then in the component of a leader are spared, and the next leaders
     are drawn from the others until none is left. Two spared classes, or a class and a leader that was not its nearest, are checked
     only if they ended in different components: of spared ones, all that are outside the largest component under the key with all of other
-    components. So the components are those of all pairs that meet under a key.
+    components. So the components are those of all pairs that meet under a key. With ``bounds`` (:func:`set_bounds`), classes that were near another without being
+    alike are from then on compared only where their sets may be alike; those that share a rare hash are checked at once.
     """
     keyed = stored(with_keys(classes, index), "wide-keys")
     entries = keyed.select("cid", F.explode("keys").alias("key"))
     shared = stored(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("key"), "crowded-keys")
     hint = measured_broadcast(shared, 64)
-    joined = _sparse(keyed, classes, most, index, hint, exact)
+    joined, known = _sparse(keyed, classes, most, index, hint, exact, bounds)
     if shared.take(1):
         members = stored(_probed(entries, index).join(hint, "key").select("cid", "key"), "crowded-members")
         # keys whose classes are all of one component have nothing to add
         kinds = _placed(members, joined).groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high"))
         several = stored(kinds.where("low <> high").select("key"), "crowded-several")
         if several.take(1):
-            joined = _crowded(members.join(measured_broadcast(several, 64), "key").select("cid", "key"), classes, joined, most, crowded, exact)
+            joined = _crowded(members.join(measured_broadcast(several, 64), "key").select("cid", "key"), classes, joined, known, most, crowded, exact)
     dropped(keyed)
     return classes.sparkSession.createDataFrame([], "node bigint, component bigint") if joined is None else joined
 
@@ -335,19 +398,29 @@ def similar_documents(documents: DataFrame, width: int = 5, least: float = 0.8,
     totals = totals.withColumn("most", F.when(F.col("small"), far).otherwise(near)).drop("small")
     classes = stored(totals.withColumn("cid", F.monotonically_increasing_id()), "wide-classes")
 
-    def exact(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select("a").union(pairs.select("b")).toDF("cid").distinct()
+    def sets_of(asked: DataFrame) -> DataFrame:
         one = stored(classes.join(asked, "cid", "left_semi").select("cid", F.col("least.id").alias("__id"), F.col("least.hash").alias("__hash")), "wide-asked")
         text = whole(F.col("text"))
         texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
         same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
         sets = stored(shingle_sets(texts.join(measured_broadcast(one, 64), same).select("cid", "text").dropDuplicates(["cid"]), width), "wide-sets")
+        dropped(one)
+        return sets
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        sets = sets_of(pairs.select("a").union(pairs.select("b")).toDF("cid").distinct())
         links = stored(alike(pairs, sets, least), "wide-links")
-        dropped(one, sets)
+        dropped(sets)
         return links
 
+    def bounds(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        sets = sets_of(asked)
+        found = set_bounds(sets, least)
+        dropped(sets)
+        return found
+
     index = planned_index(classes.count(), least)
-    joined = similar_components(classes, far, index, crowded, exact).select(F.col("node").alias("cid"), "component")
+    joined = similar_components(classes, far, index, crowded, exact, bounds).select(F.col("node").alias("cid"), "component")
     grouped = classes.join(joined, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     names = grouped.groupBy("component").agg(F.min("least").alias("leader"))
     of = stored(grouped.join(names, "component").select(*NAMES, "n", "leader"), "wide-groups")

@@ -1,6 +1,6 @@
 import random
 
-from driftgauge.llm.wide_simhash import Index, NAMES, greatest_distance, planned_index, similar_components, similar_documents, wide_print
+from driftgauge.llm.wide_simhash import Index, NAMES, greatest_distance, planned_index, set_bounds, similar_components, similar_documents, wide_print
 from tests.llm.data import empty, messy
 from tests.llm.test_simhash import components
 
@@ -124,3 +124,23 @@ def test_pairs_around_the_limit(spark):
     got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     linked = {s: sum(got[i] == got[i + 1] for i in of if of[i] == s) for s in (0.78, 0.80, 0.82)}
     assert linked == {0.78: 0, 0.80: 30, 0.82: 30}
+
+
+def test_set_bounds_lose_no_link_and_rule_out_most_pairs_of_a_group_of_edited_copies(spark):
+    """Copies of one text with a few or many own words: no two with many are alike, and few of their pairs are left to compare."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(300)]
+    sets = {}
+    for i in range(120):
+        words = edited(rng, base, 0.002 if i < 20 else 0.04)
+        sets[i] = sorted({hash(s) for s in shingles(" ".join(words))})
+    sets[120], sets[121] = [1, 2, 3], [1, 2, 3]
+    bounds, common = set_bounds(spark.createDataFrame(list(sets.items()), "cid bigint, hashes array<bigint>"), 0.8)
+    known = {r.cid: r for r in bounds.collect()}
+    shared = {(r.a, r.b) for r in common.collect()}
+    assert all(known[i].size == len(s) for i, s in sets.items())
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    left = {p for p in pairs if p in shared or (known[p[0]].room >= known[p[1]].size and known[p[1]].room >= known[p[0]].size)}
+    alike = {p for p in pairs if jaccard(set(sets[p[0]]), set(sets[p[1]])) >= 0.8}
+    assert (120, 121) in alike and len(alike) > 100 and alike <= left
+    assert len(left - alike) < (len(pairs) - len(alike)) / 3
