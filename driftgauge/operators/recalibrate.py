@@ -23,6 +23,8 @@ from driftgauge.session import bounded_broadcast, broadcast_bytes, compute_tasks
 # Least-absolute-deviation fit.
 IRLS_ITERATIONS = 80
 IRLS_EPSILON = 1e-9
+# points from which several fits are made in blocks, and points times fits of a block
+LAD_BLOCKED, LAD_CELLS = 4096, 1 << 15
 
 # A weighted variance below this share of (1 + squared mean) is that of a constant.
 FLAT = 1e-28
@@ -180,7 +182,49 @@ def lad_line(x: np.ndarray, y: np.ndarray, m: np.ndarray, iterations: int = IRLS
 
 
 def lad_lines(x: np.ndarray, y: np.ndarray, weights: np.ndarray, iterations: int = IRLS_ITERATIONS, eps: float = IRLS_EPSILON) -> tuple[np.ndarray, np.ndarray]:
-    """:func:`lad_line` for several fits to the same points at once; each row of ``weights`` is a fit, zero where a point takes no part."""
+    """:func:`lad_line` for several fits to the same points at once; each row of ``weights`` is a fit, zero where a point takes no part.
+
+    Many points are worked on in blocks, by products of matrices; fits whose sums would cancel there take the plain form.
+    """
+    if len(x) < LAD_BLOCKED:
+        return _lad_lines_plain(x, y, weights, iterations, eps)
+    a, b, sound = _lad_lines_blocked(x, y, weights, iterations, eps)
+    if not sound.all():
+        a[~sound], b[~sound] = _lad_lines_plain(x, y, weights[~sound], iterations, eps)
+    return a, b
+
+
+def _lad_lines_blocked(x: np.ndarray, y: np.ndarray, weights: np.ndarray, iterations: int, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intercepts, slopes and which fits are sound: their spread of x did not cancel in sums around the mean of all points in any step."""
+    cx, cy, fits = x.mean(), y.mean(), len(weights)
+    dx, dy = x - cx, y - cy
+    size = max(256, LAD_CELLS // fits)
+    starts = range(0, len(x), size)
+    points = [np.stack([dy[s : s + size], np.ones(len(dx[s : s + size])), dx[s : s + size]]) for s in starts]
+    moments = [np.stack([p[1], p[2], p[0], p[2] * p[2], p[2] * p[0]], axis=1) for p in points]
+    blocks = [np.ascontiguousarray(weights[:, s : s + size]) for s in starts]
+    cells = [np.empty((fits, p.shape[1])) for p in (points[0], points[-1])]
+    a, b, sound = np.zeros(fits), np.zeros(fits), np.ones(fits, dtype=bool)
+    for step in range(iterations + 1):
+        sums, lines = np.zeros((fits, 5)), np.stack([np.ones(fits), -a, -b], axis=1)
+        for i, (p, m, w) in enumerate(zip(points, moments, blocks)):
+            if step:
+                r = cells[i == len(points) - 1]
+                np.matmul(lines, p, out=r)
+                np.abs(r, out=r)
+                np.maximum(r, eps, out=r)
+                np.divide(w, r, out=r)
+                w = r
+            sums += w @ m
+        n, sx, sy, sxx, sxy = sums.T
+        cxx = sxx - sx * sx / n
+        sound &= cxx > 1e-9 * sxx
+        b = (sxy - sx * sy / n) / np.where(sound, cxx, 1.0)
+        a = (sy - b * sx) / n
+    return a + cy - b * cx, b, sound
+
+
+def _lad_lines_plain(x: np.ndarray, y: np.ndarray, weights: np.ndarray, iterations: int, eps: float) -> tuple[np.ndarray, np.ndarray]:
     w, a, b = weights, None, None
     for step in range(iterations + 1):
         if step:

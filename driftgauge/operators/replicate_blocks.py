@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftgauge.operators.recalibrate import affine_line_from_sums, lad_lines, pool_adjacent
+from driftgauge.operators.recalibrate import LAD_BLOCKED, affine_line_from_sums, lad_lines, pool_adjacent
 from driftgauge.operators.resample import POISSON_TOTALS
 from driftgauge.session import compute_tasks
 
 LOW_60 = (1 << 60) - 1
 PAIRS_PER_BLOCK = 64
-# points times fits that are worked on at once
-FIT_CELLS = 1 << 15
+# points times fits that are worked on at once, in the plain and in the blocked form of the fits
+FIT_CELLS, BLOCKED_CELLS = 1 << 15, 1 << 22
 
 # what a replicate gives: a list of rows for its multiplicities
 PerReplicate = Callable[[np.ndarray], list[tuple]]
@@ -148,7 +148,7 @@ def _fitted(x: np.ndarray, y: np.ndarray, m: np.ndarray, folds: np.ndarray, k: i
 def _l1_predictions(x: np.ndarray, y: np.ndarray, m: np.ndarray, folds: np.ndarray, k: int) -> np.ndarray:
     """Predictions (repeats x units) of the least-absolute-deviation lines outside each fold; small samples take many fits at once."""
     fits = [(r, f) for r in range(len(folds)) for f in range(k)]
-    lines, batch = np.full((2, len(folds), k), np.nan), max(1, FIT_CELLS // max(1, len(x)))
+    lines, batch = np.full((2, len(folds), k), np.nan), max(1, (FIT_CELLS if len(x) < LAD_BLOCKED else BLOCKED_CELLS) // max(1, len(x)))
     for start in range(0, len(fits), batch):
         part = fits[start : start + batch]
         weights = np.stack([np.where(folds[r] == f, 0.0, m) for r, f in part])

@@ -124,6 +124,24 @@ def test_l1_lines_of_both_forms(spark):
         assert cost[0] == pytest.approx(np.abs(y - np.array([1, 0]) @ [lad_line(x, y, np.ones(len(x)))[0], 0] - lad_line(x, y, np.ones(len(x)))[1] * x).mean(), abs=1e-7)
 
 
+def test_l1_lines_in_blocks(monkeypatch):
+    """Blocks give the lines of the plain form; a fit whose points have one x among others that do not takes the plain form."""
+    rng = np.random.default_rng(4)
+    n = 700
+    x = np.r_[rng.random(n), np.full(40, 1e9)]
+    y = np.r_[0.3 + 0.5 * x[:n] + 0.2 * rng.standard_normal(n), rng.random(40)]
+    weights = np.zeros((4, n + 40))
+    weights[:3, :n] = rng.integers(0, 3, (3, n))
+    weights[3, n:] = 1.0
+    plain = recalibrate.lad_lines(x, y, weights)
+    monkeypatch.setattr(recalibrate, "LAD_BLOCKED", 500)
+    blocked = recalibrate.lad_lines(x, y, weights)
+    assert np.stack(blocked) == pytest.approx(np.stack(plain), abs=1e-7)
+    few = recalibrate.lad_lines(x[:n], y[:n], weights[:3, :n])
+    assert np.stack(few) == pytest.approx(np.stack(plain)[:, :3], abs=1e-7)
+    assert recalibrate._lad_lines_blocked(x[:n], y[:n], weights[:3, :n], 80, 1e-9)[2].all()
+
+
 @pytest.mark.parametrize("shape", ["noise", "rising", "falling", "steps"])
 def test_isotonic_rounds(spark, small_tasks, shape):
     """Long runs that pool across many ranges, and fits that hardly pool at all."""
