@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from driftgauge.operators import contracts
 from driftgauge.plans.bindings import SQL_SCORED, scored, sql_set_digest, table
 from driftgauge.plans.registry import query
-from driftgauge.session import scratch_path
+from driftgauge.session import compute_tasks, cut_lineage, scratch_path
 from driftgauge.sources import files, sinks, tables
 
 # --- readers and writers ---------------------------------------------------------------------
@@ -130,8 +130,10 @@ def written_files(spark, sf_dir):
     """``(path, length, digest)`` of the files, with the key's folder as the path."""
     root = scratch_path(spark, "supplier-files")
     line = F.concat("s_name", F.lit(" in nation "), F.col("s_nationkey").cast("string")).alias("line")
-    table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), line).repartition(8, "key").write.partitionBy("key").text(root)
-    return files.digests(spark, root, "*.txt").withColumn("path", F.regexp_extract("path", "key=([0-9]+)/", 1))
+    tasks = compute_tasks(spark)
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), line).repartition(tasks, "key")
+    rows.write.partitionBy("key").text(root)
+    return files.digests(spark, root, "*.txt", tasks=tasks).withColumn("path", F.regexp_extract("path", "key=([0-9]+)/", 1))
 
 
 @query("A5_written_digests", f"WITH {SQL_WRITTEN} SELECT key::VARCHAR AS path, length(content)::BIGINT AS length, sha256(content) AS digest FROM written")
@@ -142,7 +144,8 @@ def written_digests(spark, sf_dir):
 @query("A5_written_reconcile", f"""WITH {SQL_WRITTEN} SELECT key::VARCHAR AS path, CASE WHEN key % 7 = 0 THEN 'unexpected' WHEN key % 7 = 1 THEN 'size' ELSE 'digest' END AS status FROM written WHERE key % 7 < 3
 UNION ALL SELECT 'nowhere', 'missing'""")
 def written_reconcile(spark, sf_dir):
-    seen = written_files(spark, sf_dir)
+    # pinned, as both sides come from it: each file is read once
+    seen = cut_lineage(written_files(spark, sf_dir))
     key = F.col("path").cast("bigint") % 7
     expected = seen.where(key > 0).select(
         "path", F.when(key == 1, F.col("length") + 1).otherwise(F.col("length")).alias("length"), F.when(key == 2, F.lit("0" * 64)).otherwise(F.col("digest")).alias("digest")

@@ -51,13 +51,17 @@ def entities(files: DataFrame, entity_pattern: str, kinds: Mapping[str, str]) ->
     )
 
 
-def digests(spark: SparkSession, root: str, glob: str | None = None, algorithm: str = "sha256") -> DataFrame:
-    """``(path, length, digest)`` of files of any size.
+def digests(spark: SparkSession, root: str, glob: str | None = None, algorithm: str = "sha256", tasks: int | None = None) -> DataFrame:
+    """``(path, length, digest)`` of files of any size; ``tasks`` is the most tasks that read them, for many files that are known to be small.
+
+    Spark counts each file as 4 MB at least, which gives a task to every 32 small files.
 
     Files up to ``MAX_FILE_BYTES`` are hashed from their binary row (the length filter reaches the source, so larger
     contents are never loaded); larger ones are read by tasks as streams in chunks.
     """
     files = _files(spark, root, glob)
+    if tasks:
+        files = files.coalesce(tasks)
     content = F.col("content")
     value = {"sha256": F.sha2(content, 256), "md5": F.md5(content)}[algorithm]
     small = files.where(F.col("length") <= MAX_FILE_BYTES).select("path", "length", value.alias("digest"))

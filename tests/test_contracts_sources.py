@@ -2,6 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from driftgauge.session import compute_tasks
 from driftgauge.functions import normalized_label, set_digest
 from driftgauge.operators import audit, contracts, provenance, resample, summaries
 from driftgauge.session import scratch_path
@@ -151,3 +152,12 @@ def test_hash_positions_cover_every_place(spark):
 def test_integer_totals(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 1.5)], "g string, v double")
     assert {(r["g"], r["total"], r["n_bad"]) for r in summaries.integer_total(df, ["g"], "v").collect()} == {("a", 3, 0), ("b", None, 1)}
+
+
+def test_many_small_files_are_read_by_few_tasks(spark, tmp_path):
+    for i in range(200):
+        (tmp_path / f"{i}.txt").write_text(f"line {i}")
+    few = files.digests(spark, str(tmp_path), "*.txt", tasks=2)
+    # small and large files are read apart
+    assert few.rdd.getNumPartitions() <= 2 + compute_tasks(spark)
+    assert sorted(few.collect()) == sorted(files.digests(spark, str(tmp_path), "*.txt").collect()) and few.count() == 200
