@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -250,12 +251,17 @@ def visibility(exported: DataFrame, manifest: DataFrame, key_col: str, category_
 
 
 def key_reconcile(expected: DataFrame, observed: DataFrame, key_cols: Sequence[str]) -> DataFrame:
-    """Keys on one side only, tagged ``missing`` or ``unexpected``."""
-    e, o = expected.select(*key_cols).distinct(), observed.select(*key_cols).distinct()
-    return (
-        e.join(o, list(key_cols), "left_anti").withColumn("status", F.lit("missing"))
-        .unionByName(o.join(e, list(key_cols), "left_anti").withColumn("status", F.lit("unexpected")))
-    )
+    """Keys on one side only, tagged ``missing`` or ``unexpected``; a key with a null is on its own side only.
+
+    Both sides meet in one aggregate, so each key travels once and is held once.
+    """
+    keys = list(key_cols)
+    both = expected.select(*keys, F.lit(1).alias("__side")).union(observed.select(*keys, F.lit(2).alias("__side")))
+    sides = both.groupBy(*keys).agg(F.bit_or("__side").alias("__sides"))
+    unknown = reduce(Column.__or__, (F.col(k).isNull() for k in keys))
+    e, o = F.when(F.col("__sides") != 2, F.lit("missing")), F.when(F.col("__sides") != 1, F.lit("unexpected"))
+    found = F.when(F.col("__sides") < 3, F.array(F.coalesce(e, o))).when(unknown, F.array(e, o))
+    return sides.where((F.col("__sides") < 3) | unknown).select(*keys, F.explode(found).alias("status"))
 
 
 def set_hashes(df: DataFrame, group_cols: Sequence[str], id_col: str) -> DataFrame:

@@ -161,3 +161,12 @@ def test_many_small_files_are_read_by_few_tasks(spark, tmp_path):
     # small and large files are read apart
     assert few.rdd.getNumPartitions() <= 2 + compute_tasks(spark)
     assert sorted(few.collect()) == sorted(files.digests(spark, str(tmp_path), "*.txt").collect()) and few.count() == 200
+
+
+def test_keys_are_reconciled_without_a_join(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, None), (None, None)], "k bigint, t string")
+    right = spark.createDataFrame([(2, "b"), (2, "b"), (3, None), (4, "d")], "k bigint, t string")
+    found = audit.key_reconcile(left, right, ["k", "t"])
+    want = [(1, "a", "missing"), (3, None, "missing"), (None, None, "missing"), (3, None, "unexpected"), (4, "d", "unexpected")]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
