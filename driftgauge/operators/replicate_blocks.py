@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftgauge.operators.recalibrate import LAD_BLOCKED, affine_line_from_sums, lad_lines, pool_adjacent
+from driftgauge.operators.recalibrate import LAD_BLOCKED, affine_line_from_sums, lad_lines, pool_sorted
 from driftgauge.operators.resample import POISSON_TOTALS
 from driftgauge.session import compute_tasks
 
@@ -128,20 +128,29 @@ def _outside_medians(y: np.ndarray, m: np.ndarray, folds: np.ndarray, sizes: np.
     return out
 
 
-def _fitted(x: np.ndarray, y: np.ndarray, m: np.ndarray, folds: np.ndarray, k: int, recalibrator: str, center: tuple[float, float]) -> np.ndarray:
-    """Prediction of every unit by the fit outside its fold; NaN where there is none."""
-    predicted = np.full(len(x), np.nan)
-    if recalibrator == "affine_OLS":
-        cx, cy = x - center[0], y - center[1]
-        sums = [np.bincount(folds, weights=v, minlength=k) for v in (m, m * cx, m * cy, m * cx * cx, m * cx * cy)]
-        outside = [s.sum() - s for s in sums]
-        lines = [affine_line_from_sums(*(s[f] for s in outside), center) if outside[0][f] >= 2 else (np.nan, np.nan) for f in range(k)]
-        a, b = np.array(lines).T
-        return a[folds] + b[folds] * x
+def _ols_predictions(x: np.ndarray, y: np.ndarray, m: np.ndarray, folds: np.ndarray, k: int, center: tuple[float, float]) -> np.ndarray:
+    """Prediction of every unit by the least-squares line outside its fold; NaN where there is none."""
+    cx, cy = x - center[0], y - center[1]
+    sums = [np.bincount(folds, weights=v, minlength=k) for v in (m, m * cx, m * cy, m * cx * cx, m * cx * cy)]
+    outside = [s.sum() - s for s in sums]
+    lines = [affine_line_from_sums(*(s[f] for s in outside), center) if outside[0][f] >= 2 else (np.nan, np.nan) for f in range(k)]
+    a, b = np.array(lines).T
+    return a[folds] + b[folds] * x
+
+
+def _isotonic_predictions(x: np.ndarray, y: np.ndarray, m: np.ndarray, folds: np.ndarray, k: int) -> np.ndarray:
+    """Prediction of every unit by the isotonic fit outside its fold, NaN where there is none; ``x`` is sorted, so no fit sorts and units are looked up in order."""
+    predicted, my = np.full(len(x), np.nan), m * y
+    tied = bool((x[1:] == x[:-1]).any())
     for f in range(k):
-        held = folds == f
-        if held.any() and m[~held].sum() >= 1:
-            predicted[held] = np.interp(x[held], *pool_adjacent(x[~held], y[~held], m[~held]))
+        inside = folds == f
+        held, train = np.flatnonzero(inside), np.flatnonzero(~inside)
+        if len(held) and len(train):
+            knots, mass, total = x[train], m[train], my[train]
+            if tied:
+                heads = np.flatnonzero(np.concatenate([[True], knots[1:] != knots[:-1]]))
+                knots, mass, total = knots[heads], np.add.reduceat(mass, heads), np.add.reduceat(total, heads)
+            predicted[held] = np.interp(x[held], knots, pool_sorted(mass, total))
     return predicted
 
 
@@ -181,6 +190,7 @@ def replicate_skills(
         x, y, folds = x[order], y[order], folds[:, order]
         center = (float(x.mean()), float(y.mean()))
         deployed = np.abs(x - y)
+        by_x = np.argsort(x, kind="stable") if recalibrator == "isotonic" else None
 
         def each(m: np.ndarray) -> list[tuple]:
             m = m[order]
@@ -188,6 +198,9 @@ def replicate_skills(
             rows, total = [], m.sum()
             my, mx, mm = y[held], x[held], m[held]
             lines = _l1_predictions(mx, my, mm, np.clip(folds[:, held], 0, k - 1), k) if recalibrator == "affine_L1" else None
+            if by_x is not None:
+                rising = by_x[m[by_x] > 0]
+                rx, ry, rm = x[rising], y[rising], m[rising]
             for r in range(repeats):
                 of = folds[r, held]
                 stray = int(mm[(of < 0) | (of >= k)].sum())
@@ -199,8 +212,11 @@ def replicate_skills(
                 comparator = float(mm @ np.abs(medians[of] - my)) / total if total else math.nan
                 if recalibrator is None:
                     model = float(mm @ deployed[held]) / total if total else math.nan
+                elif by_x is not None:
+                    fitted = _isotonic_predictions(rx, ry, rm, np.clip(folds[r, rising], 0, k - 1), k)
+                    model = float(rm @ np.abs(fitted - ry)) / total if total else math.nan
                 else:
-                    fitted = lines[r] if lines is not None else _fitted(mx, my, mm, of, k, recalibrator, center)
+                    fitted = lines[r] if lines is not None else _ols_predictions(mx, my, mm, of, k, center)
                     model = float(mm @ np.abs(fitted - my)) / total if total else math.nan
                 sound = not (math.isnan(model) or math.isnan(comparator))
                 rows.append((r, model if sound else None, comparator if sound else None, stray))

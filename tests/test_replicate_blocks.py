@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftgauge.operators import endpoints, metrics, recalibrate
+from driftgauge.operators import endpoints, metrics, recalibrate, replicate_blocks
 from driftgauge.operators.recalibrate import lad_line, pool_adjacent
 from driftgauge.operators.replicate_blocks import replicate_skills
 
@@ -160,3 +160,19 @@ def test_isotonic_rounds(spark, small_tasks, shape):
             own = folds[:, r] == f
             want = np.interp(x[own], *pool_adjacent(x[~own], y[~own], m[~own].astype(float)))
             assert [got[int(i), r] for i in np.flatnonzero(own)] == pytest.approx(list(want))
+
+
+@pytest.mark.parametrize("distinct", [True, False])
+def test_isotonic_predictions_of_a_replicate(monkeypatch, distinct):
+    """Fits in the order of x equal fits that sort for themselves, with and without ties, and sort nothing."""
+    rng = np.random.default_rng(8)
+    n = 900
+    x = np.sort(rng.random(n) if distinct else rng.random(n).round(2))
+    y, m, folds = x + 0.5 * rng.random(n), rng.integers(1, 4, n).astype(float), rng.integers(0, 5, n)
+    want = np.empty(n)
+    for f in range(5):
+        own = folds == f
+        want[own] = np.interp(x[own], *pool_adjacent(x[~own], y[~own], m[~own]))
+    monkeypatch.setattr(np, "unique", None)
+    assert replicate_blocks._isotonic_predictions(x, y, m, folds, 5) == pytest.approx(want, abs=1e-12)
+    assert np.isnan(replicate_blocks._isotonic_predictions(x, y, m, np.zeros(n, dtype=int), 5)).all()
