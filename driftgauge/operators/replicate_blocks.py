@@ -104,7 +104,7 @@ def over_replicates(
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:
-    return {"integer": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[kind.typeName()]
+    return {"integer": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}[kind.typeName()]
 
 
 def _column(table: pa.Table, name: str) -> np.ndarray:
@@ -256,3 +256,30 @@ def replicate_rank_correlations(
         return each
 
     return over_replicates(placed, group_cols, id_col, [target, prediction], prepare, RANK_FIELDS, resamples=resamples, seed=seed, mode=mode)
+
+
+def replicate_errors(
+    placed: DataFrame, group_cols: Sequence[str], id_col: str, cell: str, error: str, *, resamples: int, seed: int, mode: str = "multinomial"
+) -> DataFrame:
+    """``(groups, replicate, cell, n, mae, bias)``: copies and mean absolute and mean error of each ``cell`` of a group, from sums over vectors of multiplicities.
+
+    ``cell`` is a text column; cells without a copy in a replicate have no row. Null errors count as copies but add nothing, as in a sum; a cell with no other has null means.
+    """
+
+    def prepare(table: pa.Table) -> PerReplicate:
+        cells = table.column(cell).combine_chunks().dictionary_encode(null_encoding="encode")
+        names, code, known = cells.dictionary.to_pylist(), np.asarray(cells.indices), np.asarray(table.column(error).is_valid())
+        e = np.where(known, _column(table, error), 0.0)
+        size = np.abs(e)
+
+        def each(m: np.ndarray) -> list[tuple]:
+            total, valid, absolute, signed = (np.bincount(code, weights=v, minlength=len(names)) for v in (m, m * known, m * size, m * e))
+            return [
+                (name, int(n), *((float(a / n), float(s / n)) if some else (None, None)))
+                for name, n, some, a, s in zip(names, total, valid, absolute, signed) if n
+            ]
+
+        return each
+
+    fields = (T.StructField(cell, T.StringType()), T.StructField("n", T.LongType()), T.StructField("mae", T.DoubleType()), T.StructField("bias", T.DoubleType()))
+    return over_replicates(placed, group_cols, id_col, [cell, error], prepare, fields, resamples=resamples, seed=seed, mode=mode)

@@ -4,10 +4,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftgauge.operators import summaries
-from driftgauge.operators.resample import bootstrap
+from driftgauge.operators.ranks import needs_blocks
+from driftgauge.operators.replicate_blocks import replicate_errors
+from driftgauge.operators.resample import bootstrap, place_units
 from driftgauge.plans.bindings import SQL_SCORED, SQL_SUPPLIERS, scored_suppliers, sql_bootstrap
 from driftgauge.plans.intake import SQL_LEDGER, ledger_rows
 from driftgauge.plans.registry import query
+from driftgauge.session import cut_lineage
 
 B = 2000
 
@@ -26,11 +29,18 @@ vals AS (SELECT cell, replicate, metric, value FROM wide UNPIVOT (value FOR metr
 def replicate_values(spark, sf_dir, seed=2026):
     """``(cell, replicate, metric, value)``: weighted errors of each region in each replicate."""
     units = scored_suppliers(spark, sf_dir).select("domain", "unit_id", F.col("grp").alias("cell"), (F.col("q_hat") - F.col("q_true")).alias("e"))
-    copies = bootstrap(units, ["domain"], "unit_id", resamples=B, seed=seed)
-    m = F.col("multiplicity")
-    wide = copies.groupBy("cell", "replicate").agg(
-        (F.sum(m * F.abs("e")) / F.sum(m)).alias("mae"), (F.sum(m * F.col("e")) / F.sum(m)).alias("bias")
-    )
+    if needs_blocks(units, ["domain"]):
+        m = F.col("multiplicity")
+        copies = bootstrap(units, ["domain"], "unit_id", resamples=B, seed=seed, blocks=True)
+        wide = copies.groupBy("cell", "replicate").agg(
+            (F.sum(m * F.abs("e")) / F.sum(m)).alias("mae"), (F.sum(m * F.col("e")) / F.sum(m)).alias("bias")
+        )
+    else:
+        # a region lies in one domain, so its errors in a replicate come from one task
+        placed = place_units(units, ["domain"], "unit_id", seed, blocks=False)
+        wide = replicate_errors(placed, ["domain"], "unit_id", "cell", "e", resamples=B, seed=seed).where("replicate > 0")
+    # a row a region and replicate, read twice: for the sizes of its groups and for the summary
+    wide = cut_lineage(wide.select("cell", "replicate", "mae", "bias"))
     return wide.select("cell", "replicate", F.explode(F.create_map(F.lit("mae"), F.col("mae"), F.lit("bias"), F.col("bias"))).alias("metric", "value"))
 
 

@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftgauge.operators import endpoints, metrics, recalibrate, replicate_blocks
+from driftgauge.operators import endpoints, metrics, recalibrate, replicate_blocks, resample
 from driftgauge.operators.recalibrate import lad_line, pool_adjacent
 from driftgauge.operators.replicate_blocks import replicate_skills
 
@@ -176,3 +176,25 @@ def test_isotonic_predictions_of_a_replicate(monkeypatch, distinct):
     monkeypatch.setattr(np, "unique", None)
     assert replicate_blocks._isotonic_predictions(x, y, m, folds, 5) == pytest.approx(want, abs=1e-12)
     assert np.isnan(replicate_blocks._isotonic_predictions(x, y, m, np.zeros(n, dtype=int), 5)).all()
+
+
+def test_errors_of_replicates_are_those_of_the_copies(spark, units):
+    """Also with a null cell, a null error and a cell that some replicates do not draw."""
+    cell = F.when(F.col("unit_id") == "ID1", "rare").when(F.col("unit_id") == "ID2", F.lit(None)).otherwise(F.substring("unit_id", -1, 1))
+    made = units.select("domain", "unit_id", cell.alias("cell"), F.when(F.col("unit_id") != "OOD7", F.col("q_hat") - F.col("q_true")).alias("e"))
+    placed = resample.place_units(made, ["domain"], "unit_id", 3, blocks=False)
+    got = replicate_blocks.replicate_errors(placed, ["domain"], "unit_id", "cell", "e", resamples=8, seed=3)
+    m = F.col("multiplicity")
+    copies = resample.bootstrap(made, ["domain"], "unit_id", resamples=8, seed=3, include_original=True, blocks=False)
+    want = copies.groupBy("domain", "replicate", "cell").agg(F.sum(m).alias("n"), (F.sum(m * F.abs("e")) / F.sum(m)).alias("mae"), (F.sum(m * F.col("e")) / F.sum(m)).alias("bias"))
+    one, other = ({(r["domain"], r["replicate"], r["cell"]): [r[c] for c in ("n", "mae", "bias")] for r in t.collect()} for t in (got, want))
+    assert one.keys() == other.keys() and sum(key[2] == "rare" for key in one) < 9
+    assert all(one[key] == pytest.approx(other[key]) for key in one)
+
+
+def test_replicate_queries_make_no_copies(spark, monkeypatch):
+    """While a sample fits a task, nothing is drawn by a shuffle."""
+    from driftgauge.plans import replicates
+
+    monkeypatch.setattr(replicates, "bootstrap", None)
+    assert replicates.replicate_values(spark, "/root/testdata/sf0.001").where("metric = 'mae'").count() > 0
