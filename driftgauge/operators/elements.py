@@ -404,6 +404,10 @@ def case_features(
     without one, all elements count. The label may be the argmax of the probabilities.
     """
     foreground = [v for v in labels if v != 0]
+    # the source is read once: sizes, features, fractions, components and cases all start from what was read
+    inside = [] if support is None else [support.alias("__inside")]
+    elements = cut_lineage(elements.select(case, *coords, probabilities, label, *inside))
+    support = F.col("__inside") if inside else None
     probability = probability_features(elements, case, probabilities, support)
     fractions = label_fractions(elements, case, label, labels, support)
     components = connected_components(elements.where(F.col(label).isin(foreground)), case, label, coords, tile=tile)

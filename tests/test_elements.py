@@ -118,3 +118,19 @@ def test_feature_row_order(grid, spark):
     out = el.case_features(p, "case_id", "p", "pred", (0, 1, 2))
     assert out.columns == ["case_id", *el.feature_names((0, 1, 2))]
     assert len(el.feature_names((0, 1, 2, 3))) == 15 and len(el.feature_names((0, 1, 2, 3, 4))) == 18
+
+
+def test_feature_rows_read_the_elements_once(spark):
+    """Features of a case have many parts, but make each element only once."""
+    grid = spark.createDataFrame([(c, x, y, 0, x % 3) for c in range(4) for x in range(5) for y in range(5)], "case_id int, x int, y int, z int, pred int")
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    grid = grid.mapInPandas(counted, grid.schema)
+    p = F.when(F.col("pred") == 0, F.array(F.lit(0.8), F.lit(0.2))).otherwise(F.array(F.lit(0.3), F.lit(0.7)))
+    out = el.case_features(grid.withColumn("p", p), "case_id", "p", "pred", (0, 1, 2), support=F.col("x") > 0)
+    assert len(out.collect()) == 4 and made.value == 100
