@@ -33,7 +33,7 @@ SMALL = 32
 NAMES = [f"w{i}" for i in range(WORDS)]
 BLOCK = 255 * 64
 Exact = Callable[[DataFrame], DataFrame]
-# takes classes (cid) and gives stored tables of what set_bounds says of their sets
+# takes classes with their bases (cid, base) and gives stored tables of what base_bounds says of their sets
 Bounds = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
 
@@ -185,17 +185,44 @@ def set_bounds(sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     Two sets with no such hash share at most the hashes that lie in four sets or more. For a Jaccard similarity of ``least`` the number of these in either set has to
     be ``least / (1 + least)`` of both sizes: so ``room`` is the largest size of a set that may be alike, and other pairs need no comparison.
     """
-    rows = sets.select("cid", F.explode("hashes").alias("hash"))
-    of = rows.groupBy("hash").agg(F.count("*").alias("n"), F.min("cid").alias("low"), F.max("cid").alias("high"), F.bit_xor("cid").alias("all"))
+    one = sets.select("cid", F.lit(0).cast("bigint").alias("base"), F.size("hashes").alias("n"), F.col("hashes").alias("apart"))
+    bounds, common = _delta_bounds(one, least)
+    return bounds.drop("base"), common
+
+
+def base_bounds(sets: DataFrame, based: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(cid, base, size, room) of ``based(cid, base)``, and the links (a, b) of classes with their bases and with others of the base that have a rare difference from it in common.
+
+    ``sets(cid, hashes)`` has the classes and the bases. With the hashes in which each of two sets differs from a base, the two differ in all but those that both have.
+    They are alike if they differ in at most ``(1 - least) / (1 + least)`` of both sizes, so how many differences they need in common follows from a number of each set: ``size``, which is
+    below zero for sets close to the base. Copies of one text with own edits have few differences in common, and most of their pairs are ruled out (``room``, as in :func:`set_bounds`).
+    """
+    bases = sets.join(based.select(F.col("base").alias("cid")).distinct(), "cid", "left_semi").select(F.col("cid").alias("base"), F.col("hashes").alias("base_hashes"))
+    both = sets.join(based, "cid").join(bases, "base")
+    apart = F.concat(F.array_except("hashes", "base_hashes"), F.array_except("base_hashes", "hashes"))
+    deltas = stored(both.select("cid", "base", F.size("hashes").alias("n"), F.size("base_hashes").alias("base_n"), apart.alias("apart")), "wide-deltas")
+    same = (F.col("n") + F.col("base_n") - F.size("apart")) / 2
+    near = deltas.where((F.col("cid") != F.col("base")) & (same / (F.col("n") + F.col("base_n") - same) >= least))
+    bounds, common = _delta_bounds(deltas, least)
+    links = stored(near.select(*_pair("cid", "base")).union(alike(common, sets, least)), "wide-base-links")
+    dropped(deltas, common)
+    return bounds, links
+
+
+def _delta_bounds(deltas: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(cid, base, size, room) and the pairs (a, b) with a rare difference in common of ``deltas(cid, base, n, apart)``: sets of ``n`` hashes that differ in ``apart`` from a base."""
+    rows = deltas.select("cid", "base", F.explode("apart").alias("hash"))
+    of = rows.groupBy("base", "hash").agg(F.count("*").alias("n"), F.min("cid").alias("low"), F.max("cid").alias("high"), F.bit_xor("cid").alias("all"))
     # of three ids, all but the lowest and the highest
     middle = F.col("all").bitwiseXOR(F.col("low")).bitwiseXOR(F.col("high"))
     rare = stored(of.where("n <= 3").select("n", "low", "high", F.when(F.col("n") == 3, middle).alias("middle")), "wide-rare")
     ids = F.when(F.col("n") == 1, F.array("low")).when(F.col("n") == 2, F.array("low", "high")).otherwise(F.array("low", "middle", "high"))
     own = rare.select(F.explode(ids).alias("cid")).groupBy("cid").agg(F.count("*").alias("own"))
-    sizes = sets.select("cid", F.size("hashes").cast("bigint").alias("size")).join(own, "cid", "left")
-    shared = F.col("size") - F.coalesce("own", F.lit(0))
-    room = F.floor(shared * ((1 + least) / least) + 1e-6) - F.col("size")
-    bounds = stored(sizes.select("cid", "size", room.alias("room")), "wide-bounds")
+    sizes = deltas.select("cid", "base", "n", F.size("apart").alias("differ")).join(own, "cid", "left")
+    shared = F.col("differ") - F.coalesce("own", F.lit(0))
+    # a set that differs from its base in all its hashes, as from an empty one, has its number of hashes as its size
+    size = F.round((F.col("differ") - F.col("n") * ((1 - least) / (1 + least))) * ((1 + least) / (2 * least)), 6)
+    bounds = stored(sizes.select("cid", "base", size.alias("size"), (shared * ((1 + least) / least) - size + 1e-5).alias("room")), "wide-bounds")
     two = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
     pairs = F.when(F.col("n") == 2, F.array(two("low", "high"))).otherwise(F.array(two("low", "middle"), two("low", "high"), two("middle", "high")))
     common = stored(rare.where("n > 1").select(F.explode(pairs).alias("pair")).select("pair.*").distinct(), "wide-common")
@@ -204,15 +231,15 @@ def set_bounds(sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
 
 
 def _possible(bounds: DataFrame | None, other: str) -> Column:
-    """Whether a class (size, room) and one with the prefix ``other`` may be alike; true where nothing is known of one of them."""
+    """Whether a class (base, size, room) and one with the prefix ``other`` may be alike; true where they have no common base."""
     if bounds is None:
         return F.lit(True)
     fits = (F.col("room") >= F.col(f"{other}size")) & (F.col(f"{other}room") >= F.col("size"))
-    return F.coalesce(fits, F.lit(True))
+    return F.coalesce((F.col("base") != F.col(f"{other}base")) | fits, F.lit(True))
 
 
 def _sized(bounds: DataFrame | None, prefix: str = "") -> list[Column]:
-    return [] if bounds is None else [F.col(n).alias(prefix + n) for n in ("size", "room")]
+    return [] if bounds is None else [F.col(n).alias(prefix + n) for n in ("base", "size", "room")]
 
 
 def _pair(x: str, y: str) -> list[Column]:
@@ -226,7 +253,7 @@ def _contracted(joined: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def _placed(table: DataFrame, joined: DataFrame | None, bounds: DataFrame | None = None) -> DataFrame:
-    """``table(cid, ...)`` with the component of each class, which is the class itself while it has no link, and its ``bounds(cid, size, room)``, null where unknown."""
+    """``table(cid, ...)`` with the component of each class, which is the class itself while it has no link, and its ``bounds(cid, base, size, room)``, null where unknown."""
     if bounds is not None:
         table = table.join(bounds, "cid", "left")
     if joined is None:
@@ -259,6 +286,36 @@ def _probed(entries: DataFrame, index: Index) -> DataFrame:
     return balls.withColumn("key", F.col("key").bitwiseOR(F.col("mask"))).drop("mask")
 
 
+def _bases(near: DataFrame, failed: DataFrame, known: DataFrame | None) -> DataFrame:
+    """(cid, base) for the classes of ``failed(a, b)`` and of ``known``, stored: one base for each group that they join, the one that most have already, else the class with most pairs in ``near(a, b)``."""
+    pairs, before = failed.select("a", "b"), None if known is None else known.select("cid", "base")
+    groups = stored(components_in_task(pairs if before is None else pairs.union(before)).toDF("cid", "group"), "wide-near-groups")
+    rated = near.select("a").union(near.select("b")).toDF("cid").groupBy("cid").agg(F.count("*").alias("n")).withColumn("was", F.lit(False))
+    if before is not None:
+        rated = rated.union(before.groupBy("base").agg(F.count("*").alias("n")).withColumn("was", F.lit(True)))
+    best = groups.join(rated, "cid").groupBy("group").agg(F.max(F.struct("was", "n", "cid"))["cid"].alias("base"))
+    return stored(groups.join(best, "group").select("cid", "base"), "wide-based")
+
+
+def _rebased(near: DataFrame, failed: DataFrame, known: DataFrame | None, joined: DataFrame | None, bounds: Bounds) -> tuple[DataFrame | None, DataFrame]:
+    """Components and bounds once the classes of ``failed`` pairs are compared with the bases of their groups, and those with a rare difference in common with each other."""
+    based = _bases(near, failed, known)
+    found, links = bounds(based)
+    if links.take(1):
+        joined = _contracted(joined, links)
+    dropped(*([known] if known else []), based, links)
+    return joined, found
+
+
+def _led(members: DataFrame) -> DataFrame:
+    """The pairs (a, b) of each class of ``members(cid, key)`` with one other: the class that is under most keys leads a key, and each class takes the leader that is under most."""
+    rated = stored(members.join(members.groupBy("cid").agg(F.count("*").alias("n")), "cid"), "crowded-rated")
+    # a row for each crowded key
+    first = measured_broadcast(stored(rated.groupBy("key").agg(F.max(F.struct("n", "cid")).alias("first")), "crowded-first"), 64)
+    best = rated.select("cid", "key").join(first, "key").groupBy("cid").agg(F.max("first")["cid"].alias("leader"))
+    return best.where("cid <> leader").select(*_pair("cid", "leader"))
+
+
 def _checked(pairs: DataFrame, exact: Exact | None) -> DataFrame:
     """Those of ``pairs(a, b)`` that are links, stored."""
     pairs = pairs.select("a", "b").distinct()
@@ -266,10 +323,9 @@ def _checked(pairs: DataFrame, exact: Exact | None) -> DataFrame:
 
 
 def _sparse(
-    keyed: DataFrame, classes: DataFrame, most: int, index: Index, hint: DataFrame, exact: Exact | None, bounds: Bounds | None
+    keyed: DataFrame, classes: DataFrame, joined: DataFrame | None, known: DataFrame | None, most: int, index: Index, hint: DataFrame, exact: Exact | None, bounds: Bounds | None
 ) -> tuple[DataFrame | None, DataFrame | None]:
-    """Components (node, component) of the links under keys that are not crowded (``hint``), and what is known of the sets; only pairs of different components that may be alike are compared."""
-    joined = known = None
+    """Components (node, component) once the pairs under keys that are not crowded (``hint``) are links too, and what is known of the sets; only pairs of different components that may be alike are compared."""
     for begin, end in _phases(index.segments):
         parts = []
         # some segments at a time, so that the balls of all segments never lie on disk together
@@ -286,22 +342,16 @@ def _sparse(
             links = _checked(found, exact)
             if links.take(1):
                 joined = _contracted(joined, links)
-            if bounds:
+            if bounds and end < index.segments:
                 # classes that were near another without being alike, as in a large group of edited copies: later phases would meet their pairs again
-                failed = found.select("a", "b").join(links.select("a", "b"), ["a", "b"], "left_anti")
-                met = failed.select("a").union(failed.select("b")).toDF("cid")
-                tables = [known] if known else []
-                doubted = stored((met.union(tables[0].select("cid")) if tables else met).distinct(), "wide-doubted")
-                known, common = bounds(doubted)
-                near = stored(_verified(_apart(common, joined), classes, most), "wide-near")
-                more = _checked(near, exact)
-                if more.take(1):
-                    joined = _contracted(joined, more)
-                dropped(*tables, doubted, common, near, more)
+                failed = stored(found.select("a", "b").join(links.select("a", "b"), ["a", "b"], "left_anti"), "wide-failed")
+                if failed.take(1):
+                    joined, known = _rebased(found, failed, known, joined, bounds)
+                dropped(failed)
             dropped(links)
         dropped(found)
         collected(classes.sparkSession)
-    return joined, measured_broadcast(known, 64) if known else None
+    return joined, known
 
 
 def _crowded(
@@ -311,7 +361,7 @@ def _crowded(
     left, spared, pending, turn = members, None, None, 0
     while True:
         sizes = stored(left.groupBy("key").agg(F.count("*").alias("n")), "crowded-sizes")
-        counted = left.join(measured_broadcast(sizes, 64), "key")
+        counted = stored(left.join(measured_broadcast(sizes, 64), "key"), "crowded-counted")
         # some ``crowded`` leaders a key, by a draw that is the same under every key, or all classes once they are no more than that
         draw = F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(1 << 30)) * F.col("n") < F.lit(crowded << 30)
         leaders = stored(counted.where(draw).select("key", "cid"), "crowded-leaders")
@@ -363,21 +413,29 @@ def similar_components(classes: DataFrame, most: int, index: Index, crowded: int
     key up and compared with all of other components, those that are then in the component of a leader are spared, and the next leaders
     are drawn from the others until none is left. Two spared classes, or a class and a leader that was not its nearest, are checked
     only if they ended in different components: of spared ones, all that are outside the largest component under the key with all of other
-    components. So the components are those of all pairs that meet under a key. With ``bounds`` (:func:`set_bounds`), classes that were near another without being
-    alike are from then on compared only where their sets may be alike; those that share a rare hash are checked at once.
+    components. So the components are those of all pairs that meet under a key. With ``bounds`` (:func:`base_bounds`), classes under crowded keys are first compared with one base for each
+    group, and later also those that were near another without being alike; from then on, classes of one base are compared only where their differences from it leave room for a link; those that share a rare difference are checked at once.
     """
     keyed = stored(with_keys(classes, index), "wide-keys")
     entries = keyed.select("cid", F.explode("keys").alias("key"))
     shared = stored(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("key"), "crowded-keys")
     hint = measured_broadcast(shared, 64)
-    joined, known = _sparse(keyed, classes, most, index, hint, exact, bounds)
+    joined = known = members = None
     if shared.take(1):
-        members = stored(_probed(entries, index).join(hint, "key").select("cid", "key"), "crowded-members")
+        members = stored(_probed(entries, index).join(hint, "key", "left_semi").select("cid", "key"), "crowded-members")
+        if bounds:
+            near = stored(_verified(_led(members), classes, most), "crowded-led")
+            joined, known = _rebased(near, near, known, joined, bounds)
+            dropped(near)
+            collected(classes.sparkSession)
+    joined, known = _sparse(keyed, classes, joined, known, most, index, hint, exact, bounds)
+    if members:
         # keys whose classes are all of one component have nothing to add
         kinds = _placed(members, joined).groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high"))
         several = stored(kinds.where("low <> high").select("key"), "crowded-several")
         if several.take(1):
-            joined = _crowded(members.join(measured_broadcast(several, 64), "key").select("cid", "key"), classes, joined, known, most, crowded, exact)
+            open_keys = stored(members.join(measured_broadcast(several, 64), "key", "left_semi"), "crowded-open-keys")
+            joined = _crowded(open_keys, classes, joined, measured_broadcast(known, 64) if known else None, most, crowded, exact)
     dropped(keyed)
     return classes.sparkSession.createDataFrame([], "node bigint, component bigint") if joined is None else joined
 
@@ -413,9 +471,9 @@ def similar_documents(documents: DataFrame, width: int = 5, least: float = 0.8,
         dropped(sets)
         return links
 
-    def bounds(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-        sets = sets_of(asked)
-        found = set_bounds(sets, least)
+    def bounds(based: DataFrame) -> tuple[DataFrame, DataFrame]:
+        sets = sets_of(based.select("cid").union(based.select("base")).distinct())
+        found = base_bounds(sets, based, least)
         dropped(sets)
         return found
 

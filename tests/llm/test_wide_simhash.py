@@ -1,6 +1,6 @@
 import random
 
-from driftgauge.llm.wide_simhash import Index, NAMES, greatest_distance, planned_index, set_bounds, similar_components, similar_documents, wide_print
+from driftgauge.llm.wide_simhash import Index, NAMES, base_bounds, greatest_distance, planned_index, set_bounds, similar_components, similar_documents, wide_print
 from tests.llm.data import empty, messy
 from tests.llm.test_simhash import components
 
@@ -144,3 +144,27 @@ def test_set_bounds_lose_no_link_and_rule_out_most_pairs_of_a_group_of_edited_co
     alike = {p for p in pairs if jaccard(set(sets[p[0]]), set(sets[p[1]])) >= 0.8}
     assert (120, 121) in alike and len(alike) > 100 and alike <= left
     assert len(left - alike) < (len(pairs) - len(alike)) / 3
+
+
+def test_base_bounds_lose_no_link_and_leave_a_twentieth_of_the_pairs_of_a_group_of_edited_copies(spark):
+    """Copies with about as many own words as a pair may have: most are within the limit of the base and beyond that of each other."""
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(150)]
+    sets = {i: sorted({hash(s) for s in shingles(" ".join(edited(rng, base, 0.03)))}) for i in range(1, 150)}
+    sets[0] = sorted({hash(s) for s in shingles(" ".join(base))})
+    # two that are far from the base and alike
+    sets[150] = sorted({hash(s) for s in shingles(" ".join(base[:100] + [f"o{i}" for i in range(50)]))})
+    sets[151] = sets[150][:-3] + [1, 2, 3]
+    table = spark.createDataFrame(list(sets.items()), "cid bigint, hashes array<bigint>")
+    bounds, links = base_bounds(table, spark.createDataFrame([(i, 0) for i in sets], "cid bigint, base bigint"), 0.8)
+    known, linked = {r.cid: r for r in bounds.collect()}, {(r.a, r.b) for r in links.collect()}
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    alike = {p for p in pairs if jaccard(set(sets[p[0]]), set(sets[p[1]])) >= 0.8}
+    assert linked <= alike and (150, 151) in linked and {p for p in alike if p[0] == 0} <= linked
+    fits = {p for p in pairs if known[p[0]].room >= known[p[1]].size and known[p[1]].room >= known[p[0]].size}
+    assert alike <= fits | linked
+    of = components(list(sets), list(linked))
+    # what a search by bounds has left to compare: pairs of different components that fit
+    left = {p for p in fits - linked if of[p[0]] != of[p[1]]}
+    assert len({p for p in pairs if of[p[0]] != of[p[1]]}) > 1000
+    assert len(left) < (len(pairs) - len(alike)) / 20
