@@ -424,7 +424,8 @@ def similar_components(classes: DataFrame, most: int, index: Index, crowded: int
     if shared.take(1):
         members = stored(_probed(entries, index).join(hint, "key", "left_semi").select("cid", "key"), "crowded-members")
         if bounds:
-            near = stored(_verified(_led(members), classes, most), "crowded-led")
+            # any class serves as a base, also one that is far, so that classes at the edge of a group have one
+            near = stored(_led(members), "crowded-led")
             joined, known = _rebased(near, near, known, joined, bounds)
             dropped(near)
             collected(classes.sparkSession)
