@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from driftgauge.llm.components import connected_components
 from driftgauge.llm.text import lower_words
-from driftgauge.session import cut_lineage
+from driftgauge.session import bounded_broadcast, cut_lineage
 
 BITS = 64
 SEED = 42  # fixed value: the seed of the shingle hash
@@ -84,6 +84,9 @@ def links(distinct: DataFrame, radius: int = 3, segments: int = 2, hot: int = 10
     A key that holds over ``hot`` prints is not fetched. There the look-up goes to the whole prints instead: the
     ball of the other bits, with what is left of the radius, is enumerated and matched exactly. The
     cost per print is then bounded by the size of that ball whatever the size of the group, and no link is lost.
+
+    Spark takes a table to be about as large after an explode as before and would send the probes, some 34 times the
+    prints, through the driver; joins with exploded tables are therefore told to shuffle.
     """
     width = BITS // segments
     ball = radius // segments
@@ -95,14 +98,16 @@ def links(distinct: DataFrame, radius: int = 3, segments: int = 2, hot: int = 10
     ).select("fp", "e.seg", "e.key")
     masks = F.array(*[F.lit(m).cast("bigint") for m in _flips(width, ball)])
     probes = entries.select("fp", "seg", "key", F.explode(masks).alias("mask")).where(F.col("key").bitwiseAND(F.col("mask")) == 0)
-    probes = probes.select(F.col("fp").alias("p"), "seg", F.col("key").bitwiseOR(F.col("mask")).alias("key"), "mask")
+    probes = probes.select(F.col("fp").alias("p"), "seg", F.col("key").bitwiseOR(F.col("mask")).alias("key"), "mask").hint("merge")
     sizes = entries.groupBy("seg", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot)
     crowded = cut_lineage(sizes.select("seg", "key"))
-    few = entries.join(crowded, ["seg", "key"], "left_anti")
+    n_crowded = crowded.count()
+    crowded = bounded_broadcast(crowded, n_crowded, 128)
+    few = entries.join(crowded, ["seg", "key"], "left_anti") if n_crowded else entries
     distance = F.bit_count(F.col("p").bitwiseXOR(F.col("fp")))
     near = probes.join(few, ["seg", "key"]).where((distance <= radius) & (F.col("p") != F.col("fp"))).select("p", "fp")
     found = near
-    if crowded.take(1):
+    if n_crowded:
         # masks over the other bits: at most radius - (bits used in the segment), as signed 64-bit numbers
         other = [[b for b in range(BITS) if not i * width <= b < (i + 1) * width] for i in range(segments)]
         full: list[tuple[int, int, int]] = []
@@ -143,6 +148,6 @@ def near_duplicates(documents: DataFrame, width: int = 3, radius: int = 3, segme
     salts = 16
     rows = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     wide = of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.join(wide, ["fingerprint", "salt"]).select(
+    return rows.join(wide.hint("merge"), ["fingerprint", "salt"]).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )

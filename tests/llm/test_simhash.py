@@ -1,4 +1,5 @@
 import random
+import re
 
 import xxhash
 
@@ -65,6 +66,22 @@ def test_links_of_dense_groups(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_exploded_tables_are_not_broadcast(spark):
+    """Probes are 34 times the prints, while Spark takes them to be as large as these; only the counted crowded keys may be broadcast."""
+    rng = random.Random(4)
+    table = spark.createDataFrame([(rng.getrandbits(63),) for _ in range(500)] + [(i << 40 | 5,) for i in range(20)], "fp bigint")
+    for hot, sent in ((1024, 0), (10, 1)):
+        found = links(table, hot=hot)
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        probed = [line for line in plan.splitlines() if re.search(r"(BroadcastHash|SortMerge|ShuffledHash)Join.*\[seg#\d+, key#\d+L\], \[seg#\d+, key#\d+L\], Inner", line)]
+        assert len(probed) == 1 + sent and sum("SortMergeJoin" in line for line in probed) == 1, plan
+    rows = near_duplicates(spark.createDataFrame([(i, f"text number {i}") for i in range(50)], "doc_id bigint, text string"))
+    rows.collect()
+    final = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert re.search(r"SortMergeJoin.*salt#", final), final
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(60)]
     rng = random.Random(1)
