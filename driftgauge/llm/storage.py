@@ -1,11 +1,9 @@
 """Intermediate tables that several passes read, written once to the shared folder."""
 from __future__ import annotations
 
-import gc
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-from driftgauge.session import scratch_path
+from driftgauge.session import collected, remove_path, scratch_path  # noqa: F401
 
 
 def stored(df: DataFrame, name: str, *folders: str) -> DataFrame:
@@ -20,12 +18,4 @@ def stored(df: DataFrame, name: str, *folders: str) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more: what was made from them has been written."""
     for table in tables:
-        context = table.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(table._stored_at)  # noqa: SLF001
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
-
-
-def collected(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle files and checkpoints of tables that nothing refers to any more, which it does after a garbage collection of the driver."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # noqa: SLF001
+        remove_path(table.sparkSession, table._stored_at)  # noqa: SLF001

@@ -1,6 +1,7 @@
 """Session defaults and the shared folder used to cut lineage."""
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -100,3 +101,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a path of :func:`scratch_path` that nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)  # noqa: SLF001
+
+
+def collected(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files and checkpoints of tables that nothing refers to any more, which it does after a garbage collection of the driver."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # noqa: SLF001

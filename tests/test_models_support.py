@@ -118,3 +118,36 @@ def test_few_cells_are_visited(spark):
     known = frame(ask).withColumn("known", F.element_at(F.array(*[F.lit(float(d)) for d in want[:, -1]]), F.col("id").cast("int") + 1))
     visited = support.routed_queries(known, directory, "id", "vec", False).count()
     assert visited < 0.2 * 200 * len(directory.cell)
+
+
+def test_boxes_rule_out_cells_without_clusters(spark):
+    """Features that hang together, in 15 dimensions and without clusters: a query meets a small share of the reference."""
+    rng = np.random.default_rng(6)
+    mix = rng.normal(size=(15, 15)) * (0.7 ** np.arange(15))
+    ref, ask = rng.normal(size=(20_000, 15)) @ mix.T, rng.normal(size=(60, 15)) @ mix.T
+    frame = lambda m: spark.createDataFrame([(str(i), [float(x) for x in v]) for i, v in enumerate(m)], "id string, vec array<double>")
+    kth = np.sort(np.sqrt(((ask[:, None] - ref[None]) ** 2).sum(axis=2)), axis=1)[:, 9]
+    directory = support.CellDirectory(frame(ref), "id", "vec", len(ref))
+    rows = dict(zip(directory.cell.tolist(), directory.n.tolist()))
+    known = spark.createDataFrame([(str(i), [float(x) for x in v], float(d)) for i, (v, d) in enumerate(zip(ask, kth))], "id string, vec array<double>, known double")
+    met = sum(rows[r["cell"]] for r in support.routed_queries(known, directory, "id", "vec", False).collect())
+    assert met < 0.2 * 60 * len(ref), met / 60 / len(ref)
+
+
+def test_rounds_of_packs_are_exact(spark, monkeypatch):
+    """Many packs in several rounds; a hot point, values far from zero and beyond single precision, a query that is not a number."""
+    monkeypatch.setattr(support, "ROUND_LIMITS", 1)
+    spark.conf.set("driftgauge.broadcast.bytes", "16384")
+    rng = np.random.default_rng(8)
+    frame = lambda m: spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(m)], "id int, vec array<double>")
+    try:
+        for scale, shift in ((1.0, 1e6), (1e25, 0.0)):
+            r = rng.normal(size=(900, 6)) * scale + shift
+            r[::4] = r[0]
+            q = np.vstack([rng.normal(size=(50, 6)) * scale + shift, r[:2], np.full((1, 6), np.nan)])
+            found = support.nearest_distances(frame(q), frame(r), "id", 12, broadcast_limit=0).toPandas().set_index("id")["distances"].sort_index()
+            assert list(found.index) == list(range(53)) and np.isnan(found[52]).all()
+            want = np.sort(np.sqrt(((q[:52, None] - r[None]) ** 2).sum(axis=2)), axis=1)[:, :12]
+            assert np.stack(found[:52].to_numpy()) == pytest.approx(want, rel=1e-9, abs=1e-9)
+    finally:
+        spark.conf.unset("driftgauge.broadcast.bytes")
