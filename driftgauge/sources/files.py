@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from driftgauge.functions import set_digest
 from driftgauge.session import compute_tasks
 
-# A binary row holds a whole file; larger files are read as streams.
+# A binary row holds a whole file, some three times; larger files are read as streams.
+ROW_FILE_BYTES = 16 << 20
+# The largest row where tasks cannot open files themselves.
 MAX_FILE_BYTES = 1 << 30
 CHUNK_BYTES = 8 << 20
 
@@ -56,33 +58,57 @@ def digests(spark: SparkSession, root: str, glob: str | None = None, algorithm:
 
     Spark counts each file as 4 MB at least, which gives a task to every 32 small files.
 
-    Files up to ``MAX_FILE_BYTES`` are hashed from their binary row (the length filter reaches the source, so larger
-    contents are never loaded); larger ones are read by tasks as streams in chunks.
+    Files up to ``ROW_FILE_BYTES`` are hashed from their binary row (the length filter reaches the source, so larger
+    contents are never loaded); larger ones are read by tasks as streams in chunks. In a store that only Spark opens the limit is ``MAX_FILE_BYTES``.
     """
     files = _files(spark, root, glob)
+    real = _real_root(spark, root)
+    most = min(ROW_FILE_BYTES, MAX_FILE_BYTES) if real else MAX_FILE_BYTES
     if tasks:
         files = files.coalesce(tasks)
     content = F.col("content")
     value = {"sha256": F.sha2(content, 256), "md5": F.md5(content)}[algorithm]
-    small = files.where(F.col("length") <= MAX_FILE_BYTES).select("path", "length", value.alias("digest"))
+    small = files.where(F.col("length") <= most).select("path", "length", value.alias("digest"))
 
     def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(digest=[_streamed_digest(p, algorithm) for p in frame["path"]])
+            yield frame.assign(digest=[_streamed_digest(_moved(p, real), algorithm) for p in frame["path"]])
 
     # one row per large file, dealt evenly because each is long work
-    large = files.where(F.col("length") > MAX_FILE_BYTES).select("path", "length").repartition(compute_tasks(spark))
+    large = files.where(F.col("length") > most).select("path", "length").repartition(compute_tasks(spark))
     hashed = small.unionByName(large.mapInPandas(stream, "path string, length bigint, digest string"))
     return hashed.select(_relative(root).alias("path"), "length", "digest")
 
 
-def _streamed_digest(path: str, algorithm: str) -> str:
+def _real_root(spark: SparkSession, root: str) -> tuple[str, str] | None:
+    """The root as Spark lists it and as it is without mount points, if the store it is in then can be opened without Spark."""
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)  # noqa: SLF001
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+        listed, real = system.makeQualified(path).toString(), system.resolvePath(path).toString()
+        _store(real)
+    except Exception:  # noqa: BLE001 - no such path, or a store that is unknown here: Spark reads it, or says what is wrong
+        return None
+    return listed.rstrip("/") + "/", real.rstrip("/") + "/"
+
+
+def _moved(path: str, real: tuple[str, str] | None) -> str:
+    return real[1] + path.removeprefix(real[0]) if real and path.startswith(real[0]) else path
+
+
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it."""
     scheme, _, rest = path.partition(":")
     if scheme == "file":
-        source = fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"))
-    else:
-        system, inner = fs.FileSystem.from_uri(path)
-        source = system.open_input_stream(inner)
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    server, _, inner = rest.removeprefix("//").partition("/")
+    system, base = fs.FileSystem.from_uri(f"{scheme}://{server}/")
+    return system, f"{base.rstrip('/')}/{inner}"
+
+
+def _streamed_digest(path: str, algorithm: str) -> str:
+    system, inner = _store(path)
+    source = system.open_input_stream(inner, compression=None)
     digest = hashlib.new(algorithm, usedforsecurity=False)
     with source:
         while chunk := source.read(CHUNK_BYTES):

@@ -1,4 +1,6 @@
 """Every contract has an input that breaks it; readers and sinks round-trip."""
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +172,18 @@ def test_keys_are_reconciled_without_a_join(spark):
     want = [(1, "a", "missing"), (3, None, "missing"), (None, None, "missing"), (3, None, "unexpected"), (4, "d", "unexpected")]
     assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("algorithm", ["sha256", "md5"])
+def test_files_beyond_a_few_megabytes_are_streamed(spark, tmp_path, algorithm):
+    """No row holds a file of 20 MB, whether it is found by its path or under a mount point."""
+    (tmp_path / "a b.gz").write_bytes(b"0123456789abcdef" * (20 << 16))
+    (tmp_path / "small.gz").write_bytes(b"few")
+    want = {(p.name, p.stat().st_size, hashlib.new(algorithm, p.read_bytes()).hexdigest()) for p in tmp_path.iterdir()}
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", str(18 << 20))
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.held.link./in", tmp_path.parent.as_uri())
+    try:
+        for root in (str(tmp_path), f"file://{tmp_path}", f"viewfs://held/in/{tmp_path.name}"):
+            assert {tuple(r) for r in files.digests(spark, root, "*.gz", algorithm).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
