@@ -151,3 +151,22 @@ def test_rounds_of_packs_are_exact(spark, monkeypatch):
             assert np.stack(found[:52].to_numpy()) == pytest.approx(want, rel=1e-9, abs=1e-9)
     finally:
         spark.conf.unset("driftgauge.broadcast.bytes")
+
+
+def test_queries_without_clusters_are_sent_once(spark, monkeypatch):
+    """In 64 dimensions no cell is ruled out; a query must still not travel once for every cell."""
+    rng = np.random.default_rng(9)
+    r, q = rng.normal(size=(600, 64)), rng.normal(size=(40, 64))
+    frame = lambda m: spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(m)], "id int, vec array<double>")
+    sent, routed = [], support.routed_queries
+
+    def counted(*args):
+        out = routed(*args)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(support, "routed_queries", counted)
+    found = support.nearest_distances(frame(q), frame(r), "id", 10, broadcast_limit=0).toPandas().set_index("id")["distances"]
+    expected = np.sort(np.sqrt(((q[:, None] - r[None]) ** 2).sum(axis=2)), axis=1)[:, :10]
+    assert np.stack(found.loc[range(40)].to_numpy()) == pytest.approx(expected, abs=1e-12)
+    assert sum(sent) == 40
